@@ -18,6 +18,12 @@ unique inside ``keys``:
 
 All other work is narrow. ``strategy="direct"`` keeps the textbook single
 window by ``keys`` for inputs whose groups are known to be bounded.
+
+``strategy="auto"`` (the default) decides at run time, like a broadcast
+size check: one partial aggregate measures the largest group; when it holds
+at most ``max_group_rows`` rows the single window (one shuffle) is used,
+otherwise the blocked plan above. The decision needs one number on the
+driver, never data rows.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 1 << 20
+MAX_GROUP_ROWS = 2_000_000
 
 _BLK, _RN, _CNT, _OFF, _POS = "_blk", "_rn", "_cnt", "_off", "_pos"
 
@@ -36,6 +43,41 @@ def lag_name(col: str, n: int) -> str:
     return f"{col}_lag{n}"
 
 
+_GROUP_SIZE_MEMO: dict[tuple, int] = {}
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest ``keys`` group (one partial aggregate, one number back).
+
+    Memoised per (canonical input plan, keys) for the life of the process, so
+    queries over the same landed table measure it once.
+    """
+    keys = list(keys)
+    probe = df.select(*keys) if keys else df.select(F.lit(1).alias("_one"))
+    try:
+        memo_key = (probe._jdf.queryExecution().analyzed().semanticHash(), tuple(keys))
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no plan handle, just measure
+        memo_key = None
+    if memo_key is not None and memo_key in _GROUP_SIZE_MEMO:
+        return _GROUP_SIZE_MEMO[memo_key]
+    if not keys:
+        n = probe.count()
+    else:
+        row = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
+        n = int(row[0] or 0)
+    if memo_key is not None:
+        _GROUP_SIZE_MEMO[memo_key] = n
+    return n
+
+
+def _resolve(strategy: str, df: DataFrame, keys: Sequence[str], max_group_rows: int) -> str:
+    if strategy == "auto":
+        return "direct" if largest_group(df, keys) <= max_group_rows else "blocked"
+    if strategy not in ("direct", "blocked"):
+        raise ValueError("strategy must be 'auto', 'direct' or 'blocked'")
+    return strategy
+
+
 def _with_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int,
                  lag_cols: Sequence[str] = (), offsets: Sequence[int] = ()) -> DataFrame:
     blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
@@ -59,12 +101,15 @@ def _block_offsets(blocked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ordered_position(df: DataFrame, keys: Sequence[str], order: str, pos_col: str = "pos",
                      count_col: str = "n_rows", block: int = DEFAULT_BLOCK,
-                     strategy: str = "blocked") -> DataFrame:
+                     strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Add the 1-based position of each row inside ``keys`` (by ``order``) and the group size."""
     keys = list(keys)
+    if keys:
+        strategy = _resolve(strategy, df, keys, max_group_rows)
     if not keys:
         # one global order: a constant key keeps every join an equi-join
-        out = ordered_position(df.withColumn("_all", F.lit(0)), ["_all"], order, pos_col, count_col, block, strategy)
+        out = ordered_position(df.withColumn("_all", F.lit(0)), ["_all"], order, pos_col, count_col, block,
+                               strategy, max_group_rows)
         return out.drop("_all")
     if strategy == "direct":
         w = Window.partitionBy(*keys).orderBy(order)
@@ -83,13 +128,14 @@ def ordered_position(df: DataFrame, keys: Sequence[str], order: str, pos_col: st
 
 def ordered_lag(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
                 offsets: Sequence[int] = (1,), block: int = DEFAULT_BLOCK,
-                strategy: str = "blocked") -> DataFrame:
+                strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Add ``<col>_lag<n>`` = value of ``col`` ``n`` rows earlier inside ``keys`` (by ``order``).
 
     Exactly ``lag(col, n) OVER (PARTITION BY keys ORDER BY order)``; NULL when
     there is no such row.
     """
     keys, cols, offsets = list(keys), list(cols), sorted(set(offsets))
+    strategy = _resolve(strategy, df, keys, max_group_rows)
     if strategy == "direct":
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumns({lag_name(c, n): F.lag(c, n).over(w) for c in cols for n in offsets})

@@ -70,7 +70,7 @@ def me_(spark, d):
 
 
 def raw_(spark, d):
-    return FX.raw_events(me_(spark, d))
+    return FX.raw_events_landed(spark, d)
 
 
 def traw_(spark, d):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.columns import safe_ratio
 from ..operators import counters as CT
 from ..operators.clean import next_event_input, stats_input
 from ..operators.ordered import DEFAULT_BLOCK, ordered_lag
@@ -15,24 +16,36 @@ SLICE = ["game", "period_id", "start"]
 
 
 def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list[str]) -> DataFrame:
-    """Player-grain and team-grain aggregates of sliced events, joined.
+    """Player-grain aggregates of sliced events plus the team totals of the slice.
 
     ``ev`` holds events tagged with their slice and ``prev_type_id`` (the type
-    of the previous event *inside the slice*). Two hash aggregates (player
-    and team grain) share the leading slice keys; the team side is far
-    smaller (two teams per slice) and is joined back on (slice, team).
+    of the previous event *inside the slice*). One hash aggregate per
+    (slice, player, team); the team figures are sums of the player rows of the
+    same (slice, team) -- every event has a player here -- so they come from a
+    window over the aggregated rows (one row per player) instead of a second
+    pass over the events and a join.
     """
     zone_a, zone_f = CT.zone_aggs()
     p_a, p_f = CT.success_rate_cols(K.EVENTS_COMPUTE_SUCCESS_RATE, "p_")
     p_a += CT.count_pivot_aggs(K.EVENTS_COMPUTE_NUMBER, "p_")
     p_f += [F.col(f"p_{e}_nb") for e in K.EVENTS_COMPUTE_NUMBER]
+    ok = [f"_p_{e}_ok" for e in K.EVENTS_COMPUTE_SUCCESS_RATE]
     pkeys = [*slice_keys, *label_cols, "player_id", "team_id"]
     player = (ev.groupBy(*pkeys)
               .agg(*CT.bool_counter_aggs("prev_type_id"), *zone_a, *p_a)
               .select(*pkeys, "nb_assist", "nb_keypass", "nb_gk_events", "nb_shots", "nb_free_kick",
-                      "nb_corner", *zone_f, *p_f))
-    team = CT.agg_stats(ev, [*slice_keys, "team_id"], prefix="t_")
-    return player.join(team, [*slice_keys, "team_id"], "left")
+                      "nb_corner", *zone_f, *p_f, *ok))
+    team = Window.partitionBy(*slice_keys, "team_id")
+    tcols = {}
+    for e in K.EVENTS_COMPUTE_SUCCESS_RATE:
+        tcols[f"t_{e}_nb"] = F.sum(f"p_{e}_nb").over(team).cast("int")
+        tcols[f"_t_{e}_ok"] = F.sum(f"_p_{e}_ok").over(team).cast("int")
+    for e in K.EVENTS_COMPUTE_NUMBER:
+        tcols[f"t_{e}_nb"] = F.sum(f"p_{e}_nb").over(team).cast("int")
+    out = player.withColumns(tcols)
+    out = out.withColumns({f"t_{e}_success_rate": safe_ratio(f"_t_{e}_ok", f"t_{e}_nb")
+                           for e in K.EVENTS_COMPUTE_SUCCESS_RATE})
+    return out.drop(*ok, *[f"_t_{e}_ok" for e in K.EVENTS_COMPUTE_SUCCESS_RATE])
 
 
 def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min: int = 5,

@@ -39,9 +39,12 @@ def match_events_from(events: DataFrame) -> DataFrame:
     """Project the driver's ``events`` table onto the canonical match-event schema."""
     k = F.get_json_object("props", "$.k").cast("int")
     sod, day = _second_of_day_and_date(F.col("ts"), events.schema["ts"].dataType)
+    # The JSON accessor is evaluated once per row: ``k`` is produced by a
+    # one-element explode (a Generate), which predicate pushdown cannot inline
+    # into the many predicates and CASE branches that read ``k`` above it.
     base = events.select(
         "event_id", "user_id", "event_type", "value",
-        k.alias("k"), F.floor(sod / 15).cast("int").alias("t"), day.alias("d"),
+        F.explode(F.array(k)).alias("k"), F.floor(sod / 15).cast("int").alias("t"), day.alias("d"),
     )
     k, t, et = F.col("k"), F.col("t"), F.col("event_type")
     first_half = t < 2880
@@ -73,8 +76,22 @@ def match_events_from(events: DataFrame) -> DataFrame:
     )
 
 
-def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_events_from(table(spark, sf_dir, "events"))
+def match_events(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataFrame:
+    """Canonical event table of ``sf_dir``; by default the landed Parquet copy."""
+    if not landed:
+        return match_events_from(table(spark, sf_dir, "events"))
+    from .store import land
+
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    return land(spark, "match_events", lambda: match_events_from(table(spark, sf_dir, "events")), [src])
+
+
+def raw_events_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider-shaped rows of ``sf_dir`` (see :func:`raw_events`), landed once."""
+    from .store import land
+
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    return land(spark, "raw_events", lambda: raw_events(match_events(spark, sf_dir)), [src])
 
 
 def period_end_rows(me: DataFrame) -> DataFrame:

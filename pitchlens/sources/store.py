@@ -26,7 +26,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def materialize(spark: SparkSession, name: str, builder: Callable[[], DataFrame], refresh: bool = False,
                 path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Read dataset ``name`` if it was written before, else build, write and read it."""
-    path = path or shared_path(spark, f"datasets/{name}")
+    path = path or shared_path(spark, name if name.startswith("landed/") else f"datasets/{name}")
     if refresh or not _exists(spark, path):
         writer = builder().write.mode("overwrite")
         if partition_by:
@@ -35,6 +35,30 @@ def materialize(spark: SparkSession, name: str, builder: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+def source_key(spark: SparkSession, *paths: str) -> str:
+    """Identity of input files (path, size, modification time) as a short hash."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        st = hp.getFileSystem(conf).getFileStatus(hp)
+        h.update(f"{p}|{st.getLen()}|{st.getModificationTime()}".encode())
+    return h.hexdigest()[:16]
+
+
+def land(spark: SparkSession, name: str, builder: Callable[[], DataFrame], sources: list[str]) -> DataFrame:
+    """Write a derived table once (keyed by its source files) and scan the Parquet copy.
+
+    The landing step of a feed: later queries get a columnar scan with
+    predicate pushdown and column pruning instead of re-deriving the rows.
+    """
+    key = source_key(spark, *sources)
+    return materialize(spark, f"landed/{name}-{key}", builder)
+
+
 def write_predictions(df: DataFrame, path: str, header: bool = False) -> None:
     """Prediction sink: ``player, team, y, x`` rows as CSV (y before x, no header)."""
     df.select("player_id", "team_id", "y", "x").write.mode("overwrite").option("header", header).csv(path)
