@@ -14,35 +14,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import count_if, safe_ratio
+from ..functions.columns import safe_ratio
 
+# Aggregates are written as SQL expressions: one parsed expression per
+# aggregate keeps plan construction cheap for the ~40 aggregates of a slice.
 
-def _t() -> Column:
-    return F.col("type_id")
+
+def n_where(cond_sql: str, name: str) -> Column:
+    """Number of rows where the SQL condition holds (NULL = false), INT; 0 for no rows."""
+    return F.expr(f"CAST(count_if({cond_sql}) AS INT)").alias(name)
+
+
+def _in(ids) -> str:
+    return ", ".join(str(i) for i in ids)
 
 
 def flag_sum(col: str, name: str | None = None) -> Column:
     """``nb_<col>`` = sum of a 0/1 flag column, INT, 0 for a group without rows."""
-    return F.coalesce(F.sum(F.col(col).cast("int")), F.lit(0)).cast("int").alias(name or f"nb_{col}")
+    return F.expr(f"CAST(COALESCE(sum(CAST(`{col}` AS INT)), 0) AS INT)").alias(name or f"nb_{col}")
 
 
 def bool_counter_aggs(prev_type: str = "prev_type_id") -> list[Column]:
     """The six per-player counters: key passes, assists, goalkeeper events,
     shots, passes after a foul (free kicks) and passes after a corner."""
-    prev = F.col(prev_type)
     return [
         flag_sum("assist", "nb_assist"),
         flag_sum("keypass", "nb_keypass"),
-        count_if(_t().isin(*K.GK_EVENTS)).alias("nb_gk_events"),
-        count_if(_t().isin(*K.SHOT_EVENTS)).alias("nb_shots"),
-        count_if((_t() == K.PASS) & (prev == K.FOUL)).alias("nb_free_kick"),
-        count_if((_t() == K.PASS) & (prev == K.CORNER_AWARDED)).alias("nb_corner"),
+        n_where(f"type_id IN ({_in(K.GK_EVENTS)})", "nb_gk_events"),
+        n_where(f"type_id IN ({_in(K.SHOT_EVENTS)})", "nb_shots"),
+        n_where(f"type_id = {K.PASS} AND `{prev_type}` = {K.FOUL}", "nb_free_kick"),
+        n_where(f"type_id = {K.PASS} AND `{prev_type}` = {K.CORNER_AWARDED}", "nb_corner"),
     ]
 
 
 def count_pivot_aggs(ids: Iterable[int], prefix: str = "") -> list[Column]:
     """``<prefix><id>_nb`` = number of events of each type (a pivot with fixed values)."""
-    return [count_if(_t() == e).alias(f"{prefix}{e}_nb") for e in ids]
+    return [n_where(f"type_id = {e}", f"{prefix}{e}_nb") for e in ids]
 
 
 def success_rate_cols(ids: Iterable[int], prefix: str = "") -> tuple[list[Column], list[Column]]:
@@ -53,10 +60,11 @@ def success_rate_cols(ids: Iterable[int], prefix: str = "") -> tuple[list[Column
     """
     aggs, finals = [], []
     for e in ids:
-        aggs += [count_if(_t() == e).alias(f"{prefix}{e}_nb"),
-                 count_if((_t() == e) & (F.col("outcome") == 1)).alias(f"_{prefix}{e}_ok")]
+        aggs += [n_where(f"type_id = {e}", f"{prefix}{e}_nb"),
+                 n_where(f"type_id = {e} AND outcome = 1", f"_{prefix}{e}_ok")]
         finals += [F.col(f"{prefix}{e}_nb"),
-                   safe_ratio(F.col(f"_{prefix}{e}_ok"), F.col(f"{prefix}{e}_nb")).alias(f"{prefix}{e}_success_rate")]
+                   F.expr(f"try_divide(CAST(`_{prefix}{e}_ok` AS DOUBLE), NULLIF(CAST(`{prefix}{e}_nb` AS DOUBLE), 0.0))")
+                   .alias(f"{prefix}{e}_success_rate")]
     return aggs, finals
 
 
@@ -65,10 +73,10 @@ def zone_aggs(zones: Sequence[str] = tuple(K.ZONES)) -> tuple[list[Column], list
 
     NULL for every zone when the player has no located event, else 0..100.
     """
-    z = F.col("zone")
-    located = z.isNotNull() & (z != K.NO_POSITION)
-    aggs = [count_if(located).alias("_z_all")] + [count_if(z == name).alias(f"_z_{name}") for name in zones]
-    finals = [(F.lit(100.0) * safe_ratio(F.col(f"_z_{name}"), F.col("_z_all"))).alias(name) for name in zones]
+    aggs = [n_where(f"zone IS NOT NULL AND zone <> '{K.NO_POSITION}'", "_z_all")]
+    aggs += [n_where(f"zone = '{name}'", f"_z_{name}") for name in zones]
+    finals = [F.expr(f"100.0D * try_divide(CAST(`_z_{name}` AS DOUBLE), NULLIF(CAST(_z_all AS DOUBLE), 0.0D))")
+              .alias(name) for name in zones]
     return aggs, finals
 
 

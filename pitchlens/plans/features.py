@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import safe_ratio
 from ..operators import counters as CT
 from ..operators.clean import next_event_input, stats_input
 from ..operators.ordered import DEFAULT_BLOCK, ordered_lag
@@ -35,17 +34,16 @@ def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list
               .agg(*CT.bool_counter_aggs("prev_type_id"), *zone_a, *p_a)
               .select(*pkeys, "nb_assist", "nb_keypass", "nb_gk_events", "nb_shots", "nb_free_kick",
                       "nb_corner", *zone_f, *p_f, *ok))
-    team = Window.partitionBy(*slice_keys, "team_id")
-    tcols = {}
+    team = "OVER (PARTITION BY " + ", ".join([*slice_keys, "team_id"]) + ")"
+    tcols = []
     for e in K.EVENTS_COMPUTE_SUCCESS_RATE:
-        tcols[f"t_{e}_nb"] = F.sum(f"p_{e}_nb").over(team).cast("int")
-        tcols[f"_t_{e}_ok"] = F.sum(f"_p_{e}_ok").over(team).cast("int")
+        tcols.append(F.expr(f"CAST(sum(p_{e}_nb) {team} AS INT)").alias(f"t_{e}_nb"))
+        tcols.append(F.expr(f"try_divide(CAST(sum(_p_{e}_ok) {team} AS DOUBLE), "
+                            f"NULLIF(CAST(sum(p_{e}_nb) {team} AS DOUBLE), 0.0D))").alias(f"t_{e}_success_rate"))
     for e in K.EVENTS_COMPUTE_NUMBER:
-        tcols[f"t_{e}_nb"] = F.sum(f"p_{e}_nb").over(team).cast("int")
-    out = player.withColumns(tcols)
-    out = out.withColumns({f"t_{e}_success_rate": safe_ratio(f"_t_{e}_ok", f"t_{e}_nb")
-                           for e in K.EVENTS_COMPUTE_SUCCESS_RATE})
-    return out.drop(*ok, *[f"_t_{e}_ok" for e in K.EVENTS_COMPUTE_SUCCESS_RATE])
+        tcols.append(F.expr(f"CAST(sum(p_{e}_nb) {team} AS INT)").alias(f"t_{e}_nb"))
+    keep = [c for c in player.columns if c not in ok]
+    return player.select(*keep, *tcols)
 
 
 def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min: int = 5,

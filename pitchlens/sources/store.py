@@ -49,14 +49,21 @@ def source_key(spark: SparkSession, *paths: str) -> str:
     return h.hexdigest()[:16]
 
 
+_LANDED: dict[tuple, DataFrame] = {}
+
+
 def land(spark: SparkSession, name: str, builder: Callable[[], DataFrame], sources: list[str]) -> DataFrame:
     """Write a derived table once (keyed by its source files) and scan the Parquet copy.
 
     The landing step of a feed: later queries get a columnar scan with
     predicate pushdown and column pruning instead of re-deriving the rows.
+    The scan DataFrame itself is reused within a session (it is immutable).
     """
     key = source_key(spark, *sources)
-    return materialize(spark, f"landed/{name}-{key}", builder)
+    memo = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), name, key)
+    if memo not in _LANDED:
+        _LANDED[memo] = materialize(spark, f"landed/{name}-{key}", builder)
+    return _LANDED[memo]
 
 
 def write_predictions(df: DataFrame, path: str, header: bool = False) -> None:
