@@ -926,3 +926,7 @@ def zero_count(spark, d):
 
     f = features_(spark, d)
     return f.select("game", "player_id", "time_period", *zero_count_cols(ZC_FEATURES))
+
+
+# model queries register themselves into QUERIES (rows-only checks)
+from . import catalog_ml  # noqa: E402,F401
