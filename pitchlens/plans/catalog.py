@@ -272,12 +272,13 @@ def players_over_minutes(spark, d):
     return PT.players_over_minutes(pt_(spark, d))
 
 
-@query("dropna_rows", O.with_(*BASE) + final("me", ["x", "y"], where="WHERE " + " AND ".join(
-    f"{c} IS NOT NULL" for c in ["seq", "game", "period_id", "game_time_in_sec", "player_id", "team_id", "type_id",
-                                 "outcome", "keypass", "assist", "x", "y", "zone"])))
+@query("dropna_rows", O.with_(*FEAT) + "SELECT * REPLACE (" + ", ".join(
+    f'round("{c}", 6) AS "{c}"' for c in FEATURE_DOUBLES) + f") FROM (SELECT {O.quoted(FEATURE_COLS)} FROM feat "
+    "WHERE player_id IN (SELECT player_id FROM elig) AND " + " AND ".join(f'"{c}" IS NOT NULL' for c in FEATURE_COLS)
+    + ")")
 def dropna_rows(spark, d):
-    """rows with any NULL removed."""
-    return CL.dropna_rows(me_(spark, d))
+    """feature rows with any NULL (rates, zone shares) removed."""
+    return CL.dropna_rows(features_(spark, d))
 
 
 # ======================================================================================================
@@ -829,7 +830,6 @@ def score_player_features(spark, d):
 
 
 def _score_next_sql() -> str:
-    cols = ["seq", "game"]
     sel = ["l.seq", "l.game"]
     for n in K.NEXT_EVENT_LAGS:
         sel.append(f"COALESCE(e{n}.value, m{n}.mean) AS type_id_lag{n}")
@@ -841,7 +841,6 @@ def _score_next_sql() -> str:
     dbl = [f"type_id_lag{n}" for n in K.NEXT_EVENT_LAGS] + [f"x_along_team1_axis_lag{n}" for n in K.NEXT_EVENT_LAGS]
     inner = (f"(SELECT {', '.join(sel)} FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game "
              f"ORDER BY seq DESC) AS r FROM nxt) WHERE r = 1) l {joins})")
-    del cols
     return O.with_(*NEXT, ENC_ALL) + final(inner, dbl)
 
 

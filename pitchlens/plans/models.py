@@ -286,7 +286,16 @@ class FastICA(Estimator, HasInputCol, HasOutputCol):
     def _fit(self, df: DataFrame) -> "FastICAModel":
         from pyspark.ml.stat import Summarizer
 
-        x = df.select(vector_to_array(F.col(self.getInputCol())).alias("x"))
+        # the fixed-point loop passes over the data many times: keep the (narrow) input persisted
+        x = df.select(vector_to_array(F.col(self.getInputCol())).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit_persisted(df, x)
+        finally:
+            x.unpersist()
+
+    def _fit_persisted(self, df: DataFrame, x: DataFrame) -> "FastICAModel":
+        from pyspark.ml.stat import Summarizer
+
         summ = df.select(Summarizer.metrics("mean", "count").summary(F.col(self.getInputCol())).alias("s")).first().s
         mean = np.asarray(summ.mean.toArray())
         n_rows = int(summ["count"])
