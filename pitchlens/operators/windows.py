@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .ordered import DEFAULT_BLOCK, lag_name, ordered_lag, ordered_position
+from .ordered import DEFAULT_BLOCK, MAX_GROUP_ROWS, lag_name, ordered_lag, ordered_position
 
 
 def sliding_windows(df: DataFrame, step_min: int = 5, length_min: int = K.WINDOW_MIN,
@@ -35,14 +35,16 @@ def sliding_windows(df: DataFrame, step_min: int = 5, length_min: int = K.WINDOW
 
 
 def lag_columns(df: DataFrame, cols: Sequence[str], lags: Sequence[int], keys=("game",), order="seq",
-                block: int = DEFAULT_BLOCK) -> DataFrame:
+                block: int = DEFAULT_BLOCK, strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Shift the given columns by each lag in document order inside a game."""
-    return ordered_lag(df, list(keys), order, list(cols), list(lags), block=block)
+    return ordered_lag(df, list(keys), order, list(cols), list(lags), block=block, strategy=strategy,
+                       max_group_rows=max_group_rows)
 
 
 def next_event_dataset(events: DataFrame, columns_to_lag: Sequence[str] = tuple(K.NEXT_EVENT_COLS_TO_LAG),
                        lags: Sequence[int] = tuple(K.NEXT_EVENT_LAGS), keys=("game",),
-                       block: int = DEFAULT_BLOCK) -> DataFrame:
+                       block: int = DEFAULT_BLOCK, strategy: str = "auto",
+                       max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Targets of each event next to the lagged context of the previous events.
 
     Keeps only rows whose period equals the period of **every** lagged row
@@ -53,7 +55,8 @@ def next_event_dataset(events: DataFrame, columns_to_lag: Sequence[str] = tuple(
         raise ValueError("period_id must be among the lagged columns")
     targets = ["seq", *keys, "period_id", "team_id", "x_along_team1_axis", "y_along_team1_axis"]
     base = events.select(*dict.fromkeys(targets + list(columns_to_lag)))
-    lagged = ordered_lag(base, list(keys), "seq", list(columns_to_lag), list(lags), block=block)
+    lagged = ordered_lag(base, list(keys), "seq", list(columns_to_lag), list(lags), block=block,
+                         strategy=strategy, max_group_rows=max_group_rows)
     cond = F.lit(True)
     for n in lags:
         cond = cond & (F.col("period_id") == F.col(lag_name("period_id", n)))
@@ -61,13 +64,17 @@ def next_event_dataset(events: DataFrame, columns_to_lag: Sequence[str] = tuple(
     return lagged.where(cond).select(*dict.fromkeys(targets + keep))
 
 
-def last_rows(df: DataFrame, n: int = 1, keys=("game",), order="seq", block: int = DEFAULT_BLOCK) -> DataFrame:
+def last_rows(df: DataFrame, n: int = 1, keys=("game",), order="seq", block: int = DEFAULT_BLOCK,
+              strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """The last ``n`` rows of each group in document order (``tail(n)`` per game)."""
-    pos = ordered_position(df, list(keys), order, "_p", "_n", block=block)
+    pos = ordered_position(df, list(keys), order, "_p", "_n", block=block, strategy=strategy,
+                           max_group_rows=max_group_rows)
     return pos.where(F.col("_p") > F.col("_n") - n).drop("_p", "_n")
 
 
-def all_but_last(df: DataFrame, n: int = 10, keys=("game",), order="seq", block: int = DEFAULT_BLOCK) -> DataFrame:
+def all_but_last(df: DataFrame, n: int = 10, keys=("game",), order="seq", block: int = DEFAULT_BLOCK,
+                 strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Every row except the last ``n`` of each group (``head(-n)`` per game)."""
-    pos = ordered_position(df, list(keys), order, "_p", "_n", block=block)
+    pos = ordered_position(df, list(keys), order, "_p", "_n", block=block, strategy=strategy,
+                           max_group_rows=max_group_rows)
     return pos.where(F.col("_p") <= F.col("_n") - n).drop("_p", "_n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import counters as CT
 from ..operators.clean import next_event_input, stats_input
-from ..operators.ordered import DEFAULT_BLOCK, ordered_lag
+from ..operators.ordered import DEFAULT_BLOCK, MAX_GROUP_ROWS, ordered_lag
 from ..operators.windows import next_event_dataset, sliding_windows
 
 SLICE = ["game", "period_id", "start"]
@@ -47,7 +47,8 @@ def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list
 
 
 def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min: int = 5,
-                    block: int = DEFAULT_BLOCK) -> DataFrame:
+                    block: int = DEFAULT_BLOCK, strategy: str = "auto",
+                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Per (game, 15-minute window, player) features of the player-identification problem.
 
     stats input -> overlapping inclusive windows (explode, no join) ->
@@ -57,7 +58,8 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
     every player).
     """
     ev = sliding_windows(stats_input(me), step_min)
-    ev = ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block).withColumnRenamed("type_id_lag1", "prev_type_id")
+    ev = ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy,
+                     max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
     out = _features_from_slices(ev, SLICE, ["time_period"])
     if eligible is not None:
         out = out.join(eligible.select("player_id").distinct(), "player_id", "left_semi")
@@ -65,7 +67,8 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
 
 
 def test_set_stats(me: DataFrame, masked_player: int = 1, last_hidden: int = 10,
-                   block: int = DEFAULT_BLOCK) -> DataFrame:
+                   block: int = DEFAULT_BLOCK, strategy: str = "auto",
+                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Features of the masked player of each game, over the whole game but its last rows.
 
     One slice per game: every cleaned event except the last ``last_hidden``
@@ -74,13 +77,15 @@ def test_set_stats(me: DataFrame, masked_player: int = 1, last_hidden: int = 10,
     """
     from ..operators.windows import all_but_last
 
-    ev = all_but_last(stats_input(me), last_hidden, block=block)
-    ev = ordered_lag(ev, ["game"], "seq", ["type_id"], [1], block=block).withColumnRenamed("type_id_lag1", "prev_type_id")
+    ev = all_but_last(stats_input(me), last_hidden, block=block, strategy=strategy, max_group_rows=max_group_rows)
+    ev = ordered_lag(ev, ["game"], "seq", ["type_id"], [1], block=block, strategy=strategy,
+                     max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
     out = _features_from_slices(ev, ["game"], [])
     out = out.where(F.col("player_id") == masked_player)
     return out.select("game", "player_id", "team_id", *K.player_features()[1:])
 
 
-def season_next_event(me: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
+def season_next_event(me: DataFrame, block: int = DEFAULT_BLOCK, strategy: str = "auto",
+                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Next-event dataset of every game (targets + 3 lags of type, team, x, y)."""
-    return next_event_dataset(next_event_input(me), block=block)
+    return next_event_dataset(next_event_input(me), block=block, strategy=strategy, max_group_rows=max_group_rows)

@@ -22,6 +22,17 @@ DEFAULT_CONF = {
 }
 
 
+def _driver_memory() -> str:
+    """About 60 % of the machine's memory, capped at 16 GB (local mode: the driver is the executor)."""
+    try:
+        with open("/proc/meminfo") as fh:
+            kb = next(int(line.split()[1]) for line in fh if line.startswith("MemTotal:"))
+        mb = int(kb / 1024 * 0.6)
+    except (OSError, StopIteration, ValueError):
+        mb = 4096
+    return f"{max(1024, min(mb, 16384))}m"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pitchlens",
                   extra: dict | None = None) -> SparkSession:
     """Session for tests and local benchmarks (UI off, UTC, AQE on)."""
@@ -31,7 +42,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", os.environ.get("PITCHLENS_DRIVER_MEMORY", _driver_memory()))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
