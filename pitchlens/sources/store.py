@@ -16,22 +16,40 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_path
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, _ = _fs(spark, path)
+    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
 
 
 def materialize(spark: SparkSession, name: str, builder: Callable[[], DataFrame], refresh: bool = False,
                 path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Read dataset ``name`` if it was written before, else build, write and read it."""
+    """Read dataset ``name`` if it was written before, else build, write and read it.
+
+    The table is written to a unique temporary directory and renamed into
+    place, so a failed or concurrent writer never leaves a half-written table
+    behind (a table without ``_SUCCESS`` is rebuilt).
+    """
+    import uuid
+
     path = path or shared_path(spark, name if name.startswith("landed/") else f"datasets/{name}")
     if refresh or not _exists(spark, path):
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
         writer = builder().write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        writer.parquet(tmp)
+        fs, target = _fs(spark, path)
+        _, staged = _fs(spark, tmp)
+        if fs.exists(target) and (refresh or not _exists(spark, path)):
+            fs.delete(target, True)
+        if not fs.rename(staged, target):      # another writer finished first: keep its table
+            fs.delete(staged, True)
     return spark.read.parquet(path)
 
 
