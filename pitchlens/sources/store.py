@@ -89,5 +89,23 @@ def write_predictions(df: DataFrame, path: str, header: bool = False) -> None:
     df.select("player_id", "team_id", "y", "x").write.mode("overwrite").option("header", header).csv(path)
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
-    df.write.mode(mode).format(fmt).save(path)
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet", header: bool = True) -> None:
+    """Generic sink (Parquet by default; ``fmt="csv"`` writes a header row)."""
+    w = df.write.mode(mode).format(fmt)
+    if fmt == "csv":
+        w = w.option("header", header)
+    w.save(path)
+
+
+def read_csv_table(spark: SparkSession, path: str, schema: str | None = None, index_col: bool = False) -> DataFrame:
+    """CSV source with a header; an explicit schema avoids an inference pass.
+
+    ``index_col=True`` drops a leading unnamed index column (files written
+    with a row index).
+    """
+    reader = spark.read.option("header", True)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    df = reader.csv(path)
+    if index_col:
+        df = df.drop(df.columns[0])
+    return df
