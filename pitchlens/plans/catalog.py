@@ -96,11 +96,24 @@ def pt_(spark, d):
     return PT.play_time(traw_(spark, d))
 
 
-def eligible_(spark, d):
+def eligible_fresh_(spark, d):
     players, moved = registry_(spark, d)
     return PT.eligible_players(pt_(spark, d), players, moved)
 
 
+def eligible_(spark, d):
+    """Season eligibility list as its consumers read it: computed once per source, then scanned.
+
+    A season-level reference table (the players list of the feature jobs),
+    landed like the event table so every feature plan joins a small scan
+    instead of re-deriving play time and the registry.
+    """
+    from ..sources.store import land
+
+    srcs = [f"{d.rstrip('/')}/{t}.parquet" for t in ("events", "customer", "nation")]
+    return land(spark, "eligible_players", lambda: eligible_fresh_(spark, d), srcs)
+
+
 def features_(spark, d):
     return FE.window_features(me_(spark, d), eligible_(spark, d))
 
@@ -355,13 +368,13 @@ def agg_stats(spark, d):
        + "SELECT seq, game, player_id FROM st WHERE player_id IN (SELECT player_id FROM elig)")
 def eligible_semi(spark, d):
     """Events of eligible players (left semi join)."""
-    return stats_(spark, d).join(eligible_(spark, d), "player_id", "left_semi").select("seq", "game", "player_id")
+    return stats_(spark, d).join(eligible_fresh_(spark, d), "player_id", "left_semi").select("seq", "game", "player_id")
 
 
 @query("eligible_players", O.with_(*ELIG) + "SELECT player_id FROM elig")
 def eligible_players(spark, d):
-    """Enough minutes, not transferred, not a winter loan."""
-    return eligible_(spark, d)
+    """Enough minutes, not transferred, not a winter loan (computed from the tables)."""
+    return eligible_fresh_(spark, d)
 
 
 @query("full_game_players", O.with_(*PTQ) + "SELECT game, player_id FROM fullp")
