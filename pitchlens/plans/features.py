@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import counters as CT
 from ..operators.clean import next_event_input, stats_input
-from ..operators.ordered import DEFAULT_BLOCK, MAX_GROUP_ROWS, ordered_lag
+from ..operators.ordered import DEFAULT_BLOCK, MAX_GROUP_ROWS, largest_group, ordered_lag
 from ..operators.windows import next_event_dataset, sliding_windows
 
 SLICE = ["game", "period_id", "start"]
 
 
+def _strategy(me: DataFrame, strategy: str, max_group_rows: int) -> str:
+    """One size check for every ordered step of a plan.
+
+    Each event appears at most once per (game, period, window) and the
+    inputs are filters of ``me``, so the largest game of ``me`` bounds every
+    group these plans order by. The check is memoised per input plan, so all
+    queries over the same landed table share it.
+    """
+    if strategy != "auto":
+        return strategy
+    return "direct" if largest_group(me, ["game"]) <= max_group_rows else "blocked"
+
+
 def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list[str]) -> DataFrame:
     """Player-grain aggregates of sliced events plus the team totals of the slice.
 
@@ -57,6 +70,7 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
     (semi join, applied after the team aggregates so team counts cover
     every player).
     """
+    strategy = _strategy(me, strategy, max_group_rows)
     ev = sliding_windows(stats_input(me), step_min)
     ev = ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy,
                      max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
@@ -77,6 +91,7 @@ def test_set_stats(me: DataFrame, masked_player: int = 1, last_hidden: int = 10,
     """
     from ..operators.windows import all_but_last
 
+    strategy = _strategy(me, strategy, max_group_rows)
     ev = all_but_last(stats_input(me), last_hidden, block=block, strategy=strategy, max_group_rows=max_group_rows)
     ev = ordered_lag(ev, ["game"], "seq", ["type_id"], [1], block=block, strategy=strategy,
                      max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
@@ -88,4 +103,5 @@ def test_set_stats(me: DataFrame, masked_player: int = 1, last_hidden: int = 10,
 def season_next_event(me: DataFrame, block: int = DEFAULT_BLOCK, strategy: str = "auto",
                       max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Next-event dataset of every game (targets + 3 lags of type, team, x, y)."""
+    strategy = _strategy(me, strategy, max_group_rows)
     return next_event_dataset(next_event_input(me), block=block, strategy=strategy, max_group_rows=max_group_rows)

@@ -64,10 +64,11 @@ def _advance(lags: Sequence[int]):
         new = batch[~batch["type_id"].isin(markers)].sort_values("seq", kind="stable").reset_index(drop=True)
         if state.exists:
             tail = pd.DataFrame({c: list(v) for c, v in zip(["seq", *LAGGED], state.get)})
+            n_tail = len(tail)
+            frame = pd.concat([tail[["seq", *LAGGED]], new[["seq", *LAGGED]]], ignore_index=True)
         else:
-            tail = pd.DataFrame({c: pd.Series(dtype="float64") for c in ["seq", *LAGGED]})
-        n_tail = len(tail)
-        frame = pd.concat([tail[["seq", *LAGGED]], new[["seq", *LAGGED]]], ignore_index=True)
+            n_tail = 0
+            frame = new[["seq", *LAGGED]].reset_index(drop=True)
         out = new[["seq", "period_id", "team_id", "x_along_team1_axis", "y_along_team1_axis"]].copy()
         out.insert(1, "game", key[0])
         keep = pd.Series(True, index=out.index)
