@@ -115,12 +115,33 @@ class TargetEncoderModel(Model, _EncoderParams):
 
 def fit_lag_encoders(train: DataFrame, target: str, lags=(1, 2, 3), method: str = "team_change",
                      target_lag: str | None = None) -> dict[int, TargetEncoderModel]:
-    """One encoder per lag for ``type_id_lag<n>`` against (target, target_lag<n>)."""
+    """One encoder per lag for ``type_id_lag<n>`` against (target, target_lag<n>), fitted in one pass.
+
+    Each training row contributes one (lag, category, statistic) triple per
+    lag; a single ``groupBy(lag, category)`` fits every encoder, and the
+    per-lag means come back together (one small row per lag).
+    """
+    lags = list(lags)
+    base = target_lag or target
+    if method == "team_change":
+        stat = {n: ne_null_true(target, f"{base}_lag{n}").cast("double") for n in lags}
+    elif method == "distance":
+        stat = {n: F.col(target).cast("double") - F.col(f"{base}_lag{n}").cast("double") for n in lags}
+    else:
+        raise ValueError("method must be 'team_change' or 'distance'")
+    triples = F.explode(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"type_id_lag{n}").alias("category"),
+                                           stat[n].alias("s")) for n in lags])).alias("t")
+    table = (train.select(triples).select("t.*").where(F.col("category").isNotNull())
+             .groupBy("lag", "category").agg(F.avg("s").alias("value"), F.count(F.lit(1)).alias("n_rows"))
+             .cache())
+    means = {r["lag"]: r["mean"] for r in table.where(F.col("value").isNotNull()).groupBy("lag").agg(
+        (F.sum(F.col("value") * F.col("n_rows")) / F.sum("n_rows")).alias("mean")).collect()}
     models = {}
     for n in lags:
-        ref_b = (target_lag or target) + f"_lag{n}"
-        enc = TargetEncoder(inputCol=f"type_id_lag{n}", referenceCols=[target, ref_b], method=method)
-        models[n] = enc.fit(train)
+        m = TargetEncoderModel(table=table.where(F.col("lag") == n).drop("lag"), mean=means.get(n))
+        m._set(inputCol=f"type_id_lag{n}", outputCol=f"type_id_lag{n}", referenceCols=[target, f"{base}_lag{n}"],
+               method=method)
+        models[n] = m
     return models
 
 
