@@ -71,7 +71,12 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
     every player).
     """
     strategy = _strategy(me, strategy, max_group_rows)
-    ev = sliding_windows(stats_input(me), step_min)
+    st = stats_input(me)
+    if strategy == "direct":
+        # Bounded games: shuffle the events once by game, *before* the (up to 4x) window explode;
+        # hash partitioning on game satisfies every later clustering (lag, player aggregate, team totals).
+        st = st.repartition("game")
+    ev = sliding_windows(st, step_min)
     ev = ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy,
                      max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
     out = _features_from_slices(ev, SLICE, ["time_period"])
