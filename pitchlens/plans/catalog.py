@@ -24,7 +24,7 @@ from ..operators import playtime as PT
 from ..operators import quality as DQ
 from ..operators import setops as SO
 from ..operators.encode import TargetEncoder, encoder_table, fit_lag_encoders
-from ..operators.ordered import ordered_lag, ordered_position
+from ..operators.ordered import ordered_position
 from ..operators.windows import all_but_last, last_rows, lag_columns, next_event_dataset, sliding_windows
 from ..sources import fixture as FX
 from ..sources.store import materialize
@@ -83,8 +83,7 @@ def stats_(spark, d):
 
 def slices_(spark, d):
     """Stats input exploded to its windows, with the previous type inside each window."""
-    ev = sliding_windows(stats_(spark, d))
-    return ordered_lag(ev, FE.SLICE, "seq", ["type_id"], [1]).withColumnRenamed("type_id_lag1", "prev_type_id")
+    return FE.sliced_events(me_(spark, d))
 
 
 def registry_(spark, d):

@@ -59,6 +59,24 @@ def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list
     return player.select(*keep, *tcols)
 
 
+def sliced_events(me: DataFrame, step_min: int = 5, block: int = DEFAULT_BLOCK, strategy: str = "auto",
+                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Stats-input events tagged with each 15-minute window containing them, plus
+    ``prev_type_id``: the type of the previous event *inside that window*.
+
+    Bounded games: one shuffle of the events by game *before* the (up to 4x)
+    window explode; hash partitioning on game satisfies every later clustering
+    (lag, player aggregate, team totals). Hot games: the blocked lag.
+    """
+    strategy = _strategy(me, strategy, max_group_rows)
+    st = stats_input(me)
+    if strategy == "direct":
+        st = st.repartition("game")
+    ev = sliding_windows(st, step_min)
+    return ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy,
+                       max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
+
+
 def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min: int = 5,
                     block: int = DEFAULT_BLOCK, strategy: str = "auto",
                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -66,19 +84,10 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
 
     stats input -> overlapping inclusive windows (explode, no join) ->
     previous event type inside each window (skew-safe ordered lag) ->
-    player and team aggregates -> left join on team -> eligible players
-    (semi join, applied after the team aggregates so team counts cover
-    every player).
+    player aggregate and team totals -> eligible players (semi join, applied
+    after the team totals so team counts cover every player).
     """
-    strategy = _strategy(me, strategy, max_group_rows)
-    st = stats_input(me)
-    if strategy == "direct":
-        # Bounded games: shuffle the events once by game, *before* the (up to 4x) window explode;
-        # hash partitioning on game satisfies every later clustering (lag, player aggregate, team totals).
-        st = st.repartition("game")
-    ev = sliding_windows(st, step_min)
-    ev = ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy,
-                     max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
+    ev = sliced_events(me, step_min, block, strategy, max_group_rows)
     out = _features_from_slices(ev, SLICE, ["time_period"])
     if eligible is not None:
         out = out.join(eligible.select("player_id").distinct(), "player_id", "left_semi")
