@@ -53,13 +53,30 @@ def materialize(spark: SparkSession, name: str, builder: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+_CODE_KEY: list[str] = []
+
+
+def code_key() -> str:
+    """Hash of this package's source files: a landed table is rebuilt when the code that derives it changes."""
+    if not _CODE_KEY:
+        import hashlib
+        import pathlib
+
+        root = pathlib.Path(__file__).resolve().parent.parent
+        h = hashlib.sha1()
+        for f in sorted(root.rglob("*.py")):
+            h.update(f.read_bytes())
+        _CODE_KEY.append(h.hexdigest()[:12])
+    return _CODE_KEY[0]
+
+
 def source_key(spark: SparkSession, *paths: str) -> str:
-    """Identity of input files (path, size, modification time) as a short hash."""
+    """Identity of input files (path, size, modification time) and of the code, as a short hash."""
     import hashlib
 
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    h = hashlib.sha1()
+    h = hashlib.sha1(code_key().encode())
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         st = hp.getFileSystem(conf).getFileStatus(hp)
