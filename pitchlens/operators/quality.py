@@ -23,6 +23,16 @@ def dq_substitutions(ev: DataFrame, max_players: int = K.MAX_SUBSTITUTED) -> Dat
     return n.where(F.col("n_substituted") > max_players)
 
 
+def dq_duplicate_substitutions(ev: DataFrame) -> DataFrame:
+    """(game, player, type) with more than one coming-on (19) or going-off (18) event.
+
+    Play time keeps the first occurrence; these rows report the games where that choice mattered.
+    """
+    subs = ev.where(F.col("type_id").isin(K.PLAYER_OFF, K.PLAYER_ON) & F.col("player_id").isNotNull())
+    n = subs.groupBy("game", "player_id", "type_id").agg(F.count(F.lit(1)).cast("int").alias("n_events"))
+    return n.where(F.col("n_events") > 1)
+
+
 def dq_one_team(sliced: DataFrame, keys: Sequence[str] = ("game", "period_id", "start")) -> DataFrame:
     """(slice, player) pairs seen with more than one team."""
     n = (sliced.groupBy(*keys, "player_id")

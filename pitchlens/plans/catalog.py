@@ -795,6 +795,14 @@ def dq_substitutions(spark, d):
     return DQ.dq_substitutions(traw_(spark, d))
 
 
+@query("dq_duplicate_substitutions", O.with_(*PTQ) + "SELECT game, player_id, type_id, CAST(count(*) AS INT) AS n_events "
+       "FROM traw WHERE type_id IN (18, 19) AND player_id IS NOT NULL GROUP BY game, player_id, type_id "
+       "HAVING count(*) > 1")
+def dq_duplicate_substitutions(spark, d):
+    """Players with repeated substitution events in a game (first one is used)."""
+    return DQ.dq_duplicate_substitutions(traw_(spark, d))
+
+
 @query("dq_one_team", O.with_(*SL) + "SELECT game, period_id, start, player_id, CAST(count(DISTINCT team_id) AS INT) "
        "AS n_teams FROM slp GROUP BY game, period_id, start, player_id HAVING count(DISTINCT team_id) > 1")
 def dq_one_team(spark, d):

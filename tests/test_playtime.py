@@ -60,3 +60,12 @@ def test_eligibility_rules(spark):
     moved = spark.createDataFrame([(4,)], "player_id bigint")
     got = sorted(r.player_id for r in PT.eligible_players(pt, players, moved).collect())
     assert got == [1, 3]
+
+
+def test_duplicate_substitutions_reported_and_first_used(spark):
+    from pitchlens.operators.quality import dq_duplicate_substitutions
+
+    ev = raw(spark, [(2, 3000, 7, 1, 19, []), (2, 3100, 7, 1, 19, []), (2, 3200, 8, 1, 18, [])])
+    bad = dq_duplicate_substitutions(ev).collect()
+    assert [(r.player_id, r.type_id, r.n_events) for r in bad] == [(7, 19, 2)]
+    assert PT.substitutions(ev).where("player_id = 7").first().start_game == 3000.0
