@@ -68,16 +68,25 @@ def success_rate_cols(ids: Iterable[int], prefix: str = "") -> tuple[list[Column
     return aggs, finals
 
 
-def zone_aggs(zones: Sequence[str] = tuple(K.ZONES)) -> tuple[list[Column], list[Column]]:
+def zone_aggs(zones: Sequence[str] = tuple(K.ZONES)) -> list[Column]:
+    """Located-event counts per zone (``_z_all``, ``_z_<zone>``) of a group."""
+    aggs = [n_where(f"zone IS NOT NULL AND zone <> '{K.NO_POSITION}'", "_z_all")]
+    aggs += [n_where(f"zone = '{name}'", f"_z_{name}") for name in zones]
+    return aggs
+
+
+def zone_finals(scope: Sequence[str], zones: Sequence[str] = tuple(K.ZONES)) -> list[Column]:
     """Share (percent) of a player's located events in each zone.
 
-    NULL for every zone when the player has no located event, else 0..100.
+    NULL when the player has no located event. Within ``scope`` (the frame
+    the shares are pivoted over: a window slice, a game), a zone that no
+    located event of the scope has is NULL for everyone (it has no pivot
+    column there), otherwise 0..100. The scope test is a window sum over the
+    aggregated rows (one per player), never over events.
     """
-    aggs = [n_where(f"zone IS NOT NULL AND zone <> '{K.NO_POSITION}'", "_z_all")]
-    aggs += [n_where(f"zone = '{name}'", f"_z_{name}") for name in zones]
-    finals = [F.expr(f"100.0D * try_divide(CAST(`_z_{name}` AS DOUBLE), NULLIF(CAST(_z_all AS DOUBLE), 0.0D))")
-              .alias(name) for name in zones]
-    return aggs, finals
+    over = "OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in scope) + ")"
+    return [F.expr(f"CASE WHEN sum(`_z_{name}`) {over} > 0 THEN 100.0D * try_divide(CAST(`_z_{name}` AS DOUBLE), "
+                   f"NULLIF(CAST(_z_all AS DOUBLE), 0.0D)) END").alias(name) for name in zones]
 
 
 def count_pivot(df: DataFrame, keys: Sequence[str], ids: Iterable[int], prefix: str = "") -> DataFrame:
@@ -98,9 +107,9 @@ def agg_stats(df: DataFrame, keys: Sequence[str], ids_number: Iterable[int] = tu
     return df.groupBy(*keys).agg(*aggs).select(*keys, *finals)
 
 
-def zone_share(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    aggs, finals = zone_aggs()
-    return df.groupBy(*keys).agg(*aggs).select(*keys, *finals)
+def zone_share(df: DataFrame, keys: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    """Zone shares per ``keys`` (e.g. game, player), pivoted within ``scope`` (e.g. game)."""
+    return df.groupBy(*keys).agg(*zone_aggs()).select(*keys, *zone_finals(scope))
 
 
 def pct_of_total(df: DataFrame, keys: Sequence[str], category: str, name: str = "pct") -> DataFrame:

@@ -445,11 +445,12 @@ def team_stats(spark, d):
     return CT.agg_stats(slices_(spark, d), ["game", "period_id", "start", "team_id"], prefix="t_")
 
 
-@query("zone_share", O.with_(*ST) + final(f"(SELECT game, player_id, {O.ZONES} FROM st GROUP BY game, player_id)",
-                                         K.ZONES))
+@query("zone_share", O.with_(*ST) + final(
+    f"(SELECT game, player_id, {O.zone_finals(['game'])} FROM (SELECT game, player_id, {O.ZONE_COUNTS} FROM st "
+    "GROUP BY game, player_id))", K.ZONES))
 def zone_share(spark, d):
     """Share of a player's located events per pitch zone; NULL without any."""
-    return CT.zone_share(stats_(spark, d), ["game", "player_id"])
+    return CT.zone_share(stats_(spark, d), ["game", "player_id"], ["game"])
 
 
 @query("pct_of_total", O.with_(*ST) + final(
@@ -654,10 +655,11 @@ ZONE_LIST = "[COALESCE(Back, 0.0), COALESCE(Center, 0.0), COALESCE(\"Left\", 0.0
 @query("argmax_class", O.with_(*ST) + f"""SELECT game, player_id,
   CAST(list_position({ZONE_LIST}, list_max({ZONE_LIST})) - 1 AS INT) AS class_index,
   ['Back', 'Center', 'Left', 'Right'][list_position({ZONE_LIST}, list_max({ZONE_LIST}))] AS zone
-FROM (SELECT game, player_id, {O.ZONES} FROM st GROUP BY game, player_id) WHERE Back IS NOT NULL""")
+FROM (SELECT game, player_id, {O.zone_finals(['game'])} FROM (SELECT game, player_id, {O.ZONE_COUNTS} FROM st
+      GROUP BY game, player_id)) WHERE Back IS NOT NULL""")
 def argmax_class(spark, d):
     """Index (and label) of the largest probability-like value of a row."""
-    z = CT.zone_share(stats_(spark, d), ["game", "player_id"]).where(F.col("Back").isNotNull())
+    z = CT.zone_share(stats_(spark, d), ["game", "player_id"], ["game"]).where(F.col("Back").isNotNull())
     arr = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in K.ZONES])
     idx = C.argmax_index(arr)
     return z.select("game", "player_id", idx.alias("class_index"),
@@ -828,8 +830,7 @@ def test_set_stats(spark, d):
 def _score_player_sql() -> str:
     med = ("med AS (SELECT " + ", ".join(f'CAST(median("{c}") AS DOUBLE) AS "m_{c}"' for c in MEDIAN_COLS)
            + " FROM feat WHERE player_id IN (SELECT player_id FROM elig))")
-    test = TEST_SET[-1].replace("pagg AS", "tpagg AS").replace("tagg AS", "ttagg AS").replace("feat AS", "tfeat AS") \
-        .replace("FROM pagg p LEFT JOIN tagg t", "FROM tpagg p LEFT JOIN ttagg t")
+    test = O.features_sql("tlp", ["game"], [], prefix="t")
     cols = []
     for c in K.player_features():
         base = f'CAST(x."{c}" AS DOUBLE)'

@@ -37,7 +37,7 @@ def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list
     window over the aggregated rows (one row per player) instead of a second
     pass over the events and a join.
     """
-    zone_a, zone_f = CT.zone_aggs()
+    zone_a = CT.zone_aggs()
     p_a, p_f = CT.success_rate_cols(K.EVENTS_COMPUTE_SUCCESS_RATE, "p_")
     p_a += CT.count_pivot_aggs(K.EVENTS_COMPUTE_NUMBER, "p_")
     p_f += [F.col(f"p_{e}_nb") for e in K.EVENTS_COMPUTE_NUMBER]
@@ -46,7 +46,7 @@ def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list
     player = (ev.groupBy(*pkeys)
               .agg(*CT.bool_counter_aggs("prev_type_id"), *zone_a, *p_a)
               .select(*pkeys, "nb_assist", "nb_keypass", "nb_gk_events", "nb_shots", "nb_free_kick",
-                      "nb_corner", *zone_f, *p_f, *ok))
+                      "nb_corner", *CT.zone_finals(slice_keys), *p_f, *ok))
     team = "OVER (PARTITION BY " + ", ".join([*slice_keys, "team_id"]) + ")"
     tcols = []
     for e in K.EVENTS_COMPUTE_SUCCESS_RATE:

@@ -174,32 +174,44 @@ CAST(sum(CASE WHEN type_id IN (13, 14, 15, 16) THEN 1 ELSE 0 END) AS INT) AS nb_
 CAST(sum(CASE WHEN type_id = 1 AND prev_type_id = 4 THEN 1 ELSE 0 END) AS INT) AS nb_free_kick,
 CAST(sum(CASE WHEN type_id = 1 AND prev_type_id = 6 THEN 1 ELSE 0 END) AS INT) AS nb_corner"""
 
-ZONES = """100.0 * CAST(count_if(zone = 'Back') AS DOUBLE) / NULLIF(CAST(count_if(zone IS NOT NULL AND zone <> 'no_position') AS DOUBLE), 0.0) AS Back,
-100.0 * CAST(count_if(zone = 'Center') AS DOUBLE) / NULLIF(CAST(count_if(zone IS NOT NULL AND zone <> 'no_position') AS DOUBLE), 0.0) AS Center,
-100.0 * CAST(count_if(zone = 'Left') AS DOUBLE) / NULLIF(CAST(count_if(zone IS NOT NULL AND zone <> 'no_position') AS DOUBLE), 0.0) AS "Left",
-100.0 * CAST(count_if(zone = 'Right') AS DOUBLE) / NULLIF(CAST(count_if(zone IS NOT NULL AND zone <> 'no_position') AS DOUBLE), 0.0) AS "Right\""""
+ZONE_COUNTS = ",\n".join(
+    [cnt("zone IS NOT NULL AND zone <> 'no_position'") + " AS _z_all"]
+    + [cnt(f"zone = '{z}'") + f" AS _z_{z}" for z in K.ZONES])
 
 
-def features_sql(src: str, slice_keys: list[str], labels: list[str]) -> str:
-    """Player + team aggregates of a sliced source, joined on (slice, team)."""
+def zone_finals(scope) -> str:
+    """Zone shares; a zone absent from the whole scope is NULL for everyone."""
+    part = ", ".join(scope)
+    return ",\n".join(
+        f"CASE WHEN sum(_z_{z}) OVER (PARTITION BY {part}) > 0 THEN "
+        f"100.0 * CAST(_z_{z} AS DOUBLE) / NULLIF(CAST(_z_all AS DOUBLE), 0.0) END AS \"{z}\"" for z in K.ZONES)
+
+
+def features_sql(src: str, slice_keys: list[str], labels: list[str], prefix: str = "") -> str:
+    """Player + team aggregates of a sliced source, joined on (slice, team).
+
+    CTE names get ``prefix`` so two feature tables can live in one query.
+    """
     sk = ", ".join(slice_keys)
     pk = ", ".join([*slice_keys, *labels, "player_id", "team_id"])
     join_on = " AND ".join(f"p.{k} = t.{k}" for k in [*slice_keys, "team_id"])
-    return f"""pagg AS (
+    z = ", ".join(["_z_all", *[f"_z_{zz}" for zz in K.ZONES]])
+    return f"""{prefix}pagg0 AS (
   SELECT {pk},
 {BOOL_COUNTERS},
-{ZONES},
+{ZONE_COUNTS},
 {rate('p_', K.EVENTS_COMPUTE_SUCCESS_RATE)},
 {nb('p_', K.EVENTS_COMPUTE_NUMBER)}
   FROM {src} GROUP BY {pk}),
-tagg AS (
+{prefix}pagg AS (SELECT * EXCLUDE ({z}), {zone_finals(slice_keys)} FROM {prefix}pagg0),
+{prefix}tagg AS (
   SELECT {sk}, team_id,
 {rate('t_', K.EVENTS_COMPUTE_SUCCESS_RATE)},
 {nb('t_', K.EVENTS_COMPUTE_NUMBER)}
   FROM {src} GROUP BY {sk}, team_id),
-feat AS (
+{prefix}feat AS (
   SELECT p.*, {', '.join('t.' + c for c in team_cols())}
-  FROM pagg p LEFT JOIN tagg t ON {join_on})"""
+  FROM {prefix}pagg p LEFT JOIN {prefix}tagg t ON {join_on})"""
 
 
 def team_cols() -> list[str]:

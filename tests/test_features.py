@@ -48,8 +48,9 @@ def test_zone_shares(events):
                  {"game_time_in_sec": 5, "player_id": 9, "zone": None}])
     f = window_features(ev)
     r7 = row(f, player_id=7, time_period="0-15")
-    assert abs(r7.Back + r7.Center + r7.Left + r7.Right - 100.0) < 1e-9
-    assert abs(r7.Left - 200.0 / 3) < 1e-9 and r7.Center == 0.0
+    assert abs(r7.Back + r7.Left - 100.0) < 1e-9
+    assert abs(r7.Left - 200.0 / 3) < 1e-9
+    assert (r7.Center, r7.Right) == (None, None)          # no located event of the window is there
     r9 = row(f, player_id=9, time_period="0-15")
     assert (r9.Back, r9.Center, r9.Left, r9.Right) == (None, None, None, None)
 
@@ -69,3 +70,12 @@ def test_test_set_hides_last_rows(events):
     f = FE.test_set_stats(events(rows), masked_player=1, last_hidden=10)
     r = f.first()
     assert f.count() == 1 and r.p_1_nb == 5 and r.t_1_nb == 5
+
+
+def test_zone_absent_from_whole_window_is_null(events):
+    # in window 0-15 nobody has a 'Right' event: Right is NULL (no pivot column), other zones 0..100
+    ev = events([{"game_time_in_sec": 1, "player_id": 7, "zone": "Back"},
+                 {"game_time_in_sec": 2, "player_id": 8, "zone": "Left"}])
+    f = window_features(ev)
+    r7 = row(f, player_id=7, time_period="0-15")
+    assert (r7.Back, r7.Left, r7.Right, r7.Center) == (100.0, 0.0, None, None)
