@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.columns import safe_ratio
 
 # Aggregates are written as SQL expressions: one parsed expression per
 # aggregate keeps plan construction cheap for the ~40 aggregates of a slice.
