@@ -254,18 +254,18 @@ assert K.FALLBACK_PLAYER  # fixed fallbacks live in constants
 
 
 def _stream_next_event(spark, d):
-    """Streaming: live next-event features over the landed event files (availableNow), read back."""
+    """Streaming: next-event features over the landed event files (foreachBatch, table state), read back."""
     import uuid
 
     from ..session import shared_path
     from ..sources import fixture as FX
     from ..sources.store import source_key
-    from ..streaming.live import run_file_stream
+    from ..streaming.replay import run_replay
 
     me = FX.match_events(spark, d)
     src = me.inputFiles()[0].rsplit("/", 1)[0]
     run = f"stream/{source_key(spark, f'{d.rstrip(chr(47))}/events.parquet')}-{uuid.uuid4().hex[:8]}"
-    return run_file_stream(spark, src, me.schema, shared_path(spark, f"{run}/sink"), shared_path(spark, f"{run}/ckpt"))
+    return run_replay(spark, src, me.schema, shared_path(spark, run), shared_path(spark, f"{run}/ckpt"))
 
 
 from . import catalog as _C  # noqa: E402

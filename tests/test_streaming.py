@@ -31,3 +31,29 @@ def test_state_carries_lags_across_micro_batches(events, spark, tmp_path):
     assert sorted([r.asDict() for r in got.select(*cols).collect()], key=key) == \
         sorted([r.asDict() for r in want.select(*cols).collect()], key=key)
     assert got.count() == (8 - 3) + (5 - 3)
+
+
+def test_replay_with_table_state_across_batches(events, spark, tmp_path):
+    from pitchlens.streaming.replay import run_replay
+
+    rows = [{"period_id": 1, "game_time_in_sec": 10 * i, "team_id": i % 2, "type_id": 1 + (i % 3), "x": float(i)}
+            for i in range(8)]
+    rows += [{"game": "h", "period_id": 1, "game_time_in_sec": i, "team_id": 1, "x": 2.0 * i} for i in range(6)]
+    rows += [{"period_id": 2, "game_time_in_sec": 2700 + i, "team_id": 1, "x": 1.0 * i} for i in range(5)]
+    rows += [{"period_id": 2, "game_time_in_sec": 2800, "type_id": 30, "player_id": None}]
+    ev = events(rows)
+    src = tmp_path / "src"
+    for lo, hi in ((0, 6), (6, 11), (11, 30)):
+        ev.where(f"seq >= {lo} AND seq < {hi}").coalesce(1).write.mode("append").parquet(str(src))
+        time.sleep(1.1)
+    got = run_replay(spark, str(src), ev.schema, str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                     max_files_per_trigger=1)
+    want = next_event_dataset(next_event_input(ev))
+    cols = sorted(want.columns)
+    key = lambda r: r["seq"]
+    assert sorted([r.asDict() for r in got.select(*cols).collect()], key=key) == \
+        sorted([r.asDict() for r in want.select(*cols).collect()], key=key)
+    # the final whistle closed game "g": only game "h" keeps a tail
+    last = sorted(p.name for p in (tmp_path / "out" / "state").iterdir() if p.name.startswith("batch="))[-1]
+    tails = spark.read.parquet(str(tmp_path / "out" / "state" / last))
+    assert {r.game for r in tails.collect()} == {"h"}
