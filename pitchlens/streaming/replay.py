@@ -63,6 +63,15 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, sink_dir
                   lags: Sequence[int] = tuple(K.NEXT_EVENT_LAGS)) -> None:
     """One micro-batch: emit next-event rows of the new events, advance the per-game tail table."""
     lags = list(lags)
+    batch = batch.persist()          # read twice: new events and final whistles
+    try:
+        _process(spark, batch, batch_id, sink_dir, state_dir, lags)
+    finally:
+        batch.unpersist()
+
+
+def _process(spark: SparkSession, batch: DataFrame, batch_id: int, sink_dir: str, state_dir: str,
+             lags: list[int]) -> None:
     prev = _committed(spark, state_dir, batch_id)
     tail = spark.read.schema(STATE_SCHEMA).parquet(prev) if prev else spark.createDataFrame([], STATE_SCHEMA)
     new = next_event_input(batch).select(*_STATE_COLS)
