@@ -17,9 +17,13 @@ def game_time(minute="min", second="sec") -> Column:
     return (_c(minute).cast("int") * 60 + _c(second).cast("int")).cast("int")
 
 
-def game_key(home="home_team_id", away="away_team_id") -> Column:
-    """Game identifier ``home-away``."""
-    return F.concat_ws("-", _c(home).cast("string"), _c(away).cast("string"))
+def game_key(home="home_team_id", away="away_team_id", source=None) -> Column:
+    """Game identifier ``home-away``; with ``source`` (the feed file) ``home-away@file`` so keys of
+    different seasons do not collide."""
+    key = F.concat_ws("-", _c(home).cast("string"), _c(away).cast("string"))
+    if source is None:
+        return key
+    return F.concat_ws("@", key, F.regexp_extract(_c(source), r"([^/]+)$", 1))
 
 
 def binarize_team(team="team_id", home="home_team_id", away="away_team_id") -> Column:

@@ -36,8 +36,10 @@ def add_game_time(df: DataFrame) -> DataFrame:
     return df.withColumn("game_time_in_sec", C.game_time("min", "sec"))
 
 
-def add_game_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("game", C.game_key("home_team_id", "away_team_id"))
+def add_game_key(df: DataFrame, with_source: bool = False) -> DataFrame:
+    """``game`` = home-away (optionally qualified by the feed file, see :func:`game_key`)."""
+    source = "source_file" if with_source and "source_file" in df.columns else None
+    return df.withColumn("game", C.game_key("home_team_id", "away_team_id", source))
 
 
 def binarize_teams(df: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def zone_from_qualifiers(df: DataFrame, qualifiers: str = "qualifiers") -> DataF
     return df.withColumn("zone", C.qualifier_value(qualifiers, K.QUALIFIER_ZONE))
 
 
-def clean_game_data(raw: DataFrame) -> DataFrame:
+def clean_game_data(raw: DataFrame, with_source: bool = False) -> DataFrame:
     """Raw provider rows -> cleaned canonical columns.
 
     halves only -> game clock in seconds -> deleted events dropped ->
@@ -59,7 +61,7 @@ def clean_game_data(raw: DataFrame) -> DataFrame:
     df = keep_halves(raw)
     df = add_game_time(df)
     df = drop_events(df, [K.DELETED_EVENT])
-    df = add_game_key(df)
+    df = add_game_key(df, with_source)
     df = binarize_teams(df)
     if "qualifiers" in df.columns and "zone" not in df.columns:
         df = zone_from_qualifiers(df)

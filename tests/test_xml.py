@@ -43,6 +43,8 @@ def test_game_feed_round_trip(spark, tmp_path):
     assert [r.type_id for r in clean] == [1, 4, 30, 30]          # line-up (period 16) and deleted (43) gone
     assert clean[0].game == "149-143" and clean[0].team_id == 1 and clean[1].team_id == 0
     assert clean[0].zone == "Back" and clean[1].zone is None and clean[1].game_time_in_sec == 60
+    keyed = clean_game_data(raw, with_source=True).first().game
+    assert keyed == "149-143@game.xml"
     ev = timed_raw(raw)
     assert end_of_periods(ev).first().end_first_half == 46 * 60 + 12
     assert starting_eleven(ev).count() == 11
