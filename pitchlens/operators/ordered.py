@@ -14,7 +14,9 @@ unique inside ``keys``:
 3. only the first ``max(offsets)`` rows of a block can need a predecessor
    from an earlier block; they are fixed with an equi-join against the last
    ``max(offsets)`` rows of every block (two small sets) on the global
-   position, never a range or nested-loop join.
+   position, never a range or nested-loop join. The block edges are
+   checkpointed once (a small table: ``2 * max(offsets)`` rows per block), so
+   the plan is one narrow shuffle for the edges and one shuffle of the rows.
 
 All other work is narrow. ``strategy="direct"`` keeps the textbook single
 window by ``keys`` for inputs whose groups are known to be bounded.
@@ -145,8 +147,15 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[s
     base_cols = [c for c in blocked.columns if c not in (_BLK, _RN, _CNT)]
     body = blocked.where(F.col(_RN) > h).select(*base_cols)
 
-    offs = _block_offsets(blocked, keys)
-    edge = blocked.where((F.col(_RN) <= h) | (F.col(_RN) > F.col(_CNT) - h)).join(offs, [*keys, _BLK])
+    # The block edges (first and last h rows of every block) are a small table; it is checkpointed to
+    # the shared checkpoint folder so offsets, heads and tails all read one copy (branches that prune
+    # columns differently would otherwise each re-shuffle the input).
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    edge0 = blocked.where((F.col(_RN) <= h) | (F.col(_RN) > F.col(_CNT) - h)).checkpoint(eager=True)
+    offs = _block_offsets(edge0, keys)
+    edge = edge0.join(offs, [*keys, _BLK])
     edge = edge.withColumn(_POS, F.col(_OFF) + F.col(_RN))
     heads = edge.where(F.col(_RN) <= h)
     tails = edge.where(F.col(_RN) > F.col(_CNT) - h).select(
