@@ -18,6 +18,11 @@ unique inside ``keys``:
    checkpointed once (a small table: ``2 * max(offsets)`` rows per block), so
    the plan is one narrow shuffle for the edges and one shuffle of the rows.
 
+Lag 1 (the window-slice lag of the player features) needs no edge table: the
+last row of every block comes from a partial aggregate (``max_by``) and the
+previous block's last row from a ``lag`` over that one-row-per-block table.
+Positions take block sizes from a partial aggregate of the input as well.
+
 All other work is narrow. ``strategy="direct"`` keeps the textbook single
 window by ``keys`` for inputs whose groups are known to be bounded.
 
@@ -117,15 +122,18 @@ def ordered_position(df: DataFrame, keys: Sequence[str], order: str, pos_col: st
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumns({pos_col: F.row_number().over(w).cast("bigint"),
                                count_col: F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    blocked = _with_blocks(df, keys, order, block)
-    offs = _block_offsets(blocked, keys)
-    sizes = (blocked.where(F.col(_RN) == 1).groupBy(*keys)
-             .agg(F.sum(_CNT).cast("bigint").alias(count_col)))
-    # small x small, then one join of the big side on its own partitioning (keys, block)
-    offs = offs.join(sizes, keys)
-    out = (blocked.join(offs, [*keys, _BLK])
+    blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
+    df = df.withColumn(_BLK, blk)
+    # rows per block from a partial aggregate of the input (one tiny row per block and task)
+    counts = df.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias(_CNT))
+    w = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, _BLK, F.coalesce(F.sum(_CNT).over(w), F.lit(0)).cast("bigint").alias(_OFF),
+                         F.sum(_CNT).over(Window.partitionBy(*keys)).cast("bigint").alias(count_col))
+    rn = F.row_number().over(Window.partitionBy(*keys, _BLK).orderBy(order))
+    # one shuffle of the rows by (keys, block); the small offsets side joins on that partitioning
+    out = (df.withColumn(_RN, rn).join(offs, [*keys, _BLK])
            .withColumn(pos_col, (F.col(_OFF) + F.col(_RN)).cast("bigint")))
-    return out.drop(_BLK, _RN, _CNT, _OFF)
+    return out.drop(_BLK, _RN, _OFF)
 
 
 def ordered_lag(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
@@ -142,6 +150,8 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[s
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumns({lag_name(c, n): F.lag(c, n).over(w) for c in cols for n in offsets})
     h = max(offsets)
+    if offsets == [1]:
+        return _lag_one_blocked(df, keys, order, cols, block)
     blocked = _with_blocks(df, keys, order, block, cols, offsets)
     lagged = [lag_name(c, n) for c in cols for n in offsets]
     base_cols = [c for c in blocked.columns if c not in (_BLK, _RN, _CNT)]
@@ -171,3 +181,21 @@ def ordered_lag(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[s
     fixed = fixed.select(*base_cols)
     assert all(c in base_cols for c in lagged)
     return body.unionByName(fixed)
+
+
+def _lag_one_blocked(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int) -> DataFrame:
+    """Lag 1 with hot keys: in-block lag plus, for the first row of a block, the last row of the
+    previous non-empty block -- taken from a per-block partial aggregate (``max_by``) and a ``lag``
+    over the one-row-per-block table. One shuffle of the rows, one tiny shuffle, no join of rows
+    with rows."""
+    blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
+    df = df.withColumn(_BLK, blk)
+    last = df.groupBy(*keys, _BLK).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_last"))
+    wb = Window.partitionBy(*keys).orderBy(_BLK)
+    prev = last.select(*keys, _BLK, F.lag("_last", 1).over(wb).alias("_prev"))
+    w = Window.partitionBy(*keys, _BLK).orderBy(order)
+    body = df.withColumns({_RN: F.row_number().over(w), **{f"_in_{c}": F.lag(c, 1).over(w) for c in cols}})
+    out = body.join(prev, [*keys, _BLK], "left")
+    out = out.withColumns({lag_name(c, 1): F.when(F.col(_RN) == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_in_{c}"))
+                           for c in cols})
+    return out.drop(_BLK, _RN, "_prev", *[f"_in_{c}" for c in cols])
