@@ -113,17 +113,25 @@ def period_end_rows(me: DataFrame) -> DataFrame:
     )
 
 
+SALTS = 64
+
+
 def lineups(me: DataFrame, listed: int = 14) -> DataFrame:
     """One line-up string per (game, team): the ``listed`` smallest player ids, ', '-joined.
 
-    Only distinct (game, team, player) rows are ranked, and at most ``listed``
-    of them are gathered per team, so no unbounded group is collected.
+    Only distinct (game, team, player) rows are ranked, in two levels: the
+    top ``listed`` of each of ``SALTS`` hash buckets of a team first, then the
+    top ``listed`` of those candidates -- no task ranks more than one bucket of
+    a team, and at most ``listed`` names are gathered per team.
     """
     from pyspark.sql import Window
 
     players = me.select("game", "team_id", "player_id").where("player_id IS NOT NULL").distinct()
-    w = Window.partitionBy("game", "team_id").orderBy("player_id")
-    top = players.withColumn("r", F.row_number().over(w)).where(F.col("r") <= listed)
+    salt = F.pmod(F.xxhash64("player_id"), F.lit(SALTS))
+    w1 = Window.partitionBy("game", "team_id", "_salt").orderBy("player_id")
+    cand = players.withColumn("_salt", salt).withColumn("r", F.row_number().over(w1)).where(F.col("r") <= listed)
+    w2 = Window.partitionBy("game", "team_id").orderBy("player_id")
+    top = cand.withColumn("r", F.row_number().over(w2)).where(F.col("r") <= listed)
     return top.groupBy("game", "team_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "player_id"))),
                                  lambda s: s["player_id"].cast("string")), ", ").alias("value"))
