@@ -27,15 +27,20 @@ def _strategy(me: DataFrame, strategy: str, max_group_rows: int) -> str:
     return "direct" if largest_group(me, ["game"]) <= max_group_rows else "blocked"
 
 
-def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list[str]) -> DataFrame:
+def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list[str],
+                          team_totals: str = "window") -> DataFrame:
     """Player-grain aggregates of sliced events plus the team totals of the slice.
 
     ``ev`` holds events tagged with their slice and ``prev_type_id`` (the type
     of the previous event *inside the slice*). One hash aggregate per
-    (slice, player, team); the team figures are sums of the player rows of the
-    same (slice, team) -- every event has a player here -- so they come from a
-    window over the aggregated rows (one row per player) instead of a second
-    pass over the events and a join.
+    (slice, player, team). The team figures are sums of the player rows of the
+    same (slice, team) -- every event has a player here -- never a second pass
+    over the events:
+
+    * ``"window"`` (bounded games): a window sum over the player rows; it keeps
+      the game partitioning of the events, so the whole table is one shuffle;
+    * ``"aggregate"`` (hot games): a tiny aggregate of the player rows joined
+      back on (slice, team), so no task buffers a whole (slice, team) group.
     """
     zone_a = CT.zone_aggs()
     p_a, p_f = CT.success_rate_cols(K.EVENTS_COMPUTE_SUCCESS_RATE, "p_")
@@ -47,16 +52,28 @@ def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list
               .agg(*CT.bool_counter_aggs("prev_type_id"), *zone_a, *p_a)
               .select(*pkeys, "nb_assist", "nb_keypass", "nb_gk_events", "nb_shots", "nb_free_kick",
                       "nb_corner", *CT.zone_finals(slice_keys), *p_f, *ok))
-    team = "OVER (PARTITION BY " + ", ".join([*slice_keys, "team_id"]) + ")"
-    tcols = []
-    for e in K.EVENTS_COMPUTE_SUCCESS_RATE:
-        tcols.append(F.expr(f"CAST(sum(p_{e}_nb) {team} AS INT)").alias(f"t_{e}_nb"))
-        tcols.append(F.expr(f"try_divide(CAST(sum(_p_{e}_ok) {team} AS DOUBLE), "
-                            f"NULLIF(CAST(sum(p_{e}_nb) {team} AS DOUBLE), 0.0D))").alias(f"t_{e}_success_rate"))
-    for e in K.EVENTS_COMPUTE_NUMBER:
-        tcols.append(F.expr(f"CAST(sum(p_{e}_nb) {team} AS INT)").alias(f"t_{e}_nb"))
     keep = [c for c in player.columns if c not in ok]
-    return player.select(*keep, *tcols)
+    tkeys = [*slice_keys, "team_id"]
+    rate_ids, count_ids = K.EVENTS_COMPUTE_SUCCESS_RATE, K.EVENTS_COMPUTE_NUMBER
+    if team_totals == "window":
+        over = "OVER (PARTITION BY " + ", ".join(tkeys) + ")"
+        tcols = []
+        for e in rate_ids:
+            tcols.append(F.expr(f"CAST(sum(p_{e}_nb) {over} AS INT)").alias(f"t_{e}_nb"))
+            tcols.append(F.expr(f"try_divide(CAST(sum(_p_{e}_ok) {over} AS DOUBLE), "
+                                f"NULLIF(CAST(sum(p_{e}_nb) {over} AS DOUBLE), 0.0D))").alias(f"t_{e}_success_rate"))
+        tcols += [F.expr(f"CAST(sum(p_{e}_nb) {over} AS INT)").alias(f"t_{e}_nb") for e in count_ids]
+        return player.select(*keep, *tcols)
+    tsum = [F.sum(f"p_{e}_nb").alias(f"_ts_{e}") for e in [*rate_ids, *count_ids]]
+    tsum += [F.sum(f"_p_{e}_ok").alias(f"_tok_{e}") for e in rate_ids]
+    tcols = []
+    for e in rate_ids:
+        tcols.append(F.col(f"_ts_{e}").cast("int").alias(f"t_{e}_nb"))
+        tcols.append(F.expr(f"try_divide(CAST(_tok_{e} AS DOUBLE), NULLIF(CAST(_ts_{e} AS DOUBLE), 0.0D))")
+                     .alias(f"t_{e}_success_rate"))
+    tcols += [F.col(f"_ts_{e}").cast("int").alias(f"t_{e}_nb") for e in count_ids]
+    team = player.groupBy(*tkeys).agg(*tsum).select(*tkeys, *tcols)
+    return player.select(*keep).join(team, tkeys, "left")
 
 
 def sliced_events(me: DataFrame, step_min: int = 5, block: int = DEFAULT_BLOCK, strategy: str = "auto",
@@ -87,8 +104,9 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
     player aggregate and team totals -> eligible players (semi join, applied
     after the team totals so team counts cover every player).
     """
+    strategy = _strategy(me, strategy, max_group_rows)
     ev = sliced_events(me, step_min, block, strategy, max_group_rows)
-    out = _features_from_slices(ev, SLICE, ["time_period"])
+    out = _features_from_slices(ev, SLICE, ["time_period"], "window" if strategy == "direct" else "aggregate")
     if eligible is not None:
         out = out.join(eligible.select("player_id").distinct(), "player_id", "left_semi")
     return out.select("game", "player_id", "team_id", "time_period", *K.player_features()[1:])
@@ -109,7 +127,7 @@ def test_set_stats(me: DataFrame, masked_player: int = 1, last_hidden: int = 10,
     ev = all_but_last(stats_input(me), last_hidden, block=block, strategy=strategy, max_group_rows=max_group_rows)
     ev = ordered_lag(ev, ["game"], "seq", ["type_id"], [1], block=block, strategy=strategy,
                      max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
-    out = _features_from_slices(ev, ["game"], [])
+    out = _features_from_slices(ev, ["game"], [], "window" if strategy == "direct" else "aggregate")
     out = out.where(F.col("player_id") == masked_player)
     return out.select("game", "player_id", "team_id", *K.player_features()[1:])
 
