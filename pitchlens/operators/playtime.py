@@ -16,11 +16,11 @@ from .. import constants as K
 from ..functions.columns import first_n_of_list, qualifier_value, strip_prefix, stat_value
 
 
-def timed_raw(raw: DataFrame) -> DataFrame:
+def timed_raw(raw: DataFrame, with_source: bool = False) -> DataFrame:
     """Raw provider rows + ``game`` key + ``game_time_in_sec`` (nothing dropped)."""
     from .clean import add_game_key, add_game_time
 
-    return add_game_time(add_game_key(raw))
+    return add_game_time(add_game_key(raw, with_source))
 
 
 def end_of_periods(ev: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.ml import regression as MR
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -248,7 +249,7 @@ def feature_union(branches: Sequence[str], output: str = "features") -> MF.Vecto
 
 # ---- custom stages -------------------------------------------------------------------------------------
 
-class ZeroCount(Transformer, HasInputCols):
+class ZeroCount(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Append ``n_zero`` and ``n_nonzero``: how many input columns are 0 in each row."""
 
     @keyword_only
@@ -260,7 +261,7 @@ class ZeroCount(Transformer, HasInputCols):
         return df.select("*", *zero_count_cols(self.getInputCols()))
 
 
-class FastICA(Estimator, HasInputCol, HasOutputCol):
+class FastICA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Independent components (logcosh contrast, symmetric decorrelation).
 
     Fit: one ``Summarizer``-style aggregate gives mean and covariance (small
@@ -303,8 +304,10 @@ class FastICA(Estimator, HasInputCol, HasOutputCol):
         cov = _partial_sum(x, lambda a: (a - mean).T @ (a - mean), (d, d)) / max(n_rows - 1, 1)
         eigval, eigvec = np.linalg.eigh(cov)
         order = np.argsort(eigval)[::-1]
-        k = self.getOrDefault(self.nComponents) or d
-        eigval, eigvec = eigval[order][:k], eigvec[:, order][:, :k]
+        eigval, eigvec = eigval[order], eigvec[:, order]
+        rank = int((eigval > max(eigval[0], 0.0) * 1e-10).sum()) or 1   # drop directions without variance
+        k = min(self.getOrDefault(self.nComponents) or d, rank)
+        eigval, eigvec = eigval[:k], eigvec[:, :k]
         eigval = np.maximum(eigval, 1e-12)
         whiten = eigvec / np.sqrt(eigval)                      # d x k
         rng = np.random.default_rng(self.getOrDefault(self.seed))
@@ -359,11 +362,29 @@ def _partial_sum(x: DataFrame, fn, shape) -> np.ndarray:
     return total.reshape(shape)
 
 
-class FastICAModel(Model, HasInputCol, HasOutputCol):
+class FastICAModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Fitted components: ``(x - mean) @ unmixing``; the arrays are Params so the model saves with a pipeline."""
+
+    meanVector = Param(Params._dummy(), "meanVector", "training mean", typeConverter=TypeConverters.toListFloat)
+    unmixingFlat = Param(Params._dummy(), "unmixingFlat", "unmixing matrix, row-major",
+                         typeConverter=TypeConverters.toListFloat)
+    nComponents = Param(Params._dummy(), "nComponents", "number of components", typeConverter=TypeConverters.toInt)
+
     def __init__(self, mean=None, unmixing=None):
         super().__init__()
-        self.mean = mean
-        self.unmixing = unmixing          # d x k: components = (x - mean) @ unmixing
+        if mean is not None:
+            u = np.asarray(unmixing, dtype=float)
+            self._set(meanVector=[float(v) for v in np.asarray(mean).ravel()],
+                      unmixingFlat=[float(v) for v in u.ravel()], nComponents=int(u.shape[1]))
+
+    @property
+    def mean(self) -> np.ndarray:
+        return np.asarray(self.getOrDefault(self.meanVector))
+
+    @property
+    def unmixing(self) -> np.ndarray:
+        k = self.getOrDefault(self.nComponents)
+        return np.asarray(self.getOrDefault(self.unmixingFlat)).reshape(-1, k)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         mean, mix = self.mean, self.unmixing
@@ -375,7 +396,9 @@ class FastICAModel(Model, HasInputCol, HasOutputCol):
         project = F.pandas_udf(project, "array<double>")
 
         arr = vector_to_array(F.col(self.getInputCol()))
-        return df.withColumn(self.getOutputCol(), array_to_vector(project(arr)))
+        # size metadata, so downstream assemblers never infer it from a first row (empty inputs)
+        meta = {"ml_attr": {"num_attrs": int(mix.shape[1])}}
+        return df.withColumn(self.getOutputCol(), array_to_vector(project(arr)).alias(self.getOutputCol(), metadata=meta))
 
 
 # ---- transformer / learner catalogues of the search space ------------------------------------------------

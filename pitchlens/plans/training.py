@@ -162,11 +162,6 @@ def train_all(me: DataFrame, eligible: DataFrame | None, out_dir: str | None = N
     l2 = MT.avg_l2_error(both, "x_along_team1_axis", "y_along_team1_axis", "x_pred", "y_pred").first()[0]
     msex = MT.mse(px, "x_along_team1_axis", "x_pred").first()[0]
     msey = MT.mse(py, "y_along_team1_axis", "y_pred").first()[0]
-    if out_dir:
-        player.save(f"{out_dir}/player")
-        team.save(f"{out_dir}/next_team")
-        mx.save(f"{out_dir}/coords_x")
-        my.save(f"{out_dir}/coords_y")
     metrics = spark.createDataFrame([
         ("next_team", "accuracy", float(acc or 0.0)),
         ("coords", "avg_l2_error", float(l2 or 0.0)),
@@ -174,7 +169,47 @@ def train_all(me: DataFrame, eligible: DataFrame | None, out_dir: str | None = N
         ("coords_x", "mse", float(msex or 0.0)),
         ("coords_y", "mse", float(msey or 0.0)),
     ], "problem string, metric string, value double")
-    return TrainedModels(player, med, team, e2.encoders, mx, ex.encoders, my, ey.encoders, metrics)
+    tm = TrainedModels(player, med, team, e2.encoders, mx, ex.encoders, my, ey.encoders, metrics)
+    if out_dir:
+        save_trained(tm, out_dir)
+    return tm
+
+
+_ENCODER_SETS = {"team": ("team_id", "team_change"), "x": ("x_along_team1_axis", "distance"),
+                 "y": ("y_along_team1_axis", "distance")}
+
+
+def save_trained(tm: TrainedModels, out_dir: str) -> None:
+    """Models (Spark ML writer), encoders (one table per lag), medians and metrics under ``out_dir``."""
+    spark = tm.metrics.sparkSession
+    tm.player.save(f"{out_dir}/player")
+    tm.team.save(f"{out_dir}/next_team")
+    tm.x.save(f"{out_dir}/coords_x")
+    tm.y.save(f"{out_dir}/coords_y")
+    for name, encs in (("team", tm.team_encoders), ("x", tm.x_encoders), ("y", tm.y_encoders)):
+        for n, m in encs.items():
+            m.save(f"{out_dir}/encoders/{name}/lag{n}")
+    spark.createDataFrame([(k, v) for k, v in tm.medians.items()], "feature string, median double") \
+        .write.mode("overwrite").parquet(f"{out_dir}/medians")
+    tm.metrics.write.mode("overwrite").parquet(f"{out_dir}/metrics")
+
+
+def load_trained(spark, out_dir: str, with_ica: bool = True) -> TrainedModels:
+    """Inverse of :func:`save_trained` (medians and encoder means are the only values read to the driver)."""
+    from ..operators.encode import TargetEncoderModel
+
+    encs = {}
+    for name, (target, method) in _ENCODER_SETS.items():
+        encs[name] = {n: TargetEncoderModel.load(spark, f"{out_dir}/encoders/{name}/lag{n}", f"type_id_lag{n}",
+                                                 reference_cols=(target, f"{target}_lag{n}"), method=method)
+                      for n in K.NEXT_EVENT_LAGS}
+    medians = {r.feature: r.median for r in spark.read.parquet(f"{out_dir}/medians").collect()}
+    return TrainedModels(
+        player=player_model(with_ica=with_ica).load(f"{out_dir}/player"), medians=medians,
+        team=next_team_stack().load(f"{out_dir}/next_team"), team_encoders=encs["team"],
+        x=coords_model("x").load(f"{out_dir}/coords_x"), x_encoders=encs["x"],
+        y=coords_model("y").load(f"{out_dir}/coords_y"), y_encoders=encs["y"],
+        metrics=spark.read.parquet(f"{out_dir}/metrics"))
 
 
 def score_games(me: DataFrame, models: TrainedModels, masked_player: int = 1) -> DataFrame:

@@ -74,3 +74,19 @@ def test_random_search_returns_one_row_per_draw(spark, model_type):
     best, res = M.random_search(df, m, {"n_estimators": [5, 10], "max_depth": [2, 4]}, n_iter=3, folds=2,
                                 parallelism=2)
     assert res.count() == 3 and best is not None
+
+
+def test_pipeline_with_python_stages_saves_and_loads(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+
+    df = _blobs(spark)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="v"),
+                            M.FastICA(inputCol="v", outputCol="ica", tol=1e-4),
+                            M.ZeroCount(inputCols=["a", "b", "c"])])
+    model = pipe.fit(df)
+    model.write().overwrite().save(str(tmp_path / "p"))
+    back = PipelineModel.load(str(tmp_path / "p"))
+    a = [r.ica for r in model.transform(df).select(vector_to_array("ica").alias("ica")).collect()]
+    b = [r.ica for r in back.transform(df).select(vector_to_array("ica").alias("ica")).collect()]
+    assert np.allclose(np.array(a), np.array(b))
