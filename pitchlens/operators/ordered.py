@@ -188,9 +188,10 @@ def _lag_one_blocked(df: DataFrame, keys: list[str], order: str, cols: list[str]
     with rows."""
     blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
     df = df.withColumn(_BLK, blk)
-    last = df.groupBy(*keys, _BLK).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_last"))
+    # one scalar max_by per column (same row: ``order`` is unique per key) keeps this a hash aggregate
+    last = df.groupBy(*keys, _BLK).agg(*[F.max_by(F.col(c), F.col(order)).alias(f"_last_{c}") for c in cols])
     wb = Window.partitionBy(*keys).orderBy(_BLK)
-    prev = last.select(*keys, _BLK, F.lag("_last", 1).over(wb).alias("_prev"))
+    prev = last.select(*keys, _BLK, F.struct(*[F.lag(f"_last_{c}", 1).over(wb).alias(c) for c in cols]).alias("_prev"))
     w = Window.partitionBy(*keys, _BLK).orderBy(order)
     body = df.withColumns({_RN: F.row_number().over(w), **{f"_in_{c}": F.lag(c, 1).over(w) for c in cols}})
     out = body.join(prev, [*keys, _BLK], "left")
