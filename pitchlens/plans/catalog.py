@@ -572,8 +572,8 @@ def _all_not_null(cols) -> str:
     return " AND ".join(f'"{c}" IS NOT NULL' for c in cols)
 
 
-@query("completeness", O.with_(*FEAT) + "SELECT count(*) AS n_rows, count_if(" + _all_not_null(FEATURE_COLS)
-       + ") AS n_complete FROM feat WHERE player_id IN (SELECT player_id FROM elig)")
+@query("completeness", O.with_(*FEAT) + "SELECT count(*) AS n_rows, CAST(count_if(" + _all_not_null(FEATURE_COLS)
+       + ") AS BIGINT) AS n_complete FROM feat WHERE player_id IN (SELECT player_id FROM elig)")
 def completeness(spark, d):
     """Observations and complete observations of the feature table."""
     return DQ.completeness(features_(spark, d))
