@@ -9,6 +9,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "DateType": "DATE"}
 
 
 def _norm(v):
@@ -50,6 +52,9 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     want = [dict(zip(dcols, r)) for r in res.fetchall()]
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = dict(zip(dcols, [str(t) for t in duck.sql(E.oracle_sql()[name]).types]))
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCK.get(type(f.dataType).__name__) == dtypes[f.name], (f.name, f.dataType, dtypes[f.name])
     cols = sorted(dcols)
     assert _rows([r.asDict() for r in got], cols) == _rows(want, cols)
 
