@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from collections.abc import Sequence
 
 import numpy as np
@@ -507,7 +508,7 @@ def random_search(df: DataFrame, modeler: Modeler, grid: dict, n_iter: int = 30,
 
 def size_sweep(train: DataFrame, test: DataFrame, modeler: Modeler, trees: Sequence[int], depths: Sequence[int],
                out_dir: str) -> DataFrame:
-    """Fit forests over a (trees x depth) grid; accuracy on ``test`` and model size on disk per point."""
+    """Fit forests over a (trees x depth) grid; accuracy on ``test``, model size on disk and load time per point."""
     spark = train.sparkSession
     train = train.cache()
     rows = []
@@ -518,9 +519,13 @@ def size_sweep(train: DataFrame, test: DataFrame, modeler: Modeler, trees: Seque
                                          .cast("double"))).first()[0])
         path = f"{out_dir.rstrip('/')}/trees{n}_depth{dpt}"
         m.save(path)
-        rows.append((n, dpt, float(acc or 0.0), _dir_size(spark, path)))
+        t0 = time.perf_counter()
+        Modeler(modeler.model_type, {}, modeler.target, modeler.features).load(path)
+        load_sec = time.perf_counter() - t0
+        rows.append((n, dpt, float(acc or 0.0), _dir_size(spark, path), float(load_sec)))
     train.unpersist()
-    return spark.createDataFrame(rows, "n_estimators int, max_depth int, accuracy double, size_bytes bigint")
+    return spark.createDataFrame(rows, "n_estimators int, max_depth int, accuracy double, size_bytes bigint, "
+                                       "load_sec double")
 
 
 def _dir_size(spark, path: str) -> int:
