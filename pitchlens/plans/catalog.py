@@ -538,9 +538,9 @@ def target_encode_all_lags(spark, d):
 
 def _enc_apply_sql() -> str:
     return O.with_(*NEXT, ENC_ALL) + final(
-        f"""(SELECT t.seq, t.game, t.team_id, COALESCE(e.value, m.mean) AS type_id_lag1
-        FROM {TEST} t LEFT JOIN (SELECT * FROM enc WHERE lag = 1) e ON t.type_id_lag1 = e.category
-        JOIN (SELECT * FROM encm WHERE lag = 1) m ON true)""", ["type_id_lag1"])
+        f"""(SELECT t.seq, t.game, t.team_id, COALESCE(e.value, (SELECT mean FROM encm WHERE lag = 1)) AS type_id_lag1
+        FROM {TEST} t LEFT JOIN (SELECT * FROM enc WHERE lag = 1) e ON t.type_id_lag1 = e.category)""",
+        ["type_id_lag1"])
 
 
 @query("target_encode_apply", _enc_apply_sql())
@@ -836,10 +836,9 @@ def _score_player_sql() -> str:
         base = f'CAST(x."{c}" AS DOUBLE)'
         if c.endswith("_nb"):
             base = f"COALESCE({base}, 0.0)"
-        cols.append(f'round(COALESCE({base}, m."m_{c}"), 6) AS "{c}"')
+        cols.append(f'round(COALESCE({base}, (SELECT "m_{c}" FROM med)), 6) AS "{c}"')
     return (O.with_(*FEAT, TEST_SET[-2], test, med)
-            + f"SELECT x.game, x.player_id, {', '.join(cols)} FROM (SELECT * FROM tfeat WHERE player_id = 1) x "
-              "CROSS JOIN med m")
+            + f"SELECT x.game, x.player_id, {', '.join(cols)} FROM (SELECT * FROM tfeat WHERE player_id = 1) x")
 
 
 @query("score_player_features", _score_player_sql())
@@ -853,12 +852,12 @@ def score_player_features(spark, d):
 def _score_next_sql() -> str:
     sel = ["l.seq", "l.game"]
     for n in K.NEXT_EVENT_LAGS:
-        sel.append(f"COALESCE(e{n}.value, m{n}.mean) AS type_id_lag{n}")
+        sel.append(f"COALESCE(e{n}.value, (SELECT mean FROM encm WHERE lag = {n})) AS type_id_lag{n}")
         sel.append(f"l.team_id_lag{n}")
         sel.append(f"l.x_along_team1_axis_lag{n}")
     joins = " ".join(
-        f"LEFT JOIN (SELECT * FROM enc WHERE lag = {n}) e{n} ON l.type_id_lag{n} = e{n}.category "
-        f"JOIN (SELECT * FROM encm WHERE lag = {n}) m{n} ON true" for n in K.NEXT_EVENT_LAGS)
+        f"LEFT JOIN (SELECT * FROM enc WHERE lag = {n}) e{n} ON l.type_id_lag{n} = e{n}.category"
+        for n in K.NEXT_EVENT_LAGS)
     dbl = [f"type_id_lag{n}" for n in K.NEXT_EVENT_LAGS] + [f"x_along_team1_axis_lag{n}" for n in K.NEXT_EVENT_LAGS]
     inner = (f"(SELECT {', '.join(sel)} FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game "
              f"ORDER BY seq DESC) AS r FROM nxt) WHERE r = 1) l {joins})")
@@ -880,8 +879,8 @@ def score_next_event_features(spark, d):
 @query("impute_median", O.with_(*FEAT, "med AS (SELECT " + ", ".join(
     f'CAST(median("{c}") AS DOUBLE) AS "m_{c}"' for c in MEDIAN_COLS) + " FROM feat WHERE player_id IN "
     "(SELECT player_id FROM elig))") + "SELECT f.game, f.player_id, f.time_period, " + ", ".join(
-    f'round(COALESCE(CAST(f."{c}" AS DOUBLE), m."m_{c}"), 6) AS "{c}"' for c in MEDIAN_COLS)
-    + " FROM feat f CROSS JOIN med m WHERE f.player_id IN (SELECT player_id FROM elig)")
+    f'round(COALESCE(CAST(f."{c}" AS DOUBLE), (SELECT "m_{c}" FROM med)), 6) AS "{c}"' for c in MEDIAN_COLS)
+    + " FROM feat f WHERE f.player_id IN (SELECT player_id FROM elig)")
 def impute_median(spark, d):
     """NULL features replaced by the training medians."""
     from .scoring import impute_with_medians

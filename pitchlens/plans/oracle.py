@@ -55,7 +55,7 @@ slp AS (
 RAW = """ends AS (
   SELECT 1000000000 + max(seq)*2 + i AS seq, game, period_id, CAST(max(game_time_in_sec) + i AS INT) AS game_time_in_sec,
          CAST(NULL AS BIGINT) AS player_id, CAST(i AS INT) AS team_id, 30 AS type_id, 1 AS outcome
-  FROM me CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) AS two GROUP BY game, period_id, i),
+  FROM (SELECT seq, game, period_id, game_time_in_sec, unnest([0, 1]) AS i FROM me) GROUP BY game, period_id, i),
 lu AS (
   SELECT game, team_id, array_to_string(list_slice(list_sort(list(DISTINCT player_id)), 1, 14), ', ') AS value
   FROM me WHERE player_id IS NOT NULL GROUP BY game, team_id),
