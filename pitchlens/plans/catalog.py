@@ -116,24 +116,24 @@ def eligible_(spark, d):
 _PLANS: dict[tuple, DataFrame] = {}
 
 
-def _shared(kind: str, spark, d, build):
+def _shared(kind: str, spark, d, inputs, build):
     """Reuse a composite input DataFrame within a process (DataFrames are immutable).
 
     Keyed by the session and the identity of the landed inputs it reads, so a
     re-landing (changed source files) builds a new plan.
     """
-    key = (kind, id(spark), d, id(me_(spark, d)), id(eligible_(spark, d)))
+    key = (kind, id(spark), d, *[id(x) for x in inputs])
     if key not in _PLANS:
-        _PLANS[key] = build()
+        _PLANS[key] = build(*inputs)
     return _PLANS[key]
 
 
 def features_(spark, d):
-    return _shared("features", spark, d, lambda: FE.window_features(me_(spark, d), eligible_(spark, d)))
+    return _shared("features", spark, d, [me_(spark, d), eligible_(spark, d)], FE.window_features)
 
 
 def next_(spark, d):
-    return _shared("next", spark, d, lambda: FE.season_next_event(me_(spark, d)))
+    return _shared("next", spark, d, [me_(spark, d)], FE.season_next_event)
 
 
 def split_flag() -> F.Column:
