@@ -122,7 +122,8 @@ def _build(model_type: str, kw: dict, n_classes: int | None = None):
     if model_type == "xgb_classif":
         return MC.GBTClassifier(**kw)
     if model_type == "xgb_multiclass":
-        return MC.OneVsRest(classifier=MC.GBTClassifier(**kw))
+        # the binary models of the classes are independent: fit several at once
+        return MC.OneVsRest(classifier=MC.GBTClassifier(**kw), parallelism=4)
     if model_type == "dt_classif":
         return MC.DecisionTreeClassifier(**kw)
     if model_type == "dt_reg":
