@@ -71,7 +71,7 @@ def ml_player_one_vs_rest(spark, d):
 
 @query("ml_coords_forest")
 def ml_coords_forest(spark, d):
-    """M2: forest regressors for x and y (each on its own target), test rows, back on the team's axis."""
+    """M2: forest regressors for x and y (each fitted on its own target), predictions on the test rows."""
     ex = _p2(spark, d, "distance", "x_along_team1_axis")
     ey = _p2(spark, d, "distance", "y_along_team1_axis")
     mx = M.Modeler("rf_reg", TR.COORDS_FOREST, "x_along_team1_axis", TR.P3X_FEATURES).fit(ex.train)
@@ -83,7 +83,7 @@ def ml_coords_forest(spark, d):
 
 @query("ml_coords_boost")
 def ml_coords_boost(spark, d):
-    """Boosted regressors, x on min-max scaled features, y on a doubled identity union."""
+    """Boosted regressor of x on min-max scaled features (test rows)."""
     ex = _p2(spark, d, "distance", "x_along_team1_axis")
     mx = TR.coords_model("x", {"n_estimators": 20}).fit(ex.train)
     return mx.predict(ex.test).select("seq", "x_along_team1_axis", F.col("prediction").alias("x_pred"))
@@ -223,7 +223,7 @@ def ml_random_search(spark, d):
 
 @query("ml_size_sweep")
 def ml_size_sweep(spark, d):
-    """Accuracy and on-disk size of forests over a (trees x depth) grid (player model)."""
+    """Accuracy, on-disk size and load time of forests over a (trees x depth) grid (player model)."""
     from ..session import shared_path
 
     train, med = _p1(spark, d)
@@ -235,7 +235,7 @@ def ml_size_sweep(spark, d):
 
 @query("ml_train_all")
 def ml_train_all(spark, d):
-    """The three problems' models fitted in one job; test metrics."""
+    """The three problems' models (ICA union + forest, stacking, boosted coordinates); test metrics."""
     tm = TR.train_all(me_(spark, d), eligible_(spark, d), split=split_flag(),
                       player_params={"n_estimators": 20}, coords_params={"n_estimators": 20})
     return tm.metrics
