@@ -83,7 +83,10 @@ def match_events(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataF
     from .store import land
 
     src = f"{sf_dir.rstrip('/')}/events.parquet"
-    return land(spark, "match_events", lambda: match_events_from(table(spark, sf_dir, "events")), [src])
+    # sorted inside each written file (a local sort, no shuffle): row-group statistics on ``game``
+    # let per-game reads skip the rest of the file
+    return land(spark, "match_events",
+                lambda: match_events_from(table(spark, sf_dir, "events")).sortWithinPartitions("game", "seq"), [src])
 
 
 def raw_events_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
