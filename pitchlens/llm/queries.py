@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchlens.llm import exact_dedup, simhash, topk
+from pitchlens.llm import exact_dedup, langid, mixing, pieces, simhash, topk
 from pitchlens.llm._common import table
 
 QUERIES = {}
@@ -50,3 +50,24 @@ scored AS (SELECT a.vec_id AS query_id, b.vec_id,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_mixing"] = mixing.sql()
+
+
+@query
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pieces.encode(docs, rate=0.1, seed=7, variants=8).select(
+        "doc_id", F.size("ids").alias("n_pieces"), "ids_sha256",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.octet_length("decoded").alias("decoded_bytes"))
