@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchlens.llm import exact_dedup, langid, mixing, pieces, simhash, topk
+from pitchlens.llm import exact_dedup, langid, mixing, pieces, simhash, substring_dedup, topk
 from pitchlens.llm._common import table
 
 QUERIES = {}
@@ -71,3 +71,9 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, rate=0.1, seed=7, variants=8).select(
         "doc_id", F.size("ids").alias("n_pieces"), "ids_sha256",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.octet_length("decoded").alias("decoded_bytes"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), span=50).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
