@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchlens.llm import exact_dedup, langid, mixing, pieces, simhash, substring_dedup, topk
+from pitchlens.llm import exact_dedup, langid, mixing, page_text, pieces, simhash, substring_dedup, topk
 from pitchlens.llm._common import table
 
 QUERIES = {}
@@ -77,3 +77,8 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), span=50).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
