@@ -12,13 +12,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from pitchlens.llm._common import mix64
+from pitchlens.llm._common import MASK64, mix64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes outside ASCII letters, digits and multi-byte characters: separators of plain words.
+NOT_WORD = np.ones(256, bool)
+NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 #: Odd bases of the polynomial hashes (modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -76,8 +80,17 @@ class Words:
         h = range_hash(pre, self.start, self.end, BASE)
         return mix64(h + (self.end - self.start).astype(np.uint64) * np.uint64(BASE))
 
-    def word(self, i: int) -> bytes:
-        return self.buf[self.start[i]:self.end[i]].tobytes()
+    def stems(self, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, document) of every word and of the first n bytes of words longer than n, for each n."""
+        pre, doc = prefix_hash(self.buf.astype(np.uint64) + np.uint64(1), BASE), self.doc
+        size = self.end - self.start
+        h, d = [], []
+        for n in (0, *sizes):
+            w = slice(None) if n == 0 else np.flatnonzero(size > n)
+            to = self.end if n == 0 else self.start[w] + n
+            h.append(mix64(range_hash(pre, self.start[w], to, BASE) + np.uint64((n + 1) * BASE & MASK64)))
+            d.append(doc[w])
+        return np.concatenate(h), np.concatenate(d)
 
 
 def string_buffers(col) -> tuple[np.ndarray, np.ndarray]:
@@ -94,24 +107,24 @@ def string_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), off
 
 
-def chunks(col, lower: bool = False, chunk_bytes: int = 1 << 20) -> Iterator[Words]:
-    """The words of a string column, chunk by chunk (whole documents)."""
+def chunks(col, lower: bool = False, chunk_bytes: int = 1 << 20, gap: np.ndarray = SPACE) -> Iterator[Words]:
+    """The words of a string column, chunk by chunk (whole documents). gap: which bytes separate words."""
     data, off = string_buffers(col)
     n, d = len(off) - 1, 0
     while d < n:
         e = max(d + 1, int(np.searchsorted(off, off[d] + chunk_bytes, "right")) - 1)
         e = min(e, n)
         buf = data[off[d]:off[e]]
-        yield split(LOWER[buf] if lower else buf, off[d:e + 1] - off[d], d)
+        yield split(LOWER[buf] if lower else buf, off[d:e + 1] - off[d], d, gap)
         d = e
 
 
-def split(buf: np.ndarray, off: np.ndarray, first: int = 0) -> Words:
+def split(buf: np.ndarray, off: np.ndarray, first: int = 0, gap: np.ndarray = SPACE) -> Words:
     n = len(off) - 1
     if len(buf) == 0:
         z = np.zeros(0, np.int64)
         return Words(first, n, buf, z, z, np.zeros(n + 1, np.int64))
-    solid = ~SPACE[buf]
+    solid = ~gap[buf]
     full = off[:-1][np.diff(off) > 0]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]

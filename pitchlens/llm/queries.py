@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchlens.llm import exact_dedup, langid, mixing, page_text, pieces, simhash, substring_dedup, topk
+from pitchlens.llm import exact_dedup, langid, mixing, page_text, pieces, simhash, substring_dedup, topk, toxicity
 from pitchlens.llm._common import table
 
 QUERIES = {}
@@ -82,3 +82,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=10_000)

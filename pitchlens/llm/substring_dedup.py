@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pitchlens.llm._common import cut, mix64
-from pitchlens.llm._text import Words, chunks, prefix_hash, range_hash, split, string_buffers
+from pitchlens.llm._text import Words, chunks, prefix_hash, range_hash, string_buffers
 
 SPAN, GRAM = 50, 25
 ROWS = 2
