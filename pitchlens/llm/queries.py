@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchlens.llm import exact_dedup, langid, mixing, page_text, pieces, simhash, substring_dedup, topk, toxicity
+from pitchlens.llm import exact_dedup, langid, maxent_lm, mixing, page_text, pieces, simhash, substring_dedup, topk, toxicity
 from pitchlens.llm._common import table
 
 QUERIES = {}
@@ -87,3 +87,8 @@ def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_rows=10_000)
+
+
+@query
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
