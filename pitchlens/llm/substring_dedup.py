@@ -7,8 +7,11 @@ one: a run of them is a segment, the unit of everything that is shuffled.
 1. Count-min prefilter. Every input partition sketches its anchors (``ROWS`` counter rows); sketches are
    added block by block into one bit per counter: counted twice or more. Counters only overestimate, so
    a window whose words occur in two documents always passes.
-2. Exact pass over the segments that pass: segments of equal words are grouped first, their windows
-   are then grouped by 128-bit identity (anchor hash, window hash) to the smallest document id.
+2. Exact pass over the segments that pass. Anchors met in two documents are kept. Where all segments
+   of an anchor are one sequence of words, its smallest document decides for all its windows. For
+   the other anchors segments of equal words are grouped, then their windows by 128-bit identity (anchor
+   hash, window hash) to the smallest document id. Only those carry window hashes, found again in a
+   pass over the texts with a bit table of these anchors: reading twice is cheaper than keeping them.
 3. Every segment learns which of its windows start in a smaller document; the words they cover go.
 """
 
@@ -28,10 +31,10 @@ from pitchlens.llm._text import Words, chunks, prefix_hash, range_hash, string_b
 SPAN, GRAM = 50, 25
 ROWS = 2
 BLOCK_BITS = 16
-#: Bits of one sketch row. Two per anchor are aimed at; the upper bound keeps what is broadcast under
+#: Bits of one sketch row. Four per anchor or more are aimed at; the upper bound keeps what is broadcast under
 #: ROWS * 2**MAX_BITS / 8 bytes = 64 MB. Beyond it the prefilter lets more windows through, never fewer.
 MIN_BITS, MAX_BITS = 18, 28
-_B1, _B2, _B3 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_B1, _B2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _ROW_KEYS = [0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
@@ -123,9 +126,15 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": [pdf["row"].iloc[0]], "block": [pdf["block"].iloc[0]], "bits": [bits.tobytes()]})
 
 
+SKETCH = "row int, block int, once binary, more binary"
+
+
 def prefilter(texts: DataFrame, bits: int, span: int, gram: int) -> np.ndarray:
     """(ROWS, 2**bits / 8) bytes: which counters of the merged sketch were counted twice or more."""
-    parts = texts.mapInArrow(_sketch(bits, span, gram), "row int, block int, once binary, more binary")
+    return bit_table(texts.mapInArrow(_sketch(bits, span, gram), SKETCH), bits)
+
+
+def bit_table(parts: DataFrame, bits: int) -> np.ndarray:
     merged = parts.groupBy("row", "block").applyInPandas(_merged, "row int, block int, bits binary")
     out = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
     size = 1 << (BLOCK_BITS - 3)
@@ -134,8 +143,27 @@ def prefilter(texts: DataFrame, bits: int, span: int, gram: int) -> np.ndarray:
     return out
 
 
-def _candidates(shared, bits: int, span: int, gram: int):
-    """Segments that may repeat: anchor, digest of the words, document, first window, window hashes."""
+def _cells(bits: int):
+    """Counters of a list of anchors, in the form of a sketch in which every counter was met twice."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            anchors = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for row in range(ROWS):
+                cell = np.unique(cells(anchors, row, bits))
+                kinds, first = np.unique(cell >> BLOCK_BITS, return_index=True)
+                low = np.split((cell & ((1 << BLOCK_BITS) - 1)).astype(np.uint16), first[1:])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(kinds), row, np.int32)), pa.array(kinds.astype(np.int32)),
+                    pa.array([b""] * len(kinds), pa.binary()),
+                    pa.array([x.tobytes() for x in low], pa.binary())], ["row", "block", "once", "more"])
+
+    return run
+
+
+def _segments(shared, bits: int, span: int, gram: int, windows: bool):
+    """Segments whose anchors the bit table holds: anchor, digest d of the words, document, and either the
+    text's key, the first window and the number of windows, or the hashes of the windows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -151,19 +179,20 @@ def _candidates(shared, bits: int, span: int, gram: int):
                     continue
                 first, last, anchor = s.first[may], s.last[may], s.anchor[may]
                 alt = prefix_hash(s.words, _B2)
-                d1 = range_hash(s.pre, first, last + span, _B1)
-                d2 = range_hash(alt, first, last + span, _B2)
+                digest = range_hash(alt, first, last + span, _B2)
                 size = last - first + 1
-                ends = np.cumsum(size)
-                win = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
-                wh = range_hash(alt, win, win + span, _B2).view(np.int64)
                 doc = s.doc[first]
-                row = w.first + doc
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                    pa.array(ids[row].astype(np.int64)), pa.array(keys[row]), pa.array((first - w.bounds[doc]).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(wh))],
-                    ["anchor", "d1", "d2", "doc_id", "key", "first", "wh"])
+                cols = [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids[w.first + doc].astype(np.int64))]
+                if windows:
+                    ends = np.cumsum(size)
+                    win = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
+                    wh = range_hash(alt, win, win + span, _B2).view(np.int64)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(wh)))
+                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "d", "doc_id", "wh"])
+                else:
+                    cols += [pa.array(keys[w.first + doc]), pa.array((first - w.bounds[doc]).astype(np.int32)),
+                             pa.array(size.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["anchor", "d", "doc_id", "key", "first", "n"])
 
     return run
 
@@ -210,21 +239,26 @@ def removed(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     anchors = size // 6 * 2 // (span - gram + 2) + 1
-    bits = min(MAX_BITS, max(MIN_BITS, int(2 * anchors - 1).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, int(4 * anchors - 1).bit_length()))
     shared = spark.sparkContext.broadcast(prefilter(rows.select("text"), bits, span, gram))
-    found = cut(rows.mapInArrow(_candidates(shared, bits, span, gram),
-                                "anchor long, d1 long, d2 long, doc_id long, key long, first int, wh array<long>"))
-    segment = ["anchor", "d1", "d2"]
-    distinct = cut(found.groupBy(*segment).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("wh").alias("wh")))
-    windows = distinct.select(*segment, "lo", "hi", F.posexplode("wh").alias("k", "w"))
-    # Both are cut so that the joins below shuffle both sides, which lets hot keys be split.
+    found = rows.mapInArrow(_segments(shared, bits, span, gram, False), "anchor long, d long, doc_id long, key long, first int, n int")
+    both = cut(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("d").alias("d"),
+                                           F.max("d").alias("d_max"))
+               .where("lo < hi").select("anchor", "lo", "d", (F.col("d") == F.col("d_max")).alias("one")))
+    several = spark.sparkContext.broadcast(bit_table(both.where("not one").select("anchor").mapInArrow(_cells(bits), SKETCH), bits))
+    distinct = cut(rows.mapInArrow(_segments(several, bits, span, gram, True), "anchor long, d long, doc_id long, wh array<long>")
+                   .groupBy("anchor", "d").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("wh").alias("wh")))
+    windows = distinct.select("anchor", "d", "lo", "hi", F.posexplode("wh").alias("k", "w"))
+    # The tables of verdicts are cut so that the joins with them shuffle both sides, which lets hot keys be split.
     least = cut(windows.groupBy("anchor", "w").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
                 .where("least < most").drop("most"))
-    marked = cut(windows.drop("lo", "hi").join(least, ["anchor", "w"]).groupBy(*segment)
+    marked = (windows.drop("lo", "hi").join(least, ["anchor", "w"]).groupBy("anchor", "d")
               .agg(F.collect_list(F.struct("k", "least")).alias("at")))
-    mask = F.expr("aggregate(at, 0L, (m, x) -> if(x.least < doc_id, m | shiftleft(1L, x.k), m))")
-    hit = (found.select(*segment, "doc_id", "key", "first").join(marked, segment)
-           .select("doc_id", "key", "first", mask.alias("mask")).where("mask <> 0"))
+    # An anchor of one sequence may pass the bit table of the others too; its verdict is taken once.
+    verdict = cut(both.where("one").select("anchor", "d", "lo").join(marked, ["anchor", "d"], "full"))
+    mask = F.expr("""if(lo is not null, if(lo < doc_id, shiftleft(1L, n) - 1, 0L),
+        aggregate(at, 0L, (m, x) -> if(x.least < doc_id, m | shiftleft(1L, x.k), m)))""")
+    hit = (found.join(verdict, ["anchor", "d"]).select("doc_id", "key", "first", mask.alias("mask")).where("mask <> 0"))
     return hit.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "mask")).alias("runs"))
 
 
