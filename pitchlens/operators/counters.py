@@ -74,17 +74,19 @@ def zone_aggs(zones: Sequence[str] = tuple(K.ZONES)) -> list[Column]:
     return aggs
 
 
-def zone_finals(scope: Sequence[str], zones: Sequence[str] = tuple(K.ZONES)) -> list[Column]:
-    """Share (percent) of a player's located events in each zone.
-
-    NULL when the player has no located event. Within ``scope`` (the frame
-    the shares are pivoted over: a window slice, a game), a zone that no
-    located event of the scope has is NULL for everyone (it has no pivot
-    column there), otherwise 0..100. The scope test is a window sum over the
-    aggregated rows (one per player), never over events.
+def zone_present(zones: Sequence[str] = tuple(K.ZONES)) -> list[Column]:
+    """Whether any located event of a group is in each zone (``_has_<zone>``), over rows with ``_z_`` counts."""
+    return [(F.max(f"_z_{name}") > 0).alias(f"_has_{name}") for name in zones]
+
+
+def zone_finals(zones: Sequence[str] = tuple(K.ZONES)) -> list[Column]:
+    """Share (percent) of a player's located events in each zone, of rows with ``_z_`` counts and ``_has_`` flags.
+
+    NULL when the player has no located event. A zone that no located event of the scope has (the frame the
+    shares are pivoted over: a window slice, a game) is NULL for everyone (it has no pivot column there),
+    otherwise 0..100.
     """
-    over = "OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in scope) + ")"
-    return [F.expr(f"CASE WHEN sum(`_z_{name}`) {over} > 0 THEN 100.0D * try_divide(CAST(`_z_{name}` AS DOUBLE), "
+    return [F.expr(f"CASE WHEN `_has_{name}` THEN 100.0D * try_divide(CAST(`_z_{name}` AS DOUBLE), "
                    f"NULLIF(CAST(_z_all AS DOUBLE), 0.0D)) END").alias(name) for name in zones]
 
 
@@ -107,8 +109,12 @@ def agg_stats(df: DataFrame, keys: Sequence[str], ids_number: Iterable[int] = tu
 
 
 def zone_share(df: DataFrame, keys: Sequence[str], scope: Sequence[str]) -> DataFrame:
-    """Zone shares per ``keys`` (e.g. game, player), pivoted within ``scope`` (e.g. game)."""
-    return df.groupBy(*keys).agg(*zone_aggs()).select(*keys, *zone_finals(scope))
+    """Zone shares per ``keys`` (e.g. game, player), pivoted within ``scope`` (e.g. game).
+
+    The zones of a scope are one partial aggregate, joined back on the scope: no task holds a whole scope.
+    """
+    present = df.groupBy(*scope).agg(*zone_aggs()).groupBy(*scope).agg(*zone_present())
+    return df.groupBy(*keys).agg(*zone_aggs()).join(present, list(scope)).select(*keys, *zone_finals())
 
 
 def pct_of_total(df: DataFrame, keys: Sequence[str], category: str, name: str = "pct") -> DataFrame:

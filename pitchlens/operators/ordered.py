@@ -1,36 +1,24 @@
-"""Order-dependent operators (lag, position, last rows) that survive hot keys.
-
-The event feed is ordered by document position ``seq`` inside a game. A
-plain ``Window.partitionBy(game).orderBy(seq)`` sends every row of a game to
-one task; if one game (or slice) holds a third of all rows, that task holds a
-third of the data. Here the rows are partitioned by ``(keys, seq block)``
-instead, so one window group holds at most ``block`` rows when ``seq`` is
-unique inside ``keys``:
-
-1. one shuffle by ``(keys, block)``; inside it ``row_number`` and the
-   in-block ``lag``s, plus the block row count;
-2. a small table with one row per (keys, block) gives each block its
-   offset inside ``keys`` (a running sum over blocks);
-3. only the first ``max(offsets)`` rows of a block can need a predecessor
-   from an earlier block; they are fixed with an equi-join against the last
-   ``max(offsets)`` rows of every block (two small sets) on the global
-   position, never a range or nested-loop join. The block edges are
-   checkpointed once (a small table: ``2 * max(offsets)`` rows per block), so
-   the plan is one narrow shuffle for the edges and one shuffle of the rows.
-
-Lag 1 (the window-slice lag of the player features) needs no edge table: the
-last row of every block comes from a partial aggregate (``max_by``) and the
-previous block's last row from a ``lag`` over that one-row-per-block table.
-Positions take block sizes from a partial aggregate of the input as well.
-
-All other work is narrow. ``strategy="direct"`` keeps the textbook single
-window by ``keys`` for inputs whose groups are known to be bounded.
-
-``strategy="auto"`` (the default) decides at run time, like a broadcast
-size check: one partial aggregate measures the largest group; when it holds
-at most ``max_group_rows`` rows the single window (one shuffle) is used,
-otherwise the blocked plan above. The decision needs one number on the
-driver, never data rows.
+"""Order-dependent operators (lag, position) that survive hot keys.
+
+The event feed is ordered by document position ``seq`` inside a game. A plain
+``Window.partitionBy(game).orderBy(seq)`` sends every row of a game to one
+task; if one game (or slice) holds a third of all rows, that task holds a third
+of the data. Here the rows are windowed by ``(keys, seq block)`` instead, so one
+window group holds at most ``block`` rows when ``seq`` is unique inside
+``keys``, and a small table with one row per (keys, block) carries what a
+block needs from the blocks before it:
+
+* lag: the last ``max(offsets)`` rows before the block, as an array of structs
+  (the tails of the blocks before it, from a window over the one-row-per-block
+  table). A row takes a lag from inside its block where there is one, else from
+  that array. One equi-join with the small table on the rows' own partitioning;
+* position: the number of rows in earlier blocks (a running sum).
+
+For a feed whose ``seq`` starts anew in every game a game is one block, and the
+plan costs about what a plain window does. This is the only plan unless the
+caller asks for ``strategy="direct"`` (the plain window), e.g. to compare. The
+windows over the small table hold one row per ``block`` values of ``seq`` and key:
+a game of 10**9 events has a thousand of them. Nothing runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -41,160 +29,90 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 1 << 20
-MAX_GROUP_ROWS = 2_000_000
 
-_BLK, _RN, _CNT, _OFF, _POS = "_blk", "_rn", "_cnt", "_off", "_pos"
+_BLK, _RN, _CNT, _OFF, _PREV = "_blk", "_rn", "_cnt", "_off", "_prev"
 
 
 def lag_name(col: str, n: int) -> str:
     return f"{col}_lag{n}"
 
 
-_GROUP_SIZE_MEMO: dict[tuple, int] = {}
+def _check(strategy: str) -> None:
+    if strategy not in ("blocked", "direct"):
+        raise ValueError("strategy must be 'blocked' or 'direct'")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest ``keys`` group (one partial aggregate, one number back).
+def with_block(df: DataFrame, order: str, block: int) -> DataFrame:
+    return df.withColumn(_BLK, F.floor(F.col(order) / F.lit(block)).cast("bigint"))
 
-    Memoised per (canonical input plan, keys) for the life of the process, so
-    queries over the same landed table measure it once.
-    """
-    keys = list(keys)
-    probe = df.select(*keys) if keys else df.select(F.lit(1).alias("_one"))
-    try:
-        memo_key = (probe._jdf.queryExecution().analyzed().semanticHash(), tuple(keys))
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no plan handle, just measure
-        memo_key = None
-    if memo_key is not None and memo_key in _GROUP_SIZE_MEMO:
-        return _GROUP_SIZE_MEMO[memo_key]
-    if not keys:
-        n = probe.count()
-    else:
-        row = probe.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-        n = int(row[0] or 0)
-    if memo_key is not None:
-        _GROUP_SIZE_MEMO[memo_key] = n
-    return n
 
-
-def _resolve(strategy: str, df: DataFrame, keys: Sequence[str], max_group_rows: int) -> str:
-    if strategy == "auto":
-        return "direct" if largest_group(df, keys) <= max_group_rows else "blocked"
-    if strategy not in ("direct", "blocked"):
-        raise ValueError("strategy must be 'auto', 'direct' or 'blocked'")
-    return strategy
-
-
-def _with_blocks(df: DataFrame, keys: Sequence[str], order: str, block: int,
-                 lag_cols: Sequence[str] = (), offsets: Sequence[int] = ()) -> DataFrame:
-    blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
-    df = df.withColumn(_BLK, blk)
-    part = [*keys, _BLK]
-    w = Window.partitionBy(*part).orderBy(order)
-    wall = Window.partitionBy(*part)
-    cols = {_RN: F.row_number().over(w), _CNT: F.count(F.lit(1)).over(wall)}
-    for c in lag_cols:
-        for n in offsets:
-            cols[lag_name(c, n)] = F.lag(c, n).over(w)
-    return df.withColumns(cols)
-
-
-def _block_offsets(blocked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, block) -> number of rows of ``keys`` in earlier blocks; one row per block."""
-    heads = blocked.where(F.col(_RN) == 1).select(*keys, _BLK, _CNT)
+def block_offsets(blocked: DataFrame, keys: Sequence[str], count_col: str | None = None) -> DataFrame:
+    """(keys, block) -> rows of ``keys`` in earlier blocks (and in all of them): one row per block."""
+    counts = blocked.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias(_CNT))
     w = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    return heads.withColumn(_OFF, F.coalesce(F.sum(_CNT).over(w), F.lit(0)).cast("bigint")).drop(_CNT)
+    cols = [F.coalesce(F.sum(_CNT).over(w), F.lit(0)).cast("bigint").alias(_OFF)]
+    if count_col:
+        cols.append(F.sum(_CNT).over(Window.partitionBy(*keys)).cast("bigint").alias(count_col))
+    return counts.select(*keys, _BLK, *cols)
 
 
 def ordered_position(df: DataFrame, keys: Sequence[str], order: str, pos_col: str = "pos",
-                     count_col: str = "n_rows", block: int = DEFAULT_BLOCK,
-                     strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                     count_col: str = "n_rows", block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Add the 1-based position of each row inside ``keys`` (by ``order``) and the group size."""
+    _check(strategy)
     keys = list(keys)
-    if keys:
-        strategy = _resolve(strategy, df, keys, max_group_rows)
     if not keys:
         # one global order: a constant key keeps every join an equi-join
-        out = ordered_position(df.withColumn("_all", F.lit(0)), ["_all"], order, pos_col, count_col, block,
-                               strategy, max_group_rows)
+        out = ordered_position(df.withColumn("_all", F.lit(0)), ["_all"], order, pos_col, count_col, block, strategy)
         return out.drop("_all")
     if strategy == "direct":
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumns({pos_col: F.row_number().over(w).cast("bigint"),
                                count_col: F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
-    df = df.withColumn(_BLK, blk)
-    # rows per block from a partial aggregate of the input (one tiny row per block and task)
-    counts = df.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias(_CNT))
-    w = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*keys, _BLK, F.coalesce(F.sum(_CNT).over(w), F.lit(0)).cast("bigint").alias(_OFF),
-                         F.sum(_CNT).over(Window.partitionBy(*keys)).cast("bigint").alias(count_col))
+    df = with_block(df, order, block)
     rn = F.row_number().over(Window.partitionBy(*keys, _BLK).orderBy(order))
     # one shuffle of the rows by (keys, block); the small offsets side joins on that partitioning
-    out = (df.withColumn(_RN, rn).join(offs, [*keys, _BLK])
+    out = (df.withColumn(_RN, rn).join(block_offsets(df, keys, count_col), [*keys, _BLK])
            .withColumn(pos_col, (F.col(_OFF) + F.col(_RN)).cast("bigint")))
     return out.drop(_BLK, _RN, _OFF)
 
 
 def ordered_lag(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str],
-                offsets: Sequence[int] = (1,), block: int = DEFAULT_BLOCK,
-                strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                offsets: Sequence[int] = (1,), block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Add ``<col>_lag<n>`` = value of ``col`` ``n`` rows earlier inside ``keys`` (by ``order``).
 
     Exactly ``lag(col, n) OVER (PARTITION BY keys ORDER BY order)``; NULL when
     there is no such row.
     """
+    _check(strategy)
     keys, cols, offsets = list(keys), list(cols), sorted(set(offsets))
-    strategy = _resolve(strategy, df, keys, max_group_rows)
     if strategy == "direct":
         w = Window.partitionBy(*keys).orderBy(order)
         return df.withColumns({lag_name(c, n): F.lag(c, n).over(w) for c in cols for n in offsets})
-    h = max(offsets)
-    if offsets == [1]:
-        return _lag_one_blocked(df, keys, order, cols, block)
-    blocked = _with_blocks(df, keys, order, block, cols, offsets)
-    base_cols = [c for c in blocked.columns if c not in (_BLK, _RN, _CNT)]
-    body = blocked.where(F.col(_RN) > h).select(*base_cols)
-
-    # The block edges (first and last h rows of every block) are a small table; it is checkpointed to
-    # the shared checkpoint folder so offsets, heads and tails all read one copy (branches that prune
-    # columns differently would otherwise each re-shuffle the input).
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    edge0 = blocked.where((F.col(_RN) <= h) | (F.col(_RN) > F.col(_CNT) - h)).checkpoint(eager=True)
-    offs = _block_offsets(edge0, keys)
-    edge = edge0.join(offs, [*keys, _BLK])
-    edge = edge.withColumn(_POS, F.col(_OFF) + F.col(_RN))
-    heads = edge.where(F.col(_RN) <= h)
-    tails = edge.where(F.col(_RN) > F.col(_CNT) - h).select(
-        *keys, F.col(_POS).alias("_tpos"), *[F.col(c).alias(f"_t_{c}") for c in cols])
-    fixed = heads
+    df = with_block(df, order, block)
+    part = [*keys, _BLK]
+    w = Window.partitionBy(*part).orderBy(order)
+    body = df.withColumns({_RN: F.row_number().over(w), **{lag_name(c, n): F.lag(c, n).over(w)
+                                                           for c in cols for n in offsets}})
+    out = body.join(_before_block(df, keys, order, cols, max(offsets)), part, "left")
+    fixed = {}
     for n in offsets:
-        t = tails.select(*keys, (F.col("_tpos") + n).alias(_POS),
-                         *[F.col(f"_t_{c}").alias(f"_t{n}_{c}") for c in cols])
-        fixed = fixed.join(t, [*keys, _POS], "left")
-        fixed = fixed.withColumns({
-            lag_name(c, n): F.when(F.col(_RN) > n, F.col(lag_name(c, n))).otherwise(F.col(f"_t{n}_{c}"))
-            for c in cols})
-    fixed = fixed.select(*base_cols)
-    return body.unionByName(fixed)
-
-
-def _lag_one_blocked(df: DataFrame, keys: list[str], order: str, cols: list[str], block: int) -> DataFrame:
-    """Lag 1 with hot keys: in-block lag plus, for the first row of a block, the last row of the
-    previous non-empty block -- taken from a per-block partial aggregate (``max_by``) and a ``lag``
-    over the one-row-per-block table. One shuffle of the rows, one tiny shuffle, no join of rows
-    with rows."""
-    blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
-    df = df.withColumn(_BLK, blk)
-    # one scalar max_by per column (same row: ``order`` is unique per key) keeps this a hash aggregate
-    last = df.groupBy(*keys, _BLK).agg(*[F.max_by(F.col(c), F.col(order)).alias(f"_last_{c}") for c in cols])
-    wb = Window.partitionBy(*keys).orderBy(_BLK)
-    prev = last.select(*keys, _BLK, F.struct(*[F.lag(f"_last_{c}", 1).over(wb).alias(c) for c in cols]).alias("_prev"))
-    w = Window.partitionBy(*keys, _BLK).orderBy(order)
-    body = df.withColumns({_RN: F.row_number().over(w), **{f"_in_{c}": F.lag(c, 1).over(w) for c in cols}})
-    out = body.join(prev, [*keys, _BLK], "left")
-    out = out.withColumns({lag_name(c, 1): F.when(F.col(_RN) == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_in_{c}"))
-                           for c in cols})
-    return out.drop(_BLK, _RN, "_prev", *[f"_in_{c}" for c in cols])
+        # the row before the block's first row is the last of the array
+        at = F.get(F.col(_PREV), F.size(_PREV) - (F.lit(n) - F.col(_RN) + 1))
+        for c in cols:
+            fixed[lag_name(c, n)] = F.when(F.col(_RN) > n, F.col(lag_name(c, n))).otherwise(at[c])
+    return out.withColumns(fixed).drop(_BLK, _RN, _PREV)
+
+
+def _before_block(df: DataFrame, keys: list[str], order: str, cols: list[str], h: int) -> DataFrame:
+    """(keys, block) -> the last rows before the block, oldest first (at least ``h`` of them if there are)."""
+    row = F.struct(F.col(order).alias("_order"), *[F.col(c).alias(c) for c in cols])
+    if h == 1:  # one row per block: a hash aggregate, no window over the rows
+        tails = df.groupBy(*keys, _BLK).agg(*[F.max_by(F.col(c), F.col(order)).alias(f"_last_{c}") for c in cols])
+        tails = tails.select(*keys, _BLK, F.array(F.struct(*[F.col(f"_last_{c}").alias(c) for c in cols])).alias("_tail"))
+    else:
+        back = F.row_number().over(Window.partitionBy(*keys, _BLK).orderBy(F.desc(order)))
+        tails = (df.select(*keys, _BLK, row.alias("_row"), back.alias("_back")).where(F.col("_back") <= h)
+                 .groupBy(*keys, _BLK).agg(F.sort_array(F.collect_list("_row")).alias("_tail")))
+    w = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(-h, -1)  # h blocks hold h rows: none is empty
+    return tails.select(*keys, _BLK, F.flatten(F.collect_list("_tail").over(w)).alias(_PREV))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .ordered import DEFAULT_BLOCK, MAX_GROUP_ROWS, lag_name, ordered_lag, ordered_position
+from .ordered import DEFAULT_BLOCK, lag_name, ordered_lag, ordered_position
 
 
 def sliding_windows(df: DataFrame, step_min: int = 5, length_min: int = K.WINDOW_MIN,
@@ -35,16 +35,14 @@ def sliding_windows(df: DataFrame, step_min: int = 5, length_min: int = K.WINDOW
 
 
 def lag_columns(df: DataFrame, cols: Sequence[str], lags: Sequence[int], keys=("game",), order="seq",
-                block: int = DEFAULT_BLOCK, strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Shift the given columns by each lag in document order inside a game."""
-    return ordered_lag(df, list(keys), order, list(cols), list(lags), block=block, strategy=strategy,
-                       max_group_rows=max_group_rows)
+    return ordered_lag(df, list(keys), order, list(cols), list(lags), block=block, strategy=strategy)
 
 
 def next_event_dataset(events: DataFrame, columns_to_lag: Sequence[str] = tuple(K.NEXT_EVENT_COLS_TO_LAG),
                        lags: Sequence[int] = tuple(K.NEXT_EVENT_LAGS), keys=("game",),
-                       block: int = DEFAULT_BLOCK, strategy: str = "auto",
-                       max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                       block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Targets of each event next to the lagged context of the previous events.
 
     Keeps only rows whose period equals the period of **every** lagged row
@@ -56,7 +54,7 @@ def next_event_dataset(events: DataFrame, columns_to_lag: Sequence[str] = tuple(
     targets = ["seq", *keys, "period_id", "team_id", "x_along_team1_axis", "y_along_team1_axis"]
     base = events.select(*dict.fromkeys(targets + list(columns_to_lag)))
     lagged = ordered_lag(base, list(keys), "seq", list(columns_to_lag), list(lags), block=block,
-                         strategy=strategy, max_group_rows=max_group_rows)
+                         strategy=strategy)
     cond = F.lit(True)
     for n in lags:
         cond = cond & (F.col("period_id") == F.col(lag_name("period_id", n)))
@@ -64,17 +62,42 @@ def next_event_dataset(events: DataFrame, columns_to_lag: Sequence[str] = tuple(
     return lagged.where(cond).select(*dict.fromkeys(targets + keep))
 
 
-def last_rows(df: DataFrame, n: int = 1, keys=("game",), order="seq", block: int = DEFAULT_BLOCK,
-              strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """The last ``n`` rows of each group in document order (``tail(n)`` per game)."""
-    pos = ordered_position(df, list(keys), order, "_p", "_n", block=block, strategy=strategy,
-                           max_group_rows=max_group_rows)
-    return pos.where(F.col("_p") > F.col("_n") - n).drop("_p", "_n")
+def last_rows(df: DataFrame, n: int = 1, keys=("game",), order="seq", block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The last ``n`` rows of each group in document order (``tail(n)`` per game).
+
+    ``n = 1`` is a partial aggregate (``max_by``): no row is shuffled. More rows come from the last rows of
+    each ``seq`` block (a window per block), of which the last ``n`` per group are kept.
+    """
+    keys = list(keys)
+    if n == 1:
+        rest = [c for c in df.columns if c not in keys]
+        last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+        return last.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+    part = Window.partitionBy(*keys, "_part").orderBy(F.desc(order))
+    top = (df.withColumn("_part", F.floor(F.col(order) / F.lit(block)))
+           .withColumn("_back", F.row_number().over(part)).where(F.col("_back") <= n))
+    return (top.withColumn("_back", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
+            .where(F.col("_back") <= n).select(*df.columns))
+
+
+def last_order(df: DataFrame, n: int, keys=("game",), order="seq") -> DataFrame:
+    """(keys, _cut): the ``n``-th largest ``order`` of each group, NULL if it has fewer rows.
+
+    Two partial aggregates of one number per row: the ``n`` largest per (keys, salt), then of those.
+    """
+    keys = list(keys)
+    largest = F.slice(F.reverse(F.sort_array(F.collect_list(order))), 1, n)
+    salted = df.select(*keys, order, F.floor(F.col(order) / F.lit(4096)).alias("_part"))
+    some = salted.groupBy(*keys, "_part").agg(largest.alias("_top"))
+    top = F.reverse(F.sort_array(F.flatten(F.collect_list("_top"))))
+    return some.groupBy(*keys).agg(F.get(top, F.lit(n - 1)).alias("_cut"))
 
 
-def all_but_last(df: DataFrame, n: int = 10, keys=("game",), order="seq", block: int = DEFAULT_BLOCK,
-                 strategy: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Every row except the last ``n`` of each group (``head(-n)`` per game)."""
-    pos = ordered_position(df, list(keys), order, "_p", "_n", block=block, strategy=strategy,
-                           max_group_rows=max_group_rows)
-    return pos.where(F.col("_p") <= F.col("_n") - n).drop("_p", "_n")
+def all_but_last(df: DataFrame, n: int = 10, keys=("game",), order="seq") -> DataFrame:
+    """Every row except the last ``n`` of each group (``head(-n)`` per game).
+
+    The cut-off (the ``n``-th largest ``order``, one number per group) comes from an aggregate; the rows are
+    only filtered by an equi-join with it.
+    """
+    cut = last_order(df, n, keys, order)
+    return df.join(cut, list(keys)).where(F.col(order) < F.col("_cut")).select(*df.columns)

@@ -8,7 +8,6 @@ sides so the engines' last-bit differences do not matter.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,7 @@ from ..operators.encode import TargetEncoder, encoder_table, fit_lag_encoders
 from ..operators.ordered import ordered_position
 from ..operators.windows import all_but_last, last_rows, lag_columns, next_event_dataset, sliding_windows
 from ..sources import fixture as FX
-from ..sources.store import materialize
+from ..sources.store import materialize, source_key
 from . import features as FE
 from . import oracle as O
 
@@ -122,7 +121,7 @@ def _shared(kind: str, spark, d, inputs, build):
     Keyed by the session and the identity of the landed inputs it reads, so a
     re-landing (changed source files) builds a new plan.
     """
-    key = (kind, id(spark), d, *[id(x) for x in inputs])
+    key = (kind, spark.sparkContext.applicationId, d, *[id(x) for x in inputs])
     if key not in _PLANS:
         _PLANS[key] = build(*inputs)
     return _PLANS[key]
@@ -215,14 +214,21 @@ def transferred_players(spark, d):
     return registry_(spark, d)[1].select("player_id", "team_name")
 
 
-def _dataset_name(name: str, d: str) -> str:
-    return f"{name}_{os.path.basename(os.path.normpath(d))}"
+def _dataset_name(spark, name: str, d: str) -> str:
+    """Datasets of different sources, or of a source whose files changed, never share a name."""
+    d = d.rstrip("/")
+    return f"{name}-{source_key(spark, *[f'{d}/{t}.parquet' for t in ('events', 'customer', 'nation')])}"
+
+
+def _never() -> DataFrame:
+    raise AssertionError("the table exists and must be read")
 
 
 @query("materialized_stats", FEATURES_SQL)
 def materialized_stats(spark, d):
-    """Cache-or-compute of the season feature table (Parquet in the shared folder)."""
-    return materialize(spark, _dataset_name("window_features", d), lambda: features_(spark, d), refresh=True)
+    """Cache-or-compute of the season feature table (Parquet in the shared folder): built once, then read."""
+    materialize(spark, _dataset_name(spark, "window_features", d), lambda: features_(spark, d))
+    return materialize(spark, _dataset_name(spark, "window_features", d), _never)
 
 
 # ======================================================================================================
@@ -321,7 +327,7 @@ def window_features(spark, d):
 @query("season_stats", FEATURES_SQL)
 def season_stats(spark, d):
     """Window features of every game of the season, materialised once."""
-    return materialize(spark, _dataset_name("season_stats", d), lambda: features_(spark, d), refresh=True)
+    return materialize(spark, _dataset_name(spark, "season_stats", d), lambda: features_(spark, d), refresh=True)
 
 
 BOOL_KEYS = "game, period_id, start, player_id"
@@ -348,7 +354,7 @@ def next_event_dataset_q(spark, d):
 @query("season_next_event", O.with_(*NEXT) + final("nxt", NEXT_DOUBLES))
 def season_next_event(spark, d):
     """Next-event rows of every game, materialised once."""
-    return materialize(spark, _dataset_name("season_next_event", d), lambda: next_(spark, d), refresh=True)
+    return materialize(spark, _dataset_name(spark, "season_next_event", d), lambda: next_(spark, d), refresh=True)
 
 
 @query("pass_after_event", O.with_(*SL) + f"""SELECT {BOOL_KEYS},

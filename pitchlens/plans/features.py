@@ -8,62 +8,34 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import counters as CT
 from ..operators.clean import next_event_input, stats_input
-from ..operators.ordered import DEFAULT_BLOCK, MAX_GROUP_ROWS, largest_group, ordered_lag
-from ..operators.windows import next_event_dataset, sliding_windows
+from ..operators.ordered import DEFAULT_BLOCK, ordered_lag
+from ..operators.windows import all_but_last, next_event_dataset, sliding_windows
 
 SLICE = ["game", "period_id", "start"]
 
 
-def _strategy(me: DataFrame, strategy: str, max_group_rows: int) -> str:
-    """One size check for every ordered step of a plan.
-
-    Each event appears at most once per (game, period, window) and the
-    inputs are filters of ``me``, so the largest game of ``me`` bounds every
-    group these plans order by. The check is memoised per input plan, so all
-    queries over the same landed table share it.
-    """
-    if strategy != "auto":
-        return strategy
-    return "direct" if largest_group(me, ["game"]) <= max_group_rows else "blocked"
-
-
-def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list[str],
-                          team_totals: str = "window") -> DataFrame:
+def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list[str]) -> DataFrame:
     """Player-grain aggregates of sliced events plus the team totals of the slice.
 
     ``ev`` holds events tagged with their slice and ``prev_type_id`` (the type
     of the previous event *inside the slice*). One hash aggregate per
     (slice, player, team). The team figures are sums of the player rows of the
-    same (slice, team) -- every event has a player here -- never a second pass
-    over the events:
-
-    * ``"window"`` (bounded games): a window sum over the player rows; it keeps
-      the game partitioning of the events, so the whole table is one shuffle;
-    * ``"aggregate"`` (hot games): a tiny aggregate of the player rows joined
-      back on (slice, team), so no task buffers a whole (slice, team) group.
+    same (slice, team) -- every event has a player here -- and the zones of a slice
+    come from those: two tiny aggregates joined back on their keys, so no task
+    holds a whole slice.
     """
     zone_a = CT.zone_aggs()
     p_a, p_f = CT.success_rate_cols(K.EVENTS_COMPUTE_SUCCESS_RATE, "p_")
     p_a += CT.count_pivot_aggs(K.EVENTS_COMPUTE_NUMBER, "p_")
     p_f += [F.col(f"p_{e}_nb") for e in K.EVENTS_COMPUTE_NUMBER]
     ok = [f"_p_{e}_ok" for e in K.EVENTS_COMPUTE_SUCCESS_RATE]
+    zones = ["_z_all", *[f"_z_{z}" for z in K.ZONES]]
     pkeys = [*slice_keys, *label_cols, "player_id", "team_id"]
-    player = (ev.groupBy(*pkeys)
-              .agg(*CT.bool_counter_aggs("prev_type_id"), *zone_a, *p_a)
-              .select(*pkeys, "nb_assist", "nb_keypass", "nb_gk_events", "nb_shots", "nb_free_kick",
-                      "nb_corner", *CT.zone_finals(slice_keys), *p_f, *ok))
-    keep = [c for c in player.columns if c not in ok]
+    bools = ["nb_assist", "nb_keypass", "nb_gk_events", "nb_shots", "nb_free_kick", "nb_corner"]
+    player = (ev.groupBy(*pkeys).agg(*CT.bool_counter_aggs("prev_type_id"), *zone_a, *p_a)
+              .select(*pkeys, *bools, *zones, *p_f, *ok))
     tkeys = [*slice_keys, "team_id"]
     rate_ids, count_ids = K.EVENTS_COMPUTE_SUCCESS_RATE, K.EVENTS_COMPUTE_NUMBER
-    if team_totals == "window":
-        over = "OVER (PARTITION BY " + ", ".join(tkeys) + ")"
-        tcols = []
-        for e in rate_ids:
-            tcols.append(F.expr(f"CAST(sum(p_{e}_nb) {over} AS INT)").alias(f"t_{e}_nb"))
-            tcols.append(F.expr(f"try_divide(CAST(sum(_p_{e}_ok) {over} AS DOUBLE), "
-                                f"NULLIF(CAST(sum(p_{e}_nb) {over} AS DOUBLE), 0.0D))").alias(f"t_{e}_success_rate"))
-        tcols += [F.expr(f"CAST(sum(p_{e}_nb) {over} AS INT)").alias(f"t_{e}_nb") for e in count_ids]
-        return player.select(*keep, *tcols)
     tsum = [F.sum(f"p_{e}_nb").alias(f"_ts_{e}") for e in [*rate_ids, *count_ids]]
     tsum += [F.sum(f"_p_{e}_ok").alias(f"_tok_{e}") for e in rate_ids]
     tcols = []
@@ -72,31 +44,23 @@ def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list
         tcols.append(F.expr(f"try_divide(CAST(_tok_{e} AS DOUBLE), NULLIF(CAST(_ts_{e} AS DOUBLE), 0.0D))")
                      .alias(f"t_{e}_success_rate"))
     tcols += [F.col(f"_ts_{e}").cast("int").alias(f"t_{e}_nb") for e in count_ids]
-    team = player.groupBy(*tkeys).agg(*tsum).select(*tkeys, *tcols)
-    return player.select(*keep).join(team, tkeys, "left")
+    sums = player.groupBy(*tkeys).agg(*tsum, *[F.sum(f"_z_{z}").alias(f"_z_{z}") for z in K.ZONES])
+    team = sums.select(*tkeys, *tcols)
+    present = sums.groupBy(*slice_keys).agg(*CT.zone_present())
+    return (player.join(present, slice_keys).join(team, tkeys, "left")
+            .select(*pkeys, *bools, *CT.zone_finals(), *p_f, *[c for c in team.columns if c not in tkeys]))
 
 
-def sliced_events(me: DataFrame, step_min: int = 5, block: int = DEFAULT_BLOCK, strategy: str = "auto",
-                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def sliced_events(me: DataFrame, step_min: int = 5, block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Stats-input events tagged with each 15-minute window containing them, plus
-    ``prev_type_id``: the type of the previous event *inside that window*.
-
-    Bounded games: one shuffle of the events by game *before* the (up to 4x)
-    window explode; hash partitioning on game satisfies every later clustering
-    (lag, player aggregate, team totals). Hot games: the blocked lag.
-    """
-    strategy = _strategy(me, strategy, max_group_rows)
-    st = stats_input(me)
-    if strategy == "direct":
-        st = st.repartition("game")
-    ev = sliding_windows(st, step_min)
-    return ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy,
-                       max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
+    ``prev_type_id``: the type of the previous event *inside that window*."""
+    ev = sliding_windows(stats_input(me), step_min)
+    return ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy) \
+        .withColumnRenamed("type_id_lag1", "prev_type_id")
 
 
 def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min: int = 5,
-                    block: int = DEFAULT_BLOCK, strategy: str = "auto",
-                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                    block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Per (game, 15-minute window, player) features of the player-identification problem.
 
     stats input -> overlapping inclusive windows (explode, no join) ->
@@ -104,36 +68,27 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
     player aggregate and team totals -> eligible players (semi join, applied
     after the team totals so team counts cover every player).
     """
-    strategy = _strategy(me, strategy, max_group_rows)
-    ev = sliced_events(me, step_min, block, strategy, max_group_rows)
-    out = _features_from_slices(ev, SLICE, ["time_period"], "window" if strategy == "direct" else "aggregate")
+    out = _features_from_slices(sliced_events(me, step_min, block, strategy), SLICE, ["time_period"])
     if eligible is not None:
         out = out.join(eligible.select("player_id").distinct(), "player_id", "left_semi")
     return out.select("game", "player_id", "team_id", "time_period", *K.player_features()[1:])
 
 
 def test_set_stats(me: DataFrame, masked_player: int = 1, last_hidden: int = 10,
-                   block: int = DEFAULT_BLOCK, strategy: str = "auto",
-                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                   block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Features of the masked player of each game, over the whole game but its last rows.
 
     One slice per game: every cleaned event except the last ``last_hidden``
     (those are what the next-event models predict); the masked player's row
     only. Keys: ``game``, ``player_id``, ``team_id``.
     """
-    from ..operators.windows import all_but_last
-
-    strategy = _strategy(me, strategy, max_group_rows)
-    ev = all_but_last(stats_input(me), last_hidden, block=block, strategy=strategy, max_group_rows=max_group_rows)
-    ev = ordered_lag(ev, ["game"], "seq", ["type_id"], [1], block=block, strategy=strategy,
-                     max_group_rows=max_group_rows).withColumnRenamed("type_id_lag1", "prev_type_id")
-    out = _features_from_slices(ev, ["game"], [], "window" if strategy == "direct" else "aggregate")
-    out = out.where(F.col("player_id") == masked_player)
+    ev = all_but_last(stats_input(me), last_hidden)
+    ev = ordered_lag(ev, ["game"], "seq", ["type_id"], [1], block=block, strategy=strategy) \
+        .withColumnRenamed("type_id_lag1", "prev_type_id")
+    out = _features_from_slices(ev, ["game"], []).where(F.col("player_id") == masked_player)
     return out.select("game", "player_id", "team_id", *K.player_features()[1:])
 
 
-def season_next_event(me: DataFrame, block: int = DEFAULT_BLOCK, strategy: str = "auto",
-                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def season_next_event(me: DataFrame, block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Next-event dataset of every game (targets + 3 lags of type, team, x, y)."""
-    strategy = _strategy(me, strategy, max_group_rows)
-    return next_event_dataset(next_event_input(me), block=block, strategy=strategy, max_group_rows=max_group_rows)
+    return next_event_dataset(next_event_input(me), block=block, strategy=strategy)

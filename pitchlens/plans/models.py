@@ -24,7 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, keyword_only
+from pyspark import StorageLevel, TaskContext, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as MC
 from pyspark.ml import feature as MF
@@ -61,20 +61,34 @@ def _feature_subset(v) -> str:
     return str(int(v))
 
 
+MAX_DEPTH = 30   # the deepest tree MLlib grows
+
+#: Parameters without a counterpart that changes an MLlib fit; every other unknown name is an error.
+IGNORED_PARAMS = {"n_jobs", "nthread", "verbose", "silent", "objective", "eval_metric", "booster", "warm_start", "presort",
+                  "tree_method", "oob_score", "min_samples_split", "reg_lambda", "reg_alpha", "solver", "multi_class"}
+_FOREST, _TREE = {"rf_classif", "et_classif", "rf_reg"}, {"dt_classif", "dt_reg"}
+_BOOST = {"xgb_classif", "xgb_multiclass", "xgb_reg"}
+
+
 def _depth(v) -> int:
-    return 30 if v is None else min(int(v), 30)   # MLlib caps tree depth at 30
+    if v is not None and int(v) > MAX_DEPTH:
+        raise ValueError(f"max_depth {v}: MLlib grows trees of depth {MAX_DEPTH} at most")
+    return MAX_DEPTH if v is None else int(v)
 
 
 def make_estimator(model_type: str, params: dict | None = None, n_classes: int | None = None):
     """A new MLlib estimator for a model type, with scikit-learn style parameters.
 
     Mapping: ``n_estimators`` -> ``numTrees`` (forests) / ``maxIter`` (boosting),
-    ``max_depth`` -> ``maxDepth`` (None -> 30, the MLlib cap), ``max_features``
-    -> ``featureSubsetStrategy``, ``criterion`` -> ``impurity`` (classifiers
-    only), ``learning_rate`` -> ``stepSize``, ``subsample`` -> ``subsamplingRate``,
-    ``min_samples_leaf`` / ``min_child_weight`` -> ``minInstancesPerNode``,
-    ``bootstrap`` -> ``bootstrap``. Parameters without an MLlib meaning are
-    ignored (e.g. ``n_jobs``, ``reg_lambda``, ``objective``).
+    ``max_depth`` -> ``maxDepth`` (forests and trees: absent or None means unlimited, in
+    MLlib 30; more is an error; boosting: absent means 6), ``max_features`` /
+    ``colsample_bytree`` -> ``featureSubsetStrategy`` (absent in a regression forest: all),
+    ``criterion`` -> ``impurity`` (classifiers only), ``learning_rate`` -> ``stepSize``,
+    ``subsample`` -> ``subsamplingRate``, ``min_samples_leaf`` / ``min_child_weight`` ->
+    ``minInstancesPerNode``, ``gamma`` -> ``minInfoGain``, ``bootstrap`` -> ``bootstrap``,
+    ``alpha`` -> ``regParam``, ``l1_ratio`` -> ``elasticNetParam``, ``C`` (logistic) ->
+    ``regParam`` = 1 / (C * rows), set by ``Modeler.fit``. ``IGNORED_PARAMS`` have no MLlib
+    meaning; MLlib's own names pass through; any other name raises ``ValueError``.
     """
     p = dict(params or {})
     kw: dict = {"seed": p.pop("random_state", 42)} if model_type not in ("linear", "elastic_net", "ridge",
@@ -82,10 +96,22 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
     if "n_estimators" in p:
         key = "maxIter" if model_type.startswith("xgb") else "numTrees"
         kw[key] = int(p.pop("n_estimators"))
-    if "max_depth" in p:
-        kw["maxDepth"] = _depth(p.pop("max_depth"))
-    if "max_features" in p and model_type in ("rf_classif", "et_classif", "rf_reg"):
-        kw["featureSubsetStrategy"] = _feature_subset(p.pop("max_features"))
+    if "max_depth" in p or model_type in _FOREST | _TREE and "maxDepth" not in p:
+        kw["maxDepth"] = _depth(p.pop("max_depth", None))
+    elif model_type in _BOOST and "maxDepth" not in p:
+        kw["maxDepth"] = 6
+    for k in ("max_features", "colsample_bytree"):
+        if k in p and model_type in _FOREST | _BOOST:
+            kw["featureSubsetStrategy"] = _feature_subset(p.pop(k))
+    if model_type == "rf_reg" and "featureSubsetStrategy" not in p:
+        kw.setdefault("featureSubsetStrategy", "all")
+    if "gamma" in p and model_type in _BOOST:
+        kw["minInfoGain"] = float(p.pop("gamma"))
+    if "alpha" in p and model_type in ("elastic_net", "ridge"):
+        kw["regParam"] = float(p.pop("alpha"))
+    if "l1_ratio" in p and model_type == "elastic_net":
+        kw["elasticNetParam"] = float(p.pop("l1_ratio"))
+    strength = float(p.pop("C", 1.0)) if model_type == "logistic" else None
     if "criterion" in p:
         crit = p.pop("criterion")
         if model_type in ("rf_classif", "et_classif", "dt_classif"):
@@ -102,9 +128,13 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
     if model_type == "xgb_classif" and n_classes is not None and n_classes > 2:
         model_type = "xgb_multiclass"                # gradient boosting is binary in MLlib: one-vs-rest
     est = _build(model_type, kw)
-    for k, v in p.items():                       # MLlib parameter names pass through; others are ignored
+    for k, v in p.items():
         if "_" not in k and est.hasParam(k):
             est._set(**{k: v})
+        elif k not in IGNORED_PARAMS:
+            raise ValueError(f"{model_type}: parameter {k!r} has no MLlib counterpart")
+    if strength is not None and "regParam" not in p:
+        est.inverse_strength = strength   # 1 / (C * rows) needs the number of rows: Modeler.fit
     return est
 
 
@@ -187,12 +217,20 @@ class Modeler:
             .drop("_target_str")
 
     indexer = None
+    target_type: str | None = None   # of the training rows; a loaded classifier goes by its labels
 
     def fit(self, training: DataFrame) -> "Modeler":
         """Fit on ``training``; the labelled rows are persisted for the many passes of the fit."""
         data = self._labelled(training).persist(StorageLevel.MEMORY_AND_DISK)
+        self.target_type = training.schema[self.target].dataType.simpleString()
         try:
-            self.model = self.pipeline().fit(data)
+            pipe = self.pipeline()
+            weak = [s for s in pipe.getStages() if hasattr(s, "inverse_strength")]
+            if weak:
+                rows = data.count()
+                for s in weak:
+                    s.setRegParam(1.0 / (s.inverse_strength * max(rows, 1)))
+            self.model = pipe.fit(data)
         finally:
             data.unpersist()
         return self
@@ -205,7 +243,9 @@ class Modeler:
         if self.is_classifier:
             out = MF.IndexToString(inputCol="_pred_index", outputCol="_pred_label",
                                    labels=self.indexer.labels).transform(out)
-            out = out.withColumn("prediction", F.col("_pred_label").cast("double")).drop("_pred_label", "_pred_index")
+            whole = all(x.lstrip("-").isdigit() for x in self.indexer.labels)
+            kind = self.target_type or ("bigint" if whole else "double")
+            out = out.withColumn("prediction", F.col("_pred_label").cast(kind)).drop("_pred_label", "_pred_index")
         drop = [c for c in ("features", "label", "rawPrediction", "probability") if c in out.columns]
         return out.drop(*drop)
 
@@ -279,35 +319,36 @@ class FastICA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
     tol = Param(Params._dummy(), "tol", "convergence tolerance", typeConverter=TypeConverters.toFloat)
     maxIter = Param(Params._dummy(), "maxIter", "max fixed-point steps", typeConverter=TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "random seed", typeConverter=TypeConverters.toInt)
+    minVariance = Param(Params._dummy(), "minVariance", "smallest eigenvalue kept, relative to the largest",
+                        typeConverter=TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, inputCol="features", outputCol="ica", nComponents=None, tol=1e-4, maxIter=200, seed=42):
+    def __init__(self, inputCol="features", outputCol="ica", nComponents=None, tol=1e-4, maxIter=200, seed=42,
+                 minVariance=1e-10):
         super().__init__()
-        self._setDefault(inputCol="features", outputCol="ica", nComponents=None, tol=1e-4, maxIter=200, seed=42)
+        self._setDefault(inputCol="features", outputCol="ica", nComponents=None, tol=1e-4, maxIter=200, seed=42,
+                         minVariance=1e-10)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "FastICAModel":
-        from pyspark.ml.stat import Summarizer
-
         # the fixed-point loop passes over the data many times: keep the (narrow) input persisted
         x = df.select(vector_to_array(F.col(self.getInputCol())).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return self._fit_persisted(df, x)
+            return self._fit_persisted(x)
         finally:
             x.unpersist()
 
-    def _fit_persisted(self, df: DataFrame, x: DataFrame) -> "FastICAModel":
-        from pyspark.ml.stat import Summarizer
-
-        summ = df.select(Summarizer.metrics("mean", "count").summary(F.col(self.getInputCol())).alias("s")).first().s
-        mean = np.asarray(summ.mean.toArray())
-        n_rows = int(summ["count"])
-        d = mean.size
+    def _fit_persisted(self, x: DataFrame) -> "FastICAModel":
+        d = int(x.select(F.size("x")).first()[0])
+        sums = _partial_sum(x, lambda a: np.append(a.sum(axis=0), len(a)), (d + 1,))
+        n_rows = int(sums[d])
+        mean = sums[:d] / max(n_rows, 1)
         cov = _partial_sum(x, lambda a: (a - mean).T @ (a - mean), (d, d)) / max(n_rows - 1, 1)
         eigval, eigvec = np.linalg.eigh(cov)
         order = np.argsort(eigval)[::-1]
         eigval, eigvec = eigval[order], eigvec[:, order]
-        rank = int((eigval > max(eigval[0], 0.0) * 1e-10).sum()) or 1   # drop directions without variance
+        # directions without variance have no component: below minVariance of the largest eigenvalue
+        rank = int((eigval > max(eigval[0], 0.0) * self.getOrDefault(self.minVariance)).sum()) or 1
         k = min(self.getOrDefault(self.nComponents) or d, rank)
         eigval, eigvec = eigval[:k], eigvec[:, :k]
         eigval = np.maximum(eigval, 1e-12)
@@ -335,6 +376,9 @@ class FastICA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Defau
         return model
 
 
+LANES = 64   # arrays that meet on the driver per step
+
+
 def _sym_decorrelate(w: np.ndarray) -> np.ndarray:
     s, u = np.linalg.eigh(w @ w.T)
     s = np.maximum(s, 1e-12)
@@ -342,10 +386,10 @@ def _sym_decorrelate(w: np.ndarray) -> np.ndarray:
 
 
 def _partial_sum(x: DataFrame, fn, shape) -> np.ndarray:
-    """Sum ``fn(rows as a matrix)`` over all partitions: one partial per partition, summed.
+    """Sum ``fn(rows as a matrix)`` over all partitions, as a tree.
 
-    Like a tree aggregate: each task reduces its rows to one small array; only
-    the per-partition partials (bounded by the partition count) reach the driver.
+    Each task reduces its rows to one small array, ``LANES`` tasks add those up, and only
+    their sums (at most ``LANES`` arrays, whatever the partition count) reach the driver.
     """
     size = int(np.prod(shape))
 
@@ -355,9 +399,13 @@ def _partial_sum(x: DataFrame, fn, shape) -> np.ndarray:
             if len(pdf):
                 a = np.stack(pdf["x"].to_numpy()).astype(float)
                 acc += np.asarray(fn(a)).ravel()
-        yield pd.DataFrame({"p": [acc.tolist()]})
+        yield pd.DataFrame({"lane": [TaskContext.get().partitionId() % LANES], "p": [acc.tolist()]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lane": pdf["lane"].iloc[:1], "p": [np.sum(np.stack(pdf["p"].to_numpy()), axis=0).tolist()]})
 
-    parts = x.mapInPandas(part, schema="p array<double>").collect()
+    lanes = "lane int, p array<double>"
+    parts = x.mapInPandas(part, schema=lanes).groupBy("lane").applyInPandas(add, schema=lanes).collect()
     total = np.zeros(size)
     for r in parts:
         total += np.asarray(r.p)

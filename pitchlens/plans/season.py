@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import constants as K
 from ..operators.clean import clean_game_data
 from ..operators.playtime import eligible_players, play_time, timed_raw
+from ..sources.store import land
 from ..sources.xml import read_game_events, read_players
 
 
@@ -26,11 +27,13 @@ def season_from_xml(spark: SparkSession, games: str, registry: str | None,
 
     ``with_source`` qualifies game keys with the feed file, so seasons do not collide.
     """
-    raw = read_game_events(spark, games)
+    # The feeds are parsed once, here: everything below scans the landed Parquet copies.
+    raw = land(spark, "xml_events", lambda: read_game_events(spark, games), [games])
     events = clean_game_data(raw, with_source)
     ev = timed_raw(raw, with_source)
     if registry:
-        players, moved = read_players(spark, registry)
+        players = land(spark, "xml_players", lambda: read_players(spark, registry)[0], [registry])
+        moved = land(spark, "xml_moved", lambda: read_players(spark, registry)[1], [registry])
     else:
         empty = spark.createDataFrame([], "player_id bigint, loan string, arrival_date date")
         players, moved = empty, empty.select("player_id")

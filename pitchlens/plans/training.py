@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.encode import apply_lag_encoders, fit_lag_encoders
+from ..session import cut
 from . import models as M
 from .features import season_next_event, window_features
 from .scoring import feature_medians, impute_with_medians, player_scoring_features, prediction_rows
 
+EVENT_KEY = ("game", "seq")
+WINDOW_KEY = ("game", "time_period", "player_id")
 P1_FEATURES = K.player_features()
 P2_FEATURES = K.next_event_features("x")
 P3X_FEATURES = K.next_event_features("x")
@@ -37,9 +40,12 @@ COORDS_X_BOOST = {"learning_rate": 0.1, "max_depth": 9, "min_child_weight": 18,
 COORDS_Y_BOOST = {"learning_rate": 0.1, "max_depth": 9, "min_child_weight": 19, "n_estimators": 100, "subsample": 0.95}
 
 
-def default_split(seq_col: str = "seq") -> Column:
-    """Deterministic 70/30 split by a hash of the event id (stable across partitionings)."""
-    return F.pmod(F.xxhash64(F.col(seq_col)), F.lit(100)) < 70
+def default_split(*keys: str) -> Column:
+    """Deterministic 70/30 split by a hash of the row's key (stable across partitionings).
+
+    The key of an event is (game, seq): ``seq`` starts anew in every game of a feed.
+    """
+    return F.pmod(F.xxhash64(*[F.col(c) for c in keys or EVENT_KEY]), F.lit(100)) < 70
 
 
 def player_training_set(me: DataFrame, eligible: DataFrame | None) -> tuple[DataFrame, dict]:
@@ -51,9 +57,11 @@ def player_training_set(me: DataFrame, eligible: DataFrame | None) -> tuple[Data
 
 
 def next_event_sets(me: DataFrame, split: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    nxt = season_next_event(me).na.drop()
-    split = split if split is not None else default_split()
-    return nxt.where(split), nxt.where(~split)
+    return split_rows(season_next_event(me).na.drop(), split if split is not None else default_split())
+
+
+def split_rows(df: DataFrame, split: Column) -> tuple[DataFrame, DataFrame]:
+    return df.where(split), df.where(~split)
 
 
 @dataclass
@@ -140,39 +148,78 @@ class TrainedModels:
 def train_all(me: DataFrame, eligible: DataFrame | None, out_dir: str | None = None,
               split: Column | None = None, player_params: dict | None = None, team_params: dict | None = None,
               coords_params: dict | None = None, with_ica: bool = True) -> TrainedModels:
-    """Fit the three problems' models; optional save under ``out_dir``; metrics on the 30 % test rows."""
+    """Fit the three problems' models on all rows; optional save under ``out_dir``.
+
+    The metrics come from models fitted on the 70 % training rows and applied to the other 30 %;
+    the models that are returned (and saved, and scored with) are then fitted on every row, with
+    encoders and medians of every row.
+    """
+    feats = cut(window_features(me, eligible))
+    nxt = cut(season_next_event(me).na.drop())
+    metrics = evaluate(feats, nxt, split, player_params, team_params, coords_params, with_ica)
+
+    med = feature_medians(feats, P1_FEATURES)
+    player = player_model(player_params, with_ica).fit(_imputed(feats, med))
+    e2 = encode_sets(nxt, nxt, "team_change", "team_id")
+    ex = encode_sets(nxt, nxt, "distance", "x_along_team1_axis")
+    ey = encode_sets(nxt, nxt, "distance", "y_along_team1_axis")
+    tm = TrainedModels(player, med, next_team_stack(team_params).fit(e2.train), e2.encoders,
+                       coords_model("x", coords_params).fit(ex.train), ex.encoders,
+                       coords_model("y", coords_params).fit(ey.train), ey.encoders, metrics)
+    if out_dir:
+        save_trained(tm, out_dir)
+    return tm
+
+
+def _imputed(feats: DataFrame, medians: dict) -> DataFrame:
+    return impute_with_medians(feats, feats, P1_FEATURES, keep=list(WINDOW_KEY), medians=medians)
+
+
+def predict_coords(ex: Encoded, ey: Encoded, mx: M.Modeler, my: M.Modeler) -> DataFrame:
+    """game, seq, both targets, x_pred, y_pred: one row per test event (joined on the event's key)."""
+    px = mx.predict(ex.test).select(*EVENT_KEY, "x_along_team1_axis", F.col("prediction").alias("x_pred"))
+    py = my.predict(ey.test).select(*EVENT_KEY, "y_along_team1_axis", F.col("prediction").alias("y_pred"))
+    return px.join(py, list(EVENT_KEY))
+
+
+def evaluate_player(feats: DataFrame, params: dict | None = None, with_ica: bool = True) -> tuple[DataFrame, float]:
+    """Hold-out evaluation of the player model: (test rows with ``prediction``, accuracy).
+
+    Rows are split by their key; medians and model come from the training rows alone.
+    """
     from ..operators import metrics as MT
 
-    spark = me.sparkSession
-    p1, med = player_training_set(me, eligible)
-    player = player_model(player_params, with_ica).fit(p1)
+    train, test = split_rows(feats, default_split(*WINDOW_KEY))
+    med = feature_medians(train, P1_FEATURES)
+    pred = player_model(params, with_ica).fit(_imputed(train, med)).predict(_imputed(test, med))
+    return pred, float(MT.accuracy(pred, "player_id", "prediction").first()[0] or 0.0)
+
 
-    train, test = next_event_sets(me, split)
+def evaluate(feats: DataFrame, nxt: DataFrame, split: Column | None = None, player_params: dict | None = None,
+             team_params: dict | None = None, coords_params: dict | None = None, with_ica: bool = True) -> DataFrame:
+    """Metrics of the three problems on held-out rows: problem, metric, value."""
+    from ..operators import metrics as MT
+
+    _, player_acc = evaluate_player(feats, player_params, with_ica)
+    train, test = split_rows(nxt, split if split is not None else default_split())
     e2 = encode_sets(train, test, "team_change", "team_id")
     team = next_team_stack(team_params).fit(e2.train)
     acc = MT.accuracy(team.predict(e2.test), "team_id", "prediction").first()[0]
-
     ex = encode_sets(train, test, "distance", "x_along_team1_axis")
     ey = encode_sets(train, test, "distance", "y_along_team1_axis")
-    mx = coords_model("x", coords_params).fit(ex.train)
-    my = coords_model("y", coords_params).fit(ey.train)
-    px = mx.predict(ex.test).select("seq", F.col("prediction").alias("x_pred"), "x_along_team1_axis")
-    py = my.predict(ey.test).select("seq", F.col("prediction").alias("y_pred"), "y_along_team1_axis")
-    both = px.join(py, "seq")
+    both = cut(predict_coords(ex, ey, coords_model("x", coords_params).fit(ex.train),
+                              coords_model("y", coords_params).fit(ey.train)))
     l2 = MT.avg_l2_error(both, "x_along_team1_axis", "y_along_team1_axis", "x_pred", "y_pred").first()[0]
-    msex = MT.mse(px, "x_along_team1_axis", "x_pred").first()[0]
-    msey = MT.mse(py, "y_along_team1_axis", "y_pred").first()[0]
-    metrics = spark.createDataFrame([
+    msex = MT.mse(both, "x_along_team1_axis", "x_pred").first()[0]
+    msey = MT.mse(both, "y_along_team1_axis", "y_pred").first()[0]
+    return nxt.sparkSession.createDataFrame([
+        ("player", "accuracy", player_acc),
         ("next_team", "accuracy", float(acc or 0.0)),
         ("coords", "avg_l2_error", float(l2 or 0.0)),
         ("coords", "l2_accuracy", float(1.0 - (l2 or 0.0) / K.MAX_L2_ERROR)),
         ("coords_x", "mse", float(msex or 0.0)),
         ("coords_y", "mse", float(msey or 0.0)),
     ], "problem string, metric string, value double")
-    tm = TrainedModels(player, med, team, e2.encoders, mx, ex.encoders, my, ey.encoders, metrics)
-    if out_dir:
-        save_trained(tm, out_dir)
-    return tm
 
 
 _ENCODER_SETS = {"team": ("team_id", "team_change"), "x": ("x_along_team1_axis", "distance"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that every job in this package relies on. They are applied to a
 # session only where the session does not set them already.
@@ -57,8 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (distributed) folder and is
-    used as is. Only where it is unset (local tests) a fresh folder under
-    the system temp directory is created and registered.
+    used as is; without it a ``ValueError`` is raised, as a machine-local
+    folder would lose what other executors write. Only a local session
+    (tests, one machine) gets a fresh folder under the system temp directory.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -68,12 +69,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local_dir = tempfile.mkdtemp(prefix="pitchlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local_dir)
     spark.sparkContext.setCheckpointDir(local_dir)
     return local_dir
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write a table that is read many times once: an eager checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for a materialised table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

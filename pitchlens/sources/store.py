@@ -5,82 +5,79 @@ table exists it is read, else it is built, written as Parquet and read back.
 The write is a lineage cut that survives lost executors (unlike a local
 checkpoint): the default location is the shared folder the cluster names in
 ``spark.checkpoint.dir``.
+
+A dataset is a folder of versions. A version counts once its write is
+committed (``_SUCCESS``); readers take the newest one. A refresh writes a new
+version and touches no other, so handles on older versions stay readable;
+``drop_old_versions`` is the only thing that deletes, and only when called.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
 
+#: Version of the projections that landed tables hold; raise it when their rows or columns change.
+PROJECTION_VERSION = 2
+
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, _ = _fs(spark, path)
-    return fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Committed versions of a dataset, oldest first (full paths)."""
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        return []
+    names = sorted(st.getPath().getName() for st in fs.listStatus(root) if st.isDirectory())
+    done = [f"{path}/{n}" for n in names if n.startswith("v")]
+    return [p for p in done if fs.exists(_fs(spark, f"{p}/_SUCCESS")[1])]
 
 
-def materialize(spark: SparkSession, name: str, builder: Callable[[], DataFrame], refresh: bool = False,
-                path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Read dataset ``name`` if it was written before, else build, write and read it.
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Delete all committed versions but the newest; the caller knows that nobody reads them."""
+    old = versions(spark, path)[:-1]
+    for p in old:
+        fs, hp = _fs(spark, p)
+        fs.delete(hp, True)
+    return len(old)
 
-    The table is written to a unique temporary directory and renamed into
-    place, so a failed or concurrent writer never leaves a half-written table
-    behind (a table without ``_SUCCESS`` is rebuilt).
-    """
-    import uuid
 
+def materialize(spark: SparkSession, name: str, builder: Callable[[], DataFrame], refresh: bool = False,
+                path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """Read the newest version of dataset ``name``, or build, write and read one (always with ``refresh``)."""
     path = path or shared_path(spark, name if name.startswith("landed/") else f"datasets/{name}")
-    if refresh or not _exists(spark, path):
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        writer = builder().write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(tmp)
-        fs, target = _fs(spark, path)
-        _, staged = _fs(spark, tmp)
-        if fs.exists(target) and (refresh or not _exists(spark, path)):
-            fs.delete(target, True)
-        if not fs.rename(staged, target):      # another writer finished first: keep its table
-            fs.delete(staged, True)
-    return spark.read.parquet(path)
-
-
-_CODE_KEY: list[str] = []
-
-
-def code_key() -> str:
-    """Hash of this package's source files: a landed table is rebuilt when the code that derives it changes."""
-    if not _CODE_KEY:
-        import hashlib
-        import pathlib
-
-        root = pathlib.Path(__file__).resolve().parent.parent
-        h = hashlib.sha1()
-        for f in sorted(root.rglob("*.py")):
-            h.update(f.read_bytes())
-        _CODE_KEY.append(h.hexdigest()[:12])
-    return _CODE_KEY[0]
+    have = versions(spark, path)
+    if have and not refresh:
+        return spark.read.parquet(have[-1])
+    new = f"{path}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    writer = builder().write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(new)
+    return spark.read.parquet(new)
 
 
 def source_key(spark: SparkSession, *paths: str) -> str:
-    """Identity of input files (path, size, modification time) and of the code, as a short hash."""
-    import hashlib
-
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    h = hashlib.sha1(code_key().encode())
+    """Identity of input files as a short hash: every file below each path (or glob) with size and time."""
+    h = hashlib.sha1(str(PROJECTION_VERSION).encode())
     for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        st = hp.getFileSystem(conf).getFileStatus(hp)
-        h.update(f"{p}|{st.getLen()}|{st.getModificationTime()}".encode())
+        fs, hp = _fs(spark, p)
+        files = []
+        for top in fs.globStatus(hp) or []:
+            it = fs.listFiles(top.getPath(), True)
+            while it.hasNext():
+                st = it.next()
+                files.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+        h.update("\n".join([p, *sorted(files)]).encode())
     return h.hexdigest()[:16]
 
 
@@ -95,7 +92,7 @@ def land(spark: SparkSession, name: str, builder: Callable[[], DataFrame], sourc
     The scan DataFrame itself is reused within a session (it is immutable).
     """
     key = source_key(spark, *sources)
-    memo = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), name, key)
+    memo = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), name, key)
     if memo not in _LANDED:
         _LANDED[memo] = materialize(spark, f"landed/{name}-{key}", builder)
     return _LANDED[memo]

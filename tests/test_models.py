@@ -90,3 +90,45 @@ def test_pipeline_with_python_stages_saves_and_loads(spark, tmp_path):
     a = [r.ica for r in model.transform(df).select(vector_to_array("ica").alias("ica")).collect()]
     b = [r.ica for r in back.transform(df).select(vector_to_array("ica").alias("ica")).collect()]
     assert np.allclose(np.array(a), np.array(b))
+
+
+def test_no_silent_parameter_changes(spark):
+    with pytest.raises(ValueError, match="max_depth"):
+        M.make_estimator("rf_classif", {"max_depth": 50})
+    with pytest.raises(ValueError, match="no MLlib counterpart"):
+        M.make_estimator("rf_classif", {"max_leaf_nodes": 5})
+    for kind in ("rf_classif", "et_classif", "rf_reg", "dt_classif", "dt_reg"):
+        assert M.make_estimator(kind).getMaxDepth() == M.make_estimator(kind, {"max_depth": None}).getMaxDepth() == 30
+    assert M.make_estimator("rf_reg").getFeatureSubsetStrategy() == "all"
+    gbt = M.make_estimator("xgb_reg", {"gamma": 0.2, "colsample_bytree": 0.5})
+    assert gbt.getMaxDepth() == 6 and gbt.getMinInfoGain() == 0.2 and gbt.getFeatureSubsetStrategy() == "0.5"
+    df = _blobs(spark)
+    m = M.Modeler("logistic", {"C": 0.01}, "player_id", ["a", "b", "c"]).fit(df)
+    assert m.model.stages[-1].getRegParam() == pytest.approx(1 / (0.01 * df.count()))
+
+
+def test_predicted_ids_keep_their_type(spark):
+    big = 2**53 + 1
+    df = _blobs(spark).withColumn("player_id", F.col("player_id") + big)
+    m = M.Modeler("dt_classif", {"max_depth": 5}, "player_id", ["a", "b", "c"]).fit(df)
+    pred = m.predict(df)
+    assert dict(pred.dtypes)["prediction"] == "bigint"
+    assert {r[0] for r in pred.select("prediction").distinct().collect()} <= {101 + big, 205 + big, 307 + big}
+
+
+def test_split_and_coordinate_join_use_the_event_key(spark):
+    """``seq`` starts anew in every game: games must be split independently and never be paired."""
+    from pitchlens.plans import training as TR
+
+    df = spark.range(40).select((F.col("id") % 2).cast("string").alias("game"), (F.col("id") / 2).cast("int").alias("seq"))
+    train, test = TR.split_rows(df, TR.default_split())
+    both = {(r.game, r.seq) for r in train.collect()}
+    assert len(both) + test.count() == 40 and any((g, s) in both and (str(1 - int(g)), s) not in both for g, s in both)
+
+    class Same:
+        def predict(self, rows):
+            return rows.withColumn("prediction", F.col("seq").cast("double"))
+
+    rows = df.withColumns({"x_along_team1_axis": F.lit(1.0), "y_along_team1_axis": F.lit(2.0)})
+    enc = TR.Encoded(rows, rows, {})
+    assert TR.predict_coords(enc, enc, Same(), Same()).count() == 40

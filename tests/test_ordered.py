@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pitchlens.operators.ordered import ordered_lag, ordered_position
@@ -39,11 +41,18 @@ def test_position_blocked_and_global(spark):
     assert got == list(range(1, df.count() + 1))
 
 
-def test_auto_strategy_picks_blocked_for_hot_keys(spark):
+def test_building_a_plan_runs_no_job_and_unknown_strategies_are_refused(spark):
     df = data(spark)
-    auto = ordered_lag(df, ["k"], "seq", ["v"], [1], block=13, max_group_rows=10)
-    direct = ordered_lag(df, ["k"], "seq", ["v"], [1], strategy="direct")
-    assert collect(auto, ["seq", "v_lag1"]) == collect(direct, ["seq", "v_lag1"])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans only")
+    ordered_lag(df, ["k"], "seq", ["v", "w"], [1, 3], block=13)
+    ordered_position(df, ["k"], "seq", block=13)
+    last_rows(df, 3, keys=["k"])
+    all_but_last(df, 3, keys=["k"])
+    assert tracker.getJobIdsForGroup("building") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    with pytest.raises(ValueError):
+        ordered_lag(df, ["k"], "seq", ["v"], [1], strategy="auto")
 
 
 def test_last_rows_and_all_but_last(spark):
@@ -51,7 +60,10 @@ def test_last_rows_and_all_but_last(spark):
     per_k = {r.k: r.c for r in df.groupBy("k").agg(F.count("*").alias("c")).collect()}
     last = last_rows(df, 2, keys=["k"], block=5)
     assert last.count() == 2 * len(per_k)
-    rest = all_but_last(df, 10, keys=["k"], block=5)
+    assert collect(last_rows(df, 1, keys=["k"]), df.columns) == collect(last_rows(df, 2, keys=["k"], block=5)
+                                                                     .join(df.groupBy("k").agg(F.max("seq").alias("seq")), ["k", "seq"]), df.columns)
+    assert all_but_last(df, 10_000, keys=["k"]).count() == 0
+    rest = all_but_last(df, 10, keys=["k"])
     assert rest.count() == sum(c - 10 for c in per_k.values())
     mx = {r.k: r.m for r in df.groupBy("k").agg(F.max("seq").alias("m")).collect()}
     assert all(r.seq != mx[r.k] for r in rest.collect())

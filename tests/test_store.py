@@ -1,4 +1,7 @@
-from pitchlens.sources.store import materialize, read_csv_table, write_predictions, write_table
+from pyspark.sql import functions as F
+
+from pitchlens.sources.store import (drop_old_versions, land, materialize, read_csv_table, source_key, versions, write_predictions,
+                                     write_table)
 
 
 def test_csv_round_trip_and_index_column(spark, tmp_path):
@@ -30,3 +33,22 @@ def test_materialize_builds_once(spark, tmp_path):
     assert materialize(spark, "x", build, path=p).count() == 3
     assert len(calls) == 1
     assert materialize(spark, "x", build, path=p, refresh=True).count() == 3 and len(calls) == 2
+
+
+def test_refresh_keeps_earlier_versions_readable(spark, tmp_path):
+    p = str(tmp_path / "ds")
+    first = materialize(spark, "x", lambda: spark.range(3), path=p)
+    second = materialize(spark, "x", lambda: spark.range(5), path=p, refresh=True)
+    assert (first.count(), second.count(), materialize(spark, "x", None, path=p).count()) == (3, 5, 5)
+    assert drop_old_versions(spark, p) == 1 and len(versions(spark, p)) == 1 and second.count() == 5
+
+
+def test_landing_sees_new_files_in_a_partitioned_folder(spark, tmp_path):
+    src = str(tmp_path / "src")
+    spark.range(10).withColumn("day", F.lit("a")).write.partitionBy("day").parquet(src)
+    before = source_key(spark, src)
+    assert land(spark, "t", lambda: spark.read.parquet(src), [src]).count() == 10
+    spark.range(9).write.parquet(f"{src}/day=a/more")  # the top folder stays as it was
+    assert source_key(spark, src) != before and source_key(spark, f"{src}/*") != source_key(spark, src)
+    got = land(spark, "t", lambda: spark.read.option("recursiveFileLookup", True).parquet(src), [src])
+    assert got.count() == 19
