@@ -22,6 +22,7 @@ from pitchlens.llm._text import NOT_WORD, chunks
 
 MAX_ROWS = 10_000    # labelled rows a chain is fitted on
 FOLDS = 3
+CANDIDATES = 1 << 16 # words of the sample that a model may choose from (places fit 16 bits)
 MAX_FEATURES = 256   # words of one model
 STEMS = (4, 5, 6)    # bytes of the word beginnings that are features beside whole words
 MIN_ROWS = 5         # rows a word must be in
@@ -32,7 +33,7 @@ RIDGE = 0.03
 class Linear:
     """One category: weights of words (by hash), of earlier categories' log-odds, and the intercept."""
 
-    word: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    word: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     earlier: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
@@ -106,50 +107,73 @@ def apply_one(m: Linear, words: np.ndarray, row: np.ndarray, n: int, odds: np.nd
     return _sigmoid(z)
 
 
+def _features(w) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit hash, document) of every word and word beginning of a chunk."""
+    h, doc = w.stems(STEMS)
+    return (h >> np.uint64(32)).astype(np.uint32), doc
+
+
 def _once(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) pairs sorted by document, each once."""
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.append(True, (np.diff(doc) != 0) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    return h[new], doc[new]
+    pair = np.unique(doc.astype(np.uint64) << np.uint64(32) | h)
+    return pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.int64)
 
 
 def _word_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = []
         for w in chunks(b.column(0), lower=True, gap=NOT_WORD):
-            h, doc = _once(*w.stems(STEMS))
+            h, doc = _once(*_features(w))
             sets += [x.tobytes() for x in np.split(h, np.searchsorted(doc, np.arange(1, w.n_docs)))]
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], ["h", "i", "y", "words"])
 
 
-def _fit_task(category: int, folds: int, odds: np.ndarray):
-    """Rows of one task: the whole sample. Task `folds` fits on all rows, task k leaves fold k out and predicts it."""
+def _row_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        f, c = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in b.column(0)] or [np.zeros(0, np.uint32)]),
+                         return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(c)], ["f", "c"])
+
+
+def _known_words(known: np.ndarray):
+    """Each row's words as places in the sorted candidates (16 bits each)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(3):
+                w = np.frombuffer(x.as_py(), np.uint32)
+                at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
+                out.append(at[known[at] == w].astype(np.uint16).tobytes() if len(known) else b"")
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["h", "i", "y", "words"])
+
+    return run
+
+
+def _fit_task(sample, category: int, folds: int, odds: np.ndarray):
+    """Task ``folds`` fits on the whole sample, task k leaves fold k out and predicts it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n").reset_index(drop=True)
-        task = int(pdf["task"].iloc[0])
-        n = pdf["n"].to_numpy()
-        y = np.array([v[category] for v in pdf["y"]], float)
-        words = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, y_all, words = sample.value
+        n = np.arange(len(y_all))
         fold = n % folds
-        use = (y >= 0) & (fold != task)
-
-        def part(which):
-            k = np.flatnonzero(which)
-            size = [len(words[i]) for i in k]
-            flat = np.concatenate([words[i] for i in k]) if len(k) else np.zeros(0, np.uint64)
-            return flat, np.repeat(np.arange(len(k)), size), odds[n[k]]
-
-        flat, row, o = part(use)
-        m = fit_one(flat, row, y[use], o)
-        out = {"task": task, "word": m.word.tobytes(), "weight": m.weight.tobytes(), "earlier": m.earlier.tobytes(), "bias": m.bias,
-               "rows": b"", "p": b""}
-        if task < folds:
-            flat, row, o = part(fold == task)
-            rest = n[fold == task]
-            out["rows"], out["p"] = rest.astype(np.int64).tobytes(), apply_one(m, flat, row, len(rest), o).tobytes()
-        return pd.DataFrame([out])
+        for task in (int(t) for pdf in frames for t in pdf["id"]):
+            y = y_all[:, category].astype(float)
+
+            def part(which):
+                k = np.flatnonzero(which)
+                flat = np.concatenate([words[i] for i in k] or [np.zeros(0, np.uint16)])
+                return known[flat], np.repeat(np.arange(len(k)), [len(words[i]) for i in k]), odds[k]
+
+            use = (y >= 0) & (fold != task)
+            flat, row, o = part(use)
+            m = fit_one(flat, row, y[use], o)
+            out = {"task": task, "word": m.word.tobytes(), "weight": m.weight.tobytes(), "earlier": m.earlier.tobytes(),
+                   "bias": m.bias, "p": b""}
+            if task < folds:
+                flat, row, o = part(fold == task)
+                out["p"] = apply_one(m, flat, row, len(o), o).tobytes()
+            yield pd.DataFrame([out])
 
     return run
 
@@ -158,42 +182,48 @@ def fit(labelled: DataFrame, categories: dict[str, Column], max_rows: int = MAX_
         id_col: str = "doc_id", text_col: str = "text") -> list[Linear]:
     """Models of the chain in the order of ``categories`` (name -> 0/1 column; NULL: not labelled).
 
-    At most ``max_rows`` rows are used, chosen by a hash of the id; each fit is one task over them.
+    At most ``max_rows`` rows are used, chosen by a hash of the id, and of their words the ``CANDIDATES`` that are in
+    most rows; this bounded sample is what is broadcast. The fits of a category run side by side as tasks.
     """
+    spark = labelled.sparkSession
     y = F.array(*[F.coalesce(c.cast("int"), F.lit(-1)) for c in categories.values()])
-    pick = labelled.select(F.col(text_col).alias("text"), y.alias("y"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("long").alias("i"))
+    pick = labelled.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("long").alias("i"), y.alias("y"))
     # The largest hash that still belongs to the sample, found over the ids alone.
     last = pick.select("h").orderBy("h").limit(max_rows).agg(F.max("h"), F.count("h")).first()
     if not last[1]:
         return [Linear(earlier=np.zeros(k)) for k in range(len(categories))]
-    rows = pick.where(F.col("h") <= last[0])
-    sets = rows.select("text", "h", "i", "y").mapInArrow(_word_sets, "h long, i long, y array<int>, words binary")
-    sample = cut(sets.orderBy("h", "i").limit(max_rows).withColumn("n", F.row_number().over(W.partitionBy().orderBy("h", "i")) - 1))
-    count = sample.count()
-    odds, models = np.zeros((count, 0)), []
-    tasks = sample.withColumn("task", F.explode(F.array(*[F.lit(k) for k in range(folds + 1)])))
-    out = "task int, word binary, weight binary, earlier binary, bias double, rows binary, p binary"
+    sets = pick.where(F.col("h") <= last[0]).mapInArrow(_word_sets, "h long, i long, y array<int>, words binary")
+    rows = cut(sets.orderBy("h", "i").limit(max_rows))
+    top = (rows.select("words").mapInArrow(_row_counts, "f long, c long").groupBy("f").agg(F.sum("c").alias("c"))
+           .where(F.col("c") >= MIN_ROWS).orderBy(F.desc("c"), "f").limit(CANDIDATES).toArrow())
+    known = np.sort(top["f"].to_numpy().astype(np.uint32))
+    got = sorted(rows.mapInArrow(_known_words(known), "h long, i long, y array<int>, words binary").collect(),
+                 key=lambda r: (r["h"], r["i"] is None, r["i"]))
+    sample = spark.sparkContext.broadcast((known, np.array([r["y"] for r in got], np.int8),
+                                           [np.frombuffer(r["words"], np.uint16) for r in got]))
+    odds, models = np.zeros((len(got), 0)), []
     for k in range(len(categories)):
-        fits = tasks.groupBy("task").applyInPandas(_fit_task(k, folds, odds), out).collect()
-        p = np.full(count, 0.5)
-        for r in fits:
+        tasks = spark.range(0, folds + 1, 1, folds + 1)
+        p = np.full(len(got), 0.5)
+        for r in tasks.mapInPandas(_fit_task(sample, k, folds, odds),
+                                   "task int, word binary, weight binary, earlier binary, bias double, p binary").collect():
             if r["task"] == folds:
-                models.append(Linear(np.frombuffer(r["word"], np.uint64), np.frombuffer(r["weight"]),
+                models.append(Linear(np.frombuffer(r["word"], np.uint32), np.frombuffer(r["weight"]),
                                      np.frombuffer(r["earlier"]), r["bias"]))
             else:
-                p[np.frombuffer(r["rows"], np.int64)] = np.frombuffer(r["p"])
+                p[r["task"]::folds] = np.frombuffer(r["p"])
         odds = np.hstack([odds, _log_odds(p)[:, None]])
     return models
 
 
 def _scored(models: list[Linear]):
-    every = np.unique(np.concatenate([m.word for m in models] or [np.zeros(0, np.uint64)]))
+    every = np.unique(np.concatenate([m.word for m in models] or [np.zeros(0, np.uint32)]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.zeros((b.num_rows, len(models)))
             for w in chunks(b.column(1), lower=True, gap=NOT_WORD):
-                h, doc = w.stems(STEMS)
+                h, doc = _features(w)
                 hit = every[np.minimum(np.searchsorted(every, h), len(every) - 1)] == h if len(every) else np.zeros(len(h), bool)
                 h, doc = _once(h[hit], doc[hit])
                 odds = np.zeros((w.n_docs, 0))
