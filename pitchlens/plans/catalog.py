@@ -231,6 +231,31 @@ def materialized_stats(spark, d):
     return materialize(spark, _dataset_name(spark, "window_features", d), _never)
 
 
+@query("csv_round_trip", O.with_(*PTQ) + final("pt", ["start_game", "end_game", "game_time_in_sec"]))
+def csv_round_trip(spark, d):
+    """The play-time table written as CSV with a header and read back with its schema."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.store import read_csv_table, write_table
+
+    pt = pt_(spark, d)
+    path = shared_path(spark, f"csv/play_time-{uuid.uuid4().hex}")
+    write_table(pt, path, fmt="csv")
+    return read_csv_table(spark, path, pt.schema)
+
+
+@query("directory_scan", O.with_(*RAW) + "SELECT home_team_id, period_id, count(*) AS n_rows, CAST(max(seq) AS BIGINT) AS last_seq "
+       "FROM raw GROUP BY home_team_id, period_id")
+def directory_scan(spark, d):
+    """A season kept as a directory of files, one folder per home team, scanned as one table."""
+    raw = raw_(spark, d).select("home_team_id", "period_id", "seq").withColumn("team", F.col("home_team_id"))
+    src = f"{d.rstrip('/')}/events.parquet"
+    files = materialize(spark, f"season_files-{source_key(spark, src)}", lambda: raw, partition_by=["team"])
+    return files.groupBy("home_team_id", "period_id").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                         F.max("seq").cast("bigint").alias("last_seq"))
+
+
 # ======================================================================================================
 # 2.2 projections, filters
 # ======================================================================================================

@@ -75,6 +75,7 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, sink_dir: str
     prev = _committed(spark, state_dir, batch_id)
     tail = spark.read.schema(STATE_SCHEMA).parquet(prev) if prev else spark.createDataFrame([], STATE_SCHEMA)
     new = next_event_input(batch).select(*_STATE_COLS)
+    _check_order(new, tail)
     both = new.withColumn("_new", F.lit(True)).unionByName(tail.withColumn("_new", F.lit(False)))
     lagged = ordered_lag(both, ["game"], "seq", LAGGED, lags)
     keep = F.col("_new")
@@ -88,6 +89,15 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, sink_dir: str
     nxt.select(*_STATE_COLS).write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
 
 
+def _check_order(new: DataFrame, tail: DataFrame) -> None:
+    """Lags are right only if the events of an open game arrive in order: stop the stream if they do not."""
+    late = (new.groupBy("game").agg(F.min("seq").alias("first"))
+            .join(tail.groupBy("game").agg(F.max("seq").alias("last")), "game").where("first <= last").limit(3).collect())
+    if late:
+        raise ValueError("events arrive out of order: " + ", ".join(
+            f"game {r['game']} has seq {r['first']} after {r['last']}" for r in late))
+
+
 def run_replay(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str, checkpoint_dir: str,
                max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream every file present in ``source_dir`` (``availableNow``) through :func:`process_batch`.

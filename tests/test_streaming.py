@@ -1,3 +1,4 @@
+import pytest
 import os
 import time
 
@@ -57,3 +58,14 @@ def test_replay_with_table_state_across_batches(events, spark, tmp_path):
     last = sorted(p.name for p in (tmp_path / "out" / "state").iterdir() if p.name.startswith("batch="))[-1]
     tails = spark.read.parquet(str(tmp_path / "out" / "state" / last))
     assert {r.game for r in tails.collect()} == {"h"}
+
+
+def test_events_out_of_order_stop_the_replay(spark, events, tmp_path):
+    from pitchlens.streaming.replay import process_batch
+
+    me = events([{"seq": s} for s in (10, 11, 12, 13)])
+    late = events([{"seq": s} for s in (5, 6)])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    process_batch(spark, me, 0, out, state)
+    with pytest.raises(ValueError, match="out of order"):
+        process_batch(spark, late, 1, out, state)
