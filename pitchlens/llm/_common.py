@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,6 +44,26 @@ def id_mod(col: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % n
 
 
+#: Partial results that one merge task reads.
+FAN_IN = 64
+
+
+def tree_merge(parts: DataFrame, keys: list[str], merge: Callable, schema: str) -> DataFrame:
+    """Merge the partial results of all partitions per key, FAN_IN partitions at a time, until one row per key is left.
+
+    ``merge`` takes the rows of a group (pandas) and returns one in the same form; it may also see partial
+    merges. What a task holds does not grow with the number of partitions.
+    """
+    left = parts.rdd.getNumPartitions()
+    parts = parts.withColumn("lane", F.spark_partition_id())
+    while True:
+        parts = parts.withColumn("lane", F.floor(F.col("lane") / FAN_IN).cast("int"))
+        parts = parts.groupBy(*keys, "lane").applyInPandas(merge, f"{schema}, lane int")
+        left = -(-left // FAN_IN)
+        if left <= 1:
+            return parts.drop("lane")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on an array of uint64 (a bijection)."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pitchlens.llm._common import cut, mix64
+from pitchlens.llm._common import cut, mix64, tree_merge
 from pitchlens.llm._text import Words, chunks, prefix_hash, range_hash, string_buffers
 
 SPAN, GRAM = 50, 25
@@ -116,14 +116,25 @@ def _sketch(bits: int, span: int, gram: int):
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bit per counter of a block: the partitions' counts add up to two or more."""
+    """Counters of a block over several partitions, saturated at two."""
     count = np.zeros(1 << BLOCK_BITS, np.uint8)
     for once, more in zip(pdf["once"], pdf["more"]):
         one = np.frombuffer(once, np.uint16)
         count[one] = np.minimum(count[one] + 1, 2)  # places are distinct within a partition
         count[np.frombuffer(more, np.uint16)] = 2
-    bits = np.packbits(count > 1)
-    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "block": [pdf["block"].iloc[0]], "bits": [bits.tobytes()]})
+    return pdf.iloc[:1].assign(once=[np.flatnonzero(count == 1).astype(np.uint16).tobytes()],
+                               more=[np.flatnonzero(count == 2).astype(np.uint16).tobytes()])
+
+
+def _as_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit per counter of a block: counted twice or more."""
+    for b in batches:
+        out = []
+        for more in b.column(3).to_pylist():
+            flag = np.zeros(1 << BLOCK_BITS, np.uint8)
+            flag[np.frombuffer(more, np.uint16)] = 1
+            out.append(np.packbits(flag).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["row", "block", "bits"])
 
 
 SKETCH = "row int, block int, once binary, more binary"
@@ -135,7 +146,7 @@ def prefilter(texts: DataFrame, bits: int, span: int, gram: int) -> np.ndarray:
 
 
 def bit_table(parts: DataFrame, bits: int) -> np.ndarray:
-    merged = parts.groupBy("row", "block").applyInPandas(_merged, "row int, block int, bits binary")
+    merged = tree_merge(parts, ["row", "block"], _merged, SKETCH).mapInArrow(_as_bits, "row int, block int, bits binary")
     out = np.zeros((ROWS, 1 << (bits - 3)), np.uint8)
     size = 1 << (BLOCK_BITS - 3)
     for r in merged.toLocalIterator():

@@ -123,7 +123,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_chain_feeds_earlier_categories():
-    words = np.zeros(0, np.uint64)
+    words = np.zeros(0, np.uint32)
     y = np.array([0, 1] * 50, float)
     odds = toxicity._log_odds(y[:, None] * 0.8 + 0.1)
     m = toxicity.fit_one(words, np.zeros(0, np.int64), y, odds)
@@ -384,3 +384,14 @@ def test_pipeline_against_plain_stages(spark, docs, tmp_path):
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows if i in set(least.values())}
     assert {r["doc_id"]: r["decoded_sha256"] for r in got} == want and len(got) == len(want)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+# --- merging of partial results ----------------------------------------------------------------------------
+
+def test_tree_merge_in_several_levels(spark, monkeypatch):
+    from pitchlens.llm import _common
+
+    monkeypatch.setattr(_common, "FAN_IN", 2)
+    df = spark.range(0, 1000, 1, 9).select((F.col("id") % 3).alias("k"), F.lit(1).cast("long").alias("n"))
+    got = _common.tree_merge(df, ["k"], lambda pdf: pdf.iloc[:1].assign(n=[pdf["n"].sum()]), "k long, n long")
+    assert got.columns == ["k", "n"] and {r["k"]: r["n"] for r in got.collect()} == {0: 334, 1: 333, 2: 333}
