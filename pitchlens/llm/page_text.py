@@ -3,7 +3,8 @@
 A page becomes a list of lines (block texts). A line's key is what it is compared by: its words, or,
 for lines inside parts that markup names as page furniture (menus, headers, footers, notices, ...),
 its place in the markup, since furniture keeps its place from page to page while its words change.
-Pages are sorted by host and path; the neighbour that shares the longer path prefix is the nearest.
+Pages of a host with equal lists are taken together, and the lists are sorted by host and path; the
+neighbour that shares the longer path prefix is the nearest.
 Both lists are aligned by longest common subsequence and the lines in common go. Lines inside the
 page's marked main content (article, main) are kept whatever the neighbour holds: mirrors of an
 article must not erase it. Furniture that the neighbour lacks, or of a host's only page, goes as well.
@@ -242,31 +243,34 @@ def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbours(lines: DataFrame, parts: int) -> DataFrame:
-    """row, other (keys of the nearest page's lines; NULL for a host's only page).
+    """host, list, path, keys, kinds, prev, next: one row per distinct line list of a host.
 
-    Pages are dealt by ranges of (host, path, row), which also cuts a host with a third of all pages; the
+    Pages of a host with equal lists (mirrors, other query strings) are one row, at the first of their paths, so
+    a run of copies of any length has the pages of other lists as neighbours (NULL: none on the host). Lists
+    are dealt by ranges of (host, path, list), which also cuts a host with a third of all pages; the
     edges of ranges are one row each and are exchanged through a small table.
     """
-    ranged = cut(lines.repartitionByRange(parts, "host", "path", "row").withColumn("part", F.spark_partition_id()))
-    w = W.partitionBy("part").orderBy("host", "path", "row")
+    lists = lines.groupBy("host", "list").agg(F.min("path").alias("path"), F.first("keys").alias("keys"), F.first("kinds").alias("kinds"))
+    ranged = cut(lists.repartitionByRange(parts, "host", "path", "list").withColumn("part", F.spark_partition_id()))
+    w = W.partitionBy("part").orderBy("host", "path", "list")
     page = F.struct("host", "path", "keys")
     near = ranged.withColumns({"prev": F.lag(page).over(w), "next": F.lead(page).over(w)})
-    # One row per range: its first and last page; ranges follow each other in order of their number.
-    order = F.struct("host", "path", "row")
+    # One row per range: its first and last list; ranges follow each other in order of their number.
+    order = F.struct("host", "path", "list")
     ends = ranged.groupBy("part").agg(F.min_by(page, order).alias("head"), F.max_by(page, order).alias("tail"))
     line = W.partitionBy().orderBy("part")
     edge = ends.select("part", F.lag("tail").over(line).alias("before"), F.lead("head").over(line).alias("after"))
     both = near.join(F.broadcast(edge), "part").select(
-        "row", "host", "path", "keys", "kinds", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
-    return both.select("row", "path", "keys", "kinds", F.when(F.col("prev.host") == F.col("host"), F.col("prev")).alias("prev"),
+        "host", "list", "path", "keys", "kinds", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
+    return both.select("host", "list", "path", "keys", "kinds", F.when(F.col("prev.host") == F.col("host"), F.col("prev")).alias("prev"),
                        F.when(F.col("next.host") == F.col("host"), F.col("next")).alias("next"))
 
 
 def _shared_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page a byte per line: 1 where the nearest page has it too (main content never counts).
 
-    A neighbour that holds every line of an unmarked page is a copy and tells nothing about furniture:
-    then the other neighbour is asked, and with two copies no line goes.
+    A neighbour that holds every line of an unmarked page and more tells nothing about furniture either:
+    then the other neighbour is asked, and with two of them no line goes.
     """
     for b in batches:
         gone = []
@@ -283,7 +287,7 @@ def _shared_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     mask = found
                     break
             gone.append(mask.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.binary())], ["row", "gone"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.binary())], ["host", "list", "gone"])
 
 
 def _shared_prefix(a: str, b: str) -> int:
@@ -323,7 +327,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), row.alias("row"))
     lines = (pages.select(row.alias("row"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
              .mapInArrow(_listed, "row string, host string, path string, keys binary, kinds binary").dropDuplicates(["row"]))
-    gone = neighbours(lines, shuffle_partitions(pages.sparkSession)).mapInArrow(_shared_lines, "row string, gone binary")
+    lines = cut(lines.withColumn("list", F.md5(F.concat("keys", "kinds"))))
+    masks = neighbours(lines, shuffle_partitions(pages.sparkSession)).mapInArrow(_shared_lines, "host string, list string, gone binary")
+    gone = lines.select("row", "host", "list").join(masks, ["host", "list"]).select("row", "gone")
     kind = pages.schema[id_col].dataType.simpleString()
     return (keyed.join(gone, "row", "left").select("page_id", "url", "html", "gone")
             .mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long"))

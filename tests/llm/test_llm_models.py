@@ -273,6 +273,18 @@ def test_shared_lines_of_unmarked_pages_go(spark):
     assert got[100]["text"].startswith("Welcome") and got[101]["text"] == got[102]["text"] and "story 7" in got[101]["text"]
 
 
+def test_copies_of_an_unmarked_page_ask_a_page_of_other_content(spark):
+    def page(k):
+        return f"<div>Welcome to our site</div><div>Top stories</div><p>story {k} part one<p>story {k} part two<div>Call us</div>"
+
+    rows = [(k, f"https://run.org/b?copy={k}", page(1), None, None) for k in range(6)]
+    rows += [(10, "https://run.org/m/b", page(1), None, None), (20, "https://run.org/a", page(2), None, None)]
+    got = extracted(spark, rows)
+    assert len(got) == 8
+    assert {got[k]["text"] for k in (0, 1, 2, 3, 4, 5, 10)} == {"story 1 part one story 1 part two"}
+    assert got[20]["text"] == "story 2 part one story 2 part two"
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(200):
