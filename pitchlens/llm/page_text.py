@@ -4,10 +4,13 @@ A page becomes a list of lines (block texts). A line's key is what it is compare
 for lines inside parts that markup names as page furniture (menus, headers, footers, notices, ...),
 its place in the markup, since furniture keeps its place from page to page while its words change.
 Pages of a host with equal lists are taken together, and the lists are sorted by host and path; the
-neighbour that shares the longer path prefix is the nearest.
-Both lists are aligned by longest common subsequence and the lines in common go. Lines inside the
-page's marked main content (article, main) are kept whatever the neighbour holds: mirrors of an
-article must not erase it. Furniture that the neighbour lacks, or of a host's only page, goes as well.
+neighbour of other content that shares the longer path prefix is the nearest. Both lists are aligned by
+longest common subsequence and the lines in common go, and furniture whose place a neighbour has too.
+
+Markup is evidence beside that. A furniture name does not count for an ancestor of the main content. Lines of
+the marked main content (article, main) stay although a neighbour holds them, as mirrors and quotes must
+not erase an article, but only where that content is no less than the page's unmarked text: teasers are compared like
+any line. Where a host has no page of other content, nothing can be compared and markup decides.
 """
 
 from __future__ import annotations
@@ -57,20 +60,20 @@ _WS = " \t\n\r\f\v"
 TEXT, PLACE, MAIN_TEXT = 0, 1, 2
 
 
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """(names furniture, names main content)."""
-    bad = main = False
+def _marks(attrs: str) -> tuple[set[str], bool]:
+    """(words that name furniture, names main content)."""
+    bad, main = set(), False
     for m in _NAMED.finditer(attrs):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name == "hidden":
-            bad = True
+            bad.add(name)
         elif name == "style":
-            bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            bad |= {"hidden"} if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) else set()
         elif name == "itemprop":
             main |= value == "articleBody"
         else:
             words = {x.lower() for x in _SPLIT.split(value) if x}
-            bad |= bool(words & FURNITURE_NAMES)
+            bad |= words & FURNITURE_NAMES
             main |= name == "role" and value.lower() in MAIN
     return bad, main
 
@@ -82,10 +85,15 @@ class Lines:
         self.text: list[str] = []
         self.kind: list[int] = []
         self.key: list[int] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # name, furniture, main
+        self.stack: list[tuple[str, str, bool, bool]] = []  # name, name with the furniture words, furniture, main
         self.held: list[str] = []
-        self.bad = self.main = 0
+        self.bad: list[int] = []    # furniture elements that are open, by number
+        self.main: list[int] = []   # main elements that are open, by number
+        self.n_bad = 0
+        self.around: list[tuple[int, ...]] = []  # per main element the furniture elements around it
+        self.spots: list[tuple[tuple[int, ...], tuple[int, ...], str]] = []  # per line: furniture, main elements, place
         self._read(page)
+        self._settle()
 
     def _flush(self) -> None:
         if not self.held:
@@ -94,17 +102,48 @@ class Lines:
         self.held.clear()
         if not line:
             return
-        kind = PLACE if self.bad else MAIN_TEXT if self.main else TEXT
-        where = "/".join(n for n, _, _ in self.stack if n not in INLINE)
+        where = "/".join(label for n, label, bad, _ in self.stack if bad or n not in INLINE) if self.bad else ""
         self.text.append(line)
-        self.kind.append(kind)
-        self.key.append(xxhash.xxh64_intdigest(f"{kind}\n{where if kind == PLACE else line}".encode("utf-8", "replace")) >> 1)
+        self.spots.append((tuple(self.bad), tuple(self.main), where))
+
+    def _settle(self) -> None:
+        """Kinds and keys, when the whole page is known."""
+        of_main, of_bad = [0] * len(self.around), [0] * self.n_bad
+        for line, (bad, main, _) in zip(self.text, self.spots):
+            for k in main:
+                of_main[k] += len(line)
+            for k in bad:
+                of_bad[k] += len(line)
+        if of_main:  # names of elements around the largest main element say nothing about it
+            spared = set(self.around[of_main.index(max(of_main))])
+        else:
+            half = sum(map(len, self.text)) / 2
+            spared = {k for k, n in enumerate(of_bad) if n > half}
+        size = [0, 0, 0]
+        for line, (bad, main, _) in zip(self.text, self.spots):
+            self.kind.append(PLACE if not spared.issuperset(bad) else MAIN_TEXT if main else TEXT)
+            size[self.kind[-1]] += len(line)
+        if size[MAIN_TEXT] < size[TEXT]:  # cards and teasers beside a body that is not marked
+            self.kind = [TEXT if k == MAIN_TEXT else k for k in self.kind]
+        for line, kind, (_, _, where) in zip(self.text, self.kind, self.spots):
+            self.key.append(xxhash.xxh64_intdigest(f"{kind == PLACE}\n{where if kind == PLACE else line}".encode("utf-8", "replace")) >> 1)
+
+    def _push(self, name: str, words: set[str], bad: bool, main: bool) -> None:
+        self.stack.append((name, ".".join([name, *sorted(words)]), bad, main))
+        if bad:
+            self.bad.append(self.n_bad)
+            self.n_bad += 1
+        if main:
+            self.main.append(len(self.around))
+            self.around.append(tuple(self.bad))
 
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
-            _, bad, main = self.stack.pop()
-            self.bad -= bad
-            self.main -= main
+            _, _, bad, main = self.stack.pop()
+            if bad:
+                self.bad.pop()
+            if main:
+                self.main.pop()
 
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
@@ -133,7 +172,7 @@ class Lines:
         if end:
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] == name:
-                    if self.stack[k][1]:
+                    if self.stack[k][2]:
                         self._flush()
                     if all(x[0] in INLINE for x in self.stack[k:]):
                         self._pop(k)
@@ -164,13 +203,12 @@ class Lines:
                 body = re.compile(r"<body[\s>]", re.I).search(page, at) if name in ("head", "title") else None
                 return body.start() if body else len(page)
             return close.start()
-        bad, main = _marks(attrs) if attrs else (False, False)
+        words, main = _marks(attrs) if attrs else (set(), False)
         if name in INLINE:
-            if bad:
+            if words:
                 self._flush()
             if name not in VOID and not attrs.rstrip().endswith("/"):
-                self.stack.append((name, bad, False))
-                self.bad += bad
+                self._push(name, words, bool(words), False)
             return at
         self._flush()
         while self.stack and name in CLOSED_BY.get(self.stack[-1][0], ()):
@@ -178,12 +216,9 @@ class Lines:
         if name in VOID:
             return at
         if name in ("body", "html"):
-            bad = False
-        main |= name in MAIN
-        bad |= name in FURNITURE and not (name == "header" and self.main)
-        self.stack.append((name, bad, main))
-        self.bad += bad
-        self.main += main
+            words = set()
+        bad = bool(words) or name in FURNITURE and not (name == "header" and self.main)
+        self._push(name, words, bad, main or name in MAIN)
         return at
 
 
@@ -246,11 +281,12 @@ def neighbours(lines: DataFrame, parts: int) -> DataFrame:
     """host, list, path, keys, kinds, prev, next: one row per distinct line list of a host.
 
     Pages of a host with equal lists (mirrors, other query strings) are one row, at the first of their paths, so
-    a run of copies of any length has the pages of other lists as neighbours (NULL: none on the host). Lists
-    are dealt by ranges of (host, path, list), which also cuts a host with a third of all pages; the
-    edges of ranges are one row each and are exchanged through a small table.
+    a run of copies of any length has the pages of other lists as neighbours (NULL: none on the host). Pages
+    without a line are left out. Lists are dealt by ranges of (host, path, list), which also cuts a host with
+    a third of all pages; the edges of ranges are one row each and are exchanged through a small table.
     """
-    lists = lines.groupBy("host", "list").agg(F.min("path").alias("path"), F.first("keys").alias("keys"), F.first("kinds").alias("kinds"))
+    lists = (lines.where("length(keys) > 0").groupBy("host", "list")
+             .agg(F.min("path").alias("path"), F.first("keys").alias("keys"), F.first("kinds").alias("kinds")))
     ranged = cut(lists.repartitionByRange(parts, "host", "path", "list").withColumn("part", F.spark_partition_id()))
     w = W.partitionBy("part").orderBy("host", "path", "list")
     page = F.struct("host", "path", "keys")
@@ -267,26 +303,33 @@ def neighbours(lines: DataFrame, parts: int) -> DataFrame:
 
 
 def _shared_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page a byte per line: 1 where the nearest page has it too (main content never counts).
+    """Per list of lines a byte per line: 1 where the line goes.
 
-    A neighbour that holds every line of an unmarked page and more tells nothing about furniture either:
-    then the other neighbour is asked, and with two of them no line goes.
+    A neighbour that holds all of a page's content (its marked lines, or the unmarked ones of a page without)
+    is a copy of it and tells nothing about unmarked lines: then the other neighbour is asked. Furniture goes
+    where either neighbour has its place, and by its name where they have none of its places (another layout, or
+    no page to ask). Unmarked lines beside marked main content go where no page is left to ask.
     """
     for b in batches:
         gone = []
         for r in b.to_pylist():
             own, kinds = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["kinds"], np.uint8)
             near = sorted((x for x in (r["prev"], r["next"]) if x), key=lambda x: -_shared_prefix(x["path"], r["path"]))
-            plain = kinds == TEXT
-            mask = np.zeros(len(own), np.uint8)
-            for x in near:
-                found = np.zeros(len(own), np.uint8)
-                found[common(own, np.frombuffer(x["keys"], np.int64))] = 1
-                found[kinds == MAIN_TEXT] = 0
-                if (kinds == MAIN_TEXT).any() or not plain.any() or not found[plain].all():
-                    mask = found
+            others = [np.frombuffer(x["keys"], np.int64) for x in near]
+            plain, place, main = kinds == TEXT, kinds == PLACE, kinds == MAIN_TEXT
+            content = main if main.any() else plain
+            mask = place & np.isin(own, np.concatenate([own[:0], *others]))
+            if not mask.any():
+                mask = place.copy()
+            for x in others if plain.any() else ():
+                found = np.zeros(len(own), bool)
+                found[common(own, x)] = True
+                if not found[content].all():
+                    mask |= found & plain
                     break
-            gone.append(mask.tobytes())
+            else:
+                mask |= plain & main.any()
+            gone.append(mask.astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.binary())], ["host", "list", "gone"])
 
 
@@ -303,11 +346,7 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for page, gone in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-            lines = Lines(page or "")
-            marked = MAIN_TEXT in lines.kind
-            stay = [t for t, k, g in zip(lines.text, lines.kind, gone or bytes(len(lines.text)))
-                    if k == MAIN_TEXT or k == TEXT and not g and not marked]
-            out.append(" ".join(stay))
+            out.append(" ".join(t for t, g in zip(Lines(page or "").text, gone or b"") if not g))
         text = pa.array(out, pa.string())
         yield pa.RecordBatch.from_arrays([*b.columns[:-2], text, pa.compute.utf8_length(text).cast(pa.int64())],
                                          [*b.schema.names[:-2], "text", "n_chars"])
@@ -317,8 +356,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars (code points) per input row.
 
     NULL or empty html gives an empty text, a NULL url is a host of its own without a name, repeated rows
-    each get the same text. Where a page marks main content, the text is that content without the
-    furniture inside it; elsewhere it is every line that is neither furniture nor shared.
+    each get the same text: the lines that no page of other content on the host shares and those of the
+    marked main content.
     """
     parts = [F.col(id_col).cast("string"), F.col(url_col), F.col(html_col)]
     row = F.md5(F.concat(*[x for c in parts for x in (F.when(c.isNull(), "-").otherwise("+"), F.coalesce(c, F.lit("")), F.lit("\n"))])
@@ -329,7 +368,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
              .mapInArrow(_listed, "row string, host string, path string, keys binary, kinds binary").dropDuplicates(["row"]))
     lines = cut(lines.withColumn("list", F.md5(F.concat("keys", "kinds"))))
     masks = neighbours(lines, shuffle_partitions(pages.sparkSession)).mapInArrow(_shared_lines, "host string, list string, gone binary")
-    gone = lines.select("row", "host", "list").join(masks, ["host", "list"]).select("row", "gone")
+    gone = lines.select("row", "host", "list").join(masks, ["host", "list"], "left").select("row", "gone")
     kind = pages.schema[id_col].dataType.simpleString()
     return (keyed.join(gone, "row", "left").select("page_id", "url", "html", "gone")
             .mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long"))

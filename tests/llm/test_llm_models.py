@@ -285,6 +285,25 @@ def test_copies_of_an_unmarked_page_ask_a_page_of_other_content(spark):
     assert got[20]["text"] == "story 2 part one story 2 part two"
 
 
+def test_differences_decide_beside_marked_parts(spark):
+    def cards(k, body):
+        return (f"<div>Top menu</div><div>{body}</div><article class='teaser'><p>See also</article>"
+                f"<article class='teaser'><p>card {k}</article><div>Imprint</div>")
+
+    def wrapped(k):
+        return (f"<div class='page has-sidebar'><div class=share>Share {k}</div><main><p>wrapped text {k} that is long enough</main>"
+                f"<div class=promo-box>{'only here' if k == 1 else ''}</div><div>Call us</div></div>")
+
+    rows = [(k, f"http://cards.org/{k}", cards(k, f"long body {k} outside of any mark, as many sites have it"), None, None) for k in (1, 2, 3)]
+    rows += [(10 + k, f"http://wrap.org/{k}", wrapped(k), None, None) for k in (1, 2, 3)]
+    rows += [(20, "http://form.org/", "<form id=form1><div class=menu>m</div><p>page in a form, all of it</form>", None, None)]
+    got = extracted(spark, rows)
+    for k in (1, 2, 3):
+        assert got[k]["text"] == f"long body {k} outside of any mark, as many sites have it card {k}"
+        assert got[10 + k]["text"] == f"wrapped text {k} that is long enough" + (" only here" if k == 1 else "")
+    assert got[20]["text"] == "page in a form, all of it"
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(200):
