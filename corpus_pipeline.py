@@ -36,7 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with the digests of the ids and of the text decoded from them."""
-    return pieces.encode(docs, rate=0.1, seed=7, variants=8).select(
+    return pieces.encode(docs, rate=0.1, seed=7).select(
         "doc_id", F.size("ids").alias("n_pieces"), "ids", "ids_sha256",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -1,10 +1,12 @@
 """SentencePiece encoding with seeded merge dropout, and lossless decoding.
 
 Merges follow the agenda of merge-type models: the adjacent pair with the best score goes first, ties
-to the left. With dropout, a candidate (place, split, piece) is skipped when a keyed hash of it falls
-under the rate, so one seed always gives one segmentation and another seed another. Pieces
-never hold white space after a letter, so text falls into chunks (spaces + word) that are merged on
-their own; equal chunks that share a variant key are merged once per batch, many at a time in numpy.
+to the left. With dropout, a candidate (place, split, piece) is skipped when a hash of it, keyed by the
+seed, the document's id and the chunk's place in it, falls under the rate: every occurrence of a word draws
+its own, one seed always gives one segmentation and another seed another. Pieces never hold white space
+after a letter, so text falls into chunks (spaces + word) that are merged on their own. Equal chunks are
+merged once per batch without dropout; occurrences that skip none of the candidates met on that way share
+the result, the others are merged one by one, many at a time in numpy.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ class Pieces:
 
 
 class Dropout:
-    """Skip rule: candidate (chunk key, start, left length, piece) goes when its hash is under the rate."""
+    """Skip rule: candidate (key of the occurrence, start, left length, piece) goes when its hash is under the rate."""
 
     def __init__(self, rate: float, seed: int):
         self.limit = min(MASK64, int(rate * 2**64))
@@ -100,8 +102,11 @@ class Dropout:
         return mix64(x) < u(self.limit)
 
 
-def merge_one(v: Pieces, ids: list[int], key: int, drop: Dropout) -> list[int]:
-    """Agenda of one chunk: symbols (piece ids, -1 unknown) -> merged symbols, -1 left in place."""
+def merge_one(v: Pieces, ids: list[int], key: int, drop: Dropout | None, met: list | None = None) -> list[int]:
+    """Agenda of one chunk: symbols (piece ids, -1 unknown) -> merged symbols, -1 left in place.
+
+    Without ``drop`` nothing is skipped; ``met`` collects the candidates (start, left length, piece).
+    """
     n = len(ids)
     sym, size, nxt, prv = list(ids), [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[int, int, int, int, int]] = []
@@ -110,7 +115,9 @@ def merge_one(v: Pieces, ids: list[int], key: int, drop: Dropout) -> list[int]:
         j = nxt[i]
         if j < n and sym[i] >= 0 and sym[j] >= 0:
             p = v.pairs.get(sym[i] * v.n + sym[j])
-            if p is not None and not drop.one(key, i, size[i], p):
+            if p is not None and met is not None:
+                met.append((i, size[i], p))
+            if p is not None and not (drop and drop.one(key, i, size[i], p)):
                 heapq.heappush(agenda, (int(v.rank[p]), i, size[i], size[j], p))
 
     for i in range(n - 1):
@@ -133,8 +140,12 @@ def merge_one(v: Pieces, ids: list[int], key: int, drop: Dropout) -> list[int]:
     return out
 
 
-def merge_many(v: Pieces, sym: np.ndarray, key: np.ndarray, drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
-    """The same agenda for many chunks of one width: (n, width) symbols -> symbols and a mask of those left."""
+def merge_many(v: Pieces, sym: np.ndarray, key: np.ndarray, drop: Dropout | None,
+               met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The same agenda for many chunks of one width: (n, width) symbols -> symbols and a mask of those left.
+
+    ``met`` collects arrays (row, start, left length, piece) of the candidates.
+    """
     n, w = sym.shape
     nxt = np.tile(np.arange(1, w + 1), (n, 1))
     prv = np.tile(np.arange(-1, w - 1), (n, 1))
@@ -154,7 +165,9 @@ def merge_many(v: Pieces, sym: np.ndarray, key: np.ndarray, drop: Dropout) -> tu
         at = np.minimum(np.searchsorted(v.pair_keys, pair), len(v.pair_keys) - 1)
         ok = v.pair_keys[at] == pair
         r, i, j, p = r[ok], i[ok], j[ok], v.pair_piece[at[ok]]
-        if drop.limit:
+        if met is not None:
+            met.append((r, i, j - i, p))
+        if drop and drop.limit:
             stay = ~drop.many(key[r], i, j - i, p)
             r, i, p = r[stay], i[stay], p[stay]
         rank[r, i], made[r, i] = v.rank[p], p
@@ -193,36 +206,65 @@ def _gather(off: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, v: Pieces, rate: float, seed: int, variants: int):
-        self.v, self.drop, self.variants, self.seed = v, Dropout(rate, seed), max(1, variants if rate > 0 else 1), seed
+    def __init__(self, v: Pieces, rate: float, seed: int, variants: int = 0):
+        """variants: 0, or a number of segmentations that a chunk is limited to."""
+        self.v, self.drop, self.variants, self.seed = v, Dropout(rate, seed), variants, seed
         self.find = re.compile(v.pattern).findall
 
     def batch(self, keys: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each). keys: an integer per text that picks its variants."""
+        """(ids of all texts, number of ids of each). keys: an integer per text that its dropout depends on."""
         parts = [self.find(" " + t) if t else [] for t in texts]
         count = np.array([len(p) for p in parts], np.int64)
         names = dict.fromkeys(chain.from_iterable(parts))
         place = {c: k for k, c in enumerate(names)}
         chunk = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
         del parts
-        doc = np.repeat(mix64(np.array([(k ^ self.seed * _GOLD) & MASK64 for k in keys], np.uint64)), count)
-        nth = np.arange(len(chunk)) - np.repeat(np.cumsum(count) - count, count)
-        variant = (mix64(doc + nth.astype(np.uint64)) % np.uint64(self.variants)).astype(np.int64)
-        kinds, which = np.unique(chunk * self.variants + variant, return_inverse=True)
-        ids, size = self._merge(list(names), kinds // self.variants, kinds % self.variants)
+        cps = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
+        width = np.fromiter(map(len, names), np.int64, len(names))
+        start = np.cumsum(width) - width
+        met: list[tuple[np.ndarray, ...]] = []
+        ids, size = self._merge(cps, start, width, None, None, met if self.drop.limit else None)
+        which = chunk
+        if self.drop.limit and len(chunk):
+            doc = np.repeat(mix64(np.array([(k ^ self.seed * _GOLD) & MASK64 for k in keys], np.uint64)), count)
+            nth = np.arange(len(chunk)) - np.repeat(np.cumsum(count) - count, count)
+            key = mix64(doc + nth.astype(np.uint64))
+            if self.variants:
+                pre = prefix_hash(cps.astype(np.uint64) + np.uint64(1), _GOLD)
+                key = mix64(range_hash(pre, start, start + width, _GOLD)[chunk] + key % np.uint64(self.variants))
+            skips = np.flatnonzero(self._skips(chunk, key, met, len(names)))
+            more, wide = self._merge(cps, start[chunk[skips]], width[chunk[skips]], key[skips], self.drop)
+            which = chunk.copy()
+            which[skips] = len(names) + np.arange(len(skips))
+            ids, size = np.append(ids, more), np.append(size, wide)
         off = np.cumsum(size) - size
         out = ids[_gather(off[which], size[which])]
         per = np.add.reduceat(np.append(size[which], 0), np.minimum(np.cumsum(count) - count, len(which))) if len(count) else count
         return out, np.where(count > 0, per, 0)
 
-    def _merge(self, names: list[str], chunk: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = self.v
-        cps = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
-        size = np.fromiter(map(len, names), np.int64, len(names))
+    def _skips(self, chunk: np.ndarray, key: np.ndarray, met: list[tuple[np.ndarray, ...]], n: int) -> np.ndarray:
+        """Per occurrence whether it skips a candidate of its chunk's plain agenda."""
+        row, start, left, piece = (np.concatenate(x) if met else np.zeros(0, np.int64) for x in (zip(*met) if met else [()] * 4))
+        order = np.argsort(row, kind="stable")
+        start, left, piece = start[order], left[order], piece[order]
+        size = np.bincount(row, minlength=n)
         off = np.cumsum(size) - size
-        pre = prefix_hash(cps.astype(np.uint64) + np.uint64(1), _GOLD)
-        key = mix64(range_hash(pre, off, off + size, _GOLD)[chunk] + variant.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        o, s = off[chunk], size[chunk]
+        out = np.zeros(len(chunk), bool)
+        todo = np.flatnonzero(size[chunk] > 0)
+        nth = 0
+        while len(todo):  # one candidate of every occurrence at a time, until one is skipped or none is left
+            at = off[chunk[todo]] + nth
+            hit = self.drop.many(key[todo], start[at], left[at], piece[at])
+            out[todo[hit]] = True
+            nth += 1
+            todo = todo[~hit]
+            todo = todo[size[chunk[todo]] > nth]
+        return out
+
+    def _merge(self, cps: np.ndarray, o: np.ndarray, s: np.ndarray, key: np.ndarray | None, drop: Dropout | None,
+               met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, number of ids of each) of the chunks cps[o:o + s]."""
+        v = self.v
         # Symbols that are left, with their chunk, place and code point (for bytes).
         owner, places, symbols = [], [], []
         for w in np.unique(s):
@@ -230,7 +272,10 @@ class Encoder:
             if w > WIDE:
                 for r in rows:
                     ids = v.char_id[cps[o[r]:o[r] + w]].tolist()
-                    left = merge_one(v, ids, int(key[r]), self.drop)
+                    seen = None if met is None else []
+                    left = merge_one(v, ids, 0 if key is None else int(key[r]), drop, seen)
+                    if seen:
+                        met.append((np.full(len(seen), r), *np.array(seen, np.int64).T))
                     symbols.append(np.array(left, np.int64))
                     step = [1 if x < 0 else self.piece_chars[x] for x in left]
                     places.append(np.cumsum(step) - step + o[r])
@@ -239,7 +284,10 @@ class Encoder:
             for a in range(0, len(rows), 1 << 15):
                 part = rows[a:a + (1 << 15)]
                 at = o[part][:, None] + np.arange(w)
-                sym, live = merge_many(v, v.char_id[cps[at]], key[part], self.drop)
+                seen = None if met is None else []
+                sym, live = merge_many(v, v.char_id[cps[at]], None if key is None else key[part], drop, seen)
+                if seen:
+                    met += [(part[r], *rest) for r, *rest in seen]
                 r, c = np.nonzero(live)
                 symbols.append(sym[r, c].astype(np.int64))
                 places.append(at[r, c])
@@ -257,7 +305,7 @@ class Encoder:
         out = np.repeat(symbols, wide)
         if odd.any():
             out[np.repeat(odd, wide)] = v.byte_ids[np.frombuffer(raw, np.uint8)]
-        return out.astype(np.int32), np.bincount(owner, weights=wide, minlength=len(chunk)).astype(np.int64)
+        return out.astype(np.int32), np.bincount(owner, weights=wide, minlength=len(s)).astype(np.int64)
 
     @property
     def piece_chars(self) -> np.ndarray:
@@ -295,14 +343,14 @@ def _encoded(v: Pieces, rate: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, variants: int = 8, model: str = PIECES,
+def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, variants: int = 0, model: str = PIECES,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array<int>), decoded, ids_sha256 (of the ids as little-endian int32) per input row.
 
     ``decoded`` is the text decoded from the ids and always equals the text (NULL: the empty text, no
-    ids). With rate 0 the ids are those of the plain encoder. A chunk of text has ``variants``
-    segmentations; the document's id and the chunk's place in it pick one. The model file is read by
-    the driver and its pieces (a fixed table) go along with the tasks.
+    ids). With rate 0 the ids are those of the plain encoder. Otherwise every occurrence of a chunk draws
+    its own dropout from the seed, the document's id and its place there; ``variants`` above 0 limits a chunk to so
+    many segmentations. The model file is read by the driver and its pieces (a fixed table) go along with the tasks.
     """
     v = Pieces.load(model)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))

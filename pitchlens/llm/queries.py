@@ -68,7 +68,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pieces.encode(docs, rate=0.1, seed=7, variants=8).select(
+    return pieces.encode(docs, rate=0.1, seed=7).select(
         "doc_id", F.size("ids").alias("n_pieces"), "ids_sha256",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.octet_length("decoded").alias("decoded_bytes"))
 

@@ -233,6 +233,26 @@ def test_heap_and_matrix_agendas_agree():
         assert pieces.merge_one(v, ids.tolist(), int(key[0]), drop) == sym[0][live[0]].tolist()
 
 
+@has_model
+def test_every_occurrence_draws_its_own_dropout(spark):
+    v, seed, rate, n = pieces.Pieces.load(), 3, 0.1, 4000
+    drop, word = pieces.Dropout(rate, seed), " internationalisation"
+    docs = spark.createDataFrame([(d, (word * n)[1:]) for d in (1, 2)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, rate=rate, seed=seed).collect()}
+    plain, kinds = tuple(pieces.merge_one(v, v.char_id[[ord(c) for c in word]].tolist(), 0, pieces.Dropout(0, 0))), Counter()
+    for d in (1, 2):
+        base, want = pieces.mix64(np.array([(d ^ seed * pieces._GOLD) & pieces.MASK64], np.uint64)), []
+        for k in range(n):
+            key = int(pieces.mix64(base + np.uint64(k))[0])
+            want.append(tuple(pieces.merge_one(v, v.char_id[[ord(c) for c in word]].tolist(), key, drop)))
+        assert got[d] == list(itertools.chain.from_iterable(want))
+        kinds.update(want)
+    assert len(kinds) > 100 and 0 < kinds[plain] < 2 * n
+    pair = v.char_id[[ord(c) for c in " t"]].tolist()  # one candidate: skipped in a share of the rate
+    pieces_of = pieces.Encoder(v, rate, seed).batch(list(range(20000)), ["t"] * 20000)[1]
+    assert len(pieces.merge_one(v, pair, 0, pieces.Dropout(0, 0))) == 1 and abs((pieces_of == 2).mean() - rate) < 0.01
+
+
 @has_model
 def test_pieces_of_no_rows(no_docs):
     assert pieces.encode(no_docs).count() == 0
