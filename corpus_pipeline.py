@@ -35,9 +35,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with the digests of the ids and of the text decoded from them."""
-    return pieces.encode(docs, rate=0.1, seed=7).select(
-        "doc_id", F.size("ids").alias("n_pieces"), "ids", "ids_sha256",
+    """Piece ids of every document in the files of the mix, its place there, and digests of the ids and the decoded text."""
+    placed = mixing.reread_positions(docs.select("doc_id", "text"), "mix_position")
+    return pieces.encode(placed, rate=0.1, seed=7, keep=["mix_position"]).select(
+        "doc_id", "mix_position", F.size("ids").alias("n_pieces"), "ids", "ids_sha256",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

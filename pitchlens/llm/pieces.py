@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -318,7 +318,7 @@ class Encoder:
         return raw[1:] if raw[:1] == b" " else raw
 
 
-def _encoded(v: Pieces, rate: float, seed: int, variants: int):
+def _encoded(v: Pieces, rate: float, seed: int, variants: int, keep: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(v, rate, seed, variants)
         for b in batches:
@@ -336,16 +336,17 @@ def _encoded(v: Pieces, rate: float, seed: int, variants: int):
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(a, e - a), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())),
                     pa.array(back, pa.binary()).cast(pa.string()),
-                    pa.array([hashlib.sha256(ids[off[k]:off[k + 1]].astype("<i4").tobytes()).hexdigest() for k in range(e - a)])],
-                    ["key", "ids", "decoded", "ids_sha256"])
+                    pa.array([hashlib.sha256(ids[off[k]:off[k + 1]].astype("<i4").tobytes()).hexdigest() for k in range(e - a)]),
+                    *[c.slice(a, e - a) for c in b.columns[2:]]],
+                    ["key", "ids", "decoded", "ids_sha256", *keep])
                 a = e
 
     return run
 
 
 def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, variants: int = 0, model: str = PIECES,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>), decoded, ids_sha256 (of the ids as little-endian int32) per input row.
+           id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ids (array<int>), decoded, ids_sha256 (of the ids as little-endian int32) and the columns of ``keep`` per input row.
 
     ``decoded`` is the text decoded from the ids and always equals the text (NULL: the empty text, no
     ids). With rate 0 the ids are those of the plain encoder. Otherwise every occurrence of a chunk draws
@@ -353,6 +354,7 @@ def encode(docs: DataFrame, rate: float = 0.1, seed: int = 0, variants: int = 0,
     many segmentations. The model file is read by the driver and its pieces (a fixed table) go along with the tasks.
     """
     v = Pieces.load(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encoded(v, rate, seed, variants), "key long, ids array<int>, decoded string, ids_sha256 string") \
-        .withColumnRenamed("key", "doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), *keep)
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(_encoded(v, rate, seed, variants, list(keep)),
+                           f"key long, ids array<int>, decoded string, ids_sha256 string{kept}").withColumnRenamed("key", "doc_id")

@@ -437,6 +437,26 @@ def test_pipeline_against_plain_stages(spark, docs, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+@has_model
+def test_pipeline_tells_the_place_in_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        rows = [(n, " ".join(f"word{(n * 31 + k * k * 7) % 9973}" for k in range(5 + n % 90 * (n % 7))), "abc"[n % 3] if n % 5 else None)
+                for n in range(1200)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        want = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+        path = str(tmp_path / "mixed")
+        corpus_pipeline.mixed(spark, docs, "").write.parquet(path)
+        assert sum(f.endswith(".parquet") for f in os.listdir(path)) > 1
+        got = corpus_pipeline.encoded(spark, spark.read.parquet(path), "").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert {r["doc_id"]: r["mix_position"] for r in got} == want and len(got) == len(rows)
+
+
 # --- merging of partial results ----------------------------------------------------------------------------
 
 def test_tree_merge_in_several_levels(spark, monkeypatch):
