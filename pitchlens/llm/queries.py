@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchlens.llm import exact_dedup, langid, maxent_lm, mixing, page_text, pieces, simhash, substring_dedup, token_counts, topk, toxicity
+from pitchlens.llm import alignment, exact_dedup, langid, maxent_lm, mixing, page_text, pieces, simhash, substring_dedup, token_counts, topk, toxicity
 from pitchlens.llm._common import table
 
 QUERIES = {}
@@ -97,3 +97,8 @@ def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), limit=512)
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
