@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pitchlens.llm import alignment, exact_dedup, langid, maxent_lm, mixing, page_text, pieces, simhash, substring_dedup, token_counts, topk, toxicity
+from pitchlens.llm import alignment, centroids, exact_dedup, langid, maxent_lm, mixing, page_text, pieces, simhash, substring_dedup, token_counts, topk, toxicity
 from pitchlens.llm._common import table
 
 QUERIES = {}
@@ -102,3 +102,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+ORACLE["op12_centroids"] = centroids.sql()

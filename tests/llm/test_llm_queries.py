@@ -13,12 +13,13 @@ CONTRACT = {
     "op4": {"page_id", "url", "text", "n_chars"}, "op5": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op6": {"doc_id", "fingerprint", "component_id"}, "op7": {"doc_id", "held_out", "lang_pred", "score"},
     "op10": {"query_id", "rank", "vec_id", "score"}, "op11": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+    "op12": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
     "op13": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
-@pytest.mark.parametrize("n", [*range(1, 12), 13])
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_is_registered(spark, n):
     from pitchlens.llm.queries import QUERIES
 
