@@ -27,7 +27,7 @@ from pitchlens.llm._text import prefix_hash, range_hash
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = np.int32(2**31 - 1)
 WIDE = 48            # chunks of more characters use the heap agenda
-TEXT_CHARS = 1 << 20  # characters per working set
+TEXT_CHARS = 1 << 22  # characters per working set
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -58,9 +58,8 @@ class Pieces:
                 a, b = place.get(p[:k]), place.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * self.n + b] = i
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_piece = np.array([pairs[k] for k in sorted(pairs)], np.int32)
         self.pairs = pairs
+        self._hash(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32))
         if any("▁" in p.lstrip("▁") for p in place):
             raise ValueError("pieces that span words are not supported")
         joined = {c for p in place if len(p) > 1 for c in p}
@@ -71,6 +70,39 @@ class Pieces:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_len = np.array([len(r) for r in raw], np.int64)
         self.raw_off = np.cumsum(self.raw_len) - self.raw_len
+        lead = (self.raw & 0xC0) != 0x80
+        self.chars = np.add.reduceat(np.append(lead, False).astype(np.int64), np.minimum(self.raw_off, len(lead)))
+
+    def _hash(self, keys: np.ndarray, piece: np.ndarray) -> None:
+        """Table of the pairs with open places, at least four slots a pair."""
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slot_key, self.slot_piece = np.full((1 << self.bits) + 1, -1, np.int64), np.zeros((1 << self.bits) + 1, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.slot_key[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.slot_key[slot[won]], self.slot_piece[slot[won]] = keys[won], piece[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            keys, piece, slot = keys[rest], piece[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.view(np.uint64) * np.uint64(_GOLD) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def merged(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the pairs that merge, their pieces)."""
+        slot = self._slot(pair)
+        found = self.slot_key[slot]
+        hit = found == pair
+        more = np.flatnonzero(~hit & (found >= 0))
+        while len(more):  # another pair holds the slot
+            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
+            found = self.slot_key[slot[more]]
+            hit[more] = found == pair[more]
+            more = more[(found >= 0) & (found != pair[more])]
+        at = np.flatnonzero(hit)
+        return at, self.slot_piece[slot[at]]
 
     @classmethod
     def load(cls, path: str = PIECES) -> Pieces:
@@ -161,10 +193,8 @@ def merge_many(v: Pieces, sym: np.ndarray, key: np.ndarray, drop: Dropout | None
         a, b = sym[r, i], sym[r, j]
         ok = (a >= 0) & (b >= 0)
         r, i, j, a, b = r[ok], i[ok], j[ok], a[ok], b[ok]
-        pair = a.astype(np.int64) * v.n + b
-        at = np.minimum(np.searchsorted(v.pair_keys, pair), len(v.pair_keys) - 1)
-        ok = v.pair_keys[at] == pair
-        r, i, j, p = r[ok], i[ok], j[ok], v.pair_piece[at[ok]]
+        at, p = v.merged(a.astype(np.int64) * v.n + b)
+        r, i, j = r[at], i[at], j[at]
         if met is not None:
             met.append((r, i, j - i, p))
         if drop and drop.limit:
@@ -267,6 +297,7 @@ class Encoder:
         v = self.v
         # Symbols that are left, with their chunk, place and code point (for bytes).
         owner, places, symbols = [], [], []
+        chars = v.chars.tolist() if (s > WIDE).any() else []
         for w in np.unique(s):
             rows = np.flatnonzero(s == w)
             if w > WIDE:
@@ -277,7 +308,7 @@ class Encoder:
                     if seen:
                         met.append((np.full(len(seen), r), *np.array(seen, np.int64).T))
                     symbols.append(np.array(left, np.int64))
-                    step = [1 if x < 0 else self.piece_chars[x] for x in left]
+                    step = [1 if x < 0 else chars[x] for x in left]
                     places.append(np.cumsum(step) - step + o[r])
                     owner.append(np.full(len(left), r))
                 continue
@@ -307,11 +338,6 @@ class Encoder:
             out[np.repeat(odd, wide)] = v.byte_ids[np.frombuffer(raw, np.uint8)]
         return out.astype(np.int32), np.bincount(owner, weights=wide, minlength=len(s)).astype(np.int64)
 
-    @property
-    def piece_chars(self) -> np.ndarray:
-        lead = (self.v.raw & 0xC0) != 0x80
-        return np.add.reduceat(np.append(lead, False).astype(np.int64), np.minimum(self.v.raw_off, len(lead)))
-
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of ids; the space put before the text by encoding goes."""
         raw = self.v.raw[_gather(self.v.raw_off[ids], self.v.raw_len[ids])].tobytes()
