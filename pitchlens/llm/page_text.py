@@ -7,16 +7,18 @@ Pages of a host with equal lists are taken together, and the lists are sorted by
 neighbour of other content that shares the longer path prefix is the nearest. Both lists are aligned by
 longest common subsequence and the lines in common go, and furniture whose place a neighbour has too.
 
-Markup is evidence beside that. A furniture name does not count for an ancestor of the main content. Lines of
-the marked main content (article, main) stay although a neighbour holds them, as mirrors and quotes must
-not erase an article, but only where that content is no less than the page's unmarked text: teasers are compared like
-any line. Where a host has no page of other content, nothing can be compared and markup decides.
+Markup is evidence beside that. Furniture named by markup always goes, neighbour or not; a furniture name does
+not count for an ancestor of the main content. A line of the marked main content (article, main) that aligns with a
+neighbour goes when it recurs on the host (in more than half of the host's different lists, three at least): mirrors and
+quotes must not erase an article. That holds where the marked content is no less than the page's unmarked text: teasers
+are compared like any line. Where a host has no page of other content, nothing can be compared and markup decides.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -244,12 +246,41 @@ def _lcs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(x) == 1:
         return np.zeros(1, np.int64) if (y == x[0]).any() else np.zeros(0, np.int64)
+    order = np.argsort(y, kind="stable")
+    lo, hi = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    if int((hi - lo).sum()) * 16 < len(x) * len(y):
+        return _by_matches(order, lo, hi)
     mid = len(x) // 2
     total = _lengths(x[:mid], y) + _lengths(x[:mid - 1:-1] if mid else x[::-1], y[::-1])[::-1]
     cut_at = int(total.argmax())
     return np.append(_lcs(x[:mid], y[:cut_at]), mid + _lcs(x[mid:], y[cut_at:])).astype(np.int64)
 
 
+def _by_matches(order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Longest common subsequence from the matching pairs (Hunt and Szymanski): about pairs x log(lines) steps.
+
+    order[lo[i]:hi[i]] are the places in y, ascending, that match line i of x.
+    """
+    ends: list[int] = []           # smallest end in y of a common subsequence of each length
+    last: list[int] = []           # its last pair
+    line, before = [], []          # of every pair that improved an end
+    places = order.tolist()
+    for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+        for k in range(b - 1, a - 1, -1):
+            j = places[k]
+            at = bisect_left(ends, j)
+            if at < len(ends) and ends[at] == j:
+                continue
+            line.append(i)
+            before.append(last[at - 1] if at else -1)
+            ends[at:at + 1], last[at:at + 1] = [j], [len(line) - 1]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(line[k])
+        k = before[k]
+    return np.array(out[::-1], np.int64)
+
+
 def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     row = np.zeros(len(y) + 1, np.int64)
     for v in x:
@@ -303,34 +334,45 @@ def neighbours(lines: DataFrame, parts: int) -> DataFrame:
 
 
 def _shared_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per list of lines a byte per line: 1 where the line goes.
+    """Per list of lines a byte per line, 1 where the line goes, and the keys of its marked lines that align with a
+    neighbour.
 
     A neighbour that holds all of a page's content (its marked lines, or the unmarked ones of a page without)
-    is a copy of it and tells nothing about unmarked lines: then the other neighbour is asked. Furniture goes
-    where either neighbour has its place, and by its name where they have none of its places (another layout, or
-    no page to ask). Unmarked lines beside marked main content go where no page is left to ask.
+    is a copy of it and tells nothing about unmarked lines: then the other neighbour is asked. Unmarked lines
+    beside marked main content go where no page is left to ask.
     """
     for b in batches:
-        gone = []
+        gone, shared = [], []
         for r in b.to_pylist():
             own, kinds = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["kinds"], np.uint8)
             near = sorted((x for x in (r["prev"], r["next"]) if x), key=lambda x: -_shared_prefix(x["path"], r["path"]))
-            others = [np.frombuffer(x["keys"], np.int64) for x in near]
-            plain, place, main = kinds == TEXT, kinds == PLACE, kinds == MAIN_TEXT
+            plain, main = kinds == TEXT, kinds == MAIN_TEXT
             content = main if main.any() else plain
-            mask = place & np.isin(own, np.concatenate([own[:0], *others]))
-            if not mask.any():
-                mask = place.copy()
-            for x in others if plain.any() else ():
+            mask, held, settled = kinds == PLACE, np.zeros(len(own), bool), False
+            for x in near:
                 found = np.zeros(len(own), bool)
-                found[common(own, x)] = True
-                if not found[content].all():
+                found[common(own, np.frombuffer(x["keys"], np.int64))] = True
+                held |= found & main
+                if not settled and not found[content].all():
                     mask |= found & plain
-                    break
-            else:
+                    settled = True
+            if not settled:
                 mask |= plain & main.any()
             gone.append(mask.astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.binary())], ["host", "list", "gone"])
+            shared.append(np.unique(own[held]).tolist())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.binary()), pa.array(shared, pa.list_(pa.int64()))],
+                                         ["host", "list", "gone", "shared"])
+
+
+def recurring(masks: DataFrame) -> DataFrame:
+    """host, list, again: the keys of a list's marked lines that align with a neighbour in more than half of the
+    different lists of the host, and in three at least."""
+    lists = masks.groupBy("host").agg(F.count(F.lit(1)).alias("lists"))
+    held = masks.where(F.size("shared") > 0).select("host", "list", F.explode("shared").alias("key"))
+    often = (held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").join(lists, "host").where("2 * n > lists")
+             .select("host", "key"))
+    # At most as many keys as the list has lines.
+    return held.join(often, ["host", "key"]).groupBy("host", "list").agg(F.collect_list("key").alias("again"))
 
 
 def _shared_prefix(a: str, b: str) -> int:
@@ -345,11 +387,13 @@ def _shared_prefix(a: str, b: str) -> int:
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for page, gone in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-            out.append(" ".join(t for t, g in zip(Lines(page or "").text, gone or b"") if not g))
+        for page, gone, again in zip(*(c.to_pylist() for c in b.columns[-3:]), strict=True):
+            lines, often = Lines(page or ""), set(again or ())
+            out.append(" ".join(t for t, g, kind, key in zip(lines.text, gone or b"", lines.kind, lines.key)
+                                if not g and not (kind == MAIN_TEXT and key in often)))
         text = pa.array(out, pa.string())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], text, pa.compute.utf8_length(text).cast(pa.int64())],
-                                         [*b.schema.names[:-2], "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-3], text, pa.compute.utf8_length(text).cast(pa.int64())],
+                                         [*b.schema.names[:-3], "text", "n_chars"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -357,7 +401,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     NULL or empty html gives an empty text, a NULL url is a host of its own without a name, repeated rows
     each get the same text: the lines that no page of other content on the host shares and those of the
-    marked main content.
+    marked main content that do not recur on the host. A very long page is read whole; two pages of many lines are
+    aligned in time of their matching pairs, or of the product of their repeated lines if these are most.
     """
     parts = [F.col(id_col).cast("string"), F.col(url_col), F.col(html_col)]
     row = F.md5(F.concat(*[x for c in parts for x in (F.when(c.isNull(), "-").otherwise("+"), F.coalesce(c, F.lit("")), F.lit("\n"))])
@@ -367,8 +412,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     lines = (pages.select(row.alias("row"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
              .mapInArrow(_listed, "row string, host string, path string, keys binary, kinds binary").dropDuplicates(["row"]))
     lines = cut(lines.withColumn("list", F.md5(F.concat("keys", "kinds"))))
-    masks = neighbours(lines, shuffle_partitions(pages.sparkSession)).mapInArrow(_shared_lines, "host string, list string, gone binary")
-    gone = lines.select("row", "host", "list").join(masks, ["host", "list"], "left").select("row", "gone")
+    masks = cut(neighbours(lines, shuffle_partitions(pages.sparkSession))
+                .mapInArrow(_shared_lines, "host string, list string, gone binary, shared array<long>"))
+    both = masks.select("host", "list", "gone").join(recurring(masks), ["host", "list"], "left")
+    gone = lines.select("row", "host", "list").join(both, ["host", "list"], "left").select("row", "gone", "again")
     kind = pages.schema[id_col].dataType.simpleString()
-    return (keyed.join(gone, "row", "left").select("page_id", "url", "html", "gone")
+    return (keyed.join(gone, "row", "left").select("page_id", "url", "html", "gone", "again")
             .mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long"))

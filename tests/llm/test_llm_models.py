@@ -320,20 +320,56 @@ def test_differences_decide_beside_marked_parts(spark):
     got = extracted(spark, rows)
     for k in (1, 2, 3):
         assert got[k]["text"] == f"long body {k} outside of any mark, as many sites have it card {k}"
-        assert got[10 + k]["text"] == f"wrapped text {k} that is long enough" + (" only here" if k == 1 else "")
+        assert got[10 + k]["text"] == f"wrapped text {k} that is long enough"
     assert got[20]["text"] == "page in a form, all of it"
 
 
+def test_furniture_always_goes_whatever_a_neighbour_has(spark):
+    nav = "<nav><a href=/>Home</a></nav>"
+    extra = "<div class='comments'><p>nasty reader comment</div><div class=ad>BUY NOW</div>"
+    rows = [(1, "http://w.org/a", nav + "<article><p>T1 body one<p>text here</article>" + extra, None, None),
+            (2, "http://w.org/b", nav + "<article><p>T2 other body</article>", None, None),
+            (3, "http://lone.org/b", "<article><p>T3 lone<div class=comment>no</div></article>" + extra, None, None)]
+    got = extracted(spark, rows)
+    assert {k: got[k]["text"] for k in got} == {1: "T1 body one text here", 2: "T2 other body", 3: "T3 lone"}
+
+
+def test_lines_of_articles_that_recur_on_the_host_go(spark):
+    rows = [(k, f"http://many.org/{k:02}", f"<article><p>Story {k} begins<p>Share this story<p>and story {k} ends</article>", None, None)
+            for k in range(10)]
+    quote = "<p>quoted by a second page</article>"
+    rows += [(20 + k, f"http://quotes.org/{k}", f"<article><p>essay {k}{quote if k in (1, 2) else '</article>'}", None, None) for k in range(6)]
+    rows += [(30 + k, f"http://two.org/{k}", f"<article><p>page {k}<p>both say this</article>", None, None) for k in range(2)]
+    got = extracted(spark, rows)
+    assert all(got[k]["text"] == f"Story {k} begins and story {k} ends" for k in range(10))
+    assert got[21]["text"] == "essay 1 quoted by a second page" and got[22]["text"] == "essay 2 quoted by a second page"
+    assert got[30]["text"] == "page 0 both say this"
+
+
+def test_alignment_of_many_lines_is_quick():
+    r = np.random.default_rng(3)
+    x = r.permutation(200_000)
+    y = np.append(r.permutation(100_000), x[::2])
+    got = page_text.common(x, y)
+    assert (np.diff(got) > 0).all() and len(got) >= 100_000
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        x, y = rng.integers(0, 5, rng.integers(0, 12)), rng.integers(0, 5, rng.integers(0, 12))
+        kinds = rng.choice([5, 400])  # few kinds of lines: by rows; many: by matching pairs
+        x, y = rng.integers(0, kinds, rng.integers(0, 12)), rng.integers(0, kinds, rng.integers(0, 12))
+        if kinds > 5 and len(x) > 3 and len(y) > 3:
+            y[:3] = x[:3][rng.permutation(3)]
         best = np.zeros((len(x) + 1, len(y) + 1), int)
         for i, j in itertools.product(range(len(x)), range(len(y))):
             best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + (x[i] == y[j]))
         at = page_text.common(x, y)
         it = iter(y)
         assert len(at) == best[-1, -1] and all(any(v == u for u in it) for v in x[at])
+        order = np.argsort(y, kind="stable")
+        pairs = page_text._by_matches(order, np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right"))
+        assert len(pairs) == len(at)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
