@@ -22,7 +22,9 @@ from . import oracle as O
 from . import training as TR
 from .catalog import (FEAT, MEDIAN_COLS, NEXT, TEST_SET, ZC_SUM, eligible_, features_, me_, query,
                       split_flag)
+from .oracle_trees import forest_ctes
 from .scoring import feature_medians, impute_with_medians, player_scoring_features
+from .trees import tried
 
 # ---- SQL of the row sets ------------------------------------------------------------------------------------
 
@@ -67,13 +69,32 @@ def _known(pred: DataFrame, labels: list[str]):
     return pred["prediction"].cast("string").isin(labels)
 
 
-@query("ml_player_forest", O.with_(*TEST_SET) + "SELECT game, player_id, TRUE AS known_player FROM feat WHERE player_id = 1")
+def _player_forest_sql() -> str:
+    """Extra-trees on the imputed window rows, grown by SQL, applied to each game's masked player."""
+    x = lambda cols: "[" + ", ".join(cols) + "]"
+    test = []
+    for c in TR.P1_FEATURES:
+        base = f'CAST(q."{c}" AS DOUBLE)'
+        test.append(f'COALESCE({f"COALESCE({base}, 0.0)" if c.endswith("_nb") else base}, (SELECT "m_{c}" FROM med))')
+    labels = ("labels AS MATERIALIZED (SELECT player_id, CAST(row_number() OVER (ORDER BY CAST(player_id AS VARCHAR)) - 1 AS INTEGER) AS label "
+              "FROM (SELECT DISTINCT player_id FROM p1))")
+    tr = (f"tr AS MATERIALIZED (SELECT row_number() OVER () AS row, label, {x(f'{chr(34)}{c}{chr(34)}' for c in TR.P1_FEATURES)} AS x "
+          "FROM p1 JOIN labels USING (player_id))")
+    asked = (f"asked AS MATERIALIZED (SELECT q.game, q.player_id, -row_number() OVER (ORDER BY q.game) AS row, {x(test)} AS x "
+             "FROM tfeat q WHERE q.player_id = 1), te AS (SELECT row, x FROM asked)")
+    f = TR.PLAYER_FOREST
+    trees = forest_ctes(f["n_estimators"], f["max_depth"], tried(str(f["max_features"]), len(TR.P1_FEATURES)))
+    return (O.with_(*P1, TEST_SET[-2], O.features_sql("tlp", ["game"], [], prefix="t"), labels, tr, asked, trees)
+            + "SELECT game, asked.player_id, labels.player_id AS predicted_player FROM asked JOIN pred USING (row) JOIN labels USING (label)")
+
+
+@query("ml_player_forest", _player_forest_sql())
 def ml_player_forest(spark, d):
-    """Forest without bootstrap (extra-trees stand-in) predicts each game's masked player."""
+    """The extra-trees forest of the reference's settings predicts each game's masked player."""
     train, med = _p1(spark, d)
     m = M.Modeler("et_classif", TR.PLAYER_FOREST, "player_id", TR.P1_FEATURES).fit(train)
     x = m.predict(player_scoring_features(me_(spark, d), None, medians=med))
-    return x.select("game", "player_id", _known(x, m.indexer.labels).alias("known_player"))
+    return x.select("game", "player_id", F.col("prediction").alias("predicted_player"))
 
 
 TEAM_SQL = O.with_(*NEXT) + f"SELECT seq, game, team_id, TRUE AS known_team FROM {TEST}"

@@ -37,6 +37,8 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .trees import ExtraTreesClassifier
+
 CLASSIFIERS = {"rf_classif", "et_classif", "xgb_classif", "xgb_multiclass", "logistic", "dt_classif", "mlp",
                "naive_bayes"}
 REGRESSORS = {"rf_reg", "xgb_reg", "dt_reg", "linear", "elastic_net", "ridge"}
@@ -66,7 +68,7 @@ MAX_DEPTH = 30   # the deepest tree MLlib grows
 #: Parameters without a counterpart that changes an MLlib fit; every other unknown name is an error.
 IGNORED_PARAMS = {"n_jobs", "nthread", "verbose", "silent", "objective", "eval_metric", "booster", "warm_start", "presort",
                   "tree_method", "oob_score", "min_samples_split", "reg_lambda", "reg_alpha", "solver", "multi_class"}
-_FOREST, _TREE = {"rf_classif", "et_classif", "rf_reg"}, {"dt_classif", "dt_reg"}
+_FOREST, _TREE = {"rf_classif", "rf_reg"}, {"dt_classif", "dt_reg"}
 _BOOST = {"xgb_classif", "xgb_multiclass", "xgb_reg"}
 
 
@@ -91,6 +93,8 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
     meaning; MLlib's own names pass through; any other name raises ``ValueError``.
     """
     p = dict(params or {})
+    if model_type == "et_classif":
+        return _extra_trees(p)
     kw: dict = {"seed": p.pop("random_state", 42)} if model_type not in ("linear", "elastic_net", "ridge",
                                                                          "naive_bayes", "logistic") else {}
     if "n_estimators" in p:
@@ -114,7 +118,7 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
     strength = float(p.pop("C", 1.0)) if model_type == "logistic" else None
     if "criterion" in p:
         crit = p.pop("criterion")
-        if model_type in ("rf_classif", "et_classif", "dt_classif"):
+        if model_type in ("rf_classif", "dt_classif"):
             kw["impurity"] = crit
     if "learning_rate" in p:
         kw["stepSize"] = float(p.pop("learning_rate"))
@@ -138,13 +142,24 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
     return est
 
 
+def _extra_trees(p: dict) -> ExtraTreesClassifier:
+    """Extra-trees of this package (MLlib has no random thresholds): any depth, any number of classes."""
+    if p.pop("bootstrap", False):
+        raise ValueError("et_classif: bootstrap is not supported, every tree sees all rows")
+    depth, features = p.pop("max_depth", None), p.pop("max_features", "sqrt")
+    est = ExtraTreesClassifier(numTrees=int(p.pop("n_estimators", 100)), maxDepth=-1 if depth is None else int(depth),
+                               maxFeatures=_feature_subset(features), impurity=p.pop("criterion", "gini"),
+                               minInstancesPerNode=int(p.pop("min_samples_leaf", 1)),
+                               minInstancesPerSplit=int(p.pop("min_samples_split", 2)), seed=int(p.pop("random_state", 42)))
+    for k in p:
+        if k not in IGNORED_PARAMS:
+            raise ValueError(f"et_classif: unknown parameter {k!r}")
+    return est
+
+
 def _build(model_type: str, kw: dict, n_classes: int | None = None):
     if model_type == "rf_classif":
         return MC.RandomForestClassifier(**kw)
-    if model_type == "et_classif":
-        # no random-threshold splits in MLlib: the closest forest is one without bootstrap
-        kw.setdefault("bootstrap", False)
-        return MC.RandomForestClassifier(**kw)
     if model_type == "rf_reg":
         return MR.RandomForestRegressor(**kw)
     if model_type == "xgb_reg":
@@ -528,7 +543,7 @@ def sample_param_maps(estimator, grid: dict, n_iter: int = 30, seed: int = 42) -
 
 def _type_of(est) -> str:
     name = type(est).__name__
-    return {"RandomForestClassifier": "rf_classif", "RandomForestRegressor": "rf_reg",
+    return {"ExtraTreesClassifier": "et_classif", "RandomForestClassifier": "rf_classif", "RandomForestRegressor": "rf_reg",
             "GBTClassifier": "xgb_classif", "GBTRegressor": "xgb_reg",
             "DecisionTreeClassifier": "dt_classif", "DecisionTreeRegressor": "dt_reg",
             "LogisticRegression": "logistic", "LinearRegression": "linear"}.get(name, "rf_classif")

@@ -12,7 +12,9 @@ def test_parameter_mapping_to_mllib(spark):
     assert rf.getNumTrees() == 50 and rf.getMaxDepth() == 30 and rf.getFeatureSubsetStrategy() == "sqrt"
     assert rf.getImpurity() == "entropy"
     et = M.make_estimator("et_classif", {"max_features": 0.1})
-    assert et.getBootstrap() is False and et.getFeatureSubsetStrategy() == "0.1"
+    assert et.getOrDefault("maxFeatures") == "0.1" and et.getOrDefault("maxDepth") == -1
+    with pytest.raises(ValueError, match="bootstrap"):
+        M.make_estimator("et_classif", {"bootstrap": True})
     gbt = M.make_estimator("xgb_reg", {"n_estimators": 30, "learning_rate": 0.3, "subsample": 0.9,
                                        "min_child_weight": 5, "reg_lambda": 2, "objective": "reg:linear"})
     assert gbt.getMaxIter() == 30 and gbt.getStepSize() == 0.3 and gbt.getMinInstancesPerNode() == 5
@@ -97,7 +99,7 @@ def test_no_silent_parameter_changes(spark):
         M.make_estimator("rf_classif", {"max_depth": 50})
     with pytest.raises(ValueError, match="no MLlib counterpart"):
         M.make_estimator("rf_classif", {"max_leaf_nodes": 5})
-    for kind in ("rf_classif", "et_classif", "rf_reg", "dt_classif", "dt_reg"):
+    for kind in ("rf_classif", "rf_reg", "dt_classif", "dt_reg"):
         assert M.make_estimator(kind).getMaxDepth() == M.make_estimator(kind, {"max_depth": None}).getMaxDepth() == 30
     assert M.make_estimator("rf_reg").getFeatureSubsetStrategy() == "all"
     gbt = M.make_estimator("xgb_reg", {"gamma": 0.2, "colsample_bytree": 0.5})
