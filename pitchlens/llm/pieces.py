@@ -340,8 +340,18 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of ids; the space put before the text by encoding goes."""
-        raw = self.v.raw[_gather(self.v.raw_off[ids], self.v.raw_len[ids])].tobytes()
-        return raw[1:] if raw[:1] == b" " else raw
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(UTF-8 bytes of all texts, offsets) of the texts with ids[off[k]:off[k + 1]]."""
+        size = self.v.raw_len[ids]
+        raw = self.v.raw[_gather(self.v.raw_off[ids], size)]
+        off = np.append(0, np.cumsum(size))[off]
+        first = off[:-1][np.diff(off) > 0]
+        first = first[raw[first] == 0x20]
+        keep = np.ones(len(raw), bool)
+        keep[first] = False
+        return raw[keep], off - np.searchsorted(first, off, "left")
 
 
 def _encoded(v: Pieces, rate: float, seed: int, variants: int, keep: list[str]):
@@ -358,11 +368,12 @@ def _encoded(v: Pieces, rate: float, seed: int, variants: int, keep: list[str]):
                     e += 1
                 ids, size = enc.batch(keys[a:e], texts[a:e])
                 off = np.append(0, np.cumsum(size))
-                back = [enc.decode(ids[off[k]:off[k + 1]]) for k in range(e - a)]
+                back, at = enc.decode_all(ids, off)
+                raw, flat = memoryview(ids.astype("<i4")).cast("B"), (4 * off).tolist()
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(a, e - a), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())),
-                    pa.array(back, pa.binary()).cast(pa.string()),
-                    pa.array([hashlib.sha256(ids[off[k]:off[k + 1]].astype("<i4").tobytes()).hexdigest() for k in range(e - a)]),
+                    pa.LargeStringArray.from_buffers(e - a, pa.py_buffer(at), pa.py_buffer(back)).cast(pa.string()),
+                    pa.array([hashlib.sha256(raw[i:j]).hexdigest() for i, j in zip(flat, flat[1:])]),
                     *[c.slice(a, e - a) for c in b.columns[2:]]],
                     ["key", "ids", "decoded", "ids_sha256", *keep])
                 a = e
