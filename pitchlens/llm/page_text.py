@@ -405,15 +405,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     aligned in time of their matching pairs, or of the product of their repeated lines if these are most.
     """
     parts = [F.col(id_col).cast("string"), F.col(url_col), F.col(html_col)]
-    row = F.md5(F.concat(*[x for c in parts for x in (F.when(c.isNull(), "-").otherwise("+"), F.coalesce(c, F.lit("")), F.lit("\n"))])
-                .cast("binary"))
+    row = F.unhex(F.md5(F.concat(*[x for c in parts for x in (F.when(c.isNull(), "-").otherwise("+"), F.coalesce(c, F.lit("")), F.lit("\n"))])
+                        .cast("binary")))
     host, path = host_path(F.col(url_col))
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), row.alias("row"))
     lines = (pages.select(row.alias("row"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-             .mapInArrow(_listed, "row string, host string, path string, keys binary, kinds binary").dropDuplicates(["row"]))
-    lines = cut(lines.withColumn("list", F.md5(F.concat("keys", "kinds"))))
+             .mapInArrow(_listed, "row binary, host string, path string, keys binary, kinds binary").dropDuplicates(["row"]))
+    lines = cut(lines.withColumn("list", F.unhex(F.md5(F.concat("keys", "kinds")))))
     masks = cut(neighbours(lines, shuffle_partitions(pages.sparkSession))
-                .mapInArrow(_shared_lines, "host string, list string, gone binary, shared array<long>"))
+                .mapInArrow(_shared_lines, "host string, list binary, gone binary, shared array<long>"))
     both = masks.select("host", "list", "gone").join(recurring(masks), ["host", "list"], "left")
     gone = lines.select("row", "host", "list").join(both, ["host", "list"], "left").select("row", "gone", "again")
     kind = pages.schema[id_col].dataType.simpleString()
