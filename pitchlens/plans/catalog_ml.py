@@ -111,13 +111,17 @@ def ml_next_team_stacking(spark, d):
     return _team_facts(TR.next_team_stack().fit(e.train).predict(e.test))
 
 
-@query("ml_next_team_gbt", TEAM_SQL)
+NEXT_TEAM_BOOST = {"n_estimators": 300, "learning_rate": 0.1, "max_depth": 6, "reg_lambda": 2}   # fixed values: reference settings
+
+
+@query("ml_next_team_gbt", O.with_(*NEXT) + f"SELECT seq, game, team_id, TRUE AS known_team, 300 AS rounds, TRUE AS loss_falls FROM {TEST}")
 def ml_next_team_gbt(spark, d):
-    """M4: gradient-boosted trees (binary) for the next team."""
+    """M4: second-order boosting for the next team, 300 rounds; the training loss falls in every round."""
     e = _p2(spark, d)
-    m = M.Modeler("xgb_classif", {"n_estimators": 30, "learning_rate": 0.1, "max_depth": 6}, "team_id",
-                  TR.P2_FEATURES).fit(e.train)
-    return _team_facts(m.predict(e.test))
+    m = M.Modeler("xgb_classif", NEXT_TEAM_BOOST, "team_id", TR.P2_FEATURES).fit(e.train)
+    losses = m.model.stages[-1].losses
+    return _team_facts(m.predict(e.test)).withColumns({
+        "rounds": F.lit(len(losses)), "loss_falls": F.lit(all(b < a for a, b in zip(losses, losses[1:])))})
 
 
 PLAYER_SQL = O.with_(*P1) + f"SELECT game, time_period, player_id, TRUE AS known_player FROM p1 WHERE {P1_TEST}"
@@ -137,10 +141,27 @@ def ml_player_one_vs_rest(spark, d):
     """
     train, test = _p1_sets(spark, d)
     n = train.select("player_id").distinct().count()
-    m = M.Modeler("xgb_classif", {"n_estimators": 3, "max_depth": 3}, "player_id", TR.P1_FEATURES, n_classes=n).fit(train)
+    m = M.Modeler("xgb_multiclass", {"n_estimators": 3, "max_depth": 3}, "player_id", TR.P1_FEATURES, n_classes=n).fit(train)
     return _player_facts(m, test)
 
 
+PLAYER_BOOST = {"n_estimators": 300, "learning_rate": 0.1, "max_depth": 6, "reg_lambda": 2}   # fixed values: reference settings
+
+
+@query("ml_player_softmax", O.with_(*P1) + f"""SELECT game, time_period, player_id, TRUE AS known_player, 300 AS rounds, TRUE AS loss_falls,
+  TRUE AS beats_mode FROM p1 WHERE {P1_TEST}""")
+def ml_player_softmax(spark, d):
+    """M4: softmax boosting for the player, all classes in one fit, 300 rounds; it beats the most frequent class on held-out windows."""
+    train, test = _p1_sets(spark, d)
+    m = M.Modeler("xgb_classif", PLAYER_BOOST, "player_id", TR.P1_FEATURES).fit(train)
+    losses = m.model.stages[-1].losses
+    pred = cut(m.predict(test).select("game", "time_period", "player_id", "prediction"))
+    most = train.groupBy("player_id").count().orderBy(F.desc("count"), "player_id").first()[0]
+    hits = pred.agg(F.sum((F.col("prediction") == F.col("player_id")).cast("int")), F.sum((F.col("player_id") == most).cast("int"))).first()
+    return pred.select("game", "time_period", "player_id", _known(pred, m.indexer.labels).alias("known_player"), F.lit(len(losses)).alias("rounds"),
+                       F.lit(all(b < a for a, b in zip(losses, losses[1:]))).alias("loss_falls"), F.lit((hits[0] or 0) >= (hits[1] or 0)).alias("beats_mode"))
+
+
 @query("ml_coords_forest", O.with_(*NEXT) + f"SELECT seq, game, TRUE AS finite_x, TRUE AS finite_y FROM {TEST}")
 def ml_coords_forest(spark, d):
     """M2: forest regressors for x and y (each fitted on its own target), predictions on the test rows."""

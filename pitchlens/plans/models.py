@@ -37,6 +37,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import GradientBoosting
 from .trees import ExtraTreesClassifier
 
 CLASSIFIERS = {"rf_classif", "et_classif", "xgb_classif", "xgb_multiclass", "logistic", "dt_classif", "mlp",
@@ -67,9 +68,8 @@ MAX_DEPTH = 30   # the deepest tree MLlib grows
 
 #: Parameters without a counterpart that changes an MLlib fit; every other unknown name is an error.
 IGNORED_PARAMS = {"n_jobs", "nthread", "verbose", "silent", "objective", "eval_metric", "booster", "warm_start", "presort",
-                  "tree_method", "oob_score", "min_samples_split", "reg_lambda", "reg_alpha", "solver", "multi_class"}
+                  "tree_method", "oob_score", "solver", "multi_class", "num_class"}
 _FOREST, _TREE = {"rf_classif", "rf_reg"}, {"dt_classif", "dt_reg"}
-_BOOST = {"xgb_classif", "xgb_multiclass", "xgb_reg"}
 
 
 def _depth(v) -> int:
@@ -81,20 +81,26 @@ def _depth(v) -> int:
 def make_estimator(model_type: str, params: dict | None = None, n_classes: int | None = None):
     """A new MLlib estimator for a model type, with scikit-learn style parameters.
 
-    Mapping: ``n_estimators`` -> ``numTrees`` (forests) / ``maxIter`` (boosting),
+    ``et_classif`` is this package's extra-trees, ``xgb_classif`` / ``xgb_reg`` its second-order
+    boosting (any number of classes in one fit; ``reg_lambda``, ``reg_alpha``, ``gamma`` and
+    ``min_child_weight`` as hessian mass); ``xgb_multiclass`` is one-vs-rest over MLlib's binary boosting.
+
+    MLlib mapping: ``n_estimators`` -> ``numTrees`` (forests) / ``maxIter`` (boosting),
     ``max_depth`` -> ``maxDepth`` (forests and trees: absent or None means unlimited, in
-    MLlib 30; more is an error; boosting: absent means 6), ``max_features`` /
-    ``colsample_bytree`` -> ``featureSubsetStrategy`` (absent in a regression forest: all),
+    MLlib 30; more is an error; boosting: absent means 6), ``max_features`` ->
+    ``featureSubsetStrategy`` (absent in a regression forest: all),
     ``criterion`` -> ``impurity`` (classifiers only), ``learning_rate`` -> ``stepSize``,
-    ``subsample`` -> ``subsamplingRate``, ``min_samples_leaf`` / ``min_child_weight`` ->
-    ``minInstancesPerNode``, ``gamma`` -> ``minInfoGain``, ``bootstrap`` -> ``bootstrap``,
-    ``alpha`` -> ``regParam``, ``l1_ratio`` -> ``elasticNetParam``, ``C`` (logistic) ->
-    ``regParam`` = 1 / (C * rows), set by ``Modeler.fit``. ``IGNORED_PARAMS`` have no MLlib
-    meaning; MLlib's own names pass through; any other name raises ``ValueError``.
+    ``subsample`` -> ``subsamplingRate``, ``min_samples_leaf`` -> ``minInstancesPerNode``
+    (``min_samples_split`` must not ask for more than its two children have anyway),
+    ``bootstrap`` -> ``bootstrap``, ``alpha`` -> ``regParam``, ``l1_ratio`` -> ``elasticNetParam``,
+    ``C`` (logistic) -> ``regParam`` = 1 / (C * rows), set by ``Modeler.fit``. ``IGNORED_PARAMS``
+    do not change a fit; MLlib's own names pass through; any other name raises ``ValueError``.
     """
     p = dict(params or {})
     if model_type == "et_classif":
         return _extra_trees(p)
+    if model_type in ("xgb_classif", "xgb_reg"):
+        return _boosting(p, "regression" if model_type == "xgb_reg" else "classification")
     kw: dict = {"seed": p.pop("random_state", 42)} if model_type not in ("linear", "elastic_net", "ridge",
                                                                          "naive_bayes", "logistic") else {}
     if "n_estimators" in p:
@@ -102,15 +108,12 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
         kw[key] = int(p.pop("n_estimators"))
     if "max_depth" in p or model_type in _FOREST | _TREE and "maxDepth" not in p:
         kw["maxDepth"] = _depth(p.pop("max_depth", None))
-    elif model_type in _BOOST and "maxDepth" not in p:
+    elif model_type == "xgb_multiclass" and "maxDepth" not in p:
         kw["maxDepth"] = 6
-    for k in ("max_features", "colsample_bytree"):
-        if k in p and model_type in _FOREST | _BOOST:
-            kw["featureSubsetStrategy"] = _feature_subset(p.pop(k))
+    if "max_features" in p and model_type in _FOREST:
+        kw["featureSubsetStrategy"] = _feature_subset(p.pop("max_features"))
     if model_type == "rf_reg" and "featureSubsetStrategy" not in p:
         kw.setdefault("featureSubsetStrategy", "all")
-    if "gamma" in p and model_type in _BOOST:
-        kw["minInfoGain"] = float(p.pop("gamma"))
     if "alpha" in p and model_type in ("elastic_net", "ridge"):
         kw["regParam"] = float(p.pop("alpha"))
     if "l1_ratio" in p and model_type == "elastic_net":
@@ -124,13 +127,12 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
         kw["stepSize"] = float(p.pop("learning_rate"))
     if "subsample" in p:
         kw["subsamplingRate"] = float(p.pop("subsample"))
-    for k in ("min_samples_leaf", "min_child_weight"):
-        if k in p:
-            kw["minInstancesPerNode"] = int(p.pop(k))
+    if model_type in _FOREST | _TREE and int(p.get("min_samples_split", 2)) <= 2 * int(p.get("min_samples_leaf", 1)):
+        p.pop("min_samples_split", None)
+    if "min_samples_leaf" in p:
+        kw["minInstancesPerNode"] = int(p.pop("min_samples_leaf"))
     if "bootstrap" in p:
         kw["bootstrap"] = bool(p.pop("bootstrap"))
-    if model_type == "xgb_classif" and n_classes is not None and n_classes > 2:
-        model_type = "xgb_multiclass"                # gradient boosting is binary in MLlib: one-vs-rest
     est = _build(model_type, kw)
     for k, v in p.items():
         if "_" not in k and est.hasParam(k):
@@ -157,15 +159,25 @@ def _extra_trees(p: dict) -> ExtraTreesClassifier:
     return est
 
 
+def _boosting(p: dict, task: str) -> GradientBoosting:
+    names = {"n_estimators": ("rounds", int), "max_depth": ("maxDepth", int), "learning_rate": ("learningRate", float),
+             "reg_lambda": ("regLambda", float), "reg_alpha": ("regAlpha", float), "gamma": ("gamma", float),
+             "min_child_weight": ("minChildWeight", float), "subsample": ("subsample", float), "colsample_bytree": ("colsample", float),
+             "max_bin": ("maxBins", int), "random_state": ("seed", int)}
+    est = GradientBoosting(task=task, **{names[k][0]: names[k][1](p.pop(k)) for k in list(p) if k in names})
+    if float(p.pop("scale_pos_weight", 1)) != 1:
+        raise ValueError("boosting: scale_pos_weight other than 1 is not supported")
+    for k in p:
+        if k not in IGNORED_PARAMS:
+            raise ValueError(f"boosting: unknown parameter {k!r}")
+    return est
+
+
 def _build(model_type: str, kw: dict, n_classes: int | None = None):
     if model_type == "rf_classif":
         return MC.RandomForestClassifier(**kw)
     if model_type == "rf_reg":
         return MR.RandomForestRegressor(**kw)
-    if model_type == "xgb_reg":
-        return MR.GBTRegressor(**kw)
-    if model_type == "xgb_classif":
-        return MC.GBTClassifier(**kw)
     if model_type == "xgb_multiclass":
         # the binary models of the classes are independent: fit several at once
         return MC.OneVsRest(classifier=MC.GBTClassifier(**kw), parallelism=4)
@@ -543,8 +555,9 @@ def sample_param_maps(estimator, grid: dict, n_iter: int = 30, seed: int = 42) -
 
 def _type_of(est) -> str:
     name = type(est).__name__
+    if name == "GradientBoosting":
+        return "xgb_reg" if est.getOrDefault("task") == "regression" else "xgb_classif"
     return {"ExtraTreesClassifier": "et_classif", "RandomForestClassifier": "rf_classif", "RandomForestRegressor": "rf_reg",
-            "GBTClassifier": "xgb_classif", "GBTRegressor": "xgb_reg",
             "DecisionTreeClassifier": "dt_classif", "DecisionTreeRegressor": "dt_reg",
             "LogisticRegression": "logistic", "LinearRegression": "linear"}.get(name, "rf_classif")
 

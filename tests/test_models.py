@@ -17,10 +17,12 @@ def test_parameter_mapping_to_mllib(spark):
         M.make_estimator("et_classif", {"bootstrap": True})
     gbt = M.make_estimator("xgb_reg", {"n_estimators": 30, "learning_rate": 0.3, "subsample": 0.9,
                                        "min_child_weight": 5, "reg_lambda": 2, "objective": "reg:linear"})
-    assert gbt.getMaxIter() == 30 and gbt.getStepSize() == 0.3 and gbt.getMinInstancesPerNode() == 5
+    get = gbt.getOrDefault
+    assert get("rounds") == 30 and get("learningRate") == 0.3 and get("minChildWeight") == 5.0 and get("regLambda") == 2.0
+    assert get("task") == "regression" and get("maxDepth") == 6 and get("subsample") == 0.9
     reg = M.make_estimator("rf_reg", {"criterion": "gini"})      # classifier-only option dropped
     assert reg.getImpurity() == "variance"
-    ovr = M.make_estimator("xgb_classif", {"n_estimators": 2}, n_classes=5)
+    ovr = M.make_estimator("xgb_multiclass", {"n_estimators": 2}, n_classes=5)
     assert type(ovr).__name__ == "OneVsRest"
     a, b = M.make_estimator("rf_reg"), M.make_estimator("rf_reg")
     assert a is not b                                            # a fresh estimator per call
@@ -102,8 +104,13 @@ def test_no_silent_parameter_changes(spark):
     for kind in ("rf_classif", "rf_reg", "dt_classif", "dt_reg"):
         assert M.make_estimator(kind).getMaxDepth() == M.make_estimator(kind, {"max_depth": None}).getMaxDepth() == 30
     assert M.make_estimator("rf_reg").getFeatureSubsetStrategy() == "all"
-    gbt = M.make_estimator("xgb_reg", {"gamma": 0.2, "colsample_bytree": 0.5})
-    assert gbt.getMaxDepth() == 6 and gbt.getMinInfoGain() == 0.2 and gbt.getFeatureSubsetStrategy() == "0.5"
+    gbt = M.make_estimator("xgb_reg", {"gamma": 0.2, "colsample_bytree": 0.5, "reg_alpha": 1})
+    assert [gbt.getOrDefault(k) for k in ("maxDepth", "gamma", "colsample", "regAlpha")] == [6, 0.2, 0.5, 1.0]
+    for kind, params in (("xgb_classif", {"scale_pos_weight": 3}), ("xgb_reg", {"max_leaves": 4}), ("dt_reg", {"reg_lambda": 1}),
+                         ("rf_classif", {"min_samples_split": 9, "min_samples_leaf": 2}), ("xgb_multiclass", {"reg_lambda": 2})):
+        with pytest.raises(ValueError):
+            M.make_estimator(kind, params)
+    assert M.make_estimator("rf_classif", {"min_samples_split": 4, "min_samples_leaf": 2}).getMinInstancesPerNode() == 2
     df = _blobs(spark)
     m = M.Modeler("logistic", {"C": 0.01}, "player_id", ["a", "b", "c"]).fit(df)
     assert m.model.stages[-1].getRegParam() == pytest.approx(1 / (0.01 * df.count()))
