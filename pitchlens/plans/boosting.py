@@ -5,11 +5,14 @@ pass: tasks add up gradients and hessians by (class, node, feature bin), partial
 nodes, and where a block is complete its best splits are found, so the driver gets splits and no histogram. Scores
 of the rounds since the last refresh are computed in the passes; every ``REFRESH`` rounds they are added
 to the landed table. The loss of the training rows before each round comes with the round's first pass.
+Rows that make up one task (fewer than two times ``ROWS_PER_TASK``) have nothing to exchange between levels: a
+pass is then a whole round, and tasks share out the classes.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -185,41 +188,87 @@ def _rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarra
             yield part.column(0).to_numpy(), flat(1), part.column(2).to_numpy(), flat(3).astype(float).reshape(n, k)
 
 
-def _histograms(step: _Pass, whole: bool):
-    """Rows -> partial sums by class and block of nodes (``whole``: the only task, so the best splits at once)."""
+class _Sums:
+    """Gradient and hessian sums by (class, open node, bin) of the rows of a task."""
+
+    def __init__(self, step: _Pass, classes, trees: list[Tree], open_: list[list[int]]):
+        self.width, self.trees = int(step.first[-1]), trees
+        self.hold = {k: np.zeros((2, len(open_[k]), self.width)) for k in classes if len(open_[k])}
+        self.place = {}
+        for k in self.hold:
+            self.place[k] = np.full(len(trees[k].feature), -1, np.int64)
+            self.place[k][open_[k]] = np.arange(len(open_[k]))
+
+    def add(self, bins: np.ndarray, cell: np.ndarray, g: np.ndarray, h: np.ndarray, take: np.ndarray) -> None:
+        for k, sums in self.hold.items():
+            at = self.place[k][self.trees[k].walk(bins)]
+            rows = np.flatnonzero((at >= 0) & take)
+            if len(rows):
+                index = (at[rows, None] * self.width + cell[rows]).ravel()
+                for j, w in enumerate((g, h)):
+                    sums[j] += np.bincount(index, np.repeat(w[rows, k], bins.shape[1]), sums.shape[1] * self.width).reshape(-1, self.width)
+
+
+def _histograms(step: _Pass):
+    """Rows -> partial sums by class and block of nodes."""
 
     def run(batches):
-        first, width, p = step.first, int(step.first[-1]), step.p
-        hold = {k: np.zeros((2, len(step.open[k]), width)) for k in step.classes if len(step.open[k])}
-        place = {}
-        for k in hold:
-            place[k] = np.full(len(step.growing[k].feature), -1, np.int64)
-            place[k][step.open[k]] = np.arange(len(step.open[k]))
-        loss, n = 0.0, 0
+        p, sums, loss, n = step.p, _Sums(step, step.classes, step.growing, step.open), 0.0, 0
         for uid, bins, y, base in _rows(batches, step.n_classes):
             g, h, value = gradients(step.scores(bins, base), y, step.loss)
             loss, n = loss + float(value.sum()), n + len(y)
-            take = _sampled(uid, p["subsample"], p["seed"], step.round)
-            cell = bins + first[:-1]
-            for k in hold:
-                at = place[k][step.growing[k].walk(bins)]
-                rows = np.flatnonzero((at >= 0) & take)
-                if len(rows):
-                    index = (at[rows, None] * width + cell[rows]).ravel()
-                    for j, w in enumerate((g, h)):
-                        hold[k][j] += np.bincount(index, np.repeat(w[rows, k], bins.shape[1]), hold[k].shape[1] * width).reshape(-1, width)
+            sums.add(bins, bins + step.first[:-1], g, h, _sampled(uid, p["subsample"], p["seed"], step.round))
         yield _result([(-1, 0, np.array([loss, n]).tobytes())])
-        per = max(1, BLOCK_CELLS // width)
-        for k, (g, h) in hold.items():
+        per = max(1, BLOCK_CELLS // sums.width)
+        for k, (g, h) in sums.hold.items():
             for a in range(0, len(g), per):
-                if whole:
-                    yield _result([(k, a // per, _packed_splits(g[a:a + per], h[a:a + per], step, k))])
-                else:
-                    yield _result([(k, a // per, pa.compress(np.stack([g[a:a + per], h[a:a + per]]).tobytes(), codec="zstd", asbytes=True))])
+                yield _result([(k, a // per, pa.compress(np.stack([g[a:a + per], h[a:a + per]]).tobytes(), codec="zstd", asbytes=True))])
+
+    return run
+
+
+def _whole_round(step: _Pass, max_depth: int, lanes: int):
+    """All rows -> the round's trees of the classes of this task (class = lane modulo the number of lanes)."""
+
+    def run(batches):
+        p, lane = step.p, TaskContext.get().partitionId()
+        mine = [k for k in range(step.n_classes) if k % lanes == lane]
+        held, loss, n = [], 0.0, 0
+        for uid, bins, y, base in _rows(batches, step.n_classes):
+            g, h, value = gradients(step.scores(bins, base), y, step.loss)
+            loss, n = loss + float(value.sum()), n + len(y)
+            held.append((bins, bins + step.first[:-1], g, h, _sampled(uid, p["subsample"], p["seed"], step.round)))
+        trees = [Tree() for _ in range(step.n_classes)]
+        open_ = [[0] if k in mine else [] for k in range(step.n_classes)]
+        for depth in range(max(1, max_depth)):
+            if not any(open_):
+                break
+            sums = _Sums(step, mine, trees, open_)
+            for block in held:
+                sums.add(*block)
+            found = {k: best_splits(g, h, step.first, _chosen(len(step.first) - 1, p["colsample"], p["seed"], step.round, k), p)
+                     for k, (g, h) in sums.hold.items()}
+            open_ = _grow(trees, open_, found, depth, max_depth, p)
+        yield _result([(-1, 0, np.array([loss, n]).tobytes()), *((k, 0, pickle.dumps(trees[k])) for k in mine)])
 
     return run
 
 
+def _grow(trees: list[Tree], open_: list[list[int]], found: dict, depth: int, max_depth: int, p: dict) -> list[list[int]]:
+    """Split the open nodes by what was found for them; the new open nodes."""
+    nxt = [[] for _ in trees]
+    for k, t in enumerate(trees):
+        for at, (won, f, b, lg, lh, g, h) in zip(open_[k], found.get(k, ())):
+            if depth == 0:
+                t.value[0] = leaf_value(g, h, p)
+            if won < 0 or depth == max_depth:
+                continue
+            left, right = t.split(at, int(f), int(b))
+            t.value[left], t.value[right] = leaf_value(lg, lh, p), leaf_value(g - lg, h - lh, p)
+            nxt[k] += [left, right]
+    return nxt
+
+
 def _result(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                                        pa.array([TaskContext.get().partitionId() // FAN_IN] * len(rows), pa.int32()),
@@ -251,17 +300,18 @@ _PARTS = "class int, block int, lane int, data binary"
 
 
 def _splits(state: DataFrame, step: _Pass, parts: int) -> tuple[dict[int, np.ndarray], float]:
-    """({class: best splits of its open nodes}, mean loss) of one level, for all classes of the step."""
+    """({class: best splits of its open nodes}, mean loss) of one level, for all classes."""
     found: dict[int, dict[int, np.ndarray]] = {}
     loss = math.nan
     per_pass = max(1, CLASS_CELLS // max(1, int(step.first[-1]) * max(1, max(map(len, step.open)))))
     for a in range(0, step.n_classes, per_pass):
         step.classes = range(a, min(a + per_pass, step.n_classes))
-        out = state.mapInArrow(_histograms(step, parts == 1), _PARTS)
-        left = parts
-        while left > 1:
+        out, left = state.mapInArrow(_histograms(step), _PARTS), parts
+        while True:
             left = -(-left // FAN_IN)
             out = out.groupBy("class", "block", "lane").applyInPandas(_merged(step, left == 1), _PARTS)
+            if left == 1:
+                break
         for r in out.collect():
             if r["class"] < 0:
                 total, n = np.frombuffer(r["data"])
@@ -271,6 +321,33 @@ def _splits(state: DataFrame, step: _Pass, parts: int) -> tuple[dict[int, np.nda
     return {k: np.concatenate([v[b] for b in sorted(v)]) for k, v in found.items()}, loss
 
 
+def _round(state: DataFrame, step: _Pass, max_depth: int, parts: int) -> tuple[list[Tree], float]:
+    """(trees of a round, mean loss before it)."""
+    if parts == 1:
+        lanes = max(1, min(step.n_classes, state.sparkSession.sparkContext.defaultParallelism))
+        copies = state
+        for _ in range(lanes - 1):
+            copies = copies.union(state)             # partition k is lane k
+        trees, loss = [Tree() for _ in range(step.n_classes)], math.nan
+        for r in copies.mapInArrow(_whole_round(step, max_depth, lanes), _PARTS).collect():
+            if r["class"] < 0:
+                total, n = np.frombuffer(r["data"])
+                loss = total / n
+            else:
+                trees[r["class"]] = pickle.loads(r["data"])
+        return trees, loss
+    trees, loss = [Tree() for _ in range(step.n_classes)], math.nan
+    open_ = [[0] for _ in trees]
+    for depth in range(max(1, max_depth)):
+        if not any(open_):
+            break
+        step.growing, step.open = trees, open_
+        found, value = _splits(state, step, parts)
+        loss = value if depth == 0 else loss
+        open_ = _grow(trees, open_, found, depth, max_depth, step.p)
+    return trees, loss
+
+
 def _refreshed(recent: list[list[Tree]], k: int):
     def run(batches):
         step = _Pass(None, k, None, recent, None, None, 0, None, None)
@@ -334,26 +411,8 @@ def boost(rows: DataFrame, loss: str, n_classes: int = 1, rounds: int = 100, lea
     fresh: list[list[Tree]] = []
     losses: list[float] = []
     for r in range(rounds):
-        trees = [Tree() for _ in range(n_classes)]
-        open_ = [[0] for _ in trees]
-        for depth in range(max_depth + 1):
-            if not any(open_) or depth == max_depth and depth:
-                break
-            step = _Pass(loss, n_classes, first, fresh, trees, open_, r, p, None)
-            found, value = _splits(state, step, parts)
-            if depth == 0:
-                losses.append(value)
-            nxt = [[] for _ in trees]
-            for k, t in enumerate(trees):
-                for at, (won, f, b, lg, lh, g, h) in zip(open_[k], found.get(k, ())):
-                    if depth == 0:
-                        t.value[0] = leaf_value(g, h, p)
-                    if won < 0 or depth == max_depth:
-                        continue
-                    left, right = t.split(at, int(f), int(b))
-                    t.value[left], t.value[right] = leaf_value(lg, lh, p), leaf_value(g - lg, h - lh, p)
-                    nxt[k] += [left, right]
-            open_ = nxt
+        trees, value = _round(state, _Pass(loss, n_classes, first, fresh, None, None, r, p, None), max_depth, parts)
+        losses.append(value)
         fresh.append(trees)
         done.append(trees)
         if len(fresh) == REFRESH and r < rounds - 1:
@@ -489,7 +548,7 @@ class GradientBoostingModel(Model, HasFeaturesCol, HasPredictionCol, DefaultPara
     def table(self) -> DataFrame:
         from pyspark.sql import SparkSession
 
-        return SparkSession.getActiveSession().read.parquet(self.getOrDefault(self.treesPath))
+        return (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()).read.parquet(self.getOrDefault(self.treesPath))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         x = df.withColumn("_boost_x", vector_to_array(F.col(self.getFeaturesCol())))

@@ -12,8 +12,10 @@ own target).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,21 +158,28 @@ def train_all(me: DataFrame, eligible: DataFrame | None, out_dir: str | None = N
     """
     feats = cut(window_features(me, eligible))
     nxt = cut(season_next_event(me).na.drop())
-    metrics = evaluate(feats, nxt, split, player_params, team_params, coords_params, with_ica)
-
     med = feature_medians(feats, P1_FEATURES)
-    player = player_model(player_params, with_ica).fit(_imputed(feats, med))
     e2 = encode_sets(nxt, nxt, "team_change", "team_id")
     ex = encode_sets(nxt, nxt, "distance", "x_along_team1_axis")
     ey = encode_sets(nxt, nxt, "distance", "y_along_team1_axis")
-    tm = TrainedModels(player, med, next_team_stack(team_params).fit(e2.train), e2.encoders,
-                       coords_model("x", coords_params).fit(ex.train), ex.encoders,
-                       coords_model("y", coords_params).fit(ey.train), ey.encoders, metrics)
+    metrics, player, team, mx, my = together(
+        lambda: evaluate(feats, nxt, split, player_params, team_params, coords_params, with_ica),
+        lambda: player_model(player_params, with_ica).fit(_imputed(feats, med)),
+        lambda: next_team_stack(team_params).fit(e2.train),
+        lambda: coords_model("x", coords_params).fit(ex.train),
+        lambda: coords_model("y", coords_params).fit(ey.train))
+    tm = TrainedModels(player, med, team, e2.encoders, mx, ex.encoders, my, ey.encoders, metrics)
     if out_dir:
         save_trained(tm, out_dir)
     return tm
 
 
+def together(*jobs):
+    """Results of independent fits, submitted side by side: their many small jobs share the executors."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+
+
 def _imputed(feats: DataFrame, medians: dict) -> DataFrame:
     return impute_with_medians(feats, feats, P1_FEATURES, keep=list(WINDOW_KEY), medians=medians)
 
@@ -200,15 +209,15 @@ def evaluate(feats: DataFrame, nxt: DataFrame, split: Column | None = None, play
     """Metrics of the three problems on held-out rows: problem, metric, value."""
     from ..operators import metrics as MT
 
-    _, player_acc = evaluate_player(feats, player_params, with_ica)
     train, test = split_rows(nxt, split if split is not None else default_split())
     e2 = encode_sets(train, test, "team_change", "team_id")
-    team = next_team_stack(team_params).fit(e2.train)
-    acc = MT.accuracy(team.predict(e2.test), "team_id", "prediction").first()[0]
     ex = encode_sets(train, test, "distance", "x_along_team1_axis")
     ey = encode_sets(train, test, "distance", "y_along_team1_axis")
-    both = cut(predict_coords(ex, ey, coords_model("x", coords_params).fit(ex.train),
-                              coords_model("y", coords_params).fit(ey.train)))
+    (_, player_acc), team, mx, my = together(
+        lambda: evaluate_player(feats, player_params, with_ica), lambda: next_team_stack(team_params).fit(e2.train),
+        lambda: coords_model("x", coords_params).fit(ex.train), lambda: coords_model("y", coords_params).fit(ey.train))
+    acc = MT.accuracy(team.predict(e2.test), "team_id", "prediction").first()[0]
+    both = cut(predict_coords(ex, ey, mx, my))
     l2 = MT.avg_l2_error(both, "x_along_team1_axis", "y_along_team1_axis", "x_pred", "y_pred").first()[0]
     msex = MT.mse(both, "x_along_team1_axis", "x_pred").first()[0]
     msey = MT.mse(both, "y_along_team1_axis", "y_pred").first()[0]

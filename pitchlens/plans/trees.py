@@ -521,7 +521,7 @@ class ExtraTreesModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsRead
     def nodes(self) -> DataFrame:
         from pyspark.sql import SparkSession
 
-        return SparkSession.getActiveSession().read.parquet(self.getOrDefault(self.nodesPath))
+        return (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()).read.parquet(self.getOrDefault(self.nodesPath))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         x = df.withColumn("_forest_x", vector_to_array(F.col(self.getFeaturesCol())))
