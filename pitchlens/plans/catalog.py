@@ -24,6 +24,7 @@ from ..operators import quality as DQ
 from ..operators import setops as SO
 from ..operators.encode import TargetEncoder, encoder_table, fit_lag_encoders
 from ..operators.ordered import ordered_position
+from ..operators.quantiles import exact_medians
 from ..operators.windows import all_but_last, last_rows, lag_columns, next_event_dataset, sliding_windows
 from ..sources import fixture as FX
 from ..sources.store import materialize, source_key
@@ -603,9 +604,9 @@ MEDIAN_COLS = K.player_features()
     "(SELECT " + ", ".join(f'CAST(median("{c}") AS DOUBLE) AS "{c}"' for c in MEDIAN_COLS)
     + " FROM feat WHERE player_id IN (SELECT player_id FROM elig))", MEDIAN_COLS))
 def feature_medians(spark, d):
-    """Exact (interpolating) median of each of the 39 features over the training table."""
-    f = features_(spark, d)
-    return f.agg(*[F.median(F.col(c)).cast("double").alias(c) for c in MEDIAN_COLS])
+    """Exact (interpolating) median of each of the 39 features over the training table, by radix selection."""
+    found = exact_medians(features_(spark, d), MEDIAN_COLS)
+    return spark.createDataFrame([tuple(found[c] for c in MEDIAN_COLS)], ", ".join(f"`{c}` double" for c in MEDIAN_COLS))
 
 
 @query("distinct_players", O.with_(*ST) + "SELECT DISTINCT player_id FROM st")

@@ -15,29 +15,19 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.columns import along_team1_axis
 from ..operators.encode import apply_lag_encoders, fit_lag_encoders
+from ..operators.quantiles import exact_medians
 from ..operators.setops import conform_schema
 from ..operators.windows import last_rows
 from .features import test_set_stats
 
 
-_MEDIANS: dict[tuple, tuple] = {}
-
-
 def feature_medians(train: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """Exact median of each column over the training rows (one aggregate, one row back).
+    """Exact median of each column over the training rows (radix selection over the columns, landed once).
 
     Like Spark ML's ``Imputer``, the surrogate values become model parameters
-    on the driver: one number per column, never data rows. Fitted once per
-    training DataFrame object within a process.
+    on the driver: one number per column, never data rows.
     """
-    key = (id(train), tuple(cols))
-    hit = _MEDIANS.get(key)
-    if hit is not None and hit[0] is train:
-        return dict(hit[1])
-    row = train.agg(*[F.median(F.col(c)).cast("double").alias(c) for c in cols]).first()
-    medians = {c: row[c] for c in cols}
-    _MEDIANS[key] = (train, medians)
-    return dict(medians)
+    return exact_medians(train, cols)
 
 
 def impute_with_medians(df: DataFrame, train: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
