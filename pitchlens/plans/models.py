@@ -37,6 +37,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .boosting import GradientBoosting
 from .trees import ExtraTreesClassifier
 
@@ -605,6 +606,27 @@ def size_sweep(train: DataFrame, test: DataFrame, modeler: Modeler, trees: Seque
                                        "load_sec double")
 
 
+def forest_sweep(train: DataFrame, test: DataFrame, modeler: Modeler, trees: Sequence[int], depths: Sequence[int]) -> DataFrame:
+    """n_estimators, max_depth, accuracy, hits, n, n_nodes of an extra-trees modeler at every size, from one forest."""
+    from .trees import grow_forest, sweep, tried
+
+    pre = Pipeline(stages=modeler.pipeline().getStages()[:-1]).fit(train)
+    est = make_estimator("et_classif", {**modeler.params, "n_estimators": max(trees), "max_depth": max(depths)})
+    get = est.getOrDefault
+    modeler.indexer = None
+    arrays = lambda df: cut(pre.transform(modeler._labelled(df)).select(
+        vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label")))
+    modeler._labelled(train)
+    modeler.indexer.setHandleInvalid("keep")             # classes that only the test rows have are never hit
+    fit_on, asked = arrays(train), arrays(test)
+    n_classes = len(modeler.indexer.labels)
+    width = fit_on.select(F.size("x")).first()[0]
+    nodes = grow_forest(fit_on, n_classes, get("numTrees"), get("maxDepth"), tried(get("maxFeatures"), width), get("impurity"),
+                        get("minInstancesPerSplit"), get("minInstancesPerNode"), get("seed"), inner_counts=True)
+    out = sweep(asked, nodes, n_classes, list(trees), list(depths))
+    return out.select("n_estimators", "max_depth", (F.col("hits") / F.col("n")).alias("accuracy"), "hits", "n", "n_nodes")
+
+
 def _dir_size(spark, path: str) -> int:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

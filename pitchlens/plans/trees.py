@@ -124,8 +124,9 @@ def grow(x: np.ndarray, y: np.ndarray, row: np.ndarray, tree: np.ndarray, node:
         out["feature"] += feature.tolist()
         out["threshold"] += thr.tolist()
         out["n"] += n.tolist()
-        out["classes"] += [label[h].tolist() if is_leaf else [] for h, is_leaf in zip(held, leaf)]
-        out["counts"] += [count[h].tolist() if is_leaf else [] for h, is_leaf in zip(held, leaf)]
+        shown = leaf | p["inner"]
+        out["classes"] += [label[h].tolist() if show else [] for h, show in zip(held, shown)]
+        out["counts"] += [count[h].tolist() if show else [] for h, show in zip(held, shown)]
         go = ~leaf[group]
         right = x[row[go], feature[group[go]]] > thr[group[go]]
         row, tree, node = row[go], tree[go], node[go] * 2 + right
@@ -275,15 +276,18 @@ def _grown(n_classes: int, p: dict):
 
 def grow_forest(rows: DataFrame, n_classes: int, n_trees: int = 100, max_depth: int | None = None, max_features: int = 1,
                 criterion: str = "gini", min_samples_split: int = 2, min_samples_leaf: int = 1, seed: int = 42,
-                local_rows: int | None = None) -> DataFrame:
-    """Table of all nodes (``NODES``; feature -1: a leaf with its class counts) of a forest over (x array<double>, label int)."""
+                local_rows: int | None = None, inner_counts: bool = False) -> DataFrame:
+    """Table of all nodes (``NODES``; feature -1: a leaf with its class counts) of a forest over (x array<double>, label int).
+
+    With ``inner_counts`` split nodes have their class counts too, so trees can be read up to any depth.
+    """
     spark = rows.sparkSession
     rows = rows.select("x", "label")
     n_rows = rows.count()
     if not n_rows:
         raise ValueError("no training rows")
     p = {"max_depth": MAX_LEVELS if max_depth is None else int(max_depth), "max_features": max_features, "criterion": criterion,
-         "min_split": max(2, min_samples_split, 2 * min_samples_leaf), "min_leaf": min_samples_leaf, "seed": seed}
+         "min_split": max(2, min_samples_split, 2 * min_samples_leaf), "min_leaf": min_samples_leaf, "seed": seed, "inner": inner_counts}
     local = local_rows if local_rows is not None else max(LOCAL_ROWS, -(-n_rows // FRONTIER))
     step = max(1, FRONTIER // max(1, n_rows // max(1, local)))
     parts = [_block(spark, rows, n_rows, np.arange(a, min(a + step, n_trees)), n_classes, p, local) for a in range(0, n_trees, step)]
@@ -333,7 +337,7 @@ def _block(spark, rows: DataFrame, n_rows: int, trees: np.ndarray, n_classes: in
         held = {k: (g["feature"].to_numpy(), g["n"].to_numpy()) for k, g in kinds.groupby("place")}
         for place in todo.tolist():
             _, f, t, _ = best.get(place, (0, -1, 0.0, 0))
-            label, count = (-1 - held[place][0], held[place][1]) if f < 0 else (np.zeros(0, int),) * 2
+            label, count = (-1 - held[place][0], held[place][1]) if f < 0 or p["inner"] else (np.zeros(0, int),) * 2
             order = np.argsort(label)
             done.append((int(upper.tree[place]), int(upper.node[place]), f, t, int(upper.rows[place]), label[order].tolist(), count[order].tolist()))
         todo = upper.split(split, np.array([best[k][1] for k in split], int), np.array([best[k][2] for k in split], float))
@@ -389,12 +393,16 @@ class Forest:
         out = np.zeros((len(x), n_classes))
         at = self.leaves(x)
         for t in range(at.shape[1]):
-            a, size = self.off[at[:, t]], self.off[at[:, t] + 1] - self.off[at[:, t]]
-            ends = np.cumsum(size)
-            k = np.repeat(a - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-            np.add.at(out, (np.repeat(np.arange(len(x)), size), self.label[k]), self.share[k])
+            self.add(out, at[:, t])
         return out
 
+    def add(self, out: np.ndarray, at: np.ndarray) -> None:
+        """Add the class shares of each row's node to its votes."""
+        a, size = self.off[at], self.off[at + 1] - self.off[at]
+        ends = np.cumsum(size)
+        k = np.repeat(a - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        np.add.at(out, (np.repeat(np.arange(len(at)), size), self.label[k]), self.share[k])
+
 
 def tree_blocks(nodes: DataFrame) -> list[list[int]]:
     """Trees in blocks of at most MODEL_NODES nodes (one tree at least)."""
@@ -435,6 +443,49 @@ def class_votes(rows: DataFrame, nodes: DataFrame, x_col: str, n_classes: int, o
     return rows
 
 
+def sweep(rows: DataFrame, nodes: DataFrame, n_classes: int, trees: list[int], depths: list[int]) -> DataFrame:
+    """n_estimators, max_depth, hits, n, n_nodes: every size of a forest scored in one pass over (x, label).
+
+    ``nodes`` has inner counts. As thresholds depend on the node alone, the first n trees read up to a depth are the
+    forest that those settings grow. A task keeps the vote sums of one block of rows per depth.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(nodes.where(F.col("tree") < max(trees)).toPandas())
+    asked, levels = set(trees), sorted(depths)
+
+    def run(batches):
+        forest, hits, n = Forest(shared.value), {}, 0
+        for x, y in _arrays(batches, 1024):
+            n += len(y)
+            votes = np.zeros((len(levels), len(x), n_classes))
+            for t, root in enumerate(forest.roots.tolist()):
+                at, depth = np.full(len(x), root), 0
+                for k, level in enumerate(levels):
+                    while depth < level:
+                        f = forest.feature[at]
+                        go = np.flatnonzero(f >= 0)
+                        if not len(go):
+                            break
+                        here = at[go]
+                        at[go] = np.where(x[go, f[go]] <= forest.threshold[here], forest.left[here], forest.right[here])
+                        depth += 1
+                    forest.add(votes[k], at)
+                if t + 1 in asked:
+                    found = np.round(votes, 9).argmax(axis=2)
+                    for k, level in enumerate(levels):
+                        hits[t + 1, level] = hits.get((t + 1, level), 0) + int((found[k] == y).sum())
+        for (t, level), h in hits.items():
+            yield pa.RecordBatch.from_pydict({"n_estimators": pa.array([t], pa.int32()), "max_depth": pa.array([level], pa.int32()),
+                                              "hits": pa.array([h], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    scored = rows.select("x", "label").mapInArrow(run, "n_estimators int, max_depth int, hits long, n long") \
+        .groupBy("n_estimators", "max_depth").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    size = nodes.groupBy("tree", F.floor(F.log2("node")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("nodes")).toPandas()
+    sizes = spark.createDataFrame([(t, d, int(size[(size["tree"] < t) & (size["level"] <= d)]["nodes"].sum())) for t in trees for d in depths],
+                                  "n_estimators int, max_depth int, n_nodes long")
+    return scored.join(sizes, ["n_estimators", "max_depth"])
+
+
 class ExtraTreesClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """Spark ML estimator over :func:`grow_forest`."""
 

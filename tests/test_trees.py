@@ -106,3 +106,19 @@ def test_edges(spark):
     same = spark.createDataFrame([([1.0], 0), ([1.0], 1), ([1.0], 1)], "x array<double>, label int")
     assert table(T.grow_forest(same, 2, 1)) == [(0, 1, -1, 0.0, 3, {0: 1, 1: 2})]
     assert [T.tried(v, 39) for v in ("all", "sqrt", "log2", "0.1", "10", "1.0")] == [39, 6, 5, 3, 10, 39]
+
+
+@pytest.mark.parametrize("local", [None, 40])
+def test_sweep_equals_forests_grown_alone(points, local):
+    x, y, df = points
+    train, test = df.where("label >= 0").limit(10_000), df
+    nodes = T.grow_forest(train, 4, 6, 7, 2, seed=4, local_rows=local, inner_counts=True)
+    got = {(r["n_estimators"], r["max_depth"]): (r["hits"], r["n"], r["n_nodes"]) for r in T.sweep(test, nodes, 4, [2, 5, 6], [1, 4, 7]).collect()}
+    want = {}
+    for n in (2, 5, 6):
+        for d in (1, 4, 7):
+            alone = T.grow_forest(train, 4, n, d, 2, seed=4)
+            votes = T.class_votes(test, alone, "x", 4, "v").collect()
+            hits = sum(int(np.round(r["v"], 9).argmax()) == r["label"] for r in votes)
+            want[n, d] = hits, len(x), alone.count()
+    assert got == want
