@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import cut
 from . import models as M
+from . import neighbours as NN
 from . import oracle as O
 from . import training as TR
 from .catalog import (FEAT, MEDIAN_COLS, NEXT, TEST_SET, ZC_SUM, eligible_, features_, me_, query,
@@ -328,6 +329,38 @@ def ml_random_search(spark, d):
     return results.select("draw", _finite("mse").alias("finite_mse"))
 
 
+def _knn_sql(k: int = 5) -> str:
+    x = "[" + ", ".join(f'"{c}"' for c in TR.P1_FEATURES) + "]"
+    ids = "game || '|' || time_period || '|' || CAST(player_id AS VARCHAR)"
+    elig = "player_id IN (SELECT player_id FROM elig)"
+    med = ", ".join(f'CAST(median("{c}") AS DOUBLE) AS "m_{c}"' for c in TR.P1_FEATURES)
+    fill = ", ".join(f'COALESCE(CAST("{c}" AS DOUBLE), (SELECT "m_{c}" FROM med1)) AS "{c}"' for c in TR.P1_FEATURES)
+    return O.with_(*FEAT, f"""med1 AS (SELECT {med} FROM feat WHERE {elig} AND NOT ({P1_TEST})),
+raw1 AS (SELECT game, player_id, time_period, {fill} FROM feat WHERE {elig}),
+tr AS MATERIALIZED (SELECT {ids} AS id, player_id, {x} AS x FROM raw1 WHERE NOT ({P1_TEST})),
+te AS MATERIALIZED (SELECT {ids} AS id, {x} AS x FROM raw1 WHERE {P1_TEST}),
+pairs AS (SELECT te.id AS qid, tr.id, tr.player_id AS label, round(list_sum(list_transform(list_zip(te.x, tr.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d2
+          FROM te JOIN tr ON te.id <> tr.id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM pairs) WHERE rank <= {k}),
+votes AS (SELECT qid, label, count(*) AS n FROM near GROUP BY qid, label),
+pred AS (SELECT qid, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, label) AS r FROM votes) WHERE r = 1)
+""") + "SELECT qid, CAST(rank AS INTEGER) AS rank, id, label, d2, prediction, TRUE AS pruned FROM near JOIN pred USING (qid)"
+
+
+@query("ml_player_knn", _knn_sql())
+def ml_player_knn(spark, d):
+    """M5: exact k nearest training windows of every held-out window, and the player they vote for.
+
+    ``pruned``: over all queries fewer pairs were compared than there are.
+    """
+    train, test = _p1_sets(spark, d)
+    key = ("game", "time_period", "player_id")
+    found = cut(NN.nearest(NN.frame(train, TR.P1_FEATURES, key, "player_id"), NN.frame(test, TR.P1_FEATURES, key), 5))
+    compared = found.where("rank = 1").agg(F.sum("compared")).first()[0] or 0
+    pairs = train.count() * test.count()
+    return found.join(NN.predicted(found), "qid").select("qid", "rank", "id", "label", "d2", "prediction", F.lit(compared < pairs or pairs == 0).alias("pruned"))
+
+
 SWEEP_TREES, SWEEP_DEPTHS = list(range(60, 151, 5)), list(range(18, 25))   # fixed values: the reference's grid
 
 
