@@ -27,7 +27,7 @@ from ..operators.ordered import ordered_position
 from ..operators.quantiles import exact_medians
 from ..operators.windows import all_but_last, last_rows, lag_columns, next_event_dataset, sliding_windows
 from ..sources import fixture as FX
-from ..sources.store import materialize, source_key
+from ..sources.store import land_files, materialize, source_key
 from . import features as FE
 from . import oracle as O
 
@@ -249,10 +249,16 @@ def csv_round_trip(spark, d):
 @query("directory_scan", O.with_(*RAW) + "SELECT home_team_id, period_id, count(*) AS n_rows, CAST(max(seq) AS BIGINT) AS last_seq "
        "FROM raw GROUP BY home_team_id, period_id")
 def directory_scan(spark, d):
-    """A season kept as a directory of files, one folder per home team, scanned as one table."""
+    """A season kept as a directory of files, one folder per home team, landed as it grows: one team's files first,
+    then the whole directory, of which only the other files are parsed; scanned as one table."""
     raw = raw_(spark, d).select("home_team_id", "period_id", "seq").withColumn("team", F.col("home_team_id"))
-    src = f"{d.rstrip('/')}/events.parquet"
-    files = materialize(spark, f"season_files-{source_key(spark, src)}", lambda: raw, partition_by=["team"])
+    key = source_key(spark, f"{d.rstrip('/')}/events.parquet")
+    season = materialize(spark, f"season_files-{key}", lambda: raw, partition_by=["team"])
+    path = season.inputFiles()[0].rsplit("/", 2)[0]
+    parse = lambda paths: spark.read.parquet(*paths).withColumn("source_file", F.col("_metadata.file_path"))
+    first = season.agg(F.min("team")).first()[0]
+    land_files(spark, f"season_scan-{key}", parse, [f"{path}/team={first}"])
+    files = land_files(spark, f"season_scan-{key}", parse, [path])
     return files.groupBy("home_team_id", "period_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                                          F.max("seq").cast("bigint").alias("last_seq"))
 

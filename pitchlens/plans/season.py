@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import constants as K
 from ..operators.clean import clean_game_data
 from ..operators.playtime import eligible_players, play_time, timed_raw
-from ..sources.store import land
+from ..sources.store import PROJECTION_VERSION, land, land_files
 from ..sources.xml import read_game_events, read_players
 
 
@@ -27,8 +28,10 @@ def season_from_xml(spark: SparkSession, games: str, registry: str | None,
 
     ``with_source`` qualifies game keys with the feed file, so seasons do not collide.
     """
-    # The feeds are parsed once, here: everything below scans the landed Parquet copies.
-    raw = land(spark, "xml_events", lambda: read_game_events(spark, games), [games])
+    # Every feed file is parsed once, here: everything below scans the landed Parquet copies, and a folder
+    # that has got a game more parses that game alone.
+    name = f"xml_events-{hashlib.sha1(f'{PROJECTION_VERSION}|{games}'.encode()).hexdigest()[:16]}"
+    raw = land_files(spark, name, lambda paths: read_game_events(spark, paths), [games])
     events = clean_game_data(raw, with_source)
     ev = timed_raw(raw, with_source)
     if registry:

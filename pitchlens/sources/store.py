@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path
 
@@ -98,6 +99,71 @@ def land(spark: SparkSession, name: str, builder: Callable[[], DataFrame], sourc
     return _LANDED[memo]
 
 
+_FILES = "file string, size long, modified long, version string"
+
+
+def _listing(spark: SparkSession, sources: list[str]) -> list[tuple[str, int, int]]:
+    """(file, size, time) of every file below the paths or globs; hidden and marker files do not count."""
+    out = set()
+    for p in sources:
+        fs, hp = _fs(spark, p)
+        for top in fs.globStatus(hp) or []:
+            it = fs.listFiles(top.getPath(), True)
+            while it.hasNext():
+                st = it.next()
+                if not st.getPath().getName().startswith(("_", ".")):
+                    out.add((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return sorted(out)
+
+
+def _plain_path(c):
+    """One spelling of a file's path: ``file:/a`` and ``file:///a`` are the same."""
+    return F.regexp_replace(c, r"^([a-zA-Z0-9+.\-]+:)/+", "$1/")
+
+
+def manifest(spark: SparkSession, name: str) -> DataFrame:
+    """file, size, modified, version: the files whose rows a dataset of :func:`land_files` holds now."""
+    have = versions(spark, shared_path(spark, f"landed/{name}/manifest"))
+    return spark.read.schema(_FILES).parquet(have[-1]) if have else spark.createDataFrame([], _FILES)
+
+
+def land_files(spark: SparkSession, name: str, parse: Callable[[list[str]], DataFrame], sources: list[str]) -> DataFrame:
+    """Land a folder of files that grows: only files that are new since the last call are parsed.
+
+    ``parse(paths)`` gives the rows of some files with a column ``source_file``. A manifest tells which
+    files (by path, size and time) are landed and in which version of the data; new ones are parsed
+    and appended as one version more. A changed file is parsed anew; rows of its old state and of
+    files that are gone are left out when reading (their versions stay for readers that have them open).
+    Of two calls at the same time the later manifest counts; files it does not name are parsed by the next.
+    """
+    root = shared_path(spark, f"landed/{name}")
+    have = versions(spark, f"{root}/manifest")
+    seen = manifest(spark, name)
+    listed = spark.createDataFrame(_listing(spark, sources), "file string, size long, modified long")
+    state = ["file", "size", "modified"]
+    fresh = [r["file"] for r in listed.join(seen, state, "left_anti").select("file").collect()]
+    gone = seen.join(listed, state, "left_anti").limit(1).count()
+    if fresh or gone or not have:
+        version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        kept = seen.join(listed, state, "left_semi")
+        if fresh:
+            parse(fresh).write.parquet(f"{root}/data/{version}")
+        now = kept.unionByName(listed.join(seen, state, "left_anti").withColumn("version", F.lit(version))).select("file", "size", "modified", "version")
+        now.coalesce(1).write.parquet(f"{root}/manifest/{version}")
+        seen = manifest(spark, name)
+    used = [r["version"] for r in seen.select("version").distinct().collect()]
+    if not used:
+        old = versions(spark, f"{root}/data")
+        return spark.read.parquet(old[-1]).limit(0) if old else parse([])
+    rows = spark.read.parquet(*[f"{root}/data/{v}" for v in sorted(used)])
+    version_of = F.regexp_extract(F.col("_metadata.file_path"), r"/(v\d+-[0-9a-f]+)/[^/]*$", 1)
+    written = F.url_decode(F.regexp_replace("source_file", r"\+", "%2B"))      # a row's file is a URI, a listing has plain paths
+    landed = rows.select("*", version_of.alias("_version"), _plain_path(written).alias("_file"))
+    # Rows of files whose landed state is not the one that counts now.
+    live = seen.select(F.col("version").alias("_version"), _plain_path("file").alias("_file"))
+    return landed.join(live, ["_version", "_file"], "left_semi").select(*rows.columns)
+
+
 def write_predictions(df: DataFrame, path: str, header: bool = False) -> None:
     """Prediction sink: ``player, team, y, x`` rows as CSV (y before x, no header)."""
     df.select("player_id", "team_id", "y", "x").write.mode("overwrite").option("header", header).csv(path)

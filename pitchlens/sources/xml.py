@@ -47,8 +47,10 @@ DOCUMENT = T.StructType([
 ])
 
 
-def read_game_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_game_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per ``Game`` element: home/away ids, the event array and the source file."""
+    if path == []:
+        return spark.createDataFrame([], GAME).withColumn("source_file", F.lit(None).cast("string"))
     df = (spark.read.format("xml").option("rowTag", "Game").option("mode", "FAILFAST")
           .schema(GAME).load(path))
     return df.withColumn("source_file", F.col("_metadata.file_path"))
@@ -58,7 +60,7 @@ def _int(c: str):
     return F.col(c).cast("int")
 
 
-def read_game_events(spark: SparkSession, path: str) -> DataFrame:
+def read_game_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Game feed -> provider-shaped event rows (the raw schema of the cleaning step).
 
     Columns: ``source_file, seq, home_team_id, away_team_id, period_id, min, sec,
@@ -99,7 +101,7 @@ def read_game_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_registry_doc(spark: SparkSession, path: str) -> DataFrame:
-    """Registry feed -> one row per ``SoccerDocument`` with its teams and transfers."""
+    """Registry feed -> one row per ``SoccerDocument`` with its teams and transfers (one task per document)."""
     return (spark.read.format("xml").option("rowTag", "SoccerDocument").option("mode", "FAILFAST")
             .schema(DOCUMENT).load(path))
 
@@ -111,9 +113,28 @@ def registry_teams(doc: DataFrame, section: str = "Team") -> DataFrame:
     return t.select(F.col("t._short_club_name").alias("_short_club_name"), F.col("t.Player").alias("Player"))
 
 
+def read_teams(spark: SparkSession, path: str, section: str = "Team") -> DataFrame:
+    """Teams of one section of a registry file, streamed a row per ``Team`` element: no row holds the document.
+
+    (A file is one task of the XML reader; many files are many tasks.) The reader finds ``Team`` elements of both sections wherever they stand; those of the transfer section are
+    read a second time by their section's own element, and the main section is the rest.
+    """
+    reader = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST").schema(schema).load(path)
+    moved = (reader("PlayerChanges", T.StructType([T.StructField("Team", T.ArrayType(TEAM))])).select(F.explode("Team").alias("t"))
+             .select(F.col("t._short_club_name").alias("_short_club_name"), F.col("t.Player").alias("Player")))
+    if section != "Team":
+        return moved
+    # Equal elements may stand in both sections: as many go as the transfer section has.
+    key = F.xxhash64(F.to_json(F.struct("_short_club_name", "Player")))
+    count = lambda df, name: df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias(name), F.first(F.struct("_short_club_name", "Player")).alias("t"))
+    every, out = count(reader("Team", TEAM), "n"), count(moved, "m").drop("t")
+    left = every.join(out, "k", "left").withColumn("n", F.col("n") - F.coalesce("m", F.lit(0))).where("n > 0")
+    return (left.select("t", F.explode(F.expr("sequence(1L, n)"))).select(F.col("t._short_club_name").alias("_short_club_name"),
+                                                                        F.col("t.Player").alias("Player")))
+
+
 def read_players(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(all players, transferred players) of a registry file, flattened."""
     from ..operators.playtime import players_from_doc
 
-    doc = read_registry_doc(spark, path)
-    return players_from_doc(registry_teams(doc, "Team")), players_from_doc(registry_teams(doc, "PlayerChanges"))
+    return players_from_doc(read_teams(spark, path, "Team")), players_from_doc(read_teams(spark, path, "PlayerChanges"))

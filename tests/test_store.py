@@ -52,3 +52,52 @@ def test_landing_sees_new_files_in_a_partitioned_folder(spark, tmp_path):
     assert source_key(spark, src) != before and source_key(spark, f"{src}/*") != source_key(spark, src)
     got = land(spark, "t", lambda: spark.read.option("recursiveFileLookup", True).parquet(src), [src])
     assert got.count() == 19
+
+
+def test_a_growing_folder_parses_new_files_alone(spark, tmp_path):
+    import os
+    import uuid
+
+    from pitchlens.sources.store import land_files, manifest
+    from pitchlens.sources.xml import read_game_events
+    from tests.test_xml import GAME
+
+    folder, name, parsed = tmp_path / "feed with space", f"grow-{uuid.uuid4().hex}", []
+    folder.mkdir()
+
+    def parse(paths):
+        parsed.append(sorted(os.path.basename(p) for p in paths))
+        return read_game_events(spark, paths)
+
+    def counts():
+        rows = land_files(spark, name, parse, [str(folder)])
+        return {r[0].rsplit("/", 1)[1]: r[1] for r in rows.groupBy("source_file").count().collect()}
+
+    (folder / "a.xml").write_text(GAME)
+    (folder / "b.xml").write_text(GAME)
+    assert counts() == {"a.xml": 6, "b.xml": 6} and parsed == [["a.xml", "b.xml"]]
+    assert counts() == {"a.xml": 6, "b.xml": 6} and len(parsed) == 1
+    (folder / "c.xml").write_text(GAME)
+    before = land_files(spark, name, parse, [str(folder / "a.xml"), str(folder / "b.xml")])       # c is not asked for
+    assert before.count() == 12 and len(parsed) == 1
+    assert counts() == {"a.xml": 6, "b.xml": 6, "c.xml": 6} and parsed[1:] == [["c.xml"]]
+    (folder / "b.xml").write_text(GAME.replace('<Event id="6"', '<Event id="7" type_id="1" period_id="1" min="1" sec="1" x="1" y="1"/><Event id="6"'))
+    assert counts() == {"a.xml": 6, "b.xml": 7, "c.xml": 6} and parsed[2:] == [["b.xml"]]
+    os.remove(folder / "a.xml")
+    assert counts() == {"b.xml": 7, "c.xml": 6} and len(parsed) == 3
+    assert {r["file"].rsplit("/", 1)[1] for r in manifest(spark, name).collect()} == {"b.xml", "c.xml"}
+    os.remove(folder / "b.xml")
+    os.remove(folder / "c.xml")
+    assert counts() == {}
+
+
+def test_an_empty_folder_lands_no_rows(spark, tmp_path):
+    import uuid
+
+    from pitchlens.sources.store import land_files
+    from pitchlens.sources.xml import read_game_events
+
+    (tmp_path / "none").mkdir()
+    for _ in range(2):
+        rows = land_files(spark, f"none-{uuid.uuid4().hex}", lambda p: read_game_events(spark, p), [str(tmp_path / "none")])
+        assert rows.count() == 0 and "seq" in rows.columns

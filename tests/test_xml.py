@@ -59,3 +59,17 @@ def test_registry_feed(spark, tmp_path):
     assert str(got[101].arrival_date) == "2017-01-05" and got[101].loan == "1" and got[101].team_name == "Lyon"
     assert got[102].arrival_date is None and str(got[102].leave_date) == "2019-06-30"
     assert [r.player_id for r in moved.collect()] == [103]
+
+
+def test_registry_reads_a_row_per_team(spark, tmp_path):
+    """Two teams of one document are rows of their own; a team that stands in both sections stays in both."""
+    team = '<Team short_club_name="%s"><Player uID="p%d"><Name>%s</Name><Position>Forward</Position></Player></Team>'
+    filler = "\n" + "<!-- " + "x" * 3000 + " -->\n"
+    doc = ("<SoccerFeed><SoccerDocument>" + team % ("Lyon", 1, "A") + filler + team % ("Nice", 2, "B") + filler + team % ("Lens", 3, "C")
+           + "<PlayerChanges>" + team % ("Nice", 2, "B") + team % ("Metz", 4, "D") + "</PlayerChanges></SoccerDocument></SoccerFeed>")
+    p = tmp_path / "two.xml"
+    p.write_text(doc)
+    assert X.read_teams(spark, str(p), "PlayerChanges").count() == 2
+    players, moved = X.read_players(spark, str(p))
+    assert sorted((r.player_id, r.team_name) for r in players.collect()) == [(1, "Lyon"), (2, "Nice"), (3, "Lens")]
+    assert sorted(r.player_id for r in moved.collect()) == [2, 4]
