@@ -21,7 +21,6 @@ from pitchlens.llm._common import fresh, id_mod, tree_merge
 from pitchlens.llm._text import Words, chunks, prefix_hash, range_hash
 from pitchlens.llm.pieces import PIECES
 
-MAX_PIECE = 8        # characters of the longest piece used
 CHUNK_BYTES = 1 << 20
 KNOWN_WORDS = 300_000  # distinct words a task remembers
 BLOCK = 1 << 10      # pieces per row of partial counts
@@ -39,8 +38,9 @@ class Trie:
     """Piece lookup by hash of a character range; id 0 stands for any single character without a piece."""
 
     def __init__(self, names: list[str]):
-        self.names = sorted({p.replace("▁", " ") for p in names if 0 < len(p) <= MAX_PIECE})
+        self.names = sorted({p.replace("▁", " ") for p in names if p})
         size = np.array([len(p) for p in self.names])
+        self.longest = int(size.max())
         codes = _codes("".join(self.names))
         off = np.cumsum(size) - size
         h = range_hash(prefix_hash(codes, _BASE), off, off + size, _BASE)
@@ -60,21 +60,24 @@ class Trie:
                     if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))])
 
     def ids(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """(MAX_PIECE, n): id of the piece of m + 1 characters that starts at each place; -1 for none.
+        """(longest, n): id of the piece of m + 1 characters that starts at each place; -1 for none.
 
         ends: per place, the end of the word it is in.
         """
         pre, at = prefix_hash(codes, _BASE), np.arange(len(codes))
-        out = np.full((MAX_PIECE, len(codes)), -1, np.int32)
+        out = np.full((self.longest, len(codes)), -1, np.int32)
         out[0] = 0
-        for m in range(1, MAX_PIECE + 1):
-            lo = at[at + m <= ends]
+        lo = at
+        for m in range(1, self.longest + 1):
+            lo = lo[lo + m <= ends[lo]]
+            if not len(lo):
+                break
             h = range_hash(pre, lo, lo + m, _BASE)
             may = self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            lo, h = lo[may], h[may]
+            at, h = lo[may], h[may]
             k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
             hit = self.hash[k] == h
-            out[m - 1, lo[hit]] = self.id[k[hit]]
+            out[m - 1, at[hit]] = self.id[k[hit]]
         return out
 
 
@@ -134,16 +137,16 @@ def _by_length(start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
 def _chart(pid: np.ndarray, prob: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
     """Forward (or backward) sums over segmentations of words of one length.
 
-    pid: (MAX_PIECE, n, length) ids at each start. Returns (length + 1, n, langs) sums and the logarithms
+    pid: (longest piece, n, length) ids at each start. Returns (length + 1, n, langs) sums and the logarithms
     of the factors divided out along the way, per place, so that long words stay in range.
     """
-    _, n, size = pid.shape
+    longest, n, size = pid.shape
     a = np.zeros((size + 1, n, prob.shape[1]))
     log = np.zeros((size + 1, n, prob.shape[1]))
     a[size if back else 0] = 1.0
     for step in range(1, size + 1):
         j = size - step if back else step
-        for m in range(1, min(MAX_PIECE, step) + 1):
+        for m in range(1, min(longest, step) + 1):
             ids = pid[m - 1, :, j if back else j - m]
             hit = np.flatnonzero(ids >= 0)
             if len(hit):
@@ -183,7 +186,7 @@ def expected(trie: Trie, prob: np.ndarray, codes, start, end, count: np.ndarray)
         f, fl = _chart(p, prob, back=False)
         b, bl = _chart(p, prob, back=True)
         z, zl = f[-1], fl[-1]
-        for m in range(1, min(MAX_PIECE, size) + 1):
+        for m in range(1, min(trie.longest, size) + 1):
             ids = p[m - 1, :, :size - m + 1]
             r, i = np.nonzero(ids >= 0)
             if not len(r):

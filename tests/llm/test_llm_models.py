@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import zlib
+from fractions import Fraction
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -77,6 +78,14 @@ def test_forward_sums_all_segmentations():
 
 
 @has_model
+def test_whole_vocabulary_is_used():
+    trie = langid.Trie.load()
+    assert trie.longest == max(map(len, trie.names)) == 16
+    word = max(trie.names, key=len)
+    codes = langid._codes(word)
+    assert trie.ids(codes, np.full(len(codes), len(codes)))[trie.longest - 1, 0] == trie.names.index(word) + 1
+
+
 def test_language_id(docs, doc_rows):
     got = langid.identify(docs)
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
@@ -425,22 +434,31 @@ def test_top_k_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(n, [float(x) for x in rng.integers(-2, 3, 4) / 2]) for n in range(400)]
     rows += [(500, None), (501, [1.0, None, 0.0, 1.0]), (502, [1.0, float("nan"), 0.0, 1.0]), (503, [float("inf")] * 4), (None, [1.0] * 4),
-             (504, []), (600, [1.0, 2.0]), (601, [3.0, 4.0]), (700, [2.0**40] * 4), (701, [2.0**40] * 4), (10, [9.0, 9.0, 9.0, 9.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = defaultdict(list)
-    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), k=7, tile_rows=2, shard_rows=16, lanes=9).orderBy("query_id", "rank").collect():
-        assert r["rank"] == len(got[r["query_id"]]) + 1
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    vec = defaultdict(list)
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            vec[i].append([math.floor(1024 * x) for x in v])
-    vec = {i: max(v) for i, v in vec.items()}
-    want = {}
-    for q in (i for i in vec if i % 100 == 0):
-        all_ = [(i, min(sum(a * b for a, b in zip(v, vec[q])), 2**63 - 1)) for i, v in vec.items() if i != q and len(v) == len(vec[q])]
-        want[q] = sorted(all_, key=lambda x: (-x[1], x[0]))[:7]
-    assert got == {q: v for q, v in want.items() if v}
+             (504, []), (600, [1.0, 2.0]), (601, [3.0, 4.0]), (700, [2.0**40] * 4), (701, [2.0**40] * 4), (10, [9.0, 9.0, 9.0, 9.0]),
+             (800, [1e300, -1.0, 0.5, 0.0]), (100, [0.5, 0.5, 0.0, 1.0]), (200, rows[200][1]), *[(300, rows[300][1])] * 9, *[(55, [9.5] * 4)] * 12]
+    df = spark.createDataFrame([(i, v, "c", "c") for i, v in rows], "vec_id long, embedding array<double>, ids string, lane string").repartition(4)
+    got = Counter(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), k=7, tile_rows=2, shard_rows=16, lanes=9).collect())
+    vec = [(i, [math.floor(1024 * Fraction(x)) for x in v]) for i, v in rows
+           if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for k, (q, u) in enumerate(vec):
+        if q % 100 == 0:
+            all_ = [(i, max(1 - 2**63, min(sum(a * b for a, b in zip(v, u)), 2**63 - 1))) for n, (i, v) in enumerate(vec) if n != k and len(v) == len(u)]
+            want.update((q, r + 1, i, s) for r, (i, s) in enumerate(sorted(all_, key=lambda x: (-x[1], x[0]))[:7]))
+    assert got == want
+
+
+def test_top_k_of_repeated_ids_equals_its_sql(spark):
+    import duckdb
+
+    from pitchlens.llm.queries import ORACLE
+
+    rows = [(100, [1.0, 2.0]), (1, [0.5, 1.0]), (1, [3.0, 1.0]), (2, [0.25, 0.0]), (100, [2.0, 2.0]), (200, [1.0, 1.0]), (200, [1.0, 1.0])]
+    got = sorted(tuple(r) for r in topk.top_k(*(lambda df: (df, df.where("vec_id % 100 = 0")))(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(ORACLE["op10_topk"]).fetchall())
 
 
 def test_top_k_of_no_rows(spark):
