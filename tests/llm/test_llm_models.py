@@ -400,30 +400,71 @@ def test_page_text_of_no_rows(spark):
 
 # --- mixing ------------------------------------------------------------------------------------------------
 
-def test_mixing_stays_within_a_block(spark):
-    rows = [(n, s) for s, k in (("a", 400), ("b", 300), ("c", 200), (None, 60)) for n in range(k)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string")
-    w = {"a": 0.41, "b": 0.33, "c": 0.2, None: 0.06}
-    got = mixing.mix(docs, w, block_rows=2, cycle_slots=100).orderBy("position").collect()
+def check_mix(got, rows, share, block_rows):
+    """Every block within its release and due slot, and every source less than a block from its target until one runs out."""
     assert [r["position"] for r in got] == list(range(len(rows)))
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
     assert all(r["release"] <= r["slot"] < r["due"] for r in got)
     done, slots = Counter(), sorted({(r["slot"], r["source"] or "-") for r in got})
-    share, ends = {(k or "-"): v for k, v in w.items()}, {"a": 400, "b": 300, "c": 200, "-": 60}
+    ends = Counter((s or "-") for _, s in rows)
+    total = sum(share.values())
     for t, (slot, s) in enumerate(slots):
-        if any(done[x] * 2 >= ends[x] for x in share):
-            break  # a source has run out
+        if any(done[x] * block_rows >= ends[x] for x in share if share[x]):
+            return t
         assert slot == t
         done[s] += 1
-        assert all(abs(done[x] - share[x] * (t + 1)) < 1 for x in share)
-    assert t > 300
+        assert all(abs(done[x] - share[x] / total * (t + 1)) < 1 + 1e-3 for x in share)
+    return len(slots)
+
+
+def test_mixing_stays_within_a_block(spark):
+    rows = [(n, s) for s, k in (("a", 400), ("b", 300), ("c", 200), (None, 60)) for n in range(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    w = {"a": 0.41, "b": 0.33, "c": 0.2, None: 0.06}
+    got = mixing.mix(docs, w, block_rows=2).orderBy("position").collect()
+    assert check_mix(got, rows, {(k or "-"): v for k, v in w.items()}, 2) > 300
+
+
+def test_mixing_holds_uneven_weights_over_a_long_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 64)
+    w = {"a": math.sqrt(2), "b": 1.0, "tiny": 0.0003}
+    rows = [(n, s) for s, k in (("a", 9000), ("b", 6500), ("tiny", 2)) for n in range(k)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), w, block_rows=1).orderBy("position").collect()
+    assert check_mix(got, rows, w, 1) > 15_000
+    assert [r["due"] - r["release"] > 5000 for r in got if r["source"] == "tiny"] == [True, True]
+
+
+def test_mixing_many_sources_and_weight_zero(spark):
+    rows = [(n, f"s{n % 3000}") for n in range(9000)] + [(n, "never") for n in range(5)] + [(n, "not named") for n in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, {**{f"s{k}": 1 + k % 2 for k in range(3000)}, "never": 0}, block_rows=1).orderBy("position").collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows) and [r["position"] for r in got] == list(range(len(rows)))
+    assert {r["source"] for r in got[-10:]} == {"never", "not named"}
+    none = mixing.mix(docs.where("source IN ('never', 'not named')"), {"x": 1.0}, block_rows=2).orderBy("position").collect()
+    assert [r["source"] for r in none] == ["never"] * 5 + ["not named"] * 5
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"never": -1})
+
+
+def test_blocks_grow_to_bound_the_fold(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 50)
+    rows = [(n, "ab"[n % 2]) for n in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=2).orderBy("position").collect()
+    assert len({r["slot"] for r in got}) <= 50 and [r["position"] for r in got] == list(range(1000))
+
+
+def test_rows_of_one_id_are_numbered_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(None, "a")] * 500 + [(1, "a")] * 3 + [(n, "b") for n in range(100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string").repartition(6), block_rows=4).collect()
+    assert sorted(r["position"] for r in got) == list(range(603)) and Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
 
 
 def test_mixing_edges(docs, doc_rows, no_docs):
-    got = mixing.mix(docs, block_rows=3, cycle_slots=50).collect()
+    got = mixing.mix(docs, block_rows=3).collect()
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((i, s) for i, _, _, s in doc_rows)
     assert sorted(r["position"] for r in got) == list(range(len(got)))
-    out = mixing.ordered_rows(docs, block_rows=3, cycle_slots=50)
+    out = mixing.ordered_rows(docs, block_rows=3)
     assert out.columns == docs.columns and Counter(map(str, out.collect())) == Counter(map(str, docs.collect()))
     assert mixing.mix(no_docs).count() == 0 and mixing.ordered_rows(no_docs).count() == 0
 
