@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ne_null_true
+from ..session import cut
+
 
 class _EncoderParams(HasInputCol, HasOutputCol):
     referenceCols = Param(Params._dummy(), "referenceCols",
@@ -64,7 +66,7 @@ class TargetEncoder(Estimator, _EncoderParams):
         table = (df.where(F.col(cat).isNotNull())
                  .groupBy(F.col(cat).alias("category"))
                  .agg(stat.alias("value"), F.count(F.lit(1)).alias("n_rows")))
-        table = table.cache()
+        table = cut(table)
         t = table.where(F.col("value").isNotNull())
         mean = t.agg((F.sum(F.col("value") * F.col("n_rows")) / F.sum("n_rows")).alias("mean")).first()["mean"]
         model = TargetEncoderModel(table=table, mean=mean)
@@ -132,8 +134,8 @@ def fit_lag_encoders(train: DataFrame, target: str, lags=(1, 2, 3), method: str
     triples = F.explode(F.array(*[F.struct(F.lit(n).alias("lag"), F.col(f"type_id_lag{n}").alias("category"),
                                            stat[n].alias("s")) for n in lags])).alias("t")
     table = (train.select(triples).select("t.*").where(F.col("category").isNotNull())
-             .groupBy("lag", "category").agg(F.avg("s").alias("value"), F.count(F.lit(1)).alias("n_rows"))
-             .cache())
+             .groupBy("lag", "category").agg(F.avg("s").alias("value"), F.count(F.lit(1)).alias("n_rows")))
+    table = cut(table)
     means = {r["lag"]: r["mean"] for r in table.where(F.col("value").isNotNull()).groupBy("lag").agg(
         (F.sum(F.col("value") * F.col("n_rows")) / F.sum("n_rows")).alias("mean")).collect()}
     models = {}

@@ -26,6 +26,7 @@ from ..operators.encode import TargetEncoder, encoder_table, fit_lag_encoders
 from ..operators.ordered import ordered_position
 from ..operators.quantiles import exact_medians
 from ..operators.windows import all_but_last, last_rows, lag_columns, next_event_dataset, sliding_windows
+from ..session import cut
 from ..sources import fixture as FX
 from ..sources.store import land_files, materialize, source_key
 from . import features as FE
@@ -373,8 +374,8 @@ def bool_counters(spark, d):
 
 @query("outer_counters", O.with_(*SL) + f"SELECT {BOOL_KEYS}, {O.BOOL_COUNTERS} FROM slp GROUP BY {BOOL_KEYS}")
 def outer_counters(spark, d):
-    """The same counters built separately and combined by full outer joins."""
-    return CT.outer_counters(slices_(spark, d), ["game", "period_id", "start", "player_id"])
+    """The same counters built separately from the landed slices and combined by full outer joins."""
+    return CT.outer_counters(cut(slices_(spark, d)), ["game", "period_id", "start", "player_id"])
 
 
 @query("next_event_dataset", O.with_(*NEXT) + final("nxt", NEXT_DOUBLES))
@@ -836,11 +837,22 @@ def play_time(spark, d):
     return pt_(spark, d)
 
 
-@query("dq_starters", O.with_(*PTQ) + "SELECT game, CAST(count(*) AS INT) AS n_starters FROM starters GROUP BY game "
-       "HAVING count(*) <> 22")
+def faulty_lineups(ev: DataFrame) -> DataFrame:
+    """Fixture that breaks the line-up rule: in every third game (by its home team) the away team names 10 players."""
+    short = F.transform("qualifiers", lambda q: F.struct(
+        q["qualifier_id"].alias("qualifier_id"),
+        F.when(q["qualifier_id"] == K.QUALIFIER_ALL_PLAYERS, F.array_join(F.slice(F.split(q["value"], ", "), 1, 10), ", "))
+        .otherwise(q["value"]).alias("value")))
+    broken = (F.col("type_id") == K.LINE_UP) & (F.col("team_id") != F.col("home_team_id")) & (F.col("home_team_id") % 3 == 0)
+    return ev.withColumn("qualifiers", F.when(broken, short).otherwise(F.col("qualifiers")))
+
+
+@query("dq_starters", O.with_(*PTQ) + f"""SELECT game, CAST(sum(least(len(string_split(lineup, ', ')), {K.STARTERS_PER_TEAM}, CASE WHEN
+  team_id <> home_team_id AND home_team_id % 3 = 0 THEN 10 ELSE 99 END)) AS INT) AS n_starters
+FROM traw WHERE type_id = 34 AND lineup IS NOT NULL GROUP BY game HAVING n_starters <> 22""")
 def dq_starters(spark, d):
-    """D3: games whose line-ups do not name 22 starters."""
-    return DQ.dq_starters(traw_(spark, d))
+    """D3: games whose line-ups do not name 22 starters (on line-ups of which some are short)."""
+    return DQ.dq_starters(faulty_lineups(traw_(spark, d)))
 
 
 @query("dq_substitutions", O.with_(*PTQ) + "SELECT game, CAST(count(*) AS INT) AS n_substituted FROM subs GROUP BY game "
@@ -858,11 +870,13 @@ def dq_duplicate_substitutions(spark, d):
     return DQ.dq_duplicate_substitutions(traw_(spark, d))
 
 
-@query("dq_one_team", O.with_(*SL) + "SELECT game, period_id, start, player_id, CAST(count(DISTINCT team_id) AS INT) "
-       "AS n_teams FROM slp GROUP BY game, period_id, start, player_id HAVING count(DISTINCT team_id) > 1")
+@query("dq_one_team", O.with_(*SL) + """SELECT game, period_id, start, player_id, CAST(count(DISTINCT t) AS INT) AS n_teams
+FROM (SELECT *, CASE WHEN seq % 40 = 0 THEN 1 - team_id ELSE team_id END AS t FROM slp)
+GROUP BY game, period_id, start, player_id HAVING count(DISTINCT t) > 1""")
 def dq_one_team(spark, d):
-    """D3: a player seen with two teams in one window."""
-    return DQ.dq_one_team(slices_(spark, d))
+    """D3: a player seen with two teams in one window (on events of which every fortieth has the other team)."""
+    swapped = F.when(F.col("seq") % 40 == 0, 1 - F.col("team_id")).otherwise(F.col("team_id"))
+    return DQ.dq_one_team(slices_(spark, d).withColumn("team_id", swapped))
 
 
 TEST_SET = [*ST, """tin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game ORDER BY seq DESC) AS r FROM st)
