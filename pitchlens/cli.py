@@ -3,6 +3,8 @@
     python -m pitchlens.cli features --games 'feeds/*.xml' --registry players.xml --out DIR
     python -m pitchlens.cli train    --games 'feeds/*.xml' --registry players.xml --models DIR
     python -m pitchlens.cli score    --games test_game.xml --models DIR --out DIR
+    python -m pitchlens.cli search   --games 'feeds/*.xml' --registry players.xml --problem player --out DIR
+    python -m pitchlens.cli sweep    --games 'feeds/*.xml' --registry players.xml --out DIR
 
 The session is the one the cluster provides (``spark-submit``); ``--local N``
 starts a local one for a single machine.
@@ -31,7 +33,7 @@ def _session(local: str | None):
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="pitchlens")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    for name in ("features", "train", "score"):
+    for name in ("features", "train", "score", "search", "sweep"):
         p = sub.add_parser(name)
         p.add_argument("--games", required=True, help="game feed XML file, directory or glob")
         p.add_argument("--local", default=None, help="run on local[N] instead of the provided cluster")
@@ -41,6 +43,16 @@ def main(argv=None) -> int:
         if name == "features":
             p.add_argument("--out", required=True)
             p.add_argument("--step", type=int, default=5, help="window slide, minutes")
+        if name in ("search", "sweep"):
+            p.add_argument("--out", required=True, help="folder of the result table")
+        if name == "search":
+            p.add_argument("--problem", required=True, choices=["player", "next_team", "coords_x", "coords_y"])
+            p.add_argument("--model", default=None, help="model type of the problem's grids")
+            p.add_argument("--draws", type=int, default=30)
+            p.add_argument("--folds", type=int, default=3)
+        if name == "sweep":
+            p.add_argument("--trees", type=int, nargs=3, default=(60, 151, 5), help="start, end (excluded), step")
+            p.add_argument("--depths", type=int, nargs=3, default=(18, 25, 1), help="start, end (excluded), step")
         if name == "train":
             p.add_argument("--models", required=True)
             p.add_argument("--no-ica", action="store_true", help="player model without the ICA branch")
@@ -66,6 +78,17 @@ def main(argv=None) -> int:
         s = season_from_xml(spark, a.games, a.registry, a.min_minutes)
         tm = train_all(s.events, s.eligible, out_dir=a.models, with_ica=not a.no_ica)
         tm.metrics.show(truncate=False)
+    elif a.cmd == "search":
+        from .plans.training import search
+
+        s = season_from_xml(spark, a.games, a.registry, a.min_minutes)
+        _, draws = search(s.events, s.eligible, a.problem, a.model, a.draws, a.folds)
+        draws.write.mode("overwrite").parquet(a.out)
+    elif a.cmd == "sweep":
+        from .plans.training import player_sweep
+
+        s = season_from_xml(spark, a.games, a.registry, a.min_minutes)
+        player_sweep(s.events, s.eligible, range(*a.trees), range(*a.depths)).write.mode("overwrite").parquet(a.out)
     else:
         from .plans.training import load_trained, score_games
         from .sources.store import write_predictions

@@ -42,6 +42,43 @@ COORDS_X_BOOST = {"learning_rate": 0.1, "max_depth": 9, "min_child_weight": 18,
 COORDS_Y_BOOST = {"learning_rate": 0.1, "max_depth": 9, "min_child_weight": 19, "n_estimators": 100, "subsample": 0.95}
 
 
+# ---- fixed values: the search grids of the three problems ----------------------------------------------------
+_FOREST_GRID = {"n_estimators": [50, 100, 200, 500], "max_features": [None, "sqrt", 10, 15, 20],
+                "max_depth": [None, 4, 8, 10, 12, 15], "criterion": ["gini", "entropy"]}
+_BOOST_GRID = {"learning_rate": [0.01, 0.05, 0.1, 0.3, 0.8], "n_estimators": [30, 75, 150, 300, 500], "max_depth": [4, 7, 10],
+               "min_child_weight": [1, 5, 10], "subsample": [1], "colsample_bytree": [0.8, 1], "reg_lambda": [1, 5, 10], "gamma": [0],
+               "scale_pos_weight": [1]}
+_COORDS_FOREST_GRID = {"n_estimators": [50, 100, 200, 500], "max_features": [2, 4, 6, 8], "max_depth": [4, 8, 10, 12, 15, 20, 30],
+                       "criterion": ["gini", "entropy"]}
+SEARCH_GRIDS = {
+    "player": {"et_classif": _FOREST_GRID, "rf_classif": _FOREST_GRID, "xgb_classif": _BOOST_GRID},
+    "next_team": {"rf_classif": {**_FOREST_GRID, "max_features": [None, "sqrt", 2, 6, 9]}, "xgb_classif": _BOOST_GRID},
+    "coords_x": {"rf_reg": _COORDS_FOREST_GRID, "xgb_reg": _BOOST_GRID},
+    "coords_y": {"rf_reg": _COORDS_FOREST_GRID, "xgb_reg": _BOOST_GRID},
+}
+
+
+def search(me: DataFrame, eligible: DataFrame | None, problem: str, model_type: str | None = None, n_iter: int = 30, folds: int = 3,
+           grid: dict | None = None, parallelism: int = 4):
+    """Random search with cross-validation on a problem's training rows: (best pipeline model, one row per draw).
+
+    ``n_iter`` draws of the problem's grid for the model type (the first one of the problem by default); accuracy for
+    the classifiers, MSE for the coordinates.
+    """
+    model_type = model_type or next(iter(SEARCH_GRIDS[problem]))
+    grid = grid or SEARCH_GRIDS[problem][model_type]
+    if problem == "player":
+        feats = cut(window_features(me, eligible))
+        train, _ = split_rows(feats, default_split(*WINDOW_KEY))
+        rows, target, cols = _imputed(train, feature_medians(train, P1_FEATURES)), "player_id", P1_FEATURES
+    else:
+        target, method = _ENCODER_SETS[{"next_team": "team", "coords_x": "x", "coords_y": "y"}[problem]]
+        train, test = next_event_sets(me)
+        rows = encode_sets(train, test, method, target).train
+        cols = P3Y_FEATURES if problem == "coords_y" else P2_FEATURES
+    return M.random_search(cut(rows), M.Modeler(model_type, {}, target, cols), grid, n_iter, folds, parallelism)
+
+
 def default_split(*keys: str) -> Column:
     """Deterministic 70/30 split by a hash of the row's key (stable across partitionings).
 
@@ -176,8 +213,11 @@ def train_all(me: DataFrame, eligible: DataFrame | None, out_dir: str | None = N
 
 def together(*jobs):
     """Results of independent fits, submitted side by side: their many small jobs share the executors."""
+    from pyspark.sql import SparkSession
+
+    own = inheritable_thread_target(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
     with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(own(j)) for j in jobs]]
 
 
 def _imputed(feats: DataFrame, medians: dict) -> DataFrame:
@@ -204,6 +244,13 @@ def evaluate_player(feats: DataFrame, params: dict | None = None, with_ica: bool
     return pred, float(MT.accuracy(pred, "player_id", "prediction").first()[0] or 0.0)
 
 
+def player_sweep(me: DataFrame, eligible: DataFrame | None, trees, depths, with_ica: bool = True) -> DataFrame:
+    """Held-out accuracy and number of nodes of the player forest at every (trees, depth), from one forest."""
+    train, test = split_rows(cut(window_features(me, eligible)), default_split(*WINDOW_KEY))
+    med = feature_medians(train, P1_FEATURES)
+    return M.forest_sweep(_imputed(train, med), _imputed(test, med), player_model(with_ica=with_ica), list(trees), list(depths))
+
+
 def evaluate(feats: DataFrame, nxt: DataFrame, split: Column | None = None, player_params: dict | None = None,
              team_params: dict | None = None, coords_params: dict | None = None, with_ica: bool = True) -> DataFrame:
     """Metrics of the three problems on held-out rows: problem, metric, value."""

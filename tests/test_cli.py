@@ -73,6 +73,10 @@ def test_train_then_score_from_xml(spark, tmp_path):
     feats = spark.read.parquet(str(tmp_path / "feat" / "window_features"))
     assert feats.count() > 0 and set(feats.select("game").distinct().toPandas()["game"]) == {
         "149-143@g0.xml", "143-150@g1.xml", "150-149@g2.xml"}
+    assert cli.main(["sweep", "--games", str(games), "--registry", str(tmp_path / "players.xml"), "--min-minutes", "0",
+                     "--out", str(tmp_path / "sweep"), "--trees", "2", "7", "2", "--depths", "2", "4", "1"]) == 0
+    sizes = spark.read.parquet(str(tmp_path / "sweep")).collect()
+    assert {(r.n_estimators, r.max_depth) for r in sizes} == {(t, d) for t in (2, 4, 6) for d in (2, 3)} and all(0 <= r.accuracy <= 1 for r in sizes)
     assert cli.main(["train", "--games", str(games), "--registry", str(tmp_path / "players.xml"),
                      "--models", models, "--min-minutes", "0"]) == 0
     assert cli.main(["score", "--games", str(test_game), "--models", models, "--out", str(tmp_path / "pred")]) == 0

@@ -71,10 +71,10 @@ def test_fastica_whitens_and_decorrelates(spark):
     assert (corr.max(axis=1) > 0.95).all()
 
 
-@pytest.mark.parametrize("model_type", ["rf_reg"])
+@pytest.mark.parametrize("model_type", ["rf_reg", "xgb_reg", "et_classif"])
 def test_random_search_returns_one_row_per_draw(spark, model_type):
     df = _blobs(spark).withColumn("target", F.col("a") * 2 + F.col("b"))
-    m = M.Modeler(model_type, {}, "target", ["a", "b", "c"])
+    m = M.Modeler(model_type, {}, "player_id" if model_type == "et_classif" else "target", ["a", "b", "c"])
     best, res = M.random_search(df, m, {"n_estimators": [5, 10], "max_depth": [2, 4]}, n_iter=3, folds=2,
                                 parallelism=2)
     assert res.count() == 3 and best is not None
@@ -141,3 +141,16 @@ def test_split_and_coordinate_join_use_the_event_key(spark):
     rows = df.withColumns({"x_along_team1_axis": F.lit(1.0), "y_along_team1_axis": F.lit(2.0)})
     enc = TR.Encoded(rows, rows, {})
     assert TR.predict_coords(enc, enc, Same(), Same()).count() == 40
+
+
+def test_search_grids_are_accepted_by_their_models():
+    import itertools
+
+    from pitchlens.plans.training import SEARCH_GRIDS
+
+    for grids in SEARCH_GRIDS.values():
+        for kind, grid in grids.items():
+            draws = list(itertools.product(*grid.values()))
+            assert len(draws) >= 30
+            for draw in draws[::17]:
+                M.make_estimator(kind, dict(zip(grid, draw)))
