@@ -23,9 +23,9 @@ from . import oracle as O
 from . import training as TR
 from .catalog import (FEAT, MEDIAN_COLS, NEXT, TEST_SET, ZC_SUM, eligible_, features_, me_, query,
                       split_flag)
-from .oracle_trees import forest_ctes
+from .oracle_trees import draw_sql, forest_ctes
 from .scoring import feature_medians, impute_with_medians, player_scoring_features
-from .trees import tried
+from .trees import PRIME, tried
 
 # ---- SQL of the row sets ------------------------------------------------------------------------------------
 
@@ -222,6 +222,72 @@ def ml_player_mlp(spark, d):
     return _player_facts(m.fit(train), test)
 
 
+@query("ml_player_dense", PLAYER_SQL.replace("TRUE AS known_player", "TRUE AS known_player, TRUE AS beats_mode"))
+def ml_player_dense(spark, d):
+    """Dense network 39 -> 256 -> 512 -> classes with rectifiers, dropout 0.5, Adam, 500 epochs of batches of 1,024
+    rows (the reference's settings), on held-out windows."""
+    train, test = _p1_sets(spark, d)
+    m = M.Modeler("dense", {"hidden": [256, 512], "epochs": 500, "batch_size": 1024, "dropout": 0.5}, "player_id", TR.P1_FEATURES).fit(train)
+    pred = cut(m.predict(test).select("game", "time_period", "player_id", "prediction"))
+    most = train.groupBy("player_id").count().orderBy(F.desc("count"), "player_id").first()[0]
+    hits = pred.agg(F.sum((F.col("prediction") == F.col("player_id")).cast("int")), F.sum((F.col("player_id") == most).cast("int"))).first()
+    return pred.select("game", "time_period", "player_id", _known(pred, m.indexer.labels).alias("known_player"),
+                       F.lit((hits[0] or 0) >= (hits[1] or 0)).alias("beats_mode"))
+
+
+FOURIER = {"gamma": 0.001, "nComponents": 50, "seed": 42}
+
+
+def _fourier_sql() -> str:
+    x = "[" + ", ".join(f'"{c}"' for c in TR.P1_FEATURES) + "]"
+    u = lambda salt: f"(({draw_sql(FOURIER['seed'], salt, 'c', 'f', '0')} + 1) / {PRIME + 1}.0)"
+    return O.with_(*P1, f"""comps AS (SELECT unnest(range({FOURIER['nComponents']})) AS c),
+cells AS (SELECT c, unnest(range({len(TR.P1_FEATURES)})) AS f FROM comps),
+freq AS MATERIALIZED (SELECT c, list(sqrt(-2 * ln({u(4)})) * cos(2 * pi() * {u(5)}) * sqrt(2 * {FOURIER['gamma']}) ORDER BY f) AS w,
+  2 * pi() * any_value({draw_sql(FOURIER['seed'], 6, 'c', '0', '0')}) / {PRIME}.0 AS b FROM cells GROUP BY c)
+""") + f"""SELECT game, player_id, time_period, round(sum(z), 4) AS z_sum, round(max(z) FILTER (WHERE c = 0), 4) AS z_first FROM (
+  SELECT game, player_id, time_period, c, sqrt(2.0 / {FOURIER['nComponents']}) * cos(
+    list_sum(list_transform(list_zip({x}, w), lambda p: p[1] * p[2])) + b) AS z FROM p1 JOIN freq ON true)
+GROUP BY game, player_id, time_period"""
+
+
+@query("ml_random_fourier", _fourier_sql())
+def ml_random_fourier(spark, d):
+    """Random Fourier features of the player features, by value (frequencies from a keyed hash)."""
+    train, _ = _p1(spark, d)
+    z = vector_to_array(F.col("z"))
+    out = M.transformer("rbf_sampler", "features", "z", **FOURIER).transform(_assembled(train, TR.P1_FEATURES))
+    return out.select("game", "player_id", "time_period", F.round(F.aggregate(z, F.lit(0.0), lambda a, v: a + v), 4).alias("z_sum"),
+                      F.round(z[0], 4).alias("z_first"))
+
+
+@query("ml_agglomeration", O.with_(*P1) + "SELECT game, player_id, time_period, 10 AS n_pooled, 39 AS n_pooled_from, round("
+       + " + ".join(f'"{c}"' for c in MEDIAN_COLS) + ", 4) AS total, 10 AS n_marks FROM p1")
+def ml_agglomeration(spark, d):
+    """The 39 features pooled to 10 by Ward linkage (pooled values times cluster sizes give the features' sum), and a
+    Nystroem map of 10 landmarks."""
+    train, _ = _p1(spark, d)
+    df = _assembled(train, TR.P1_FEATURES)
+    model = M.transformer("agglomeration", "features", "pooled", nClusters=10).fit(df)
+    labels = model.getOrDefault("labels")
+    sizes = [float(labels.count(g)) for g in range(max(labels) + 1)]
+    marks = M.transformer("nystroem", "features", "marks", gamma=0.01, nComponents=10).fit(df)
+    pooled = vector_to_array(F.col("pooled"))
+    total = F.aggregate(F.zip_with(pooled, F.array(*[F.lit(v) for v in sizes]), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    return marks.transform(model.transform(df)).select(
+        "game", "player_id", "time_period", F.size(pooled).alias("n_pooled"), F.lit(len(labels)).alias("n_pooled_from"),
+        F.round(total, 4).alias("total"), F.size(vector_to_array("marks")).alias("n_marks"))
+
+
+@query("ml_adaboost_r2", O.with_(*NEXT) + f"SELECT seq, game, TRUE AS finite_x, TRUE AS in_range FROM {TEST}")
+def ml_adaboost_r2(spark, d):
+    """AdaBoost.R2 of the x coordinate (50 trees at most); predictions lie within the training rows' targets."""
+    ex = _p2(spark, d, "distance", "x_along_team1_axis")
+    m = M.Modeler("ada_reg", {"n_estimators": 50, "learning_rate": 0.1}, "x_along_team1_axis", TR.P3X_FEATURES).fit(ex.train)
+    ends = ex.train.agg(F.min("x_along_team1_axis"), F.max("x_along_team1_axis")).first()
+    return m.predict(ex.test).select("seq", "game", _finite("prediction").alias("finite_x"), F.col("prediction").between(*ends).alias("in_range"))
+
+
 def _scaled_sql() -> str:
     lim = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}", avg("{c}") AS "mu_{c}", stddev_samp("{c}") AS "sd_{c}"'
                     for c in MEDIAN_COLS)

@@ -38,12 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .adaboost import AdaBoostR2
 from .boosting import GradientBoosting
+from .dense import DenseClassifier
+from .kernels import FeatureAgglomeration, Nystroem, RandomFourier
 from .trees import ExtraTreesClassifier
 
 CLASSIFIERS = {"rf_classif", "et_classif", "xgb_classif", "xgb_multiclass", "logistic", "dt_classif", "mlp",
-               "naive_bayes"}
-REGRESSORS = {"rf_reg", "xgb_reg", "dt_reg", "linear", "elastic_net", "ridge"}
+               "naive_bayes", "dense"}
+REGRESSORS = {"rf_reg", "xgb_reg", "dt_reg", "linear", "elastic_net", "ridge", "ada_reg"}
 
 
 def zero_count_cols(cols: Sequence[str]) -> list[Column]:
@@ -100,6 +103,8 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int |
     p = dict(params or {})
     if model_type == "et_classif":
         return _extra_trees(p)
+    if model_type in ("dense", "ada_reg"):
+        return _own(model_type, p)
     if model_type in ("xgb_classif", "xgb_reg"):
         return _boosting(p, "regression" if model_type == "xgb_reg" else "classification")
     kw: dict = {"seed": p.pop("random_state", 42)} if model_type not in ("linear", "elastic_net", "ridge",
@@ -160,6 +165,17 @@ def _extra_trees(p: dict) -> ExtraTreesClassifier:
     return est
 
 
+def _own(model_type: str, p: dict):
+    """Dense network and AdaBoost.R2 of this package, by scikit-learn style names."""
+    names = {"dense": {"hidden": "hidden", "epochs": "epochs", "batch_size": "batchSize", "dropout": "dropout", "learning_rate": "learningRate",
+                       "random_state": "seed"},
+             "ada_reg": {"n_estimators": "rounds", "max_depth": "maxDepth", "learning_rate": "learningRate", "loss": "loss", "random_state": "seed"}}[model_type]
+    for k in p:
+        if k not in names and k not in IGNORED_PARAMS:
+            raise ValueError(f"{model_type}: unknown parameter {k!r}")
+    return (DenseClassifier if model_type == "dense" else AdaBoostR2)(**{names[k]: v for k, v in p.items() if k in names})
+
+
 def _boosting(p: dict, task: str) -> GradientBoosting:
     names = {"n_estimators": ("rounds", int), "max_depth": ("maxDepth", int), "learning_rate": ("learningRate", float),
              "reg_lambda": ("regLambda", float), "reg_alpha": ("regAlpha", float), "gamma": ("gamma", float),
@@ -509,6 +525,12 @@ def transformer(name: str, input_col: str = "features", output_col: str = "t_fea
         sel.setSelectionThreshold(kw.get("threshold", 0.05 if name in ("fwe", "fpr") else 50.0
                                          if name == "percentile" else 10))
         return sel
+    if name == "rbf_sampler":
+        return RandomFourier(inputCol=input_col, outputCol=output_col, **kw)
+    if name == "nystroem":
+        return Nystroem(inputCol=input_col, outputCol=output_col, **kw)
+    if name == "agglomeration":
+        return FeatureAgglomeration(inputCol=input_col, outputCol=output_col, **kw)
     if name == "fast_ica":
         return FastICA(inputCol=input_col, outputCol=output_col, tol=kw.get("tol", 1e-4))
     raise ValueError(f"unknown transformer {name!r}")
@@ -558,7 +580,7 @@ def _type_of(est) -> str:
     name = type(est).__name__
     if name == "GradientBoosting":
         return "xgb_reg" if est.getOrDefault("task") == "regression" else "xgb_classif"
-    return {"ExtraTreesClassifier": "et_classif", "RandomForestClassifier": "rf_classif", "RandomForestRegressor": "rf_reg",
+    return {"ExtraTreesClassifier": "et_classif", "DenseClassifier": "dense", "AdaBoostR2": "ada_reg", "RandomForestClassifier": "rf_classif", "RandomForestRegressor": "rf_reg",
             "DecisionTreeClassifier": "dt_classif", "DecisionTreeRegressor": "dt_reg",
             "LogisticRegression": "logistic", "LinearRegression": "linear"}.get(name, "rf_classif")
 
