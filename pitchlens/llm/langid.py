@@ -48,7 +48,12 @@ class Trie:
         self.hash, self.id = h[order], (order + 1).astype(np.int32)
         self.n = len(self.names) + 1
         self.seen = np.zeros(1 << 20, bool)
-        self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        slot = (self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)
+        self.seen[slot] = True
+        self.at = np.zeros(1 << 20, np.int32)  # one piece of each slot; slots of several are looked up by search
+        self.at[slot] = np.arange(len(slot))
+        self.several = np.zeros(1 << 20, bool)
+        self.several[np.flatnonzero(np.bincount(slot, minlength=1 << 20) > 1)] = True
 
     @classmethod
     def load(cls, path: str = PIECES) -> Trie:
@@ -73,10 +78,14 @@ class Trie:
             if not len(lo):
                 break
             h = range_hash(pre, lo, lo + m, _BASE)
-            may = self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            at, h = lo[may], h[may]
-            k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            slot = (h & np.uint64((1 << 20) - 1)).astype(np.int64)
+            may = np.flatnonzero(self.seen[slot])
+            at, h, slot = lo[may], h[may], slot[may]
+            k = self.at[slot]
             hit = self.hash[k] == h
+            odd = np.flatnonzero(~hit & self.several[slot])
+            k[odd] = np.minimum(np.searchsorted(self.hash, h[odd]), len(self.hash) - 1)
+            hit[odd] = self.hash[k[odd]] == h[odd]
             out[m - 1, at[hit]] = self.id[k[hit]]
         return out
 
@@ -137,17 +146,17 @@ def _by_length(start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
 def _chart(pid: np.ndarray, prob: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
     """Forward (or backward) sums over segmentations of words of one length.
 
-    pid: (longest piece, n, length) ids at each start. Returns (length + 1, n, langs) sums and the logarithms
+    pid: (longest piece, length, n) ids at each start. Returns (length + 1, n, langs) sums and the logarithms
     of the factors divided out along the way, per place, so that long words stay in range.
     """
-    longest, n, size = pid.shape
+    longest, size, n = pid.shape
     a = np.zeros((size + 1, n, prob.shape[1]))
     log = np.zeros((size + 1, n, prob.shape[1]))
     a[size if back else 0] = 1.0
     for step in range(1, size + 1):
         j = size - step if back else step
         for m in range(1, min(longest, step) + 1):
-            ids = pid[m - 1, :, j if back else j - m]
+            ids = pid[m - 1, j if back else j - m]
             hit = np.flatnonzero(ids >= 0)
             if len(hit):
                 src = j + m if back else j - m
@@ -168,7 +177,7 @@ def word_scores(trie: Trie, prob: np.ndarray, codes, start, end) -> np.ndarray:
     pid = trie.ids(codes, np.repeat(end, end - start))
     out = np.zeros((len(start), prob.shape[1]))
     for rows in _by_length(start, end):
-        at = start[rows][:, None] + np.arange(end[rows[0]] - start[rows[0]])
+        at = start[rows] + np.arange(end[rows[0]] - start[rows[0]])[:, None]
         a, log = _chart(pid[:, at], prob, back=False)
         out[rows] = np.log(a[-1]) + log[-1]
     return out
@@ -180,18 +189,18 @@ def expected(trie: Trie, prob: np.ndarray, codes, start, end, count: np.ndarray)
     langs = count.shape[1]
     out = np.zeros((langs, trie.n))
     for rows in _by_length(start, end):
-        at = start[rows][:, None] + np.arange(end[rows[0]] - start[rows[0]])
-        size = at.shape[1]
+        at = start[rows] + np.arange(end[rows[0]] - start[rows[0]])[:, None]
+        size = len(at)
         p = pid[:, at]
         f, fl = _chart(p, prob, back=False)
         b, bl = _chart(p, prob, back=True)
         z, zl = f[-1], fl[-1]
         for m in range(1, min(trie.longest, size) + 1):
-            ids = p[m - 1, :, :size - m + 1]
-            r, i = np.nonzero(ids >= 0)
+            ids = p[m - 1, :size - m + 1]
+            i, r = np.nonzero(ids >= 0)
             if not len(r):
                 continue
-            ids = ids[r, i]
+            ids = ids[i, r]
             g = f[i, r] * prob[ids] * b[i + m, r] / z[r] * np.exp(fl[i, r] + bl[i + m, r] - zl[r])
             for lang in range(langs):
                 out[lang] += np.bincount(ids, weights=g[:, min(lang, g.shape[1] - 1)] * count[rows[r], lang], minlength=trie.n)
