@@ -79,6 +79,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: Windows as strings, by their digest.
+ORACLE["op5_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+win AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+        FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least_doc AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+hit AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM win JOIN least_doc USING (h) WHERE m < doc_id),
+gone AS (SELECT rid, count(*) AS n FROM hit GROUP BY rid),
+words AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN hit USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
 @query
 def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))

@@ -2,7 +2,7 @@
 
 The categories have an order. The model of a category sees the words of a text and the probabilities of
 all earlier categories. In training those probabilities are out-of-fold predictions, so that a later
-model meets them as unsure as they will be on new texts. Models are fitted on a bounded sample of
+model meets them as unsure as they will be on new texts; a text's fold is by its hash, so copies share one. Models are fitted on a bounded sample of
 labelled rows (``max_rows``); all folds of a category are fitted side by side as tasks. Scoring covers
 every whole text.
 """
@@ -155,8 +155,7 @@ def _fit_task(sample, category: int, folds: int, odds: np.ndarray):
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, y_all, words = sample.value
-        n = np.arange(len(y_all))
-        fold = n % folds
+        fold = y_all[:, -1]
         for task in (int(t) for pdf in frames for t in pdf["id"]):
             y = y_all[:, category].astype(float)
 
@@ -186,7 +185,8 @@ def fit(labelled: DataFrame, categories: dict[str, Column], max_rows: int = MAX_
     most rows; this bounded sample is what is broadcast. The fits of a category run side by side as tasks.
     """
     spark = labelled.sparkSession
-    y = F.array(*[F.coalesce(c.cast("int"), F.lit(-1)) for c in categories.values()])
+    fold = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(folds)).cast("int")
+    y = F.array(*[F.coalesce(c.cast("int"), F.lit(-1)) for c in categories.values()], fold)
     pick = labelled.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).cast("long").alias("i"), y.alias("y"))
     # The largest hash that still belongs to the sample, found over the ids alone.
     last = pick.select("h").orderBy("h").limit(max_rows).agg(F.max("h"), F.count("h")).first()
@@ -201,6 +201,7 @@ def fit(labelled: DataFrame, categories: dict[str, Column], max_rows: int = MAX_
                  key=lambda r: (r["h"], r["i"] is None, r["i"]))
     sample = spark.sparkContext.broadcast((known, np.array([r["y"] for r in got], np.int8),
                                            [np.frombuffer(r["words"], np.uint16) for r in got]))
+    fold_of = np.array([r["y"][-1] for r in got])
     odds, models = np.zeros((len(got), 0)), []
     for k in range(len(categories)):
         tasks = spark.range(0, folds + 1, 1, folds + 1)
@@ -211,7 +212,7 @@ def fit(labelled: DataFrame, categories: dict[str, Column], max_rows: int = MAX_
                 models.append(Linear(np.frombuffer(r["word"], np.uint32), np.frombuffer(r["weight"]),
                                      np.frombuffer(r["earlier"]), r["bias"]))
             else:
-                p[r["task"]::folds] = np.frombuffer(r["p"])
+                p[fold_of == r["task"]] = np.frombuffer(r["p"])
         odds = np.hstack([odds, _log_odds(p)[:, None]])
     return models
 
@@ -248,8 +249,9 @@ def predict(docs: DataFrame, models: list[Linear], names: list[str], id_col: str
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, p_low_quality, p_toxic, p_toxic_low_quality, toxic (p_toxic >= 0.5), learned from ``labels``.
 
-    The categories are what the labels tell: poor text, toxic text, toxic and poor text, in this order.
-    Labels whose document is missing are not used; a document labelled twice is used twice.
+    The categories are what the labels tell: poor text, toxic text, toxic and poor text, in this order; poor text is no
+    kind of toxicity, but the chain's later models profit from it. Labels whose document is missing are not used; a
+    document labelled twice, with equal labels or not, is used twice. NULL ids match no label and are scored like any row.
     """
     labelled = docs.select("doc_id", "text").join(labels.select("doc_id", "quality", "toxic"), "doc_id")
     low, toxic = 1 - F.col("quality"), F.col("toxic")

@@ -139,6 +139,22 @@ def test_chain_feeds_earlier_categories():
     assert m.earlier[0] > 0.5 and ((toxicity.apply_one(m, words, np.zeros(0, np.int64), 100, odds) > 0.5) == y).all()
 
 
+def test_copies_share_a_fold(spark):
+    """Copies of a text are predicted by a model that saw none of them, so a lone copied word tells nothing out of fold."""
+    rows = [(k, f"copy {k // 20} words w{k // 20}a w{k // 20}b w{k // 20}c", (k // 20) % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    chain = {"a": F.col("y"), "b": F.col("y")}
+    models = toxicity.fit(df, chain, 400)
+    assert len(models[1].earlier) == 1 and models[1].earlier[0] < 1.0
+
+
+def test_toxicity_of_odd_labels(spark, edge_docs):
+    labels = spark.createDataFrame([(9015, 1, 1), (9015, 0, 0), (9010, 1, 0), (None, 1, 1), (77777, 0, 1), (9012, None, None)],
+                                   "doc_id long, quality int, toxic int")
+    got = toxicity.classify(edge_docs, labels).collect()
+    assert len(got) == edge_docs.count() and all(0 <= r["p_toxic"] <= 1 for r in got)
+
+
 def test_toxicity_without_labels(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.classify(edge_docs, none).collect()
