@@ -34,8 +34,8 @@ from pitchlens.llm._common import cut, tree_merge
 from pitchlens.llm.token_counts import TOKENIZER, byte_characters
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 1 << 22    # characters per working set; a longer text is taken in parts
-KNOWN_UNITS = 300_000    # units whose alignment a worker keeps
+BATCH_CHARS = 1 << 21    # characters per working set; a longer text is taken in parts
+KNOWN_UNITS = 200_000    # units whose alignment a worker keeps
 BLOCKS = 16
 LANE_BYTES = 1 << 24     # packed links per task of the grid
 HOT_SHARE = 10_000       # texts with more than 1/HOT_SHARE of all rows (so fewer than HOT_SHARE texts) are broadcast
