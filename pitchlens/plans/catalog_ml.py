@@ -451,38 +451,34 @@ def ml_size_sweep(spark, d):
                       (F.col("n_nodes") >= one["n_nodes"]).alias("grows"))
 
 
-_TRAINED: dict[tuple, TR.TrainedModels] = {}
-
-
-def _trained(spark, d) -> TR.TrainedModels:
-    """The train-all job with the reference's settings, run once per source within a session."""
-    from ..sources.store import source_key
-
-    key = (spark.sparkContext.applicationId, source_key(spark, f"{d.rstrip('/')}/events.parquet"))
-    if key not in _TRAINED:
-        _TRAINED[key] = TR.train_all(me_(spark, d), eligible_(spark, d), split=split_flag())
-    return _TRAINED[key]
-
-
 @query("ml_train_all", "SELECT * FROM (VALUES ('player', 'accuracy', TRUE), ('next_team', 'accuracy', TRUE), "
        "('coords', 'avg_l2_error', TRUE), ('coords', 'l2_accuracy', TRUE), ('coords_x', 'mse', TRUE), ('coords_y', 'mse', TRUE)) "
        "t(problem, metric, in_range)")
 def ml_train_all(spark, d):
     """The three problems' models (ICA union + forest, stacking, boosted coordinates); held-out metrics."""
-    m = _trained(spark, d).metrics
+    m = TR.train_all(me_(spark, d), eligible_(spark, d), split=split_flag()).metrics
     top = F.when(F.col("metric") == "mse", 1e4).when(F.col("metric") == "avg_l2_error", K.MAX_L2_ERROR).otherwise(1.0)
     return m.select("problem", "metric", F.col("value").between(F.lit(0.0), top).alias("in_range"))
 
 
-@query("prediction_rows", O.with_(*NEXT) + "SELECT DISTINCT game, TRUE AS known_player, TRUE AS known_team, TRUE AS on_pitch FROM nxt")
+@query("prediction_rows", O.with_(*NEXT) + "SELECT DISTINCT game, TRUE AS known_player, TRUE AS known_team, TRUE AS on_pitch, TRUE AS in_csv FROM nxt")
 def prediction_rows_q(spark, d):
-    """One prediction row per game (player, team, y, x) from the trained models."""
-    tm = _trained(spark, d)
-    out = TR.score_games(me_(spark, d), tm)
+    """One prediction row per game (player, team, y, x) from models trained on all rows, through the CSV sink."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.store import write_predictions
+
+    tm = TR.train_all(me_(spark, d), eligible_(spark, d), with_metrics=False)
+    out = cut(TR.score_games(me_(spark, d), tm))
+    path = shared_path(spark, f"predictions/{uuid.uuid4().hex}")
+    write_predictions(out, path)
+    back = spark.read.schema("player_id bigint, team_id int, y double, x double").csv(path)
+    same = back.join(out.select("player_id", "team_id", "y", "x"), ["player_id", "team_id", "y", "x"], "left_anti").count() == 0
     players = [*map(int, tm.player.indexer.labels), K.FALLBACK_PLAYER]
     on = F.col("x").between(-10.0, 110.0) & F.col("y").between(-10.0, 110.0)
     return out.select("game", F.col("player_id").isin(players).alias("known_player"),
-                      F.col("team_id").isin(0, 1).alias("known_team"), on.alias("on_pitch"))
+                      F.col("team_id").isin(0, 1).alias("known_team"), on.alias("on_pitch"), F.lit(same).alias("in_csv"))
 
 
 assert K.FALLBACK_PLAYER  # fixed fallbacks live in constants

@@ -615,8 +615,7 @@ def size_sweep(train: DataFrame, test: DataFrame, modeler: Modeler, trees: Seque
     for n, dpt in itertools.product(trees, depths):
         m = Modeler(modeler.model_type, {**modeler.params, "n_estimators": n, "max_depth": dpt},
                     modeler.target, modeler.features).fit(train)
-        acc = (m.predict(test).agg(F.avg((F.col("prediction") == F.col(modeler.target).cast("double"))
-                                         .cast("double"))).first()[0])
+        acc = m.predict(test).agg(F.avg((F.col("prediction") == F.col(modeler.target)).cast("double"))).first()[0]
         path = f"{out_dir.rstrip('/')}/trees{n}_depth{dpt}"
         m.save(path)
         t0 = time.perf_counter()

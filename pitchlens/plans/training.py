@@ -186,9 +186,11 @@ class TrainedModels:
 
 def train_all(me: DataFrame, eligible: DataFrame | None, out_dir: str | None = None,
               split: Column | None = None, player_params: dict | None = None, team_params: dict | None = None,
-              coords_params: dict | None = None, with_ica: bool = True) -> TrainedModels:
+              coords_params: dict | None = None, with_ica: bool = True, with_metrics: bool = True) -> TrainedModels:
     """Fit the three problems' models on all rows; optional save under ``out_dir``.
 
+    ``with_metrics=False`` leaves the evaluation out: half of the fits.
+
     The metrics come from models fitted on the 70 % training rows and applied to the other 30 %;
     the models that are returned (and saved, and scored with) are then fitted on every row, with
     encoders and medians of every row.
@@ -200,7 +202,8 @@ def train_all(me: DataFrame, eligible: DataFrame | None, out_dir: str | None = N
     ex = encode_sets(nxt, nxt, "distance", "x_along_team1_axis")
     ey = encode_sets(nxt, nxt, "distance", "y_along_team1_axis")
     metrics, player, team, mx, my = together(
-        lambda: evaluate(feats, nxt, split, player_params, team_params, coords_params, with_ica),
+        lambda: evaluate(feats, nxt, split, player_params, team_params, coords_params, with_ica) if with_metrics
+        else nxt.sparkSession.createDataFrame([], "problem string, metric string, value double"),
         lambda: player_model(player_params, with_ica).fit(_imputed(feats, med)),
         lambda: next_team_stack(team_params).fit(e2.train),
         lambda: coords_model("x", coords_params).fit(ex.train),
