@@ -122,8 +122,9 @@ def best_splits(g: np.ndarray, h: np.ndarray, first: np.ndarray, allowed: np.nda
     inner[first[1:] - 1] = False                 # the last bin of a feature splits nothing off
     ok = inner & allowed[feature] & (lh >= p["min_child_weight"]) & (rh >= p["min_child_weight"]) & (lh > 0) & (rh > 0)
     won = np.where(ok & np.isfinite(won), won, -np.inf)
+    rounded = np.round(won, 7)                   # equal partitions by two features differ in the last bits
     for k in range(len(g)):
-        c = int(won[k].argmax())
+        c = int(rounded[k].argmax())
         if won[k, c] > max(p["gamma"], 1e-10):
             out.append((float(won[k, c]), int(feature[c]), int(c - before[c]), float(lg[k, c]), float(lh[k, c]), float(total_g[k]), float(total_h[k])))
         else:

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import cut
+from . import boosting as BO
 from . import models as M
 from . import neighbours as NN
 from . import oracle as O
 from . import training as TR
 from .catalog import (FEAT, MEDIAN_COLS, NEXT, TEST_SET, ZC_SUM, eligible_, features_, me_, query,
                       split_flag)
-from .oracle_trees import draw_sql, forest_ctes
+from .oracle_trees import boost_ctes, draw_sql, forest_ctes
 from .scoring import feature_medians, impute_with_medians, player_scoring_features
 from .trees import PRIME, tried
 
@@ -125,6 +126,29 @@ def ml_next_team_gbt(spark, d):
         "rounds": F.lit(len(losses)), "loss_falls": F.lit(all(b < a for a, b in zip(losses, losses[1:])))})
 
 
+BOOST_BY_VALUE = {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 3, "reg_lambda": 1.5, "min_child_weight": 10}
+
+
+def _boost_sql() -> str:
+    x = "[" + ", ".join(f'CAST("{c}" AS DOUBLE)' for c in TR.P2_FEATURES) + "]"
+    b = BOOST_BY_VALUE
+    return O.with_(*NEXT, f"""full_rows AS MATERIALIZED (SELECT *, row_number() OVER () AS row FROM {FULL}),
+tr AS MATERIALIZED (SELECT row, team_id AS y, {x} AS x FROM full_rows WHERE (seq * 7919) % 100 < 70),
+te AS MATERIALIZED (SELECT row, {x} AS x FROM full_rows WHERE (seq * 7919) % 100 >= 70),
+""" + boost_ctes(b["n_estimators"], b["max_depth"], b["learning_rate"], b["reg_lambda"], b["min_child_weight"])) \
+        + "SELECT seq, game, round(score, 6) AS score FROM pred JOIN full_rows USING (row)"
+
+
+@query("ml_boost_scores", _boost_sql())
+def ml_boost_scores(spark, d):
+    """M4: scores (log-odds) of five rounds of second-order boosting on the raw lag features, by value: SQL finds the same trees."""
+    train, test = TR.next_event_sets(me_(spark, d), split_flag())
+    m = M.Modeler("xgb_classif", BOOST_BY_VALUE, "team_id", TR.P2_FEATURES).fit(train)
+    trees = BO.trees_of(m.model.stages[-1].table())
+    rows = test.select("seq", "game", F.array(*[F.col(c).cast("double") for c in TR.P2_FEATURES]).alias("x"))
+    return BO.add_scores(rows, trees, "x", 1, 0.0, "s").select("seq", "game", F.round(F.col("s")[0], 6).alias("score"))
+
+
 PLAYER_SQL = O.with_(*P1) + f"SELECT game, time_period, player_id, TRUE AS known_player FROM p1 WHERE {P1_TEST}"
 
 

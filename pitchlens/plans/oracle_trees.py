@@ -50,3 +50,40 @@ forest_leaf AS MATERIALIZED (
 votes AS (SELECT e.row, l.label, round(sum(l.share), 9) AS v FROM forest_ends e JOIN te USING (row) JOIN forest_leaf l USING (tree, node) GROUP BY e.row, l.label),
 pred AS (SELECT row, label FROM (SELECT row, label, row_number() OVER (PARTITION BY row ORDER BY v DESC, label) AS k FROM votes) WHERE k = 1)""")
     return ",\n".join(parts)
+
+
+def boost_ctes(rounds: int, max_depth: int, learning_rate: float, reg_lambda: float, min_child_weight: float) -> str:
+    """CTEs from ``tr(row, y, x)`` and ``te(row, x)`` to ``pred(row, score)``: logistic boosting with second-order gains over all values.
+
+    Gains are compared to 7 digits, ties go to the first feature and value.
+    """
+    parts = ["""pts AS MATERIALIZED (SELECT row, CAST(y AS DOUBLE) AS y, x FROM tr UNION ALL SELECT row, CAST(NULL AS DOUBLE), x FROM te),
+m0 AS MATERIALIZED (SELECT row, CAST(0.0 AS DOUBLE) AS m FROM pts)"""]
+    lam = f"CAST({reg_lambda} AS DOUBLE)"
+    for r in range(rounds):
+        parts.append(f"""gh{r} AS MATERIALIZED (
+  SELECT row, x, 1 / (1 + exp(-m)) - y AS g, greatest(1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))), 1e-16) AS h FROM m{r} JOIN pts USING (row) WHERE y IS NOT NULL),
+n{r}_0 AS MATERIALIZED (SELECT row, CAST(1 AS BIGINT) AS node FROM pts)""")
+        for d in range(max_depth):
+            n = f"n{r}_{d}"
+            parts.append(f"""c{r}_{d} AS (
+  SELECT node, f, v, sum(g) AS g, sum(h) AS h FROM (
+    SELECT node, g, h, unnest(range(len(x))) AS f, unnest(x) AS v FROM {n} JOIN gh{r} USING (row)) GROUP BY node, f, v),
+s{r}_{d} AS (
+  SELECT node, f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER a AS gt, sum(h) OVER a AS ht,
+         row_number() OVER (PARTITION BY node, f ORDER BY v DESC) AS back
+  FROM c{r}_{d} WINDOW w AS (PARTITION BY node, f ORDER BY v), a AS (PARTITION BY node, f)),
+b{r}_{d} AS MATERIALIZED (
+  SELECT node, f, v FROM (
+    SELECT node, f, v, won, row_number() OVER (PARTITION BY node ORDER BY round(won, 7) DESC, f, v) AS k FROM (
+      SELECT node, f, v, gl * gl / (hl + {lam}) + (gt - gl) * (gt - gl) / (ht - hl + {lam}) - gt * gt / (ht + {lam}) AS won
+      FROM s{r}_{d} WHERE back > 1 AND hl >= {min_child_weight} AND ht - hl >= {min_child_weight}))
+  WHERE k = 1 AND won > 1e-10),
+n{r}_{d + 1} AS MATERIALIZED (
+  SELECT n.row, CASE WHEN b.node IS NULL THEN n.node ELSE 2 * n.node + CAST(p.x[b.f + 1] > b.v AS BIGINT) END AS node
+  FROM {n} n JOIN pts p USING (row) LEFT JOIN b{r}_{d} b ON b.node = n.node)""")
+        parts.append(f"""v{r} AS MATERIALIZED (
+  SELECT node, -CAST({learning_rate} AS DOUBLE) * sum(g) / (sum(h) + {lam}) AS value FROM n{r}_{max_depth} JOIN gh{r} USING (row) GROUP BY node),
+m{r + 1} AS MATERIALIZED (SELECT m.row, m.m + v.value AS m FROM m{r} m JOIN n{r}_{max_depth} n USING (row) JOIN v{r} v USING (node))""")
+    parts.append(f"pred AS (SELECT m.row, m.m AS score FROM m{rounds} m JOIN te USING (row))")
+    return ",\n".join(parts)
