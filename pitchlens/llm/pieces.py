@@ -27,7 +27,7 @@ from pitchlens.llm._text import prefix_hash, range_hash
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = np.int32(2**31 - 1)
 WIDE = 48            # chunks of more characters use the heap agenda
-TEXT_CHARS = 1 << 21  # characters per working set
+TEXT_CHARS = 3 << 20  # characters per working set
 _GOLD = 0x9E3779B97F4A7C15
 
 
