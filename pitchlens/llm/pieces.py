@@ -104,6 +104,17 @@ class Pieces:
         at = np.flatnonzero(hit)
         return at, self.slot_piece[slot[at]]
 
+    def joined(self, sym: np.ndarray) -> np.ndarray:
+        """Piece of each symbol with the one after it (-1: none, also for the last), of flat or two-dimensional symbols."""
+        out = np.full(sym.shape, -1, np.int32)
+        a, b = sym[..., :-1].ravel(), sym[..., 1:].ravel()
+        some = np.flatnonzero((a >= 0) & (b >= 0))
+        at, p = self.merged(a[some].astype(np.int64) * self.n + b[some])
+        inner = np.full(len(a), -1, np.int32)
+        inner[some[at]] = p
+        out[..., :-1] = inner.reshape(sym[..., :-1].shape)
+        return out
+
     @classmethod
     def load(cls, path: str = PIECES) -> Pieces:
         import sentencepiece
@@ -173,14 +184,15 @@ def merge_one(v: Pieces, ids: list[int], key: int, drop: Dropout | None, met: li
 
 
 def merge_many(v: Pieces, sym: np.ndarray, key: np.ndarray, drop: Dropout | None,
-               met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+               met: list | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The same agenda for many chunks of one width: (n, width) symbols -> symbols and a mask of those left.
 
-    ``met`` collects arrays (row, start, left length, piece) of the candidates.
+    ``met`` collects arrays (row, start, left length, piece) of the candidates. ``first``, if given, has the piece of each
+    symbol with the next one (-1: none), as :meth:`Pieces.joined` finds it.
     """
     n, w = sym.shape
-    nxt = np.tile(np.arange(1, w + 1), (n, 1))
-    prv = np.tile(np.arange(-1, w - 1), (n, 1))
+    nxt = np.tile(np.arange(1, w + 1, dtype=np.int16), (n, 1))
+    prv = np.tile(np.arange(-1, w - 1, dtype=np.int16), (n, 1))
     live = np.ones((n, w), bool)
     rank = np.full((n, w), NEVER, np.int32)
     made = np.zeros((n, w), np.int32)
@@ -203,8 +215,15 @@ def merge_many(v: Pieces, sym: np.ndarray, key: np.ndarray, drop: Dropout | None
         rank[r, i], made[r, i] = v.rank[p], p
 
     if w > 1:
-        rr, ii = np.divmod(np.arange(n * (w - 1)), w - 1)
-        offer(rr, ii)
+        first = v.joined(sym) if first is None else first
+        r, i = np.nonzero(first[:, :w - 1] >= 0)
+        p = first[r, i]
+        if met is not None:
+            met.append((r, i, np.ones(len(r), np.int64), p))
+        if drop and drop.limit:
+            stay = ~drop.many(key[r], i, np.ones(len(r), np.int64), p)
+            r, i, p = r[stay], i[stay], p[stay]
+        rank[r, i], made[r, i] = v.rank[p], p
     rows = np.arange(n)
     while len(rows):
         i = rank[rows].argmin(axis=1)
@@ -253,7 +272,9 @@ class Encoder:
         width = np.fromiter(map(len, names), np.int64, len(names))
         start = np.cumsum(width) - width
         met: list[tuple[np.ndarray, ...]] = []
-        ids, size = self._merge(cps, start, width, None, None, met if self.drop.limit else None)
+        sym = self.v.char_id[cps]
+        pairs = self.v.joined(sym)  # of the letters as they stand: looked up once for all occurrences of a chunk
+        ids, size = self._merge(cps, sym, pairs, start, width, None, None, met if self.drop.limit else None)
         which = chunk
         if self.drop.limit and len(chunk):
             doc = np.repeat(mix64(np.array([(k ^ self.seed * _GOLD) & MASK64 for k in keys], np.uint64)), count)
@@ -263,7 +284,7 @@ class Encoder:
                 pre = prefix_hash(cps.astype(np.uint64) + np.uint64(1), _GOLD)
                 key = mix64(range_hash(pre, start, start + width, _GOLD)[chunk] + key % np.uint64(self.variants))
             skips = np.flatnonzero(self._skips(chunk, key, met, len(names)))
-            more, wide = self._merge(cps, start[chunk[skips]], width[chunk[skips]], key[skips], self.drop)
+            more, wide = self._merge(cps, sym, pairs, start[chunk[skips]], width[chunk[skips]], key[skips], self.drop)
             which = chunk.copy()
             which[skips] = len(names) + np.arange(len(skips))
             ids, size = np.append(ids, more), np.append(size, wide)
@@ -291,7 +312,7 @@ class Encoder:
             todo = todo[size[chunk[todo]] > nth]
         return out
 
-    def _merge(self, cps: np.ndarray, o: np.ndarray, s: np.ndarray, key: np.ndarray | None, drop: Dropout | None,
+    def _merge(self, cps: np.ndarray, all_sym: np.ndarray, pairs: np.ndarray, o: np.ndarray, s: np.ndarray, key: np.ndarray | None, drop: Dropout | None,
                met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, number of ids of each) of the chunks cps[o:o + s]."""
         v = self.v
@@ -316,7 +337,7 @@ class Encoder:
                 part = rows[a:a + (1 << 15)]
                 at = o[part][:, None] + np.arange(w)
                 seen = None if met is None else []
-                sym, live = merge_many(v, v.char_id[cps[at]], None if key is None else key[part], drop, seen)
+                sym, live = merge_many(v, all_sym[at], None if key is None else key[part], drop, seen, pairs[at])
                 if seen:
                     met += [(part[r], *rest) for r, *rest in seen]
                 r, c = np.nonzero(live)
