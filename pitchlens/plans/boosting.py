@@ -1,8 +1,10 @@
 """Gradient boosting with second-order gains: logistic, softmax and squared loss.
 
-Features are binned once and landed. A round fits one tree per class, all classes side by side, one level per
-pass: tasks add up gradients and hessians by (class, node, feature bin), partial sums merge in blocks of
-nodes, and where a block is complete its best splits are found, so the driver gets splits and no histogram. Scores
+Features are binned once and landed, thousands of rows to a record of packed arrays. A round fits one tree per class, all
+classes side by side, one level per pass: tasks add up gradients and hessians by (class, node, feature bin), partial sums
+merge in blocks of nodes, and where a block is complete its best splits are found, so the driver gets splits and no
+histogram. A pass is one plain job over the landed records: no query is planned, nothing is unpacked row by row, and
+sums of at most ``SMALL`` bytes in all are not exchanged but added up on the driver (half of a pass is the exchange). Scores
 of the rounds since the last refresh are computed in the passes; every ``REFRESH`` rounds they are added
 to the landed table. The loss of the training rows before each round comes with the round's first pass.
 Rows that make up one task (fewer than two times ``ROWS_PER_TASK``) have nothing to exchange between levels: a
@@ -12,14 +14,14 @@ pass is then a whole round, and tasks share out the classes.
 from __future__ import annotations
 
 import math
-import pickle
+import operator
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext, keyword_only
+from pyspark import RDD, TaskContext, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, Param, Params, TypeConverters
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 from ..session import cut, shared_path
 from .trees import PRIME, draw
 
-REFRESH = 16              # rounds between updates of the landed scores
+REFRESH = 4               # rounds between updates of the landed scores
 ROWS_PER_TASK = 50_000
 FAN_IN = 64               # partial histograms that a task merges at a time
 BLOCK_CELLS = 1 << 17     # (node, bin) cells of a histogram block
 CLASS_CELLS = 1 << 23     # (class, node, bin) cells that a task holds; more classes take more passes
-BATCH = 1 << 14
+BATCH = 1 << 16           # rows of a landed record at most, and
+RECORD_SCORES = 1 << 20   # their scores
+SMALL = 1 << 25           # bytes of all partial sums of a pass that the driver adds up itself
 TREES = "round int, class int, node int, feature int, threshold double, left int, right int, value double"
 
 LOSSES = ("logistic", "softmax", "squared")
@@ -78,12 +82,14 @@ class Tree:
     def walk(self, x: np.ndarray) -> np.ndarray:
         """Place of every row; x holds bins, or values where ``bin`` holds thresholds."""
         feature, bins, left, right = (np.asarray(v) for v in (self.feature, self.bin, self.left, self.right))
-        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        while len(rows):
-            f = feature[at[rows]]
-            rows, f = rows[f >= 0], f[f >= 0]
-            here = at[rows]
-            at[rows] = np.where(x[rows, f] <= bins[here], left[here], right[here])
+        leaf, own = feature < 0, np.arange(len(feature))     # rows that are at a leaf stay there
+        feature, left, right = np.where(leaf, 0, feature), np.where(leaf, own, left), np.where(leaf, own, right)
+        if not (x.flags.c_contiguous or x.flags.f_contiguous):
+            x = np.ascontiguousarray(x)
+        flat, (down, across) = x.ravel("K"), (v // x.itemsize for v in x.strides)
+        at, first = np.zeros(len(x), np.int64), np.arange(len(x)) * down
+        while not leaf[at].all():
+            at = np.where(flat[first + feature[at] * across] <= bins[at], left[at], right[at])
         return at
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -179,51 +185,57 @@ class _Pass:
         return out
 
 
-def _rows(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(uid, bins, label, scores) of blocks of rows."""
-    for b in batches:
-        for a in range(0, b.num_rows, BATCH):
-            part = b.slice(a, BATCH)
-            n = part.num_rows
-            flat = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            yield part.column(0).to_numpy(), flat(1), part.column(2).to_numpy(), flat(3).astype(float).reshape(n, k)
+def _packed(uid: np.ndarray, bins: np.ndarray, y: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """One record of the landed table: so many rows as packed arrays."""
+    return pa.RecordBatch.from_arrays([pa.array([len(uid)], pa.int32()), pa.array([uid.astype(np.int64).tobytes()], pa.binary()),
+                                       pa.array([bins.astype(np.int16).T.tobytes()], pa.binary()), pa.array([y.astype(float).tobytes()], pa.binary()),
+                                       pa.array([scores.astype(float).tobytes()], pa.binary())], ["n", "uid", "bins", "label", "scores"])
+
+
+def _rows(records: Iterable, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(uid, bins, label, scores) of blocks of rows, from records (n, uid, bins by feature, label, scores)."""
+    for n, uid, bins, y, scores in records:
+        if n:
+            yield np.frombuffer(uid, np.int64), np.frombuffer(bins, np.int16).reshape(-1, n).T, np.frombuffer(y), np.frombuffer(scores).reshape(n, k)
 
 
 class _Sums:
     """Gradient and hessian sums by (class, open node, bin) of the rows of a task."""
 
     def __init__(self, step: _Pass, classes, trees: list[Tree], open_: list[list[int]]):
-        self.width, self.trees = int(step.first[-1]), trees
+        self.width, self.first, self.trees = int(step.first[-1]), step.first, trees
         self.hold = {k: np.zeros((2, len(open_[k]), self.width)) for k in classes if len(open_[k])}
         self.place = {}
         for k in self.hold:
             self.place[k] = np.full(len(trees[k].feature), -1, np.int64)
             self.place[k][open_[k]] = np.arange(len(open_[k]))
 
-    def add(self, bins: np.ndarray, cell: np.ndarray, g: np.ndarray, h: np.ndarray, take: np.ndarray) -> None:
+    def add(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, take: np.ndarray) -> None:
         for k, sums in self.hold.items():
             at = self.place[k][self.trees[k].walk(bins)]
             rows = np.flatnonzero((at >= 0) & take)
-            if len(rows):
-                index = (at[rows, None] * self.width + cell[rows]).ravel()
-                for j, w in enumerate((g, h)):
-                    sums[j] += np.bincount(index, np.repeat(w[rows, k], bins.shape[1]), sums.shape[1] * self.width).reshape(-1, self.width)
+            at, weights = at[rows], (g[rows, k], h[rows, k])
+            for f, (a, b) in enumerate(zip(self.first, self.first[1:])) if len(rows) else ():
+                index = at * (b - a) + bins[:, f][rows]
+                for j, w in enumerate(weights):
+                    sums[j, :, a:b] += np.bincount(index, w, sums.shape[1] * (b - a)).reshape(-1, b - a)
 
 
 def _histograms(step: _Pass):
-    """Rows -> partial sums by class and block of nodes."""
+    """Rows -> ((class, block of nodes, lane), partial sums); class -1 has the loss and the number of rows."""
 
-    def run(batches):
+    def run(records):
         p, sums, loss, n = step.p, _Sums(step, step.classes, step.growing, step.open), 0.0, 0
-        for uid, bins, y, base in _rows(batches, step.n_classes):
+        lane = TaskContext.get().partitionId() // FAN_IN
+        for uid, bins, y, base in _rows(records, step.n_classes):
             g, h, value = gradients(step.scores(bins, base), y, step.loss)
             loss, n = loss + float(value.sum()), n + len(y)
-            sums.add(bins, bins + step.first[:-1], g, h, _sampled(uid, p["subsample"], p["seed"], step.round))
-        yield _result([(-1, 0, np.array([loss, n]).tobytes())])
+            sums.add(bins, g, h, _sampled(uid, p["subsample"], p["seed"], step.round))
+        yield (-1, 0, lane), np.array([loss, n])
         per = max(1, BLOCK_CELLS // sums.width)
         for k, (g, h) in sums.hold.items():
             for a in range(0, len(g), per):
-                yield _result([(k, a // per, pa.compress(np.stack([g[a:a + per], h[a:a + per]]).tobytes(), codec="zstd", asbytes=True))])
+                yield (k, a // per, lane), np.stack([g[a:a + per], h[a:a + per]])
 
     return run
 
@@ -231,14 +243,14 @@ def _histograms(step: _Pass):
 def _whole_round(step: _Pass, max_depth: int, lanes: int):
     """All rows -> the round's trees of the classes of this task (class = lane modulo the number of lanes)."""
 
-    def run(batches):
+    def run(records):
         p, lane = step.p, TaskContext.get().partitionId()
         mine = [k for k in range(step.n_classes) if k % lanes == lane]
         held, loss, n = [], 0.0, 0
-        for uid, bins, y, base in _rows(batches, step.n_classes):
+        for uid, bins, y, base in _rows(records, step.n_classes):
             g, h, value = gradients(step.scores(bins, base), y, step.loss)
             loss, n = loss + float(value.sum()), n + len(y)
-            held.append((bins, bins + step.first[:-1], g, h, _sampled(uid, p["subsample"], p["seed"], step.round)))
+            held.append((bins, g, h, _sampled(uid, p["subsample"], p["seed"], step.round)))
         trees = [Tree() for _ in range(step.n_classes)]
         open_ = [[0] if k in mine else [] for k in range(step.n_classes)]
         for depth in range(max(1, max_depth)):
@@ -250,7 +262,8 @@ def _whole_round(step: _Pass, max_depth: int, lanes: int):
             found = {k: best_splits(g, h, step.first, _chosen(len(step.first) - 1, p["colsample"], p["seed"], step.round, k), p)
                      for k, (g, h) in sums.hold.items()}
             open_ = _grow(trees, open_, found, depth, max_depth, p)
-        yield _result([(-1, 0, np.array([loss, n]).tobytes()), *((k, 0, pickle.dumps(trees[k])) for k in mine)])
+        yield -1, (loss, n)
+        yield from ((k, trees[k]) for k in mine)
 
     return run
 
@@ -270,80 +283,70 @@ def _grow(trees: list[Tree], open_: list[list[int]], found: dict, depth: int, ma
     return nxt
 
 
-def _result(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                                       pa.array([TaskContext.get().partitionId() // FAN_IN] * len(rows), pa.int32()),
-                                       pa.array([r[2] for r in rows], pa.binary())], ["class", "block", "lane", "data"])
-
+def _found(step: _Pass):
+    """Complete sums of a block of nodes -> their best splits."""
 
-def _packed_splits(g, h, step: _Pass, k: int) -> bytes:
-    return np.array(best_splits(g, h, step.first, _chosen(len(step.first) - 1, step.p["colsample"], step.p["seed"], step.round, k), step.p)).tobytes()
-
-
-def _merged(step: _Pass, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, block = int(pdf["class"].iloc[0]), int(pdf["block"].iloc[0])
-        if k < 0:
-            data = np.sum([np.frombuffer(d) for d in pdf["data"]], axis=0).tobytes()
-        else:
-            width = int(step.first[-1])
-            per = max(1, BLOCK_CELLS // width)
-            size = 16 * width * min(per, len(step.open[k]) - block * per)
-            total = sum(np.frombuffer(pa.decompress(d, decompressed_size=size, codec="zstd", asbytes=True)) for d in pdf["data"])
-            total = total.reshape(2, -1, width)
-            data = _packed_splits(*total, step, k) if last else pa.compress(total.tobytes(), codec="zstd", asbytes=True)
-        return pd.DataFrame({"class": [k], "block": [block], "lane": [int(pdf["lane"].iloc[0]) // FAN_IN], "data": [data]})
+    def run(kv):
+        (k, block, _), sums = kv
+        return k, block, sums if k < 0 else np.array(
+            best_splits(*sums, step.first, _chosen(len(step.first) - 1, step.p["colsample"], step.p["seed"], step.round, k), step.p))
 
     return run
 
 
-_PARTS = "class int, block int, lane int, data binary"
-
-
-def _splits(state: DataFrame, step: _Pass, parts: int) -> tuple[dict[int, np.ndarray], float]:
+def _splits(records: RDD, step: _Pass, parts: int) -> tuple[dict[int, np.ndarray], float]:
     """({class: best splits of its open nodes}, mean loss) of one level, for all classes."""
     found: dict[int, dict[int, np.ndarray]] = {}
-    loss = math.nan
+    loss, slots = math.nan, records.context.defaultParallelism
     per_pass = max(1, CLASS_CELLS // max(1, int(step.first[-1]) * max(1, max(map(len, step.open)))))
+    per = max(1, BLOCK_CELLS // int(step.first[-1]))
     for a in range(0, step.n_classes, per_pass):
         step.classes = range(a, min(a + per_pass, step.n_classes))
-        out, left = state.mapInArrow(_histograms(step), _PARTS), parts
+        blocks = 1 + sum(-(-len(step.open[k]) // per) for k in step.classes)
+        out, left = records.mapPartitions(_histograms(step)), parts
+        if 16 * parts * int(step.first[-1]) * sum(len(step.open[k]) for k in step.classes) <= SMALL:
+            whole: dict[tuple, np.ndarray] = {}
+            for (k, block, _), data in out.collect():
+                whole[k, block] = whole[k, block] + data if (k, block) in whole else data
+            split = _found(step)
+            for k, block, data in [split(((*kb, 0), data)) for kb, data in whole.items()]:
+                if k < 0:
+                    loss = float(data[0] / data[1])
+                else:
+                    found.setdefault(k, {})[block] = data
+            continue
         while True:
             left = -(-left // FAN_IN)
-            out = out.groupBy("class", "block", "lane").applyInPandas(_merged(step, left == 1), _PARTS)
+            out = out.reduceByKey(operator.add, max(1, min(blocks * left, slots)))
             if left == 1:
                 break
-        for r in out.collect():
-            if r["class"] < 0:
-                total, n = np.frombuffer(r["data"])
-                loss = total / n
+            out = out.map(lambda kv: ((*kv[0][:2], kv[0][2] // FAN_IN), kv[1]))
+        for k, block, data in out.map(_found(step)).collect():
+            if k < 0:
+                loss = float(data[0] / data[1])
             else:
-                found.setdefault(r["class"], {})[r["block"]] = np.frombuffer(r["data"]).reshape(-1, 7)
+                found.setdefault(k, {})[block] = data
     return {k: np.concatenate([v[b] for b in sorted(v)]) for k, v in found.items()}, loss
 
 
-def _round(state: DataFrame, step: _Pass, max_depth: int, parts: int) -> tuple[list[Tree], float]:
+def _round(records: RDD, step: _Pass, max_depth: int, parts: int) -> tuple[list[Tree], float]:
     """(trees of a round, mean loss before it)."""
+    trees, loss = [Tree() for _ in range(step.n_classes)], math.nan
     if parts == 1:
-        lanes = max(1, min(step.n_classes, state.sparkSession.sparkContext.defaultParallelism))
-        copies = state
-        for _ in range(lanes - 1):
-            copies = copies.union(state)             # partition k is lane k
-        trees, loss = [Tree() for _ in range(step.n_classes)], math.nan
-        for r in copies.mapInArrow(_whole_round(step, max_depth, lanes), _PARTS).collect():
-            if r["class"] < 0:
-                total, n = np.frombuffer(r["data"])
-                loss = total / n
+        lanes = max(1, min(step.n_classes, records.context.defaultParallelism))
+        copies = records.context.union([records] * lanes) if lanes > 1 else records      # partition k is lane k
+        for k, found in copies.mapPartitions(_whole_round(step, max_depth, lanes)).collect():
+            if k < 0:
+                loss = found[0] / found[1]
             else:
-                trees[r["class"]] = pickle.loads(r["data"])
+                trees[k] = found
         return trees, loss
-    trees, loss = [Tree() for _ in range(step.n_classes)], math.nan
     open_ = [[0] for _ in trees]
     for depth in range(max(1, max_depth)):
         if not any(open_):
             break
         step.growing, step.open = trees, open_
-        found, value = _splits(state, step, parts)
+        found, value = _splits(records, step, parts)
         loss = value if depth == 0 else loss
         open_ = _grow(trees, open_, found, depth, max_depth, step.p)
     return trees, loss
@@ -353,34 +356,37 @@ def _refreshed(recent: list[list[Tree]], k: int):
     def run(batches):
         step = _Pass(None, k, None, recent, None, None, 0, None, None)
         for b in batches:
-            for uid, bins, y, base in _rows([b], k):
-                s = step.scores(bins, base)
-                n = len(uid)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(uid), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bins.shape[1], pa.int32()), pa.array(bins.ravel().astype(np.int16))),
-                    pa.array(y), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(s.ravel()))],
-                    ["uid", "bins", "label", "scores"])
+            for uid, bins, y, base in _rows(zip(*(c.to_pylist() for c in b.columns)), k):
+                yield _packed(uid, bins, y, step.scores(bins, base))
 
     return run
 
 
-_STATE = "uid long, bins array<smallint>, label double, scores array<double>"
+_STATE = "n int, uid binary, bins binary, label binary, scores binary"
 
 
 def _landed(rows: DataFrame, points: list[np.ndarray], n_classes: int, base: float, parts: int) -> DataFrame:
-    """Binned rows with a number of their own and their first scores."""
+    """Binned rows with a number of their own and their first scores, packed."""
+
+    most = max(1, min(BATCH, RECORD_SCORES // n_classes))
+
+    def record(held):
+        uid, x, y = (np.concatenate(v) for v in zip(*held))
+        bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(points)], 1)
+        return _packed(uid, bins, y, np.full((len(uid), n_classes), base))
 
     def run(batches):
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(points)], 1).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bins.shape[1], pa.int32()), pa.array(bins.ravel())), b.column(2),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * n_classes, pa.int32()), pa.array(np.full(n * n_classes, base)))],
-                ["uid", "bins", "label", "scores"])
+        held, n = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, most):
+                b = batch.slice(a, most)
+                if n + b.num_rows > most:
+                    yield record(held)
+                    held, n = [], 0
+                held.append((b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(2).to_numpy()))
+                n += b.num_rows
+        if held:
+            yield record(held)
 
     numbered = rows.repartition(parts).select(F.monotonically_increasing_id().alias("uid"), "x", "label")
     return cut(numbered.mapInArrow(run, _STATE))
@@ -411,13 +417,15 @@ def boost(rows: DataFrame, loss: str, n_classes: int = 1, rounds: int = 100, lea
     done: list[list[Tree]] = []
     fresh: list[list[Tree]] = []
     losses: list[float] = []
+    records = state.rdd.map(tuple)
     for r in range(rounds):
-        trees, value = _round(state, _Pass(loss, n_classes, first, fresh, None, None, r, p, None), max_depth, parts)
+        trees, value = _round(records, _Pass(loss, n_classes, first, fresh, None, None, r, p, None), max_depth, parts)
         losses.append(value)
         fresh.append(trees)
         done.append(trees)
         if len(fresh) == REFRESH and r < rounds - 1:
             state, fresh = cut(state.mapInArrow(_refreshed(fresh, n_classes), _STATE)), []
+            records = state.rdd.map(tuple)
     for trees in done:
         for t in trees:
             t.bin = [float(points[f][b]) if f >= 0 else 0.0 for f, b in zip(t.feature, t.bin)]
