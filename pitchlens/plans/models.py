@@ -41,6 +41,7 @@ from ..session import cut
 from .adaboost import AdaBoostR2
 from .boosting import GradientBoosting
 from .dense import DenseClassifier
+from .forests import RandomForest
 from .kernels import FeatureAgglomeration, Nystroem, RandomFourier
 from .trees import ExtraTreesClassifier
 
@@ -85,7 +86,7 @@ def _depth(v) -> int:
 def make_estimator(model_type: str, params: dict | None = None, n_classes: int | None = None):
     """A new MLlib estimator for a model type, with scikit-learn style parameters.
 
-    ``et_classif`` is this package's extra-trees, ``xgb_classif`` / ``xgb_reg`` its second-order
+    ``rf_classif`` / ``rf_reg`` are this package's random forests, with MLlib's parameter names; ``et_classif`` is this package's extra-trees, ``xgb_classif`` / ``xgb_reg`` its second-order
     boosting (any number of classes in one fit; ``reg_lambda``, ``reg_alpha``, ``gamma`` and
     ``min_child_weight`` as hessian mass); ``xgb_multiclass`` is one-vs-rest over MLlib's binary boosting.
 
@@ -192,9 +193,9 @@ def _boosting(p: dict, task: str) -> GradientBoosting:
 
 def _build(model_type: str, kw: dict, n_classes: int | None = None):
     if model_type == "rf_classif":
-        return MC.RandomForestClassifier(**kw)
+        return RandomForest(task="classification", **kw)
     if model_type == "rf_reg":
-        return MR.RandomForestRegressor(**kw)
+        return RandomForest(task="regression", **kw)
     if model_type == "xgb_multiclass":
         # the binary models of the classes are independent: fit several at once
         return MC.OneVsRest(classifier=MC.GBTClassifier(**kw), parallelism=4)
@@ -580,7 +581,9 @@ def _type_of(est) -> str:
     name = type(est).__name__
     if name == "GradientBoosting":
         return "xgb_reg" if est.getOrDefault("task") == "regression" else "xgb_classif"
-    return {"ExtraTreesClassifier": "et_classif", "DenseClassifier": "dense", "AdaBoostR2": "ada_reg", "RandomForestClassifier": "rf_classif", "RandomForestRegressor": "rf_reg",
+    if name == "RandomForest":
+        return "rf_reg" if est.getOrDefault("task") == "regression" else "rf_classif"
+    return {"ExtraTreesClassifier": "et_classif", "DenseClassifier": "dense", "AdaBoostR2": "ada_reg",
             "DecisionTreeClassifier": "dt_classif", "DecisionTreeRegressor": "dt_reg",
             "LogisticRegression": "logistic", "LinearRegression": "linear"}.get(name, "rf_classif")
 
