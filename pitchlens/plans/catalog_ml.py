@@ -400,11 +400,11 @@ def ml_zero_count_stage(spark, d):
        + "]) AS feature, TRUE AS in_range, TRUE AS some_selected, 4 AS n_rfe_kept")
 def ml_select_from_model(spark, d):
     """Keep features at least as important as the mean importance of a fitted forest; then RFE."""
-    e = _p2(spark, d)
-    m = M.Modeler("rf_classif", {"n_estimators": 20, "max_depth": 6}, "team_id", TR.P2_FEATURES).fit(e.train)
+    train = cut(_p2(spark, d).train)                     # read by every fit of the elimination
+    m = M.Modeler("rf_classif", {"n_estimators": 20, "max_depth": 6}, "team_id", TR.P2_FEATURES).fit(train)
     imp = m.model.stages[-1].featureImportances.toArray()
     some = 1 <= len(M.select_from_model(imp).getIndices()) <= len(imp)
-    rfe = M.recursive_elimination(e.train, TR.P2_FEATURES, "team_id", "rf_classif", {"n_estimators": 10, "max_depth": 4}, keep=4)
+    rfe = M.recursive_elimination(train, TR.P2_FEATURES, "team_id", "rf_classif", {"n_estimators": 10, "max_depth": 4}, keep=4)
     rows = [(f, 0.0 <= float(imp[i]) <= 1.0, some, len(rfe)) for i, f in enumerate(TR.P2_FEATURES)]
     return spark.createDataFrame(rows, "feature string, in_range boolean, some_selected boolean, n_rfe_kept int")
 

@@ -88,15 +88,16 @@ def default_split(*keys: str) -> Column:
 
 
 def player_training_set(me: DataFrame, eligible: DataFrame | None) -> tuple[DataFrame, dict]:
-    """Window features of eligible players with NULLs replaced by the medians (returned too)."""
-    feats = window_features(me, eligible)
+    """Window features of eligible players with NULLs replaced by the medians (returned too); computed once."""
+    feats = cut(window_features(me, eligible))
     med = feature_medians(feats, P1_FEATURES)
     return impute_with_medians(feats, feats, P1_FEATURES, keep=["game", "player_id", "time_period"],
                                medians=med).withColumn("player_id", F.col("player_id")), med
 
 
 def next_event_sets(me: DataFrame, split: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    return split_rows(season_next_event(me).na.drop(), split if split is not None else default_split())
+    """Complete next-event rows, computed once, as (training, test) rows."""
+    return split_rows(cut(season_next_event(me).na.drop()), split if split is not None else default_split())
 
 
 def split_rows(df: DataFrame, split: Column) -> tuple[DataFrame, DataFrame]:
