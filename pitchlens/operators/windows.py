@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -31,7 +31,11 @@ def sliding_windows(df: DataFrame, step_min: int = 5, length_min: int = K.WINDOW
               .when(p == 2, F.sequence(F.lit(second_half[0]), F.lit(second_half[1]), F.lit(step_min))))
     hits = F.filter(starts, lambda s: t.between(s * 60, (s + length_min) * 60))
     out = df.withColumn("start", F.explode(hits))
-    return out.withColumn("time_period", F.format_string("%d-%d", F.col("start"), F.col("start") + length_min))
+    return out.withColumn("time_period", window_label("start", length_min))
+
+
+def window_label(start: str, length_min: int = K.WINDOW_MIN) -> Column:
+    return F.format_string("%d-%d", F.col(start), F.col(start) + length_min)
 
 
 def lag_columns(df: DataFrame, cols: Sequence[str], lags: Sequence[int], keys=("game",), order="seq",

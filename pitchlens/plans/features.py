@@ -2,60 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import counters as CT
 from ..operators.clean import next_event_input, stats_input
 from ..operators.ordered import DEFAULT_BLOCK, ordered_lag
-from ..operators.windows import all_but_last, next_event_dataset, sliding_windows
+from ..operators.windows import all_but_last, next_event_dataset, sliding_windows, window_label
 
 SLICE = ["game", "period_id", "start"]
 
 
-def _features_from_slices(ev: DataFrame, slice_keys: list[str], label_cols: list[str]) -> DataFrame:
+def _features_from_slices(ev: DataFrame, lagged: DataFrame, slice_keys: list[str]) -> DataFrame:
     """Player-grain aggregates of sliced events plus the team totals of the slice.
 
-    ``ev`` holds events tagged with their slice and ``prev_type_id`` (the type
-    of the previous event *inside the slice*). One hash aggregate per
-    (slice, player, team). The team figures are sums of the player rows of the
-    same (slice, team) -- every event has a player here -- and the zones of a slice
-    come from those: two tiny aggregates joined back on their keys, so no task
-    holds a whole slice.
+    ``ev`` holds every event tagged with its slice, ``lagged`` those of the players asked for with ``prev_type_id``
+    (the type of the previous event *inside the slice*). One hash aggregate per (slice, player, team) over
+    ``lagged``. Team figures and the zones of a slice come from one aggregate of ``ev`` per (slice, team): tasks
+    ship a row per slice and team, however many players there are, and the lag has no part in it.
     """
-    zone_a = CT.zone_aggs()
+    ok = [f"_p_{e}_ok" for e in K.EVENTS_COMPUTE_SUCCESS_RATE]
     p_a, p_f = CT.success_rate_cols(K.EVENTS_COMPUTE_SUCCESS_RATE, "p_")
     p_a += CT.count_pivot_aggs(K.EVENTS_COMPUTE_NUMBER, "p_")
     p_f += [F.col(f"p_{e}_nb") for e in K.EVENTS_COMPUTE_NUMBER]
-    ok = [f"_p_{e}_ok" for e in K.EVENTS_COMPUTE_SUCCESS_RATE]
     zones = ["_z_all", *[f"_z_{z}" for z in K.ZONES]]
-    pkeys = [*slice_keys, *label_cols, "player_id", "team_id"]
+    pkeys, tkeys = [*slice_keys, "player_id", "team_id"], [*slice_keys, "team_id"]
     bools = ["nb_assist", "nb_keypass", "nb_gk_events", "nb_shots", "nb_free_kick", "nb_corner"]
-    player = (ev.groupBy(*pkeys).agg(*CT.bool_counter_aggs("prev_type_id"), *zone_a, *p_a)
+    player = (lagged.groupBy(*pkeys).agg(*CT.bool_counter_aggs("prev_type_id"), *CT.zone_aggs(), *p_a)
               .select(*pkeys, *bools, *zones, *p_f, *ok))
-    tkeys = [*slice_keys, "team_id"]
-    rate_ids, count_ids = K.EVENTS_COMPUTE_SUCCESS_RATE, K.EVENTS_COMPUTE_NUMBER
-    tsum = [F.sum(f"p_{e}_nb").alias(f"_ts_{e}") for e in [*rate_ids, *count_ids]]
-    tsum += [F.sum(f"_p_{e}_ok").alias(f"_tok_{e}") for e in rate_ids]
-    tcols = []
-    for e in rate_ids:
-        tcols.append(F.col(f"_ts_{e}").cast("int").alias(f"t_{e}_nb"))
-        tcols.append(F.expr(f"try_divide(CAST(_tok_{e} AS DOUBLE), NULLIF(CAST(_ts_{e} AS DOUBLE), 0.0D))")
-                     .alias(f"t_{e}_success_rate"))
-    tcols += [F.col(f"_ts_{e}").cast("int").alias(f"t_{e}_nb") for e in count_ids]
-    sums = player.groupBy(*tkeys).agg(*tsum, *[F.sum(f"_z_{z}").alias(f"_z_{z}") for z in K.ZONES])
-    team = sums.select(*tkeys, *tcols)
-    present = sums.groupBy(*slice_keys).agg(*CT.zone_present())
-    return (player.join(present, slice_keys).join(team, tkeys, "left")
-            .select(*pkeys, *bools, *CT.zone_finals(), *p_f, *[c for c in team.columns if c not in tkeys]))
+    t_a, t_f = CT.success_rate_cols(K.EVENTS_COMPUTE_SUCCESS_RATE, "t_")
+    t_a += CT.count_pivot_aggs(K.EVENTS_COMPUTE_NUMBER, "t_")
+    t_f += [F.col(f"t_{e}_nb") for e in K.EVENTS_COMPUTE_NUMBER]
+    in_slice = Window.partitionBy(*slice_keys)          # one row per team
+    has = [(F.max(f"_z_{z}").over(in_slice) > 0).alias(f"_has_{z}") for z in K.ZONES]
+    team = ev.groupBy(*tkeys).agg(*t_a, *CT.zone_aggs()).select(*tkeys, *t_f, *has)
+    return (player.join(team, tkeys)
+            .select(*pkeys, *bools, *CT.zone_finals(), *p_f, *[c for c in team.columns if c not in tkeys and not c.startswith("_has_")]))
 
 
 def sliced_events(me: DataFrame, step_min: int = 5, block: int = DEFAULT_BLOCK, strategy: str = "blocked") -> DataFrame:
     """Stats-input events tagged with each 15-minute window containing them, plus
     ``prev_type_id``: the type of the previous event *inside that window*."""
-    ev = sliding_windows(stats_input(me), step_min)
-    return ordered_lag(ev, SLICE, "seq", ["type_id"], [1], block=block, strategy=strategy) \
+    return _with_previous(sliding_windows(stats_input(me), step_min), SLICE, block, strategy)
+
+
+def _with_previous(ev: DataFrame, slice_keys: list[str], block: int, strategy: str) -> DataFrame:
+    return ordered_lag(ev, slice_keys, "seq", ["type_id"], [1], block=block, strategy=strategy) \
         .withColumnRenamed("type_id_lag1", "prev_type_id")
 
 
@@ -64,13 +57,16 @@ def window_features(me: DataFrame, eligible: DataFrame | None = None, step_min:
     """Per (game, 15-minute window, player) features of the player-identification problem.
 
     stats input -> overlapping inclusive windows (explode, no join) ->
-    previous event type inside each window (skew-safe ordered lag) ->
-    player aggregate and team totals -> eligible players (semi join, applied
-    after the team totals so team counts cover every player).
+    previous event type inside each window (skew-safe ordered lag over every
+    player's events) -> eligible players (semi join) -> player aggregate, next to
+    team totals of the windows themselves, so team counts cover every player.
+    The window's label is written once per row of the result.
     """
-    out = _features_from_slices(sliced_events(me, step_min, block, strategy), SLICE, ["time_period"])
+    ev = sliding_windows(stats_input(me), step_min)
+    lagged = _with_previous(ev, SLICE, block, strategy)
     if eligible is not None:
-        out = out.join(eligible.select("player_id").distinct(), "player_id", "left_semi")
+        lagged = lagged.join(eligible.select("player_id").distinct(), "player_id", "left_semi")
+    out = _features_from_slices(ev, lagged, SLICE).withColumn("time_period", window_label("start"))
     return out.select("game", "player_id", "team_id", "time_period", *K.player_features()[1:])
 
 
@@ -83,9 +79,8 @@ def test_set_stats(me: DataFrame, masked_player: int = 1, last_hidden: int = 10,
     only. Keys: ``game``, ``player_id``, ``team_id``.
     """
     ev = all_but_last(stats_input(me), last_hidden)
-    ev = ordered_lag(ev, ["game"], "seq", ["type_id"], [1], block=block, strategy=strategy) \
-        .withColumnRenamed("type_id_lag1", "prev_type_id")
-    out = _features_from_slices(ev, ["game"], []).where(F.col("player_id") == masked_player)
+    lagged = _with_previous(ev, ["game"], block, strategy).where(F.col("player_id") == masked_player)
+    out = _features_from_slices(ev, lagged, ["game"])
     return out.select("game", "player_id", "team_id", *K.player_features()[1:])
 
 
