@@ -5,19 +5,24 @@ class counts (or sums of the target) by (tree, node, feature bin), partial sums
 splits. The rows of smaller nodes are then dealt out once, packed, to groups of about that size, and each group
 grows its nodes to the end where it is. A row's weight in a tree and the features that a node tries come from
 keyed hashes, so both ways of growing give the same trees.
+
+Predictions of a small forest send its nodes to all tasks. Of a larger one the driver and all tasks get the nodes of many rows
+alone; below these, rows (as bins) and nodes are dealt to buckets of subtrees, and the votes of a row are added up.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import operator
+import pickle
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, TaskContext, keyword_only
+from pyspark import RDD, StorageLevel, TaskContext, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -30,11 +35,15 @@ from ..session import cut, shared_path
 from .boosting import _landed, _rows, cut_points
 from .trees import PRIME, draw
 
-LOCAL_ROWS = 1 << 16
+LOCAL_ROWS = 1 << 17
 ROWS_PER_TASK = 50_000
 CELLS = 1 << 22          # (node, feature bin) cells that a task of the upper levels holds; more nodes take more passes
+TASK_ROWS = 1 << 20      # rows that a task of a pass reads at most (where a cluster has few slots)
+TABLE = 1 << 20          # counts up to which logarithms come from a table
 SORTED = 4               # cells per row beyond which a level of small nodes is counted by sorting
-MODEL_NODES = 1 << 21    # nodes of trees that are sent to tasks together for predictions
+MODEL_NODES = 1 << 21    # nodes of trees that are sent to all tasks for predictions; of larger forests rows and nodes meet in buckets
+BUCKET_NODES = 1 << 18   # nodes of a bucket, about
+VOTE_CELLS = 1 << 22     # sums of votes that a task holds before it passes them on
 NODES = "tree int, node long, feature int, threshold double, n long, gain double, value array<double>"
 
 
@@ -88,26 +97,55 @@ def size(s: np.ndarray, p: dict) -> np.ndarray:
     return s.sum(axis=0) if p["classes"] else s[0]
 
 
-def gains(left: np.ndarray, node: np.ndarray, total: np.ndarray, ok: np.ndarray, p: dict) -> np.ndarray:
-    """Fall of rows times impurity by cells of nodes; -inf where it is not ok or a side has too few rows."""
-    n = size(left, p)
-    at = np.flatnonzero(ok & (n >= p["min_leaf"]) & (size(total, p)[node] - n >= p["min_leaf"]))
-    left, node, out = left[:, at], node[at], np.full(len(node), -np.inf)
-    out[at] = impurity(total, p)[node] - impurity(left, p) - impurity(total[:, node] - left, p)
-    return out
+@functools.lru_cache
+def _logarithms(bits: int) -> np.ndarray:
+    v = np.arange(1 << bits)
+    return v * np.log2(np.maximum(v, 1))
+
+
+def _xlogx(top: float):
+    """v -> v log2 v of counts up to ``top``; by a table where it is short."""
+    if top >= TABLE:
+        return lambda v: np.where(v > 0, v * np.log2(np.maximum(v, 1.0)), 0.0)
+    table = _logarithms(int(top).bit_length())
+    return lambda v: table.take(v.astype(np.int64))
+
+
+def gains(left: np.ndarray, total: np.ndarray, ok: np.ndarray, p: dict) -> np.ndarray:
+    """Fall of rows times impurity; -inf where it is not ok or a side has too few rows. ``left``, ``total``: statistics first."""
+    n_left, n_all = size(left, p), size(total, p)
+    ok = ok & (n_left >= p["min_leaf"]) & (n_all - n_left >= p["min_leaf"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if not p["classes"]:
+            rest = total[1] - left[1]
+            out = left[1] * left[1] / n_left + rest * rest / (n_all - n_left) - total[1] * total[1] / n_all
+        elif p["impurity"] == "gini":
+            out = impurity(total, p) - impurity(left, p) - impurity(total - left, p)
+        else:
+            x = _xlogx(n_all.max(initial=0))
+            side = lambda s, n: x(n) - sum(x(c) for c in s)
+            out = side(total, n_all) - side(left, n_left) - side(total - left, n_all - n_left)
+    return np.where(ok, out, -np.inf)
 
 
-def best(cells: Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]], total: np.ndarray, ok: np.ndarray, p: dict) -> tuple[np.ndarray, ...]:
-    """(gain, feature, bin) of every node; -1 without a split. ``cells``: per feature the node, bin and statistics of the
-    cells that occur, by node and bin. Of equal gains the first feature and bin wins."""
+def best(cells: Iterable[tuple], total: np.ndarray, ok: np.ndarray, p: dict) -> tuple[np.ndarray, ...]:
+    """(gain, feature, bin) of every node; -1 without a split. ``cells``: per feature statistics by (node, bin), or the node, bin
+    and statistics of the cells that occur, by node and bin. Of equal gains the first feature and bin wins."""
     n = total.shape[1]
     won, feature, bin_ = np.full(n, 1e-9), np.full(n, -1), np.zeros(n, np.int64)
     for f, node, b, s in cells:
+        if node is None:
+            g = np.round(gains(np.cumsum(s, axis=2), total[:, :, None], ok[:, f][:, None], p), 7)
+            b = g.argmax(axis=1)
+            top = g[np.arange(n), b]
+            better = np.flatnonzero(top > won)
+            won[better], feature[better], bin_[better] = top[better], f, b[better]
+            continue
         run = np.cumsum(s, axis=1)
         first = np.flatnonzero(np.append(True, node[1:] != node[:-1])[:len(node)])
         before = np.where(first > 0, run[:, first - 1], 0.0)
         left = run - np.repeat(before, np.diff(np.append(first, len(node))), axis=1)
-        g = np.round(gains(left, node, total, ok[node, f], p), 7)
+        g = np.round(gains(left, total[:, node], ok[node, f], p), 7)
         top = np.maximum.reduceat(g, first) if len(first) else np.zeros(0)
         at = np.flatnonzero(g == np.repeat(top, np.diff(np.append(first, len(node)))))
         at = at[np.append(True, node[at][1:] != node[at][:-1])[:len(at)]]         # the first bin of the best ones
@@ -116,21 +154,31 @@ def best(cells: Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]], total:
     return np.where(feature >= 0, won, 0.0), feature, bin_
 
 
+def _added(bins: np.ndarray, at: np.ndarray, y: np.ndarray, w: np.ndarray, n: int, k: int, n_classes: int) -> Iterator[np.ndarray]:
+    """Per feature the statistics by (node, bin) of rows (bins by feature); of the target's: weight and weighted sum."""
+    key, each = np.empty(len(at), np.int64), n_classes or 1
+    start = at * (k * each) + (y if n_classes else 0)
+    sums = (w,) if n_classes else (w, w * y)
+    for column in bins:
+        np.multiply(column, each, out=key, casting="unsafe", dtype=np.int64)
+        key += start
+        s = [np.bincount(key, v, n * k * each).reshape(n, k, each) for v in sums]
+        yield np.moveaxis(s[0], 2, 0) if n_classes else np.stack([v[:, :, 0] for v in s])
+
+
 def _cells(bins: np.ndarray, at: np.ndarray, y: np.ndarray, w: np.ndarray, n: int, width: np.ndarray, p: dict) -> Iterator[tuple]:
     """Cells of ``best`` from rows (bins by feature): counted densely, or by sorting where nodes are many and small."""
-    s = None
-    for f, k in enumerate(width.tolist()):
+    k = int(width.max())
+    if n * k <= SORTED * len(at):
+        yield from ((f, None, None, s) for f, s in enumerate(_added(bins, at, y, w, n, k, p["classes"])))
+        return
+    s = stats(y, w, p["classes"])[:p["classes"] or 2]
+    for f in range(len(width)):
         key = at * k + bins[f]
-        if n * k <= SORTED * len(at):
-            total = counted(key, y, w, n * k, p["classes"])
-            seen = np.flatnonzero(size(total, p))
-            yield f, *np.divmod(seen, k), total[:, seen]
-        else:
-            s = stats(y, w, p["classes"]) if s is None else s
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
-            yield f, *np.divmod(key[first], k), np.add.reduceat(s[:, order], first, axis=1)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        yield f, *np.divmod(key[first], k), np.add.reduceat(s[:, order], first, axis=1)
 
 
 def _open(tree, node, total, p) -> np.ndarray:
@@ -138,14 +186,14 @@ def _open(tree, node, total, p) -> np.ndarray:
     return (level < p["max_depth"]) & (size(total, p) >= 2 * p["min_leaf"]) & (impurity(total, p) > 1e-9)
 
 
-def _value(total: np.ndarray, p: dict) -> list[list[float]]:
-    return total.T.tolist() if p["classes"] else (total[1] / total[0])[:, None].tolist()
+def _value(total: np.ndarray, p: dict) -> np.ndarray:
+    return total.T if p["classes"] else (total[1] / total[0])[:, None]
 
 
 def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: np.ndarray, node: np.ndarray, width: np.ndarray, p: dict) -> Iterator[tuple]:
-    """Nodes (tree, node, feature, bin, n, gain, value) of all (tree, node) groups of rows (bins by feature), grown to the end."""
+    """Levels of nodes (arrays: tree, node, feature, bin, n, gain, value) of all (tree, node) groups of rows (bins by feature), grown to the end."""
     _, at, group = np.unique(tree * (1 << 40) + node, return_index=True, return_inverse=True)
-    t, v, y = tree[at], node[at], y.astype(np.int64) if p["classes"] else y
+    t, v, y, w = tree[at], node[at], y.astype(np.int64) if p["classes"] else y, w.astype(float)
     while len(y):
         total = counted(group, y, w, len(t), p["classes"])
         go = _open(t, v, total, p)
@@ -157,7 +205,7 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: np.ndarray, node:
                 bins, y, w, group = bins[:, mine], y[mine], w[mine], group[mine]
             won[go], feature[go], bin_[go] = best(_cells(bins, place[group], y, w, int(go.sum()), width, p), total[:, go],
                                                   allowed(t[go], v[go], len(bins), p), p)
-        yield from zip(t.tolist(), v.tolist(), feature.tolist(), bin_.tolist(), size(total, p).astype(int).tolist(), won.tolist(), _value(total, p))
+        yield t, v, feature, bin_, size(total, p).astype(np.int64), won, _value(total, p)
         on = np.flatnonzero(feature[group] >= 0)
         if len(on) < len(group):
             bins, y, w, group = bins[:, on], y[on], w[on], group[on]
@@ -167,6 +215,19 @@ def grow(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: np.ndarray, node:
         group = 2 * (np.cumsum(feature >= 0) - 1)[group] + right
 
 
+def _steps(x: np.ndarray, at: np.ndarray, feature: np.ndarray, cuts: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Places that rows (x by feature) end at, from their places; children follow each other, rows go left up to the cut."""
+    leaf, own = feature < 0, np.arange(len(feature))
+    column, flat = np.where(leaf, 0, feature) * x.shape[1], x.ravel()
+    nxt, first = np.stack([np.where(leaf, own, child + 1), np.where(leaf, own, child)], 1).ravel(), np.arange(x.shape[1])
+    while True:
+        if leaf.take(at).all():
+            return at
+        here = column.take(at)
+        here += first
+        at = nxt.take(2 * at + (flat.take(here) <= cuts.take(at)))
+
+
 class _Upper:
     """Splits of the nodes settled so far, by tree: places of children follow each other."""
 
@@ -185,28 +246,38 @@ class _Upper:
         return np.arange(len(self.tree) - 2 * len(at), len(self.tree))
 
     def walk(self, bins: np.ndarray, root: int) -> np.ndarray:
-        at, rows = np.full(len(bins), root), np.arange(len(bins))
-        while len(rows):
-            rows = rows[self.feature[at[rows]] >= 0]
-            here = at[rows]
-            at[rows] = self.child[here] + (bins[rows, self.feature[here]] > self.bin[here])
-        return at
+        return _steps(bins, np.full(bins.shape[1], root), self.feature, self.bin.astype(bins.dtype), self.child)
+
+
+def _narrow(width: np.ndarray):
+    """Landed record -> (uid, bins by feature in as few bytes as hold them, label)."""
+    kind = np.uint8 if width.max() <= 256 else np.int16
+
+    def run(record):
+        return next((uid, bins.T.astype(kind), y) for uid, bins, y, _ in _rows([record], 1))
+
+    return run
 
 
 def _sums(upper: _Upper, slot: np.ndarray, n: int, width: np.ndarray, p: dict):
-    """Rows -> (node's slot, statistics by feature bin) of the wanted nodes (slot >= 0)."""
+    """Rows -> (node's slot, statistics by feature bin) of the wanted nodes (slot >= 0); squares of targets with the first feature alone."""
 
-    def run(records):
-        first = np.append(0, np.cumsum(width))
+    def run(rows):
+        first, k = np.append(0, np.cumsum(width)), int(width.max())
         held = np.zeros((3 if not p["classes"] else p["classes"], n, first[-1]))
-        for uid, bins, y, _ in _rows(records, 1):
+        for uid, bins, y in rows:
+            y = y.astype(np.int64) if p["classes"] else y
             for root, tree in enumerate(upper.trees):
                 w = weights(uid, tree, p)
                 at = slot[upper.walk(bins, root)]
-                rows = np.flatnonzero((at >= 0) & (w > 0))
-                label, w, at = y[rows].astype(np.int64) if p["classes"] else y[rows], w[rows], at[rows]
-                for f, k in enumerate(width.tolist()) if len(rows) else ():
-                    held[:, :, first[f]:first[f + 1]] += counted(at * k + bins[:, f][rows], label, w, n * k, p["classes"]).reshape(-1, n, k)
+                some = np.flatnonzero((at >= 0) & (w > 0))
+                if not len(some):
+                    continue
+                here, label, times, at = bins[:, some], y[some], w[some].astype(float), at[some]
+                for f, s in enumerate(_added(here, at, label, times, n, k, p["classes"])):
+                    held[:len(s), :, first[f]:first[f + 1]] += s[:, :, :width[f]]
+                if not p["classes"]:
+                    held[2, :, :width[0]] += np.bincount(at * k + here[0], times * label * label, n * k).reshape(n, k)[:, :width[0]]
         for k in range(n):
             yield k, held[:, k]
 
@@ -223,16 +294,12 @@ def _settled(upper: _Upper, places: np.ndarray, width: np.ndarray, p: dict):
         won, feature, bin_ = np.zeros(1), np.full(1, -1), np.zeros(1, np.int64)
         first = np.append(0, np.cumsum(width))
         if _open(tree, node, total, p)[0]:
-            cells = []
-            for f in range(len(width)):
-                part = sums[:, first[f]:first[f + 1]]
-                seen = np.flatnonzero(part.any(axis=0))
-                cells.append((f, np.zeros(len(seen), np.int64), seen, part[:, seen]))
+            cells = [(f, None, None, sums[:, None, first[f]:first[f + 1]]) for f in range(len(width))]
             won, feature, bin_ = best(cells, total, allowed(tree, node, len(width), p), p)
         n = int(size(total, p)[0])
         f = int(feature[0])
         left = int(size(sums[:, first[f]:first[f] + bin_[0] + 1].sum(axis=1)[:, None], p)[0]) if f >= 0 else 0
-        return int(place), n, float(won[0]), f, int(bin_[0]), left, n - left, _value(total, p)[0] if n else []
+        return int(place), n, float(won[0]), f, int(bin_[0]), left, n - left, _value(total, p)[0].tolist() if n else []
 
     return run
 
@@ -240,37 +307,51 @@ def _settled(upper: _Upper, places: np.ndarray, width: np.ndarray, p: dict):
 def _dealt(upper: _Upper, bucket: np.ndarray, p: dict):
     """Rows of nodes that are grown locally: (bucket, packed rows)."""
 
-    def run(records):
+    def run(rows):
         task = TaskContext.get().partitionId()
-        for record, (uid, bins, y, _) in enumerate(_rows(records, 1)):
-            y = y.astype(np.int32) if p["classes"] else y
+        for record, (uid, bins, y) in enumerate(rows):
+            y = y.astype(np.int16 if p["classes"] < 1 << 15 else np.int32) if p["classes"] else y
             for root, tree in enumerate(upper.trees):
                 w, at = weights(uid, tree, p), upper.walk(bins, root)
                 b = np.where(w > 0, bucket[at], -1)
+                b = b.astype(np.int16) if bucket.max() < 1 << 15 else b
                 order = np.argsort(b, kind="stable")
-                order = order[b[order] >= 0]
+                order = order[np.searchsorted(b[order], 0):]
                 kinds, first = np.unique(b[order], return_index=True)
-                for k, rows in zip(kinds.tolist(), np.split(order, first[1:])):
-                    yield k, ((tree, task, record), upper.node[at[rows]], w[rows].astype(np.int8), y[rows], bins.T[:, rows])
+                for k, some in zip(kinds.tolist(), np.split(order, first[1:])):
+                    yield k, ((tree, task, record), at[some].astype(np.int32), w[some].astype(np.int8), y[some], bins[:, some])
 
     return run
 
 
-def _finished(width: np.ndarray, points: list[np.ndarray], p: dict):
+def _finished(upper: _Upper, width: np.ndarray, points: list[np.ndarray], p: dict):
+    """(bucket, packed rows) -> packed levels of nodes."""
+
     def run(kv):
         held: dict[int, list] = {}
         for b, part in kv:
             held.setdefault(b, []).append(part)
+        cuts, first = np.concatenate([*points, [0.0]]), np.append(0, np.cumsum(width - 1))
         for b in sorted(held):
             parts = sorted(held.pop(b), key=lambda x: x[0])
-            tree = np.concatenate([np.full(len(x[1]), x[0][0], np.int64) for x in parts])
-            node, w, y, bins = (np.concatenate([x[k] for x in parts], axis=-1) for k in (1, 2, 3, 4))
-            for x in grow(bins, y, w.astype(np.int64), tree, node, width, p):
-                yield _node(x, points)
+            place, w, y, bins = (np.concatenate([x[k] for x in parts], axis=-1) for k in (1, 2, 3, 4))
+            for t, v, f, bin_, n, won, value in grow(bins, y, w, upper.tree[place], upper.node[place], width, p):
+                threshold = np.where(f >= 0, cuts[np.where(f >= 0, first[f] + bin_, 0)], 0.0)
+                yield (pickle.dumps((t.astype(np.int32), v, f.astype(np.int32), threshold, n, won, np.ascontiguousarray(value, float)), 5),)
 
     return run
 
 
+def _unpacked(batches):
+    """Packed levels of nodes -> rows of ``NODES``."""
+    for batch in batches:
+        for level in batch.column(0).to_pylist():
+            *columns, value = pickle.loads(level)
+            n, k = value.shape
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(value.ravel()))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["tree", "node", "feature", "threshold", "n", "gain", "value"])
+
+
 def _node(x: tuple, points: list[np.ndarray]) -> tuple:
     t, v, f, b, n, won, value = x
     return t, v, f, float(points[f][b]) if f >= 0 else 0.0, n, won, value
@@ -288,12 +369,16 @@ def forest(rows: DataFrame, n_classes: int, n_trees: int, max_depth: int, tried:
     width = np.array([len(c) + 1 for c in points])
     p = {"classes": n_classes, "max_depth": max_depth, "tried": tried, "impurity": impurity_, "min_leaf": max(1, min_leaf), "bootstrap": bootstrap,
          "subsample": subsample, "seed": seed}
-    records = _landed(rows, points, 1, 0.0, max(1, n_rows // ROWS_PER_TASK)).rdd.map(tuple)
+    parts = max(1, n_rows // ROWS_PER_TASK)
+    landed = _landed(rows, points, 1, 0.0, parts).rdd.map(tuple).map(_narrow(width))
+    slots = spark.sparkContext.defaultParallelism
+    records = landed.coalesce(min(parts, max(slots, n_rows // TASK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
     most = max(1, CELLS // (int(width.sum()) * (n_classes or 3)))               # nodes of a pass
     step = max(1, most // max(1, 2 * n_rows // LOCAL_ROWS))
-    parts = [_block(spark, records, n_rows, range(a, min(a + step, n_trees)), width, points, p, most) for a in range(0, n_trees, step)]
-    out = parts[0]
-    for x in parts[1:]:
+    blocks = [_block(spark, records, n_rows, range(a, min(a + step, n_trees)), width, points, p, most) for a in range(0, n_trees, step)]
+    records.unpersist()
+    out = blocks[0]
+    for x in blocks[1:]:
         out = out.unionByName(x)
     return out
 
@@ -323,8 +408,8 @@ def _block(spark, records: RDD, n_rows: int, trees: range, width: np.ndarray, po
     bucket = np.full(len(upper.tree), -1)
     bucket[small] = np.cumsum([n_of[k] for k in small]) // LOCAL_ROWS
     lanes = max(1, min(int(bucket.max()) + 1, 8 * slots))
-    grown = records.mapPartitions(_dealt(upper, bucket, p)).partitionBy(lanes).mapPartitions(_finished(width, points, p))
-    return cut(spark.createDataFrame(grown, NODES, verifySchema=False).unionByName(top))
+    grown = records.mapPartitions(_dealt(upper, bucket, p)).partitionBy(lanes).mapPartitions(_finished(upper, width, points, p))
+    return cut(spark.createDataFrame(grown, "nodes binary", verifySchema=False)).mapInArrow(_unpacked, NODES).unionByName(top)
 
 
 class Trees:
@@ -353,41 +438,198 @@ class Trees:
 
 
 def votes(rows: DataFrame, nodes: DataFrame, x_col: str, n_classes: int, out_col: str) -> DataFrame:
-    """rows and the sums over trees (array<double>) of class shares or means; one pass per block of trees."""
+    """rows and the sums over trees (array<double>) of class shares or means."""
     spark, names, width = rows.sparkSession, rows.columns, n_classes or 1
-    rows = rows.withColumn(out_col, F.lit(None).cast("array<double>"))
-    schema = rows.schema
-    sizes = {r["tree"]: r["count"] for r in nodes.groupBy("tree").count().collect()}
-    blocks, held = [[]], 0
-    for t in sorted(sizes):
-        if blocks[-1] and held + sizes[t] > MODEL_NODES:
-            blocks, held = blocks + [[]], 0
-        blocks[-1].append(t)
-        held += sizes[t]
-
-    def voted(shared):
+    if nodes.count() > MODEL_NODES:
+        return _met(rows, nodes, x_col, n_classes, out_col)
+    shared = spark.sparkContext.broadcast(Trees(nodes.select("tree", "node", "feature", "threshold", "value").toArrow()))
+
+    def voted(batches):
+        model = None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            model = model or shared.value
+            x = b.column(b.schema.get_field_index(x_col)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            s = np.zeros((n, width))
+            for v in model.leaf_values(x):
+                s += v / v.sum(axis=1, keepdims=True) if n_classes else v
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(s.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*names, out_col])
+
+    return rows.mapInArrow(voted, rows.withColumn(out_col, F.lit(None).cast("array<double>")).schema)
+
+
+class _Crown:
+    """The nodes of many rows of all trees, and the roots of the subtrees below them (``bucket`` >= 0), by place."""
+
+    def __init__(self, upper: pa.Table, limit: int, n_classes: int):
+        tree, node = upper["tree"].to_numpy().astype(np.int64), upper["node"].to_numpy()
+        order = np.lexsort((node, tree))
+        tree, node, n = tree[order], node[order], upper["n"].to_numpy()[order]
+        feature, threshold = upper["feature"].to_numpy()[order], upper["threshold"].to_numpy()[order]
+        value = upper["value"].combine_chunks()
+        value = value.flatten().to_numpy(zero_copy_only=False).reshape(len(tree), -1)[order]
+        # Children come after all these nodes, two by two; those that are not among them are roots of subtrees.
+        key, split = tree * (1 << 40) + node, np.flatnonzero(feature >= 0)
+        child = np.repeat(tree[split], 2) * (1 << 40) + np.repeat(2 * node[split], 2) + np.tile([0, 1], len(split))
+        at = np.searchsorted(key, child)
+        known = (at < len(key)) & (key[np.minimum(at, len(key) - 1)] == child)
+        roots = np.flatnonzero(node == 1)
+        # Places: roots of trees, then pairs of children.
+        self.n_trees, self.value = len(roots), np.zeros((len(roots) + len(child), value.shape[1]))
+        self.feature, self.threshold = np.full(len(self.value), -1), np.zeros(len(self.value))
+        self.child, self.bucket = np.zeros(len(self.value), np.int64), np.full(len(self.value), -1)
+        place = np.full(len(key), -1)
+        place[roots] = np.arange(len(roots))
+        place[at[known]] = len(roots) + np.flatnonzero(known)
+        self.feature[place], self.threshold[place], self.value[place] = feature, threshold, _shares(value, n_classes)
+        self.child[place[split]] = len(roots) + 2 * np.arange(len(split))
+        self.root = {int(t): k for k, t in enumerate(tree[roots])}
+        below_ = len(roots) + np.flatnonzero(~known)
+        rows = np.repeat(n[split], 2)[~known] / 2
+        self.bucket[below_] = np.cumsum(rows) // limit
+
+    def subtree(self, tree: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Place of the subtree's root that each node is below of, -1 for nodes that are here."""
+        roots = np.array(sorted(self.root))
+        at = np.array([self.root[t] for t in roots.tolist()])[np.searchsorted(roots, tree)]
+        for left in range(int(np.floor(np.log2(node.max()))) - 1 if len(node) else -1, -1, -1):
+            on = (node >> left > 1) & (self.feature[at] >= 0)
+            at = np.where(on, self.child[at] + (node >> left & 1), at)
+        return np.where(self.bucket[at] >= 0, at, -1)
+
+
+def _shares(value: np.ndarray, n_classes: int) -> np.ndarray:
+    return value / value.sum(axis=1, keepdims=True) if n_classes else value
+
+
+def _arrays(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    """Column of lists of one length as an array (rows, length)."""
+    return batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _met(rows: DataFrame, nodes: DataFrame, x_col: str, n_classes: int, out_col: str) -> DataFrame:
+    """``votes`` of a forest that is too large to be sent to all tasks."""
+    spark, width, spare = rows.sparkSession, n_classes or 1, "_forest_row"
+    sc = spark.sparkContext
+    whole = max(2, int(nodes.where("node = 1").agg(F.max("n")).first()[0]))
+    total = nodes.count()
+    limit = max(1, min(whole // 2, whole * nodes.where("node = 1").count() * BUCKET_NODES // total))   # rows of subtrees of a bucket
+    upper = nodes.where((F.col("n") > limit) | (F.col("node") == 1)).select("tree", "node", "feature", "threshold", "n", "value").toArrow()
+    cuts: dict[int, list] = {}
+    for f, t in nodes.where("feature >= 0").select("feature", "threshold").distinct().collect():
+        cuts.setdefault(f, []).append(t)
+    cuts = {f: np.sort(v) for f, v in cuts.items()}
+    kind = np.uint8 if max(map(len, cuts.values()), default=0) < 256 else np.uint16 if max(map(len, cuts.values())) < 1 << 16 else np.int32
+    crown = sc.broadcast(_Crown(upper, limit, n_classes))
+    coded = lambda feature, threshold: _coded(cuts, feature, threshold, kind)
+    tagged = cut(rows.withColumn(spare, F.monotonically_increasing_id()))
+    n_buckets = int(crown.value.bucket.max(initial=-1)) + 1
+    lanes = max(1, min(n_buckets, max(4 * sc.defaultParallelism, n_buckets // 8)))
+
+    def routed(batches):
+        top = crown.value
+        threshold = coded(top.feature, top.threshold)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            uid, x = b.column(0).to_numpy(), _arrays(b, 1)
+            bins = np.stack([np.where(np.isnan(v), 0, np.searchsorted(cuts.get(f, np.zeros(0)), v, "left")) for f, v in enumerate(x.T)]).astype(kind)
+            settled = np.zeros((len(x), width))
+            for tree in range(top.n_trees):
+                at = _steps(bins, np.full(len(x), tree), top.feature, threshold, top.child)
+                where = top.bucket[at]
+                settled += np.where((where < 0)[:, None], top.value[at], 0.0)
+                order = np.argsort(where.astype(np.int32), kind="stable")
+                order = order[np.searchsorted(where[order], 0):]
+                kinds, first = np.unique(where[order], return_index=True)
+                for k, some in zip(kinds.tolist(), np.split(order, first[1:]) if len(kinds) else ()):
+                    yield k, pickle.dumps((int(uid[0]), len(uid), some.astype(np.int32), at[some].astype(np.int32), bins[:, some]), 5)
+            yield n_buckets + int(uid[0]) % lanes, pickle.dumps((int(uid[0]), len(uid), settled), 5)
+
+    def held(batches):
+        top = crown.value
+        for b in batches:
+            tree, node, feature, threshold = (b.column(k).to_numpy() for k in range(4))
+            at = top.subtree(tree.astype(np.int64), node)
+            some = np.flatnonzero(at >= 0)
+            values = _shares(_arrays(b, 4), n_classes)
+            for k in np.unique(top.bucket[at[some]]).tolist():
+                mine = some[top.bucket[at[some]] == k]
+                yield k, pickle.dumps((at[mine], node[mine], feature[mine], coded(feature[mine], threshold[mine]), values[mine]), 5)
+
+    def as_rows(make):
         def run(batches):
-            model = None
-            for b in batches:
-                n = b.num_rows
-                if not n:
-                    continue
-                model = model or shared.value
-                x = b.column(b.schema.get_field_index(x_col)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                s = np.zeros((n, width))
-                for v in model.leaf_values(x):
-                    s += v / v.sum(axis=1, keepdims=True) if n_classes else v
-                if b.column(len(names)).null_count == 0:
-                    s += b.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(s.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], b.schema.names)
+            for k, data in make(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
 
         return run
 
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(Trees(nodes.where(F.col("tree").isin(block)).select("tree", "node", "feature", "threshold", "value").toArrow()))
-        rows = rows.mapInArrow(voted(shared), schema)
-    return rows
+    def counted_(parts):
+        """Buckets with their nodes and rows -> ((first row, rows), sums of votes)."""
+        out, cells, buckets = {}, 0, {}
+        for k, data in parts:
+            buckets.setdefault(k, []).append(data)
+        while buckets:
+            _, packed = buckets.popitem()
+            parts_nodes, parts_rows = [], []
+            for data in map(pickle.loads, packed):
+                (parts_rows if isinstance(data[0], int) else parts_nodes).append(data)
+            trees = _Subtrees(parts_nodes) if parts_nodes else None
+            for uid, n, *at in parts_rows:
+                if (uid, n) not in out:
+                    out[uid, n], cells = np.zeros((n, width)), cells + n * width
+                if trees is None:                                     # settled among the upper nodes
+                    out[uid, n] += at[0]
+                else:
+                    out[uid, n][at[0]] += trees.values(*at[1:])
+                if cells > VOTE_CELLS:
+                    yield from out.items()
+                    out, cells = {}, 0
+        yield from out.items()
+
+    schema = "bucket int, data binary"
+    from_rows = tagged.select(spare, x_col).mapInArrow(as_rows(routed), schema).rdd.map(tuple)
+    from_nodes = nodes.select("tree", "node", "feature", "threshold", "value").mapInArrow(as_rows(held), schema).rdd.map(tuple)
+    met = from_rows.union(from_nodes).partitionBy(lanes).mapPartitions(counted_)
+    sums = met.reduceByKey(operator.add, lanes).map(lambda kv: (pickle.dumps((kv[0][0], kv[1]), 5),))
+
+    def listed(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                uid, s = pickle.loads(data)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * width, pa.int32()), pa.array(s.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(s))), lists], [spare, out_col])
+
+    found = cut(spark.createDataFrame(sums, "data binary", verifySchema=False).mapInArrow(listed, f"{spare} long, {out_col} array<double>"))
+    return tagged.join(found, spare).select(*[F.col(f"`{c}`") for c in rows.columns], out_col)
+
+
+def _coded(cuts: dict[int, np.ndarray], feature: np.ndarray, threshold: np.ndarray, kind) -> np.ndarray:
+    """Thresholds as places among those of their feature."""
+    out = np.zeros(len(feature), kind)
+    for f, c in cuts.items():
+        mine = feature == f
+        out[mine] = np.searchsorted(c, threshold[mine])
+    return out
+
+
+class _Subtrees:
+    """Nodes of the subtrees of a bucket; rows start at the roots' places among the upper nodes."""
+
+    def __init__(self, parts: list[tuple]):
+        root, node, feature, self.cuts, self.value = (np.concatenate([x[k] for x in parts]) for k in range(5))
+        order = np.lexsort((node, root))
+        root, node, self.feature, self.cuts, self.value = root[order], node[order], feature[order].astype(np.int64), self.cuts[order], self.value[order]
+        self.roots, self.first = np.unique(root, return_index=True)       # the root has the smallest number
+        split, key = np.flatnonzero(self.feature >= 0), np.searchsorted(self.roots, root) * (1 << 40) + node
+        self.child = np.zeros(len(node), np.int64)
+        self.child[split] = np.searchsorted(key, key[split] + node[split])
+
+    def values(self, at: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        return self.value[_steps(bins, self.first[np.searchsorted(self.roots, at)], self.feature, self.cuts, self.child)]
 
 
 class RandomForest(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
